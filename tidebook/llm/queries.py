@@ -8,8 +8,9 @@ import sys
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, contamination, html, lines
 from .common import read_table
 
 
@@ -45,8 +46,26 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html.extract(read_table(spark, sf_dir, "pages", "page_id", "url", "html"), keep=("page_id", "url"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op4_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    found = contamination.contamination(docs, read_table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.select(
+        F.col("d").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (F.expr("n_hit > 0 and 20 * n_hit >= n_words")).alias("contaminated"))
+
+
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(read_table(spark, sf_dir, "documents", "doc_id", "text"), min_docs=10)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe}
+    return {"op1_bpe": op1_bpe, "op2_html": op2_html, "op4_contamination": op4_contamination, "op8_lines": op8_lines}
 
 
 def oracle_sql() -> dict[str, str]:
