@@ -52,6 +52,12 @@ def _fingerprints(df: DataFrame, k: int, w: int) -> DataFrame:
     return df.withColumn("fp", F.array_distinct("_h")).drop("_h")
 
 
+def windows_of(words: Column, n: int) -> Column:
+    """(i, win) of every run of n words: where it starts, and its words joined by spaces."""
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n))
+    return F.transform(starts, lambda i: F.struct(i.alias("i"), F.concat_ws(" ", F.slice(words, i + 1, n)).alias("win")))
+
+
 def _small(df: DataFrame) -> DataFrame:
     """A broadcast hint if the written table df is small enough; else adaptive execution decides."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -83,12 +89,13 @@ def contamination(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", tex
     split = split.withColumn("n_words", F.size("words").cast("long"))
     prints = _fingerprints(split, k, w).drop("words")
     seen = materialize(prints.select("d", "t", "n_words", "fp"), "fingerprints")
-    marks = _fingerprints(items.where(F.size("words") >= window), k, w).select(F.explode("fp").alias("f")).distinct()
+    marks = _fingerprints(items.where(F.size("words") >= window), k, w).select(F.explode_outer("fp").alias("f"))
+    marks = marks.where("f is not null").distinct()
     marks = materialize(marks, "item-fingerprints")
     found = seen.select("d", "t", F.explode("fp").alias("f")).join(_small(marks), "f", "left_semi").select("d", "t")
     for n in short:  # every run of n words is a fingerprint of its own here
         whole = materialize(windows.where(F.col("len") == n).select(F.xxhash64(*[F.get(F.split("win", " "), F.lit(i)) for i in range(n)]).alias("f")).distinct(), "short-items")
-        runs = split.select("d", "t", F.explode(F.array_distinct(grams(F.col("words"), n))).alias("f"))
+        runs = split.select("d", "t", F.explode_outer(F.array_distinct(grams(F.col("words"), n))).alias("f"))
         found = found.union(runs.join(_small(whole), "f", "left_semi").select("d", "t"))
     found = materialize(found.distinct(), "documents-with-hits")
 
@@ -96,12 +103,11 @@ def contamination(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", tex
     same = (F.col("d0").eqNullSafe(F.col("d"))) & (F.col("t0") == F.col("t"))
     keys = found.select(F.col("d").alias("d0"), F.col("t").alias("t0"))
     near = texts.join(_small(keys), same, "left_semi").distinct().select("d", "t", words(F.col("x")).alias("words"))
+    # Outer generators, as the filters inferred for inner ones would compute their arrays again, inside the lambdas.
     known = _small(windows)
     hits = None
     for n in lengths:
-        runs = F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - n + 1))
-        at = near.select("d", "t", "words", F.explode(runs).alias("i"))
-        at = at.select("d", "t", (F.col("i") - 1).alias("i"), F.lit(n).alias("n"), F.concat_ws(" ", F.slice("words", F.col("i"), n)).alias("win"))
+        at = near.select("d", "t", F.inline_outer(windows_of(F.col("words"), n))).select("d", "t", "i", F.lit(n).alias("n"), "win")
         hits = at if hits is None else hits.unionByName(at)
     if hits is None:
         hits = near.select("d", "t", F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit("").alias("win")).limit(0)

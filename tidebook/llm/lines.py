@@ -129,7 +129,7 @@ def dropped_lines(docs: DataFrame, doc_id: str, text: str, min_docs: int, min_ch
 def _pack(n: pd.Series, gone: pd.Series) -> pd.Series:
     out = []
     for size, at in zip(n, gone):
-        keep = np.ones(int(size), bool)
+        keep = np.ones(-(-int(size) // 8) * 8, bool)
         keep[np.asarray(at, dtype=np.int64)] = False
         out.append(zlib.compress(np.packbits(keep).tobytes()))
     return pd.Series(out)
@@ -142,7 +142,7 @@ def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     A line's key is the line without white space at its ends, A-Z lower-cased; keys
     of min_chars code points at least that min_docs different ids have lose
     all their lines. (d, t) is ``row_key`` of the row. keep is zlib over packed bits
-    up to the last dropped line; lines after that stay. Rows with a null id count as
+    up to the byte of the last dropped line; lines after that stay. Rows with a null id count as
     one document, repeated rows as well; null and empty texts are one empty line,
     which has no key. Texts may be very long: only hashes are shuffled.
     """
