@@ -7,10 +7,10 @@ import os
 import sys
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, contamination, html, lines
+from . import bpe, contamination, html, language, lines, quality
 from .common import read_table
 
 
@@ -59,13 +59,44 @@ def op4_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.expr("n_hit > 0 and 20 * n_hit >= n_words")).alias("contaminated"))
 
 
+def _remainder(doc_id: str, n: int) -> Column:
+    return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(n))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    known = language.prototypes(docs.where(_remainder("doc_id", 4) != 2))
+    found = language.identify(docs, known, keep=("doc_id",))
+    return found.select("doc_id", F.coalesce(_remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+#: Labelled rows that the quality classifier is fitted on, about.
+QUALITY_ROWS = 20_000
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Trees:
+    """Trees fitted to labels outside the held-out fold; the labels are sampled before they meet any text."""
+    known = labels.where((_remainder("doc_id", 5) != 0) & F.col("quality").isNotNull()).select("doc_id", F.col("quality").alias("label"))
+    known = quality.sample_rows(known, F.col("doc_id"), QUALITY_ROWS)
+    return quality.fit(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), bound=QUALITY_ROWS)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality_model(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality"))
+    scored = quality.score(docs, model, keep=("doc_id",))
+    return scored.select("doc_id", F.coalesce(_remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score",
+                         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.dedup_lines(read_table(spark, sf_dir, "documents", "doc_id", "text"), min_docs=10)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe, "op2_html": op2_html, "op4_contamination": op4_contamination, "op8_lines": op8_lines}
+    return {"op1_bpe": op1_bpe, "op2_html": op2_html, "op4_contamination": op4_contamination,
+            "op5_language": op5_language, "op6_quality": op6_quality, "op8_lines": op8_lines}
 
 
 def oracle_sql() -> dict[str, str]:
