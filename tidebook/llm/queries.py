@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, contamination, html, language, lines, quality
+from . import bpe, contamination, html, language, lines, pii, quality
 from .common import read_table
 
 
@@ -94,9 +94,29 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+#: Documents that the field for personal data learns from, labelled by the patterns.
+PII_ROWS = 1500
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    small = quality.sample_rows(docs.where("text rlike '[0-9@]'"), F.col("doc_id"), PII_ROWS)
+    found = pii.find(docs, pii.train(small, rows=2 * PII_ROWS), keep=("doc_id",))
+
+    def written(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    return found.select("doc_id", *[_of_kind(k) for k in pii.KINDS], F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
+def _of_kind(kind: str) -> Column:
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 def queries() -> dict:
     return {"op1_bpe": op1_bpe, "op2_html": op2_html, "op4_contamination": op4_contamination,
-            "op5_language": op5_language, "op6_quality": op6_quality, "op8_lines": op8_lines}
+            "op5_language": op5_language, "op6_quality": op6_quality, "op8_lines": op8_lines,
+            "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
