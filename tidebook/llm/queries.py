@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, contamination, html, language, lines, pii, quality
+from . import bpe, contamination, html, jaccard, language, lines, pii, quality
 from .common import read_table
 
 
@@ -51,6 +51,11 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = jaccard.jaccard_groups(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return groups.select(F.col("d").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op4_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     found = contamination.contamination(docs, read_table(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -114,7 +119,7 @@ def _of_kind(kind: str) -> Column:
 
 
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe, "op2_html": op2_html, "op4_contamination": op4_contamination,
+    return {"op1_bpe": op1_bpe, "op2_html": op2_html, "op3_jaccard": op3_jaccard, "op4_contamination": op4_contamination,
             "op5_language": op5_language, "op6_quality": op6_quality, "op8_lines": op8_lines,
             "op10_pii": op10_pii}
 
