@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, contamination, html, jaccard, language, lines, pii, quality
+from . import bpe, contamination, html, jaccard, language, lines, pii, quality, suffixes
 from .common import read_table
 
 
@@ -99,6 +99,16 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def digest(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({
+            "doc_id": pdf["doc_id"], "n_bytes": pdf["n_bytes"], "n_removed": [sum(s["end"] - s["start"] for s in x) for x in pdf["spans"]],
+            "n_spans": [len(x) for x in pdf["spans"]], "kept_sha256": [_hex(x) for x in pdf["kept"]]})
+
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return suffixes.remove_repeats(docs, finish=digest, schema="doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
 #: Documents that the field for personal data learns from, labelled by the patterns.
 PII_ROWS = 1500
 
@@ -121,7 +131,7 @@ def _of_kind(kind: str) -> Column:
 def queries() -> dict:
     return {"op1_bpe": op1_bpe, "op2_html": op2_html, "op3_jaccard": op3_jaccard, "op4_contamination": op4_contamination,
             "op5_language": op5_language, "op6_quality": op6_quality, "op8_lines": op8_lines,
-            "op10_pii": op10_pii}
+            "op9_suffixes": op9_suffixes, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
