@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, contamination, html, jaccard, language, lines, pii, quality, suffixes
+from . import bpe, contamination, html, jaccard, language, lines, neighbours, pii, quality, suffixes
 from .common import read_table
 
 
@@ -94,6 +94,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.dedup_lines(read_table(spark, sf_dir, "documents", "doc_id", "text"), min_docs=10)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -130,7 +134,7 @@ def _of_kind(kind: str) -> Column:
 
 def queries() -> dict:
     return {"op1_bpe": op1_bpe, "op2_html": op2_html, "op3_jaccard": op3_jaccard, "op4_contamination": op4_contamination,
-            "op5_language": op5_language, "op6_quality": op6_quality, "op8_lines": op8_lines,
+            "op5_language": op5_language, "op6_quality": op6_quality, "op7_neighbours": op7_neighbours, "op8_lines": op8_lines,
             "op9_suffixes": op9_suffixes, "op10_pii": op10_pii}
 
 
