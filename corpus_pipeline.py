@@ -3,9 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidebook.llm import contamination, jaccard, lines, quality
 from tidebook.llm import queries as q
-from tidebook.llm.common import materialize
+from tidebook.llm.common import materialize, read_table
+
+#: Documents that score less are rejected.
+QUALITY = 0.3
+
+
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents whose quality score is QUALITY at least."""
+    model = q.quality_model(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return quality.score(docs, model, keep=tuple(docs.columns), name="_score").where(f"_score >= {QUALITY}").drop("_score")
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops lines that ten documents or more have; n_chars follows the text."""
+    kept = lines.dedup_lines(docs, min_docs=10).select(*docs.columns)
+    return kept.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, the one with the smallest id, of each group of near copies."""
+    return jaccard.one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold too much of the benchmark."""
+    return contamination.clean(docs, read_table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +40,13 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return q.token_digests(docs)
 
 
-STAGES = [("bpe_encode", encode)]
+STAGES = [
+    ("quality", classify_quality),
+    ("line_dedup", dedup_lines),
+    ("near_copies", join_near_copies),
+    ("decontamination", decontaminate),
+    ("bpe", encode),
+]
 #: The first stage is a trained model, which SQL cannot express; tests compare with a plain version.
 ORACLE_SQL = None
 

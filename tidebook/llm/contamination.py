@@ -126,3 +126,12 @@ def contamination(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", tex
     return out.select("d", "t", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
                       F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
                       F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans")
+
+
+def clean(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
+          item_text: str = "text", share: int = 20) -> DataFrame:
+    """docs without the contaminated ones: those of whose words one in ``share`` at least lies in a benchmark window."""
+    found = contamination(docs, bench, doc_id, text, item_id, item_text).where(f"n_hit > 0 and {share} * n_hit >= n_words")
+    gone = found.select(F.col("d").alias("_d"), F.col("t").alias("_t"))
+    same = docs[doc_id].eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("_t"))
+    return docs.join(gone, same, "left_anti")

@@ -202,7 +202,8 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Connected components of the link relation ``100 * |A & B| >= percent * |A | B|`` of shingle sets.
 
     One row for each row of docs: d (the id; lines.NO_ID if null), t (xxhash64 of the
-    text), n_shingles, f (the set's id: equal sets share it), component_id (the smallest
+    text), n_shingles, f (the set's id: equal sets share it), group (the component's own name,
+    0 for empty sets), component_id (the smallest
     id reachable by links, itself included). A null or empty text, or one without a word, has an
     empty set and is linked with nothing. Equal sets are one node, so copies cost
     one row each; no pair of copies is ever made. Repeated ids stand for themselves.
@@ -240,7 +241,22 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     placed = materialize(placed, "placed")
     lowest = placed.where("n > 0").groupBy("c").agg(F.min("d").alias("low"))
     return placed.join(lowest, "c", "left").select(
-        "d", "t", F.col("n").alias("n_shingles"), "f", F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("d")).alias("component_id"))
+        "d", "t", F.col("n").alias("n_shingles"), "f", F.col("c").alias("group"), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("d")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
+    """docs without near copies: of each component, the row with the smallest id stays (by text hash where ids repeat).
+
+    Rows with an empty set stay. Equal rows stay or go together, and are one row afterwards if they stay.
+    """
+    groups = jaccard_groups(docs, doc_id, text, n, percent)
+    first = groups.where("n_shingles > 0").groupBy("group").agg(F.min(F.struct("d", "t")).alias("one")).select("one.d", "one.t")
+    alone = groups.where("n_shingles = 0").select("d", "t").distinct()
+    stay = first.union(alone).select(F.col("d").alias("_d"), F.col("t").alias("_t"))
+    d, t = row_key(docs[doc_id], docs[text])
+    rows = docs.withColumns({"_d0": d, "_t0": t})
+    kept = rows.join(stay, (F.col("_d0") == F.col("_d")) & (F.col("_t0") == F.col("_t")), "left_semi")
+    return kept.dropDuplicates(["_d0", "_t0"]).drop("_d0", "_t0")
 
 
 def stars_of(stars: DataFrame) -> DataFrame:
