@@ -1,0 +1,6 @@
+"""Registered queries over the market tables."""
+
+from . import fills
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "fills"]
