@@ -1,6 +1,6 @@
 """Registered queries over the market tables."""
 
-from . import fills
+from . import fills, tape
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "fills"]
+__all__ = ["ORACLES", "QUERIES", "fills", "tape"]
