@@ -1,6 +1,6 @@
 """Registered queries over the market tables."""
 
-from . import fills, tape
+from . import fills, inference, tape
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "fills", "tape"]
+__all__ = ["ORACLES", "QUERIES", "fills", "inference", "tape"]
