@@ -1,6 +1,6 @@
 """Registered queries over the market tables."""
 
-from . import fills, inference, tape
+from . import fills, inference, stateful, tape
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "fills", "inference", "tape"]
+__all__ = ["ORACLES", "QUERIES", "fills", "inference", "stateful", "tape"]
