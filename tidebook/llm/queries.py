@@ -138,5 +138,40 @@ def queries() -> dict:
             "op9_suffixes": op9_suffixes, "op10_pii": op10_pii}
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + ", '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+
+CONTAMINATION_SQL = f"""WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents), iw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, i + 1, i + 13), ' ') AS win, least(len(w), 13) AS n
+  FROM (SELECT *, unnest(range(greatest(len(w) - 12, 1))) AS i FROM iw WHERE len(w) > 0)),
+dwin AS (SELECT doc_id, i, n, array_to_string(list_slice(w, i + 1, i + n), ' ') AS win
+  FROM (SELECT *, unnest(range(greatest(len(w) - n + 1, 0))) AS i FROM dw, (SELECT DISTINCT n FROM win))),
+h AS (SELECT DISTINCT doc_id, i, n, item_id FROM dwin JOIN win USING (win, n)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM h) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM dw LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+LINES_SQL = f"""WITH l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+k AS (SELECT *, {_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM l),
+gone AS (SELECT key FROM k WHERE key != '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(g.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (g.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN gone g USING (key) GROUP BY doc_id"""
+
+SUFFIXES_SQL = """WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, length(hex(encode(coalesce(text, '')))) // 2 AS n FROM documents),
+s AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS g FROM (SELECT *, unnest(range(greatest(n - 49, 0))) AS i FROM b)),
+m AS (SELECT g, min(doc_id) AS d FROM s GROUP BY g),
+r AS (SELECT s.doc_id, i FROM s JOIN m USING (g) WHERE s.doc_id > m.d),
+o AS (SELECT *, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 50, true) AS new FROM r),
+u AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o),
+p AS (SELECT doc_id, run, min(i) AS lo, max(i) + 50 AS hi FROM u GROUP BY ALL),
+q AS (SELECT doc_id, lo, hi, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) AS before FROM p),
+k AS (SELECT doc_id, count(*) AS spans, sum(hi - lo) AS removed, string_agg(substr(x, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS head, max(hi) AS last
+  FROM q JOIN b USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN spans IS NULL THEN x ELSE head || substr(x, 2 * last + 1) END)) AS kept_sha256 FROM b LEFT JOIN k USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express the result; the other operators are tested against brute force."""
+    return {"op4_contamination": CONTAMINATION_SQL, "op8_lines": LINES_SQL, "op9_suffixes": SUFFIXES_SQL}
