@@ -78,4 +78,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         if before == after:
             break
         before = after
-    return cur.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    below = cur.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    return below.unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct().join(below, "node", "left_anti"))

@@ -9,7 +9,7 @@ copied to: of a sets' n-grams in one global order (rare ones first), the first
 ``a - ceil(0.75 a) + 1``; two linked documents then meet in some region. Inside a region two documents
 are pivots of a second level; all others are compared with them. Most regions then
 hold one component. The others are joined again: members of different
-components, if their distances to 64 fixed pivots (classes of n-grams) allow a link.
+components, if their distances to 64 and 512 fixed pivots (classes of n-grams) allow a link.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from .lines import row_key
 
 #: Counters of the sketch that tells frequent n-grams from rare ones, and the parts it is shipped in.
 COUNTERS, PARTS = 1 << 22, 64
-#: Classes of n-grams that stand as fixed pivots for the last filter.
-CLASSES = 64
+#: Classes of n-grams that stand as fixed pivots for the last filters, a coarse and a fine one.
+COARSE, FINE = 64, 512
 #: Tables up to this many ids may be broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -41,7 +41,7 @@ class _Words(dict):
     """Hashes of words seen before; emptied when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 250_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -68,6 +68,12 @@ def set_id(h: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())))) if len(h) else 0
 
 
+def signature(h: np.ndarray, classes: int) -> bytes:
+    """How many n-grams of a set each class has (255 at most), a class being the first bits of a hash."""
+    count = np.bincount((h >> np.uint64(65 - classes.bit_length())).astype(np.int64), minlength=classes)
+    return np.minimum(count, 255).astype(np.uint8).tobytes()
+
+
 def frequent(texts: DataFrame, n: int) -> bytes:
     """A bitmap of COUNTERS bits: which counters hold n-grams that many documents share.
 
@@ -113,12 +119,11 @@ def _prefixes(texts: DataFrame, n: int, percent: int, hot: bytes) -> DataFrame:
                     length = size - -(-percent * size // 100) + 1 if size else 0
                     late = is_hot[(h % np.uint64(COUNTERS)).astype(np.int64)]
                     first = np.concatenate([h[~late][:length], h[late][:length]])[:length]
-                    sig = np.minimum(np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=CLASSES), 65535).astype(np.uint16)
-                    out.append((size, set_id(h), sig.tobytes(), first.view(np.int64)))
-                frame = pd.DataFrame(out, columns=["n", "f", "sig", "prefix"])
+                    out.append((size, set_id(h), signature(h, COARSE), first.view(np.int64)))
+                frame = pd.DataFrame(out, columns=["n", "f", "coarse", "prefix"])
                 yield pd.concat([part[["d", "t"]].reset_index(drop=True), frame], axis=1)
 
-    return texts.mapInPandas(batches, "d long, t long, n long, f long, sig binary, prefix array<long>")
+    return texts.mapInPandas(batches, "d long, t long, n long, f long, coarse binary, prefix array<long>")
 
 
 def _regions(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,25 +164,33 @@ def _regions(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _l1(a: pd.Series, b: pd.Series) -> pd.Series:
-    x = np.frombuffer(b"".join(a), np.uint16).reshape(len(a), CLASSES).astype(np.int32)
-    y = np.frombuffer(b"".join(b), np.uint16).reshape(len(b), CLASSES).astype(np.int32)
-    return pd.Series(np.abs(x - y).sum(axis=1))
+    x = np.frombuffer(b"".join(a), np.uint8).reshape(len(a), -1).astype(np.int16)
+    y = np.frombuffer(b"".join(b), np.uint8).reshape(len(b), -1).astype(np.int16)
+    return pd.Series(np.abs(x - y).sum(axis=1, dtype=np.int64))
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int, name: str) -> DataFrame:
-    """Of the pairs (a, b) of set ids, those that are linked, by exact comparison of their sets.
+def _allowed(pairs: DataFrame, rows: DataFrame, which: str, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb) whose distances to the pivots of a signature allow a link.
 
-    The distance to each class pivot differs by the symmetric difference's part in
-    that class, so the sum over classes bounds it from below; a link allows
-    ``(a + b) (100 - percent) / (100 + percent)``.
+    A pair's distances to a class differ by at most their symmetric difference in that
+    class, so the sum over classes bounds it from below; a link allows
+    ``(na + nb) (100 - percent) / (100 + percent)``.
     """
     l1 = F.pandas_udf(_l1, T.LongType())
-    small = nodes.select("f", "n", "sig")
-    a = small.select(F.col("f").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-    b = small.select(F.col("f").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    sized = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    near = pairs.join(a, "a").join(b, "b").where(sized).withColumn("l1", l1("sa", "sb"))
-    near = materialize(near.where(f"l1 * {100 + percent} <= (na + nb) * {100 - percent}").select("a", "b", "na", "nb"), f"{name}-near")
+    ids = pairs.select(F.col("a").alias("f")).union(pairs.select(F.col("b").alias("f"))).distinct()
+    sig = rows.select("f", which).join(ids, "f", "left_semi").dropDuplicates(["f"])
+    a, b = (sig.select(F.col("f").alias(x), F.col(which).alias(f"s{x}")) for x in "ab")
+    near = pairs.join(a, "a").join(b, "b").withColumn("l1", l1("sa", "sb"))
+    return near.where(f"l1 * {100 + percent} <= (na + nb) * {100 - percent}").select("a", "b", "na", "nb")
+
+
+def _links(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int, name: str) -> DataFrame:
+    """Of the pairs (a, b) of set ids, those that are linked, by exact comparison of their sets."""
+    a = nodes.select(F.col("f").alias("a"), F.col("n").alias("na"))
+    b = nodes.select(F.col("f").alias("b"), F.col("n").alias("nb"))
+    sized = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    sized = materialize(sized.select("a", "b", "na", "nb"), f"{name}-sized")
+    near = materialize(_allowed(sized, rows, "coarse", percent), f"{name}-coarse")
 
     ids = near.select(F.col("a").alias("f")).union(near.select(F.col("b").alias("f"))).distinct()
     where = materialize(nodes.join(ids, "f", "left_semi").select("d", "t"), f"{name}-rows")
@@ -188,14 +201,16 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent
         for pdf in pdfs:
             for lo in range(0, len(pdf), 200):
                 h = [shingles(x, n, words) for x in pdf["x"].iloc[lo : lo + 200]]
-                yield pd.DataFrame({"f": [set_id(x) for x in h], "h": [x.view(np.int64) for x in h]})
+                yield pd.DataFrame({"f": [set_id(x) for x in h], "fine": [signature(x, FINE) for x in h], "h": [x.view(np.int64) for x in h]})
 
-    full = texts.join(known, ["d", "t"], "left_semi").select("x").mapInPandas(sets, "f long, h array<long>")
-    full = materialize(full.dropDuplicates(["f"]), f"{name}-sets")
+    full = texts.join(known, ["d", "t"], "left_semi").select("x").mapInPandas(sets, "f long, fine binary, h array<long>")
+    full = materialize(full, f"{name}-sets")
+    near = materialize(_allowed(near, full, "fine", percent), f"{name}-fine")
+    # Sets of equal rows come twice; links are made distinct at the end.
     both = near.join(full.select(F.col("f").alias("a"), F.col("h").alias("ha")), "a").join(
         full.select(F.col("f").alias("b"), F.col("h").alias("hb")), "b")
     common = F.size(F.array_intersect("ha", "hb"))
-    return both.select("a", "b", "na", "nb", common.alias("i")).where(f"100 * i >= {percent} * (na + nb - i)").select("a", "b")
+    return both.select("a", "b", "na", "nb", common.alias("i")).where(f"100 * i >= {percent} * (na + nb - i)").select("a", "b").distinct()
 
 
 def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
@@ -211,7 +226,7 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = docs.select(*row_key(docs[doc_id], docs[text]), docs[text].alias("x"))
     hot = frequent(texts, n)
     rows = materialize(_prefixes(texts, n, percent, hot), "prefixes")
-    nodes = rows.where("n > 0").groupBy("f", "n", "sig").agg(F.min(F.struct("d", "t")).alias("one")).select("f", "n", "sig", "one.d", "one.t")
+    nodes = rows.where("n > 0").groupBy("f").agg(F.max("n").alias("n"), F.min(F.struct("d", "t")).alias("one")).select("f", "n", "one.d", "one.t")
     nodes = materialize(nodes, "nodes")
 
     spread = rows.select("f", F.explode("prefix").alias("s")).repartition("s").sortWithinPartitions("s", "f")
@@ -221,7 +236,7 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     stars = member.select(F.col("p").alias("a"), F.col("f").alias("b")).union(
         member.join(far, "s").select(F.col("f").alias("a"), F.col("q").alias("b"))).where("a != b").distinct()
     stars = materialize(stars, "stars")
-    links = materialize(_links(stars, nodes, texts, n, percent, "star"), "star-links")
+    links = materialize(_links(stars, rows, nodes, texts, n, percent, "star"), "star-links")
     groups = materialize(components(links), "star-components")
 
     # Regions that still hold several components: their members join again, across components.
@@ -233,7 +248,7 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     other = left.select("s", F.col("f").alias("g"), F.col("c").alias("e"), F.col("n").alias("o"))
     cross = left.join(other, "s").where(f"f < g and c != e and 100 * least(n, o) >= {percent} * greatest(n, o)")
     cross = materialize(cross.select(F.col("f").alias("a"), F.col("g").alias("b")).distinct(), "cross-pairs")
-    more = _links(cross.join(stars_of(stars), ["a", "b"], "left_anti"), nodes, texts, n, percent, "cross")
+    more = _links(cross.join(stars_of(stars), ["a", "b"], "left_anti"), rows, nodes, texts, n, percent, "cross")
     groups = components(links.union(more))
 
     placed = rows.select("d", "t", "n", "f").join(groups.withColumnRenamed("node", "f"), "f", "left").select(
