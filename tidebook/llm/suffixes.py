@@ -7,7 +7,8 @@ such an anchor, and equal strings have equal ones) are sorted at first, and thos
 with a unique name are done: no string around them repeats. And an anchor stands
 for all the strings it is the anchor of: if their union, up to 84 bytes, is in an earlier
 document, they are all covered by one row. Only where documents differ around a shared
-anchor are positions named at the full length and sorted one by one.
+anchor are positions named at the full length and compared one by one, for each different
+segment's first document; for one in very many documents they are sorted by Spark as well.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from .lines import NO_ID
 LENGTH, FIRST = 50, 16
 #: Neighbours of which an anchor is the least.
 SPAN = LENGTH - FIRST + 1
-#: Bits and parts of the filter that tells which anchors are looked at position by position.
+#: Bits and parts of the filters that tell which anchors are shared and which segments are looked at closely; what passes
+#: by chance only makes more rows.
 BITS, PARTS = 1 << 26, 64
 #: Bits of a packed place: where it starts, how many strings start there in a row, which text of its id.
 LEN_BITS, TEXT_BITS = 6, 26
@@ -49,18 +51,14 @@ class Block:
     """Some texts' bytes end to end, with the names of all their 16-byte strings."""
 
     def __init__(self, texts: list[bytes]):
-        data = b"".join(texts)
+        data = self.data = b"".join(texts)
         self.size = np.array([len(t) for t in texts], np.int64)
         self.start = np.cumsum(self.size) - self.size
         n = len(data)
         if n < LENGTH:
             self.lo = self.hi = self.at = self.row = np.zeros(0, np.int64)
             return
-        eight = np.empty(n - 7, _U)
-        for r in range(8):
-            part = np.frombuffer(data, "<u8", (n - r) // 8, r)
-            eight[r::8] = part
-        self.name = _mix(eight[:-8], eight[8:]) if n >= 16 else np.zeros(0, _U)
+        self.name_all(data)
         val, pos, span = self.name, np.arange(len(self.name), dtype=np.int32), 1
         while span < SPAN:
             step = min(span, SPAN - span)
@@ -80,6 +78,14 @@ class Block:
         self.at = pos[self.lo].astype(np.int64)
         self.row = row[self.lo].astype(np.int64)
 
+    def name_all(self, data: bytes) -> None:
+        """Names of all 16-byte strings of data, at least that long."""
+        n = len(data)
+        eight = np.empty(n - 7, _U)
+        for r in range(8):
+            eight[r::8] = np.frombuffer(data, "<u8", (n - r) // 8, r)
+        self.name = _mix(eight[:-8], eight[8:])
+
     def segment_names(self) -> np.ndarray:
         """Names of the segments' whole bytes, from names that cover them."""
         end = self.hi + LENGTH
@@ -112,46 +118,100 @@ def _place(lo: np.ndarray, extra: np.ndarray, t: np.ndarray) -> np.ndarray:
     return (lo << (LEN_BITS + TEXT_BITS)) | (extra << TEXT_BITS) | t
 
 
-def _anchors(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for d, t, b in _blocks(pdfs):
+def _names(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The names of all anchors, and nothing else."""
+    for _, _, b in _blocks(pdfs):
         if len(b.lo):
-            yield pd.DataFrame({"h": b.name[b.at].view(np.int64), "c": b.segment_names().view(np.int64), "d": d[b.row],
-                                "x": _place(b.lo - b.start[b.row], b.hi - b.lo, t[b.row])})
+            yield pd.DataFrame({"h": b.name[b.at].view(np.int64)})
 
 
-def _covered(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by h, c, d: segments that an earlier document has (kind 0), and anchors with different segments (kind 1)."""
+def _again(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of sorted names, those that are there twice or more."""
     last = None
     for pdf in pdfs:
-        h, c, d = pdf["h"].to_numpy(), pdf["c"].to_numpy(), pdf["d"].to_numpy()
+        h = pdf["h"].to_numpy()
+        if len(h):
+            same = np.append(last == h[0], h[1:] == h[:-1])
+            last = h[-1]
+            if same.any():
+                yield pd.DataFrame({"h": np.unique(h[same])})
+
+
+def _anchors(shared: bytes):
+    """Anchors whose names are shared, with their segments' names and places."""
+    def batches(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        on = np.frombuffer(shared, np.uint8)
+        for d, t, b in _blocks(pdfs):
+            if len(b.lo):
+                h = b.name[b.at].view(np.int64)
+                use = _in(on, h)
+                yield pd.DataFrame({"h": h[use], "c": b.segment_names().view(np.int64)[use], "d": d[b.row[use]],
+                                    "x": _place((b.lo - b.start[b.row])[use], (b.hi - b.lo)[use], t[b.row[use]])})
+    return batches
+
+
+def _key(h: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return _mix(_mix(h.view(_U), c.view(_U)), d.view(_U)).view(np.int64)
+
+
+def _covered(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by h, c, d: segments that an earlier document has (kind 0), and segments to be looked at closely (kind 1, as keys).
+
+    The latter are each different segment's first document's, where an anchor has
+    different segments in different documents: any other is covered as a whole.
+    """
+    last, wait, several, low, high = None, np.zeros(0, np.int64), False, 0, 0
+    for pdf in pdfs:
+        h, c, d = (np.ascontiguousarray(pdf[k].to_numpy()) for k in "hcd")
         if not len(h):
             continue
         same_h = np.append(last is not None and last[0] == h[0], h[1:] == h[:-1])
         same = same_h & np.append(last is not None and last[1] == c[0], c[1:] == c[:-1])
         run = np.flatnonzero(~same)
-        first = d[run]
-        least = np.repeat(np.append(last[2] if last else 0, first), np.diff(np.concatenate([[0], run, [len(h)]])))
+        least = np.repeat(np.append(last[2] if last else 0, d[run]), np.diff(np.concatenate([[0], run, [len(h)]])))
         later = d > least
-        other = h[same_h & ~same]
         if later.any():
             yield pd.DataFrame({"kind": np.int32(0), "d": d[later], "x": pdf["x"].to_numpy()[later]})
-        if len(other):
-            yield pd.DataFrame({"kind": np.int32(1), "d": np.unique(other), "x": 0})
-        last = (h[-1], c[-1], least[-1])
-
-
-def _bits(h: np.ndarray) -> np.ndarray:
-    return ((h.view(_U) * _K[2]) >> _U(64 - BITS.bit_length() + 1)).astype(np.int64)
+        # Per anchor: whether it has several segments, and its documents' range; the first may go on from the last batch.
+        start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        many = np.add.reduceat(same_h & ~same, start) > 0
+        lo, hi = np.minimum.reduceat(d, start), np.maximum.reduceat(d, start)
+        if same_h[0]:
+            many[0], lo[0], hi[0] = many[0] or several, min(lo[0], low), max(hi[0], high)
+        else:
+            wait = np.zeros(0, np.int64)
+        close = many & (lo < hi)
+        key, first = _key(h, c, d), ~later
+        use = first & np.repeat(close, np.diff(np.append(start, len(h))))
+        out = np.concatenate([wait, key[use]]) if close[0] else key[use]
+        if len(out):
+            yield pd.DataFrame({"kind": np.int32(1), "d": out, "x": 0})
+        kept = np.zeros(0, np.int64) if close[-1] else key[start[-1] :][first[start[-1] :]]
+        wait = np.concatenate([wait, kept]) if len(start) == 1 and not close[0] else kept
+        several, low, high, last = bool(many[-1]), lo[-1], hi[-1], (h[-1], c[-1], least[-1])
+
+
+def _bits(h: np.ndarray) -> list[np.ndarray]:
+    """The two bits of each name."""
+    shift = _U(64 - BITS.bit_length() + 1)
+    return [((h.view(_U) * k) >> shift).astype(np.int64) for k in (_K[1], _K[2])]
+
+
+def _in(on: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which names a bitmap has, and a few more."""
+    one, two = (on[k >> 3] >> (7 - (k & 7)).astype(np.uint8) & 1 for k in _bits(h))
+    return np.flatnonzero(one & two)
 
 
 def _filter(h: DataFrame) -> bytes:
-    """A bitmap of BITS bits with one set for each anchor name; fixed in size, combined by Spark."""
+    """A bitmap of BITS bits with two set for each name; fixed in size, combined by Spark."""
     width = BITS // PARTS
 
     def bits(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         on = np.zeros(BITS, bool)
         for pdf in pdfs:
-            on[_bits(pdf["d"].to_numpy())] = True
+            for k in _bits(np.ascontiguousarray(pdf.iloc[:, 0].to_numpy())):
+                on[k] = True
         yield pd.DataFrame({"part": np.arange(PARTS), "blob": [zlib.compress(np.packbits(x).tobytes(), 1) for x in on.reshape(PARTS, width)]})
 
     def join(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,23 +227,79 @@ def _filter(h: DataFrame) -> bytes:
     return b"".join(bytes(r.blob) for r in sorted(got, key=lambda r: r.part)) or bytes(BITS // 8)
 
 
-def _positions(mixed: bytes):
+def _contexts(shared: bytes, close: bytes):
+    """Segments to be looked at closely: anchor, document, place, and the segment's bytes."""
     def batches(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        on = np.frombuffer(mixed, np.uint8)
+        on, near = np.frombuffer(shared, np.uint8), np.frombuffer(close, np.uint8)
         for d, t, b in _blocks(pdfs):
             if not len(b.lo):
                 continue
-            k = _bits(b.name[b.at].view(np.int64))
-            use = np.flatnonzero(on[k >> 3] >> (7 - (k & 7)).astype(np.uint8) & 1)
-            count = (b.hi - b.lo + 1)[use]
+            h, c = b.name[b.at], b.segment_names()
+            use = _in(on, h.view(np.int64))
+            use = use[_in(near, _key(h[use], c[use], d[b.row[use]]))]
+            lo, hi, row = b.lo[use], b.hi[use], b.row[use]
             if len(use):
-                seg = np.repeat(use, count)
-                at = b.lo[seg] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                row = b.row[seg]
-                yield pd.DataFrame({"w": b.full_names(at).view(np.int64), "d": d[row], "x": _place(at - b.start[row], np.zeros_like(at), t[row])})
+                yield pd.DataFrame({"h": h[use].view(np.int64), "d": d[row], "x": _place(lo - b.start[row], hi - lo, t[row]),
+                                    "bytes": [b.data[p : q + LENGTH] for p, q in zip(lo.tolist(), hi.tolist())]})
     return batches
 
 
+def _strings(rows: list[tuple]) -> pd.DataFrame:
+    """Every 50-byte string of segments (d, x, bytes): its name w, its document d, its own place x and its segment."""
+    b = Block.__new__(Block)
+    b.name_all(b"".join(r[2] for r in rows))
+    x = np.array([r[1] for r in rows], np.int64)
+    count = ((x >> TEXT_BITS) & ((1 << LEN_BITS) - 1)) + 1
+    size = count + LENGTH - 1
+    seg = np.repeat(np.arange(len(rows)), count)
+    offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    place = (x[seg] & ~np.int64(((1 << LEN_BITS) - 1) << TEXT_BITS)) + (offset << (LEN_BITS + TEXT_BITS))
+    at = (np.cumsum(size) - size)[seg] + offset
+    return pd.DataFrame({"w": b.full_names(at).view(np.int64), "d": np.array([r[0] for r in rows], np.int64)[seg], "x": place})
+
+
+#: Segments of whole anchors that are compared in one go, and of one anchor that are left to a sort by string instead.
+GO, LEAVE = 20_000, 100_000
+
+
+def _compared(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Segments in order of their anchors: places of strings that a smaller document has (kind 0), or of a very frequent anchor all strings (kind 1)."""
+    done: list[tuple] = []  # of whole anchors
+    now: list[tuple] = []  # of the anchor that may go on
+    key, large = None, False
+
+    def settle(rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        if rows:
+            s = _strings(rows)
+            w, d = s["w"].to_numpy(), s["d"].to_numpy()
+            order = np.lexsort((d, w))
+            first = np.append(True, w[order][1:] != w[order][:-1])
+            least = d[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+            gone = order[d[order] > least]
+            if len(gone):
+                yield pd.DataFrame({"kind": np.int32(0), "w": 0, "d": d[gone], "x": s["x"].to_numpy()[gone]})
+
+    for pdf in pdfs:
+        for h, d, x, data in zip(pdf["h"].to_numpy(), pdf["d"].to_numpy(), pdf["x"].to_numpy(), pdf["bytes"]):
+            if h != key:
+                if large:
+                    yield _strings(now).assign(kind=np.int32(1))[["kind", "w", "d", "x"]] if now else pd.DataFrame({"kind": [], "w": [], "d": [], "x": []})
+                else:
+                    done += now
+                    if len(done) >= GO:
+                        yield from settle(done)
+                        done = []
+                key, now, large = h, [], False
+            now.append((d, x, data))
+            if len(now) >= LEAVE or (large and len(now) >= GO):
+                large = True
+                yield _strings(now).assign(kind=np.int32(1))[["kind", "w", "d", "x"]]
+                now = []
+    if large and now:
+        yield _strings(now).assign(kind=np.int32(1))[["kind", "w", "d", "x"]]
+    yield from settle(done + ([] if large else now))
+
+
 def _repeated(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by w and d: positions whose string starts in an earlier document."""
     last = None
@@ -225,12 +341,16 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     d = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
     t = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit((1 << TEXT_BITS) - 1))
     texts = docs.select(d.alias("d"), t.alias("t"), F.col(text).alias("x"))
-    anchors = texts.mapInPandas(_anchors, "h long, c long, d long, x long")
+    names = texts.mapInPandas(_names, "h long").repartition("h").sortWithinPartitions("h")
+    shared = _filter(names.mapInPandas(_again, "h long"))
+    anchors = texts.mapInPandas(_anchors(shared), "h long, c long, d long, x long")
     found = materialize(anchors.repartition("h").sortWithinPartitions("h", "c", "d").mapInPandas(_covered, "kind int, d long, x long"), "segments")
-    mixed = _filter(found.where("kind = 1").select("d"))
-    single = texts.mapInPandas(_positions(mixed), "w long, d long, x long")
-    single = single.repartition("w").sortWithinPartitions("w", "d").mapInPandas(_repeated, "d long, x long")
-    places = found.where("kind = 0").select("d", "x").unionByName(single)
+    close = _filter(found.where("kind = 1").select("d"))
+    near = texts.mapInPandas(_contexts(shared, close), "h long, d long, x long, bytes binary")
+    near = near.repartition("h").sortWithinPartitions("h").mapInPandas(_compared, "kind int, w long, d long, x long")
+    near = materialize(near, "compared")
+    late = near.where("kind = 1").select("w", "d", "x").repartition("w").sortWithinPartitions("w", "d").mapInPandas(_repeated, "d long, x long")
+    places = found.where("kind = 0").select("d", "x").unionByName(near.where("kind = 0").select("d", "x")).unionByName(late)
     places = places.groupBy("d", F.col("x").bitwiseAND(F.lit((1 << TEXT_BITS) - 1)).alias("t")).agg(F.collect_list("x").alias("places"))
     places = materialize(places, "covered-places").select(F.col("d").alias("d1"), F.col("t").alias("t1"), "places")
     rows = docs.select(F.col(doc_id).alias("id"), d.alias("d"), t.alias("t"), F.col(text).alias("x"))
