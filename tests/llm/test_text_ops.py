@@ -79,14 +79,16 @@ def near_copies(seed, groups=6, copies=9, length=60):
         shared = ["common"] * 3 + [f"p{k}" for k in range(12)]
         for c in range(copies):
             w = list(base)
-            for _ in range(r.randrange(4)):
+            for _ in range(r.randrange(7)):
                 w[r.randrange(length)] = f"edit{r.randrange(10**6)}"
             out.append((len(out), " ".join(w + shared * (c % 2))))
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_near_copies_and_shared_passages(spark, seed):
+@pytest.mark.parametrize("seed,large", [(1, 50), (2, 2), (3, 2), (3, 4)])
+def test_jaccard_near_copies_and_shared_passages(spark, seed, large, monkeypatch):
+    monkeypatch.setattr(jaccard, "LARGE", large)
+    monkeypatch.setattr(jaccard, "BLOCK", 2)
     rows = near_copies(seed)
     got = sorted((r.d, r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(odd(spark, rows)).collect())
     assert got == sorted(components(rows))
