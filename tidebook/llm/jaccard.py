@@ -8,8 +8,9 @@ from the triangle inequality says how many of its pivots' regions a document mus
 copied to: of a sets' n-grams in one global order (rare ones first), the first
 ``a - ceil(0.75 a) + 1``; two linked documents then meet in some region. Inside a region two documents
 are pivots of a second level; all others are compared with them. Most regions then
-hold one component. The others are joined again: members of different
-components, if their distances to 64 and 512 fixed pivots (classes of n-grams) allow a link.
+hold one component. The others are joined again: documents that meet
+a large component are compared with its members in blocks, members of different small
+components with each other, if their distances to 64 and 512 fixed pivots (classes of n-grams) allow a link.
 """
 
 from __future__ import annotations
@@ -28,9 +29,11 @@ from .common import components, materialize
 from .lines import row_key
 
 #: Counters of the sketch that tells frequent n-grams from rare ones, and the parts it is shipped in.
-COUNTERS, PARTS = 1 << 22, 64
+COUNTERS, PARTS = 1 << 24, 64
 #: Classes of n-grams that stand as fixed pivots for the last filters, a coarse and a fine one.
 COARSE, FINE = 64, 512
+#: Members from which on a component is compared in blocks, and the size of these.
+LARGE, BLOCK = 50, 500
 #: Tables up to this many ids may be broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -82,15 +85,20 @@ def frequent(texts: DataFrame, n: int) -> bytes:
     """
     def count(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, total, held, size = _Words(), np.zeros(COUNTERS, np.uint32), [], 0
+
+        def flush() -> None:
+            at, n_at = np.unique(np.concatenate(held) % np.uint64(COUNTERS), return_counts=True)
+            total[at.astype(np.int64)] += n_at.astype(np.uint32)
+
         for pdf in pdfs:
             for x in pdf["x"]:
                 held.append(shingles(x, n, known))
                 size += len(held[-1])
-                if size > 2_000_000:
-                    total += np.bincount((np.concatenate(held) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+                if size > 1_000_000:
+                    flush()
                     held, size = [], 0
         if held:
-            total += np.bincount((np.concatenate(held) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+            flush()
         yield pd.DataFrame({"part": np.arange(PARTS), "blob": [zlib.compress(x.tobytes(), 1) for x in np.split(total, PARTS)]})
 
     def add(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,15 +192,8 @@ def _allowed(pairs: DataFrame, rows: DataFrame, which: str, percent: int) -> Dat
     return near.where(f"l1 * {100 + percent} <= (na + nb) * {100 - percent}").select("a", "b", "na", "nb")
 
 
-def _links(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int, name: str) -> DataFrame:
-    """Of the pairs (a, b) of set ids, those that are linked, by exact comparison of their sets."""
-    a = nodes.select(F.col("f").alias("a"), F.col("n").alias("na"))
-    b = nodes.select(F.col("f").alias("b"), F.col("n").alias("nb"))
-    sized = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    sized = materialize(sized.select("a", "b", "na", "nb"), f"{name}-sized")
-    near = materialize(_allowed(sized, rows, "coarse", percent), f"{name}-coarse")
-
-    ids = near.select(F.col("a").alias("f")).union(near.select(F.col("b").alias("f"))).distinct()
+def _sets(ids: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, name: str) -> DataFrame:
+    """(f, fine, h): fine signatures and whole sets of the nodes ids, made from their texts once more."""
     where = materialize(nodes.join(ids, "f", "left_semi").select("d", "t"), f"{name}-rows")
     known = F.broadcast(where) if where.count() <= BROADCAST_ROWS else where
 
@@ -204,7 +205,59 @@ def _links(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, texts: DataFrame
                 yield pd.DataFrame({"f": [set_id(x) for x in h], "fine": [signature(x, FINE) for x in h], "h": [x.view(np.int64) for x in h]})
 
     full = texts.join(known, ["d", "t"], "left_semi").select("x").mapInPandas(sets, "f long, fine binary, h array<long>")
-    full = materialize(full, f"{name}-sets")
+    return materialize(full, f"{name}-sets")
+
+
+def _against_large(mixed: DataFrame, large: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) between large components and the documents that share a region with them.
+
+    A large component comes in blocks of members, and the documents in question come in
+    blocks to each of them; only links leave a task. large: (c, size); mixed: (s, f, c).
+    """
+    parts = F.ceil(F.col("size") / BLOCK).cast("long")
+    seen = mixed.join(large, "c").select("s", "c", "size").distinct()
+    asked = mixed.select("s", F.col("f").alias("q"), F.col("c").alias("e")).join(seen, "s").where("c != e")
+    asked = materialize(asked.select("c", "size", "q").distinct(), "asked")
+    members = mixed.join(large, "c").select("c", "size", "f").distinct()
+    members = materialize(members.join(asked.select("c").distinct(), "c", "left_semi"), "members")
+    full = _sets(members.select("f").union(asked.select("q")).distinct(), nodes, texts, n, "large")
+    full = full.select("f", "h")
+    blocks = asked.groupBy("c").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("qs"))
+    have = members.join(blocks, "c").withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qs") - 1)))
+    have = have.select("c", F.pmod(F.xxhash64("f"), parts).alias("mb"), "qb", "f").join(full, "f")
+    ask = asked.join(blocks, "c").withColumn("mb", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    ask = ask.select(F.col("c").alias("c2"), F.col("mb").alias("mb2"), F.pmod(F.xxhash64("q"), F.col("qs")).alias("qb2"), F.col("q").alias("q2"))
+    ask = ask.join(full.select(F.col("f").alias("q2"), F.col("h").alias("h2")), "q2")
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        left, right = left.drop_duplicates("f"), right.drop_duplicates("q2")
+        if len(left) and len(right):
+            size = np.array([len(h) for h in left["h"]])
+            every, start = np.concatenate(left["h"].to_list()), np.cumsum(size) - size
+            ids = left["f"].to_numpy()
+            for q, h in zip(right["q2"], right["h2"]):
+                h = np.sort(np.asarray(h))
+                at = np.minimum(np.searchsorted(h, every), len(h) - 1)
+                both = np.add.reduceat(h[at] == every, start)
+                hit = np.flatnonzero(100 * both >= percent * (size + len(h) - both))
+                if len(hit):
+                    out.append((ids[hit[0]], q))  # one is enough: the members are linked to each other
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return have.groupBy("c", "mb", "qb").cogroup(ask.groupBy("c2", "mb2", "qb2")).applyInPandas(compare, "a long, b long")
+
+
+def _links(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int, name: str) -> DataFrame:
+    """Of the pairs (a, b) of set ids, those that are linked, by exact comparison of their sets."""
+    a = nodes.select(F.col("f").alias("a"), F.col("n").alias("na"))
+    b = nodes.select(F.col("f").alias("b"), F.col("n").alias("nb"))
+    sized = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    sized = materialize(sized.select("a", "b", "na", "nb"), f"{name}-sized")
+    near = materialize(_allowed(sized, rows, "coarse", percent), f"{name}-coarse")
+
+    ids = near.select(F.col("a").alias("f")).union(near.select(F.col("b").alias("f"))).distinct()
+    full = _sets(ids, nodes, texts, n, name)
     near = materialize(_allowed(near, full, "fine", percent), f"{name}-fine")
     # Sets of equal rows come twice; links are made distinct at the end.
     both = near.join(full.select(F.col("f").alias("a"), F.col("h").alias("ha")), "a").join(
@@ -245,10 +298,14 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     label = materialize(label, "labelled-regions")
     mixed = label.groupBy("s").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("s")
     left = materialize(label.join(mixed, "s", "left_semi").join(nodes.select("f", "n"), "f"), "mixed-regions")
+    large = groups.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("size")).where(f"size > {LARGE}")
+    large = materialize(large, "large-components")
+    block = materialize(_against_large(left.select("s", "f", "c"), large, nodes, texts, n, percent), "large-links")
+    left = left.join(large, "c", "left_anti")
     other = left.select("s", F.col("f").alias("g"), F.col("c").alias("e"), F.col("n").alias("o"))
     cross = left.join(other, "s").where(f"f < g and c != e and 100 * least(n, o) >= {percent} * greatest(n, o)")
     cross = materialize(cross.select(F.col("f").alias("a"), F.col("g").alias("b")).distinct(), "cross-pairs")
-    more = _links(cross.join(stars_of(stars), ["a", "b"], "left_anti"), rows, nodes, texts, n, percent, "cross")
+    more = _links(cross.join(stars_of(stars), ["a", "b"], "left_anti"), rows, nodes, texts, n, percent, "cross").union(block)
     groups = components(links.union(more))
 
     placed = rows.select("d", "t", "n", "f").join(groups.withColumnRenamed("node", "f"), "f", "left").select(
