@@ -91,6 +91,25 @@ def test_html_by_hand(spark):
     assert out.count() == len(AWKWARD) and out.where("text is null").count() == 0 and html.extract(odd(spark, []), html="text").count() == 0
 
 
+@pytest.mark.parametrize("page", [
+    '<div class="content has-sidebar">{}</div><div class=sidebar><p>side</p></div>', '<div class="overflow-hidden">{}</div>',
+    '<div id="page-with-menu">{}</div>', '<article class="post ad-free">{}</article>', '<section data-title="Hidden costs">{}</section>',
+    '<div data-note="so hidden" data-overflow=hidden>{}</div>', '<article><div class="article-header"><h1>Head</h1></div>{}</article>',
+    '<div class="sidebar-layout">{}<div class=sidebar><p>side</p></div></div><div class=ad><p>Buy, now</p></div>',
+    '<div class="promo-wrap"><article>{}<div class="related post"><p>more</p></div></article></div><div class=ad>Buy</div>',
+    '<div class="comments">{}</div>'])
+def test_html_names_do_not_take_the_article(page):
+    text = html.main_text(f"<html><body>{page.format('<p>One, two, three, and a long story.</p><p>Four, five, six.</p>')}</body></html>")
+    want = ["Head"] * ("Head" in page) + ["One, two, three, and a long story.", "Four, five, six."]
+    assert text.split("\n") == want
+
+
+def test_html_names_still_mark_furniture():
+    page = "<body><div><p>Short post.</p></div><div id=comments><p>{0}</p><p>{0}</p></div><div class='widget widget_text'><p>w</p></div><div class=hidden><p>h</p></div></body>"
+    assert html.main_text(page.format("Long, long, comment " * 9)) == "Short post."
+    assert html.main_text("<body><p>a, b</p><p HIDDEN>x</p><p style='display:none'>y</p><p a='b'hidden>z</p></body>") == "a, b"
+
+
 def test_language_held_out(spark):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = q.op5_language(spark, SF).collect()

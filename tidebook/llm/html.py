@@ -5,7 +5,8 @@ points to its containers: one, one for each comma, one for each hundred characte
 its parent gets all of them, the parent above half, the one above that a third.
 Points are discounted by the share of the block's characters that are links.
 The container with most points and its siblings that score enough are kept, without
-the parts that are furniture by element, role or name.
+the parts that are furniture by element, role or name. Names are judged once the page is
+read: one that would take the article away counts for nothing.
 """
 
 from __future__ import annotations
@@ -30,6 +31,13 @@ NAMES = set(
     "aside widget widgets related recommended recommendations share sharing social comment comments commentlist "
     "disqus respond replies reply footer foot header masthead topbar toolbar copyright skip rail hidden "
     "trending outbrain taboola".split())
+#: Of these, words for text of another kind, which no layout is named after.
+OTHERS = NAMES & set(
+    "ad ads adv advert adverts advertisement advertising adsense adbox adslot sponsor sponsored promo promos promotion promoted cookie "
+    "cookies consent gdpr newsletter subscribe subscription signup signin login paywall related recommended recommendations comment "
+    "comments commentlist disqus respond replies reply copyright trending outbrain taboola".split())
+#: Words that make what follows (has-sidebar) or what comes before (ad-free) a remark on the element, not its name.
+BEFORE, AFTER = set("has with without no non not overflow show hide".split()), set("free open closed enabled disabled".split())
 #: Words in a class or an id that mark the article.
 GOOD = set("article content main post entry body story text page".split())
 BLOCKS = set(
@@ -49,50 +57,105 @@ _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)"
     r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*(?:>|\Z))", re.S)
 _RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
-_ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "out", "score", "leaf", "size", "links", "inside")
+    __slots__ = ("tag", "parent", "out", "named", "score", "leaf", "size", "links", "inside")
 
-    def __init__(self, tag: str, parent: _Node | None, out: bool, leaf: bool, score: float):
-        self.tag, self.parent, self.out, self.leaf, self.score = tag, parent, out, leaf, score
+    def __init__(self, tag: str, parent: _Node | None, out: bool, named: set[str], leaf: bool, score: float):
+        self.tag, self.parent, self.out, self.named, self.leaf, self.score = tag, parent, out, named, leaf, score
         self.size = self.links = 0
         self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
 
 
-def _judge(tag: str, attrs: str, parent: _Node) -> tuple[bool, float]:
-    """Whether an element is furniture, and the points it starts with."""
+def _names(tag: str, tokens: list[str]) -> tuple[set[str], bool]:
+    """The words of a class and an id that may mark furniture, and whether others mark the article."""
+    bad, good = set(), False
+    for token in tokens:
+        words = [w.lower() for w in _WORD.findall(token)]
+        here = {w for k, w in enumerate(words) if w in NAMES and BEFORE.isdisjoint(words[:k]) and AFTER.isdisjoint(words[k + 1 :])}
+        marks = not GOOD.isdisjoint(words)
+        if marks:
+            here -= {"header", "masthead"}
+        good |= marks and not here
+        bad |= here
+    if tag == "article":
+        bad &= {"comment", "ad", "ads", "sponsored", "promo", "related", "reply"}
+    return (bad & OTHERS if good else bad), good
+
+
+def _judge(tag: str, attrs: str, parent: _Node) -> tuple[bool, set[str], float]:
+    """Whether an element is furniture for sure, words of its names that say so, and the points it starts with."""
     if tag in FURNITURE or (tag == "header" and not parent.inside):
-        return True, 0.0
-    score = 25.0 if tag == "article" else 15.0 if tag == "main" else 0.0
-    if attrs.strip("/> \t\r\n") and "=" in attrs or "hidden" in attrs:
+        return True, set(), 0.0
+    score, tokens = 25.0 if tag == "article" else 15.0 if tag == "main" else 0.0, []
+    if attrs.strip("/> \t\r\n") and "=" in attrs or "hidden" in attrs.lower():
         for name, value in _ATTR.findall(attrs):
             name, value = name.lower(), value.strip("\"'")
             if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-                return True, 0.0
+                return True, set(), 0.0
             if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True, 0.0
+                return True, set(), 0.0
             if name == "role" and value.lower() in ROLES:
-                return True, 0.0
-            if name in ("class", "id") and tag not in ("html", "body", "main"):
-                words = {w.lower() for w in _WORD.findall(value)}
-                bad = words & NAMES
-                if parent.inside and tag in ("header", "h1", "h2", "h3", "p"):
-                    bad -= {"header"}
-                if tag == "article":
-                    bad &= {"comment", "ad", "ads", "sponsored", "promo", "related", "reply"}
-                if bad:
-                    return True, 0.0
-                if words & GOOD:
-                    score += 10.0
-    return False, score
+                return True, set(), 0.0
+            if name in ("class", "id"):
+                tokens += value.split()
+    if not tokens or tag in ("html", "body", "main"):
+        return False, set(), score
+    bad, good = _names(tag, tokens)
+    if parent.inside and tag in ("header", "h1", "h2", "h3", "p"):
+        bad -= {"header"}
+    return False, bad, score + 10.0 * (good and not bad)
+
+
+def _up(node: _Node | None) -> Iterator[_Node]:
+    while node is not None:
+        yield node
+        node = node.parent
+
+
+def _unnamed(blocks: list[tuple[_Node, str, int]]) -> list[tuple[_Node, str, int]]:
+    """The blocks that no container's name marks as furniture; all if there are no others.
+
+    A word for a place in the layout counts for nothing where one container or all together would take
+    most of the page's text that is no link, and around the only article; no word counts around an article
+    with most of that text. Inside an article, a header with a headline stays.
+    """
+    free: dict[_Node, int] = {}
+    heads: set[_Node] = set()
+    total = 0
+    for node, text, links in blocks:
+        total += len(text) - links
+        for up in _up(node):
+            free[up] = free.get(up, 0) + len(text) - links
+            if node.tag in ("h1", "h2"):
+                heads.add(up)
+    if not any(n.named for n in free):
+        return blocks
+    alike: dict[tuple, int] = {}  # children of one container with the same words stand together
+    for n in free:
+        alike[n.parent, frozenset(n.named)] = alike.get((n.parent, frozenset(n.named)), 0) + free[n]
+    says = {n: n.named & OTHERS if 2 * alike[n.parent, frozenset(n.named)] > total else n.named for n in free}
+    taken: dict[str, int] = {}
+    for n in free:
+        for w in says[n].difference(*(says[u] for u in _up(n.parent))) if says[n] else ():
+            taken[w] = taken.get(w, 0) + free[n]
+    void = {w for w, size in taken.items() if w not in OTHERS and 2 * size > total}
+    marked = [n for n in free if n.tag in ("article", "main") and free[n] and not n.named]
+    only = all(any(says[u] - void for u in _up(n)) for n in marked)
+    around, held = set(), set()
+    for n in marked:
+        held.update(_up(n.parent) if only else ())
+        around.update(_up(n.parent) if 2 * free[n] > total else ())
+    bad = {n for n in free if n not in around and says[n] - void - (NAMES - OTHERS if n in held else {"header", "masthead"} if n.inside and n in heads else set())}
+    return [b for b in blocks if bad.isdisjoint(_up(b[0]))] or blocks
 
 
 def main_text(html: str | None) -> str:
     """The article of one page, its blocks joined by newlines; empty if there is none."""
-    root = _Node("#root", None, False, False, 0.0)
+    root = _Node("#root", None, False, set(), False, 0.0)
     stack, blocks, buf = [root], [], []
     link_depth = link_chars = 0
     html = html or ""
@@ -157,13 +220,14 @@ def main_text(html: str | None) -> str:
             if tag == "body":
                 pop({"head"}, set())
             parent = stack[-1]
-            out, score = (True, 0.0) if parent.out else _judge(tag, m[3], parent)
-            stack.append(_Node(tag, parent, out, tag in LEAVES, score))
+            out, named, score = (True, set(), 0.0) if parent.out else _judge(tag, m[3], parent)
+            stack.append(_Node(tag, parent, out, named, tag in LEAVES, score))
     if at < len(html) and not stack[-1].out:
         buf.append(html[at:])
     flush()
     if not blocks:
         return ""
+    blocks = _unnamed(blocks)
 
     touched: dict[_Node, None] = {}
     for node, text, links in blocks:
