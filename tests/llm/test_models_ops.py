@@ -104,9 +104,26 @@ def test_html_names_do_not_take_the_article(page):
     assert text.split("\n") == want
 
 
+S = "<p>Some text of a long story, told in full, and more, and more.</p>"
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<section>{S * 6}</section><section><h2>b</h2><p>Short one.</p></section><section><p>c, d.</p></section>", [S] * 6 + ["b", "Short one.", "c, d."]),
+    (f"<h1>Head</h1><div>{S * 3}</div><p>The end.</p>", ["Head"] + [S] * 3 + ["The end."]),
+    (f"<h1>Head</h1><div><div>{S * 3}</div></div>", ["Head"] + [S] * 3),
+    (f"<h1>Head</h1><div><section><div>{S * 3}</div></section><section><div>{S * 2}</div></section></div>", ["Head"] + [S] * 5),
+    (f"<div>Loose at first.<div>{S * 3}</div>and at last</div>", ["Loose at first."] + [S] * 3 + ["and at last"]),
+    (f"<div><div class=widget>{S * 3}</div><div class=widget><p>End, of it.</p></div></div>", [S] * 3 + ["End, of it."]),
+    (f"<div><div>{S * 3}</div><div><a href=x>More of that, and that.</a></div><p><a href=y>Next</a></p><div>Tags | Mail</div></div>", [S] * 3)])
+def test_html_article_in_parts(page, want):
+    assert html.main_text(f"<html><body>{page}</body></html>").split("\n") == [re.sub("<.*?>", "", w) for w in want]
+    assert html.main_text(page).split("\n") == [re.sub("<.*?>", "", w) for w in want]
+
+
 def test_html_names_still_mark_furniture():
     page = "<body><div><p>Short post.</p></div><div id=comments><p>{0}</p><p>{0}</p></div><div class='widget widget_text'><p>w</p></div><div class=hidden><p>h</p></div></body>"
     assert html.main_text(page.format("Long, long, comment " * 9)) == "Short post."
+    assert html.main_text(f"<div><h1>Head</h1><article>{S}</article></div>").startswith("Head\n")
     assert html.main_text("<body><p>a, b</p><p HIDDEN>x</p><p style='display:none'>y</p><p a='b'hidden>z</p></body>") == "a, b"
 
 

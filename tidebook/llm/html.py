@@ -252,18 +252,73 @@ def main_text(html: str | None) -> str:
         if up.tag in ("article", "main"):
             best = up
         up = up.parent
-    enough = max(10.0, 0.2 * best.score)
-    keep = []
+    if best.tag in ("article", "main"):
+        beside = _beside_marked(best, max(10.0, 0.2 * best.score))
+    else:
+        beside = _beside(best, blocks)
+    return "\n".join(text for node, text, links in blocks if beside(node, text, links))
+
+
+def _few(links: int, size: int) -> bool:
+    return links < 0.25 * size
+
+
+def _beside_marked(best: _Node, enough: float):
+    """What stays of a page with a marked article: it, siblings that score enough, longer ones that are one block, and a headline."""
+    def keep(node: _Node, text: str, links: int) -> bool:
+        below = None
+        for up in _up(node):
+            if up is best:
+                return True
+            if up is best.parent:
+                return below is not None and up.parent is not None and (
+                    below.score >= enough or (below.leaf and (below.size > 80 or below.tag in ("h1", "h2")) and _few(below.links, below.size)))
+            below = up
+        return False
+    return keep
+
+
+def _beside(best: _Node, blocks: list[tuple[_Node, str, int]]):
+    """What stays of a page without one: the best container, and what stands beside it with few links.
+
+    These are siblings with a fifth of its points, by all text in them, short ones that are or hold a heading, a
+    paragraph or the like, or a sentence, and loose text between them. If any sibling has so many points, the parent
+    stands for the article, as does one with no other child; then what is beside that is judged in the same way.
+    """
+    points: dict[_Node, float] = {}
+    told: set[_Node] = set()
+    below: dict[_Node, dict[_Node, None]] = {}
     for node, text, links in blocks:
-        up, below = node, None
-        while up is not None and up is not best and up is not best.parent:
-            up, below = up.parent, up
-        if up is best:
-            keep.append(text)
-        elif up is not None and below is not None and best.parent is not root:
-            if below.score >= enough or (below.leaf and below.size > 80 and below.links < 0.25 * below.size):
-                keep.append(text)
-    return "\n".join(keep)
+        mine = (1 + text.count(",") + min(3, len(text) // 100)) * (1 - links / len(text))
+        last = None
+        for up in _up(node):
+            points[up] = points.get(up, 0.0) + mine
+            if node.leaf or text.rstrip("\"')]»”’").endswith((".", "!", "?", "…", "。")):
+                told.add(up)
+            if last is not None:
+                below.setdefault(up, {})[last] = None
+            last = up
+    own = {node for node, _, _ in blocks}
+    kept, above, at, total = {best}, set(), best, points[best]
+    while at.parent is not None:
+        several, others = False, [n for n in below[at.parent] if n is not at]
+        worth = 0.2 * total
+        for n in others:
+            share = points[n] * (1 - n.links / max(1, n.size))
+            if share >= worth:
+                several = True
+                total += share
+            if share >= worth or (n in told and _few(n.links, n.size)):
+                kept.add(n)
+        at = at.parent
+        if at in own:  # with loose text
+            above.add(at)
+        if (others or at in own) and not several:
+            break
+
+    def keep(node: _Node, text: str, links: int) -> bool:
+        return (node in above and _few(links, len(text))) or any(up in kept for up in _up(node))
+    return keep
 
 
 def extract(df: DataFrame, html: str = "html", keep: tuple[str, ...] = (), text: str = "text") -> DataFrame:
