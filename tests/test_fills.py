@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidebook.functions import quotes as q
 from tidebook.operators import fills as sim
@@ -14,6 +15,7 @@ from tidebook.operators import timeline
 from tidebook.operators.resampling import bootstrap_means, sign_flip_null, splitmix
 from tidebook.plans import stateful
 from tidebook.plans.fills import touch, touch_orders
+from tidebook.streaming import fills as stream
 
 from .conftest import SF
 
@@ -139,3 +141,23 @@ def test_quote_functions(spark):
     row = spark.createDataFrame([([(99.0, 2.0), (98.0, 1.0)], [(101.0, 6.0)], None)], f"bids {LEVEL}, asks {LEVEL}, none {LEVEL}").select(
         q.mid().alias("m"), q.microprice().alias("u"), q.weighted_mid().alias("w"), q.mid("none").alias("n")).first()
     assert (row.m, row.n) == (100.0, None) and row.u == pytest.approx(99.5) and row.w == pytest.approx(99.5)
+
+
+def streamed(spark, sf_dir, folder):
+    return sorted(tuple(r) for r in stream.replay(spark, str(sf_dir), f"{folder}/stream").collect())
+
+
+def test_stream_reads_folders(spark, tmp_path):
+    """A table of part files, in no order of time, gives the fills of the batch plan; more files go on from the state."""
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    want = sorted((r.seq, r.ts_ns, r.interval, r.side, r.price, r.size, r.sym) for r in touch(spark, SF).collect())
+    events.repartition(5).write.parquet(f"{tmp_path}/whole/events.parquet")
+    assert want and streamed(spark, f"{tmp_path}/whole", f"{tmp_path}/a") == want
+    cuts = [int(x) for x in np.linspace(0, events.count(), 5)]
+    for lo, hi in zip(cuts, cuts[1:]):  # ids are in order of time
+        events.where(f"event_id >= {lo} and event_id < {hi}").repartition(3).write.mode("append").parquet(f"{tmp_path}/grows/events.parquet")
+        got = streamed(spark, f"{tmp_path}/grows", f"{tmp_path}/b")
+    assert got == want
+    late = events.where("event_id < 50").withColumn("event_id", F.col("event_id") + 1_000_000)
+    late.write.mode("append").parquet(f"{tmp_path}/grows/events.parquet")
+    assert streamed(spark, f"{tmp_path}/grows", f"{tmp_path}/b") == want

@@ -1,61 +1,94 @@
 """Touch fills from a stream: the same fills as the batch plan, kept up with as events arrive.
 
 State is kept for each symbol: the last book's two orders with their queues, and the last
-event's place in the total order. Events of a micro-batch are sorted; an event that is
-older than one already seen comes too late and is dropped, as replacing orders can't be undone.
+event's place in the total order. A micro-batch runs the closed form of the batch plan, so it is spread and
+spilled by Spark whatever its size; state comes in as one more snapshot. Inside a micro-batch order does not matter; an event
+that is older than one of an earlier micro-batch comes too late and is dropped, as replacing orders can't be undone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.query import StreamingQuery
+
+from tidebook.operators import fills as sim
 
 OUT = "seq long, ts_ns long, interval long, side int, price double, size double, sym long"
-STATE = "ts_ns long, kind int, seq long, interval long, bid double, bid_queue double, bid_left double, ask double, ask_queue double, ask_left double"
-
-
-def touch_step(size: float):
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = (-1, 0, -1)
-        interval, orders, out = None, {}, []
-        if state.exists:
-            ts, kind, seq, interval, *o = state.get
-            last = (ts, kind, seq)
-            orders = {1: o[:3], -1: o[3:]} if interval is not None else {}
-        rows = pd.concat(list(pdfs)).sort_values(["ts_ns", "kind", "seq"], kind="stable")
-        for r in rows.itertuples(index=False):
-            if (r.ts_ns, r.kind, r.seq) <= last:
-                continue
-            last = (int(r.ts_ns), int(r.kind), int(r.seq))
-            if r.kind == 0:
-                interval, orders = int(r.seq), {1: [r.bid, r.bid_sz, size], -1: [r.ask, r.ask_sz, size]}
-            elif orders and abs(r.price - orders[-int(r.side)][0]) <= 1e-9:
-                order = orders[-int(r.side)]
-                ahead = min(r.size, order[1])
-                fill = min(r.size - ahead, order[2])
-                order[1] -= ahead
-                order[2] -= fill
-                if fill > 0:
-                    out.append((int(r.seq), int(r.ts_ns), interval, -int(r.side), float(order[0]), float(fill), int(key[0])))
-        flat = [float(x) for s in (1, -1) for x in orders[s]] if orders else [None] * 6
-        state.update((*last, interval, *flat))
-        yield pd.DataFrame(out, columns=["seq", "ts_ns", "interval", "side", "price", "size", "sym"])
-    return step
-
-
-def touch_fills(events: DataFrame, size: float = 3.0) -> DataFrame:
-    """Fills of a streaming DataFrame of events (sym, seq, ts_ns, kind, bid, bid_sz, ask, ask_sz, side, price, size)."""
-    return events.groupBy("sym").applyInPandasWithState(touch_step(size), OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+STATE = ("sym long, ts_ns long, kind int, seq long, book_ns long, interval long, "
+         "bid double, bid_queue double, bid_left double, ask double, ask_queue double, ask_left double")
+PLACE = ("ts_ns", "kind", "seq")
+
+
+def touch_step(events: DataFrame, state: DataFrame, size: float) -> tuple[DataFrame, DataFrame]:
+    """Fills of one micro-batch, and the state after it: one row a symbol, as is the state before it."""
+    last = state.select("sym", F.struct(*PLACE).alias("last"))
+    new = events.join(F.broadcast(last), "sym", "left").where(F.col("last").isNull() | (F.struct(*PLACE) > F.col("last"))).drop("last")
+    new = new.dropDuplicates(["sym", *PLACE])
+
+    def orders(bid, bid_queue, bid_left, ask, ask_queue, ask_left):
+        sides = ((1, bid, bid_queue, bid_left), (-1, ask, ask_queue, ask_left))
+        return F.array(*[F.struct(F.lit(s).alias("side"), F.col(px).alias("px"), left.alias("size"), F.lit(0).alias("idx"), F.col(queue).alias("queue"))
+                         for s, px, queue, left in sides])
+
+    books = new.where("kind = 0").select("seq", "sym", "ts_ns", orders("bid", "bid_sz", F.lit(size), "ask", "ask_sz", F.lit(size)).alias("orders"))
+    carried = state.where("interval is not null").select(
+        F.col("interval").alias("seq"), "sym", F.col("book_ns").alias("ts_ns"),
+        orders("bid", "bid_queue", F.col("bid_left"), "ask", "ask_queue", F.col("ask_left")).alias("orders"))
+    books = books.unionByName(carried)
+    trades = new.where("kind = 1").select("seq", "sym", "ts_ns", "side", "price", "size", F.lit(None).cast("long").alias("user_id"))
+    fills = sim.fills(trades, books).select([c.split()[0] for c in OUT.split(", ")])
+
+    book = books.groupBy("sym").agg(F.max_by(F.struct("ts_ns", "seq", "orders"), F.struct("ts_ns", "seq")).alias("book"))
+    after = trades.join(F.broadcast(book), "sym").where("ts_ns >= book.ts_ns")
+
+    def eaten(k: int, side: int):
+        hit = (F.col("side") == -side) & (F.abs(F.col("price") - F.col("book.orders")[k]["px"]) <= 1e-9)
+        return F.sum(F.when(hit, F.col("size")).otherwise(0.0))
+
+    after = after.groupBy("sym").agg(eaten(0, 1).alias("bid_eaten"), eaten(1, -1).alias("ask_eaten"))
+    places = new.select("sym", *PLACE).unionByName(state.select("sym", *PLACE)).groupBy("sym").agg(F.max(F.struct(*PLACE)).alias("last"))
+    out = places.join(book, "sym", "left").join(after, "sym", "left")
+
+    def left(k: int, name: str):
+        o, c = F.col("book.orders")[k], F.coalesce(f"{name}_eaten", F.lit(0.0))
+        ahead = F.greatest(F.lit(0.0), c - o["queue"])
+        return [F.when(o.isNotNull(), v).alias(n) for n, v in ((name, o["px"]), (f"{name}_queue", F.greatest(F.lit(0.0), o["queue"] - c)),
+                                                              (f"{name}_left", o["size"] - F.least(o["size"], ahead)))]
+
+    return fills, out.select("sym", "last.*", F.col("book.ts_ns").alias("book_ns"), F.col("book.seq").alias("interval"), *left(0, "bid"), *left(1, "ask"))
+
+
+def touch_fills(events: DataFrame, folder: str, size: float = 3.0) -> StreamingQuery:
+    """Starts a stream over what is there now, from where the folder's last one stopped.
+
+    events: a streaming DataFrame (sym, seq, ts_ns, kind, bid, bid_sz, ask, ask_sz, side, price, size). Fills and state go to the folder,
+    Parquet by micro-batch; one that is repeated after a failure overwrites its own, from the state before it.
+    """
+    spark = events.sparkSession
+    for name, schema in (("fills", OUT), ("state", STATE)):
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{folder}/{name}/batch=-1")
+
+    def step(batch: DataFrame, number: int) -> None:
+        before = batch.sparkSession.read.schema(STATE).parquet(f"{folder}/state/batch={number - 1}")
+        batch.persist()
+        fills, state = touch_step(batch, before, size)
+        fills.write.mode("overwrite").parquet(f"{folder}/fills/batch={number}")
+        state.write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
+        batch.unpersist()
+
+    return events.writeStream.foreachBatch(step).trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").start()
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream, with the same derivation as the batch tables."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    table = f"{sf_dir}/events.parquet"
+    source = spark.readStream.schema(spark.read.parquet(table).schema)
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    if path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(path).isDirectory():
+        e = source.parquet(table)
+    else:  # a stream reads folders; the filter is on file names
+        e = source.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     ts = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) * 1000")
     e = e.select(F.col("event_id").alias("seq"), ts.alias("ts_ns"), F.expr("user_id % 2").alias("sym"), "event_type", "value")
     e = e.withColumn("bk", F.expr("((ts_ns % 237600000000000) - (ts_ns % 21600000000000)) div 21600000000000"))
@@ -69,7 +102,5 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replay(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     """Runs the stream over what is there now, into Parquet under folder, and reads that back."""
-    out = touch_fills(read_events(spark, sf_dir)).writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option(
-        "checkpointLocation", f"{folder}/checkpoint").start(f"{folder}/fills")
-    out.awaitTermination()
-    return spark.read.schema(OUT).parquet(f"{folder}/fills")
+    touch_fills(read_events(spark, sf_dir), folder).awaitTermination()
+    return spark.read.schema(OUT).parquet(f"{folder}/fills").select([c.split()[0] for c in OUT.split(", ")])
