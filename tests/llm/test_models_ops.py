@@ -191,6 +191,15 @@ def test_neighbours_recall(spark):
     assert set(got) == set(ids[ids % 50 == 0]) and hit / (5 * len(got)) >= 0.9
 
 
+def test_neighbours_ties_of_direction(spark):
+    """Scaled copies tie: the smallest ids are found, in however many pieces they lie."""
+    rows = [(i, [1.0 * 2.0 ** ((i * 17) % 60 - 30), 0.0, 2.0 * 2.0 ** ((i * 17) % 60 - 30)], i == 60) for i in range(1, 61)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, q boolean")
+    for block in (2_000, 15):
+        out = sorted((r.rank, r.vec_id) for r in neighbours.nearest(df, F.col("q"), k=3, parts=1, block=block).collect())
+        assert out == [(1, 1), (2, 2), (3, 3)]
+
+
 def test_neighbours_awkward(spark):
     rows = [(k, [1.0, 0.0]) for k in range(8)] + [(8, [0.0, 1.0]), (8, [0.0, 1.0]), (9, [2.0, 0.0]), (10, None), (11, [0.0, 0.0]), (12, [1.0, None]), (13, [float("nan"), 1.0]),
                                                   (14, [float("inf"), 1.0]), (None, [1.0, 1.0]), (15, []), (16, [1.0, 2.0, 3.0])]

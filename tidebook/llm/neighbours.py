@@ -194,9 +194,11 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id",
                 x = np.stack(a["v"].iloc[lo : lo + 256].to_list())
                 nx = np.sqrt((x * x).sum(axis=1))
                 s = (x @ y.T) / nx[:, None] / ny
-                take = min(k + 3, len(y))
-                near = np.argpartition(-s, take - 1, axis=1)[:, :take]
-                for r, (v, cols) in enumerate(zip(a["v"].iloc[lo : lo + 256], near)):
+                # All that may be among the k + 1 best once scores are exact: ties are decided by id.
+                take = len(y) - min(k + 1, len(y))
+                least = np.partition(s, take, axis=1)[:, take] - 8 * (size + 8) * np.finfo(float).eps
+                for r, v in enumerate(a["v"].iloc[lo : lo + 256]):
+                    cols = np.flatnonzero(s[r] >= least[r])
                     exact = (y[cols] * x[r]).sum(axis=1) / (nx[r] * ny[cols])
                     for c in np.lexsort(([ids[j][0] for j in cols], -exact))[: k + 1]:
                         out.append((v, ids[cols[c]], float(exact[c])))
