@@ -200,6 +200,18 @@ def test_neighbours_ties_of_direction(spark):
         assert out == [(1, 1), (2, 2), (3, 3)]
 
 
+def test_neighbours_query_blocks(spark, monkeypatch):
+    """Results do not show how many queries a group gets; the groups do."""
+    x = np.random.default_rng(5).normal(size=(120, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    whole = sorted(tuple(r) for r in neighbours.nearest(df, F.lit(True), parts=1).collect())
+    kind, keys = type(df.groupBy("vec_id")), []
+    plain = kind.cogroup
+    monkeypatch.setattr(kind, "cogroup", lambda self, other: keys.append(self._df.groupBy(*self._df.columns[1:]).count()) or plain(self, other))
+    assert sorted(tuple(r) for r in neighbours.nearest(df, F.lit(True), parts=1, asks=10).collect()) == whole
+    assert max(r["count"] for r in keys[0].collect()) < 30
+
+
 def test_neighbours_awkward(spark):
     rows = [(k, [1.0, 0.0]) for k in range(8)] + [(8, [0.0, 1.0]), (8, [0.0, 1.0]), (9, [2.0, 0.0]), (10, None), (11, [0.0, 0.0]), (12, [1.0, None]), (13, [float("nan"), 1.0]),
                                                   (14, [float("inf"), 1.0]), (None, [1.0, 1.0]), (15, []), (16, [1.0, 2.0, 3.0])]

@@ -132,7 +132,7 @@ def usable(v: Column) -> Column:
 
 
 def nearest(df: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", parts: int | None = None,
-            target: float = 0.95, bound: int = 8_000, block: int = 2_000) -> DataFrame:
+            target: float = 0.95, bound: int = 8_000, block: int = 2_000, asks: int | None = None) -> DataFrame:
     """The k nearest found of each query row, by cosine in double precision; ties go to the smaller id.
 
     queries: a condition on df's columns; target: the share of nearest ones to find, as measured on the sample. Returns query_id, rank (from 1), vec_id,
@@ -141,7 +141,8 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id",
     part, nor do rows without an id; vectors of another size than the query's are no candidates.
     Equal rows count once. Equal vectors are searched for once: only the k + 1
     smallest ids of a vector can be among anyone's k nearest. A part of more than ``block`` vectors is
-    split, and its queries go to every piece; queries come in blocks as well.
+    split, and its queries go to every piece. Queries come in blocks as well, of about ``asks`` of all different ones (64 MB by
+    default), to each of which the pieces are copied; a group is one block's queries of a part with one piece.
     """
     rows = df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("v")))
@@ -176,9 +177,12 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id",
     pieces = index.groupBy("part").agg(F.ceil(F.count("*") / block).cast("long").alias("pieces"))
     index = index.join(F.broadcast(pieces), "part")  # at most 256 parts
     index = index.select("v", "ids", F.col("part").alias("home"), F.pmod(F.xxhash64("g"), F.col("pieces")).alias("box"))
+    blocks = -(-asked.count() // (asks or max(1, (64 << 20) // (8 * router.weight.shape[0])))) or 1
+    index = index.withColumn("asks", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     asked = asked.mapInPandas(route(probes), "v array<double>, part array<long>")
     asked = asked.select("v", F.explode("part").alias("part")).join(F.broadcast(pieces), "part")
-    asked = asked.select("v", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))
+    asked = asked.select("v", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"),
+                         F.pmod(F.xxhash64("v"), F.lit(blocks).cast("long")).alias("asks"))
 
     def rank(key: tuple, ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -204,7 +208,7 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id",
                         out.append((v, ids[cols[c]], float(exact[c])))
         return pd.DataFrame(out, columns=["v", "ids", "score"])
 
-    found = asked.groupBy("part", "piece").cogroup(index.groupBy("home", "box")).applyInPandas(rank, "v array<double>, ids array<long>, score double")
+    found = asked.groupBy("part", "piece", "asks").cogroup(index.groupBy("home", "box", "asks")).applyInPandas(rank, "v array<double>, ids array<long>, score double")
     # k + 1 best vectors hold the k best ids of every query with this vector, its own left out.
     by = Window.partitionBy("v").orderBy(F.desc("score"), F.element_at("ids", 1))
     best = found.withColumn("r", F.row_number().over(by)).where(f"r <= {k + 1}")
