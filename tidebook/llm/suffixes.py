@@ -1,7 +1,7 @@
-"""Removal of byte strings that an earlier document has too, by distributed prefix doubling.
+"""Removal of byte strings that an earlier document has too, by minimum-anchor hashing in place of prefix doubling.
 
-Names of 16-byte strings are paired at growing offsets to names of 32 and of 50 bytes,
-and Spark sorts named positions with their documents. Two things keep the rows few.
+No ranks are paired in rounds: 16-byte strings are named by hashes, and Spark sorts some of the names once
+with their documents. Two things keep the rows few.
 Only positions that are the least of 35 neighbours by name (every 50-byte string has
 such an anchor, and equal strings have equal ones) are sorted at first, and those
 with a unique name are done: no string around them repeats. And an anchor stands
