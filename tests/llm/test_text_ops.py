@@ -85,10 +85,10 @@ def near_copies(seed, groups=6, copies=9, length=60):
     return out
 
 
-@pytest.mark.parametrize("seed,large", [(1, 50), (2, 2), (3, 2), (3, 4)])
-def test_jaccard_near_copies_and_shared_passages(spark, seed, large, monkeypatch):
-    monkeypatch.setattr(jaccard, "LARGE", large)
-    monkeypatch.setattr(jaccard, "BLOCK", 2)
+@pytest.mark.parametrize("seed,block,held", [(1, 1000, 50_000), (2, 2, 50_000), (3, 3, 4), (4, 2, 0)])
+def test_jaccard_near_copies_and_shared_passages(spark, seed, block, held, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "HELD", held)
     rows = near_copies(seed)
     got = sorted((r.d, r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(odd(spark, rows)).collect())
     assert got == sorted(components(rows))
@@ -103,18 +103,57 @@ def test_jaccard_awkward(spark):
     assert jaccard.jaccard_groups(odd(spark, AWKWARD).limit(0)).count() == 0
 
 
-def test_region_streaming_over_batches():
+def test_region_streaming_over_batches(monkeypatch):
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     r = np.random.default_rng(2)
-    s = np.sort(r.integers(0, 40, 300))
-    f = r.integers(0, 6, 300)
-    rows = pd.DataFrame({"s": s, "f": f}).sort_values(["s", "f"])
-    want = {(a, b, g["f"].min()) for a, g in rows.groupby("s") if g["f"].nunique() > 1 for b in set(g["f"])}
-    for size in (1, 2, 7, 300):
-        parts = jaccard._regions(iter([rows.iloc[k : k + size] for k in range(0, 300, size)]))
-        assert {tuple(map(int, x)) for p in parts for x in p[["s", "f", "p"]].to_numpy()} == {tuple(map(int, x)) for x in want}, size
+    for held in (1, 50_000):
+        monkeypatch.setattr(jaccard, "HELD", held)
+        s = np.sort(r.integers(0, 40, 400))
+        f = r.integers(0, 9, 400)
+        rows = sorted({(int(a), int(10 + 7 * b * b), int(b)) for a, b in zip(s, f)})
+        for size in (1, 2, 7, 400):
+            batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[k : k + size])], ["s", "n", "f"]) for k in range(0, len(rows), size)]
+            got = [x for b in jaccard._regions(75)(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns))]
+            cells, meet = {}, set()
+            for kind, a, b, _ in got:
+                if kind == jaccard.CELL:
+                    cells.setdefault(a, {a}).add(b)
+            for c in cells.values():
+                meet |= {(a, b) for a in c for b in c}
+            whole = {}
+            for kind, a, b, n in got:
+                if kind == jaccard.OPEN:
+                    whole.setdefault(a, set()).add((n, b))
+            for a, n, b in rows:
+                if a in whole:
+                    assert (n, b) in whole[a]
+            for a, n, b in rows:
+                for c, m, d in rows:
+                    if a == c and a not in whole and 4 * n >= 3 * m and 4 * m >= 3 * n and b != d:
+                        assert (b, d) in meet, (a, b, d)
+
+
+def test_shingles_equal_words_of_texts():
+    """Vectorised words against a plain split, over block borders and awkward texts."""
+    import pyarrow as pa
+
+    from tidebook.llm import words as w
+
+    texts = ["", " ", "A b", "a B", None, "one two three four five", " one  two\tthree\nfour five ", "x" * 3000, "ünï cödé A", "a b c d e f g", "\x0b\x0c"] * 3
+    for most in (1, 10, 1 << 19):
+        got, names = [], {}
+        for lo, hi, data, ends in w.blocks(pa.array(texts).slice(1), most):
+            got += [h.tolist() for h in w.Hasher().shingles(data, ends, 5)]
+        assert len(got) == len(texts) - 1
+        for text, h in zip(texts[1:], got):
+            own = words(text)
+            grams = [" ".join(own[k : k + 5]) for k in range(len(own) - 4)] if len(own) >= 5 else [" ".join(own)] * bool(own)
+            assert len(grams) == len(h)
+            for g, x in zip(grams, h):
+                assert names.setdefault(g, x) == x
+        assert len(set(names.values())) == len(names)
 
 
 def drop_lines(rows, least, chars):

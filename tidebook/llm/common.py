@@ -1,4 +1,4 @@
-"""Helpers shared by the corpus operators: shared storage, digests, components."""
+"""Helpers shared by the corpus operators: shared storage, batches, column names, components."""
 
 from __future__ import annotations
 
@@ -7,14 +7,28 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir, as in tests on one machine.
+#: Used only where the session names no spark.checkpoint.dir and runs on one machine, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/tidebook"
+#: Bytes of an Arrow batch that goes to Python, unless the session sets its own.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; only a session on one machine may leave it unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return (folder or LOCAL_CHECKPOINTS).rstrip("/")
+    if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = LOCAL_CHECKPOINTS
+    return folder.rstrip("/")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of Arrow batches in this session, so that long texts do not add up in a Python worker; results do not depend on it."""
+    if int(spark.conf.get(_BATCH, str(2**31 - 1))) > 64 << 20:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -31,11 +45,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Remove a table written by ``materialize`` that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._tidebook_path)
-    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Remove tables written by ``materialize`` that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._tidebook_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -43,7 +57,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The given names, each with as many underscores before it as tell it from all of df's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
     """Smallest reachable vertex of each vertex that has an edge.
 
     Alternating large-star and small-star steps: in each, a vertex and its
@@ -51,14 +76,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     and a join that adaptive execution may split, so a vertex with very many
     edges is no bottleneck, and the steps are logarithmic in a chain's length.
     Null ends are ignored; the order of ends and repeated edges do not matter.
-    Returns (node, component). No edge ever reaches the driver.
+    Returns (node, component). No edge ever reaches the driver. Raises if the edges still
+    change after max_rounds, which double the longest chain that can be followed each.
     """
     cur = materialize(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .where("u is not null and v is not null and u != v").distinct(), "edges")
     if cur.isEmpty():
         return cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    before = None
+    before = after = None
     for _ in range(max_rounds):
         # Large star: neighbours larger than u go to the smallest of u and its neighbours.
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -71,12 +97,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         small = (large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct())
         nxt = materialize(small, "small-star")
-        discard(large)
-        after = nxt.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        discard(cur)
+        # A round that changes nothing ends it: all rows are told apart by their number and two sums of 64-bit hashes.
+        total = [F.sum(F.xxhash64("u", "v", F.lit(k)).cast("decimal(38,0)")) for k in (1, 2)]
+        after = nxt.agg(F.count("*"), *total).first()
+        discard(large, cur)
         cur = nxt
         if before == after:
             break
         before = after
+    else:
+        raise RuntimeError(f"components: edges still change after {max_rounds} rounds")
     below = cur.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return below.unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct().join(below, "node", "left_anti"))
