@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from tidebook.llm import bpe, html, language, neighbours, pii, quality
+from tidebook.llm import bpe, html, language, neighbours, pii, pii_examples, quality
 from tidebook.llm import queries as q
 
 from ..conftest import SF
@@ -277,12 +277,44 @@ def test_field_learns_and_decodes():
 
     ids = seqs[0][:4]
     e = field.emit[ids].sum(axis=1)
-    best = max(product(range(5), repeat=4), key=lambda p: sum(e[k, c] for k, c in enumerate(p)) + sum(field.move[a, b] for a, b in zip(p, p[1:])))
+    best = max(product(range(len(pii.LABELS)), repeat=4), key=lambda p: sum(e[k, c] for k, c in enumerate(p)) + sum(field.move[a, b] for a, b in zip(p, p[1:])))
     assert list(field.viterbi([ids])[0]) == list(best)
 
 
+def test_field_goes_beyond_the_patterns():
+    """Held-out sentences with other values and contexts, and the forms that the patterns miss."""
+    field = pii.train(pii_examples.table())
+    held = pii_examples.table(500, seed=77)
+    texts = [x for x, _ in held]
+    want = [{(k, *pii._trim(x, a, b, k)) for k, a, b in spans} for x, spans in held]
+    got = [set(s) for s in pii.added_spans(texts, [[] for _ in texts], field)]
+    hits = sum(len(a & b) for a, b in zip(want, got))
+    assert hits >= 0.93 * sum(map(len, want)) and hits >= 0.97 * sum(map(len, got))
+    for x, kind in [('die token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b" und', "secret"), ("call me (555) 555-1234 today", "phone"),
+                    ("write to jane dot doe at example dot com please", "email"), ("from 2001:db8:1f::77:9c the host", "ip"), ("set password=b7db7aa4a5fcc78305 for it", "secret")]:
+        assert [s[0] for s in pii.added_spans([x], [pii.base_spans(x)], field)[0]] == [kind], x
+    for x in ["Licensed under CC BY-NC 4.0. the", "the General Public License, version 3.", "in 1984 about 12,345,678 people", "the token of 5 days"]:
+        assert pii.added_spans([x], [[]], field) == [[]], x
+
+
+def test_long_stretches_are_decoded_as_short_ones(monkeypatch):
+    field = pii.train(pii_examples.table(300))
+    text = " ".join(x for x, _ in pii_examples.table(120, seed=8)).replace(" a ", " 7 ")
+    whole = pii.added_spans([text], [[]], field)
+    monkeypatch.setattr(pii, "LONG", 1)
+    monkeypatch.setattr(pii, "PART", 3)
+    assert pii.added_spans([text], [[]], field) == whole and whole[0]
+    words = [w for s in pii.stretches(text) for w in s]
+    assert len(set(words)) == len(words) and set(words) <= {m.span() for m in re.finditer(r"\S+", text)}
+    near = [m.span() for m in re.finditer(r"\S+", text)]
+    for k, (a, b) in enumerate(near):
+        if re.search("[0-9@]", text[a:b]):
+            assert set(near[max(0, k - pii.REACH) : k + pii.REACH + 1]) <= set(words)
+
+
 def test_pii_awkward(spark):
-    field = pii.train(odd(spark, AWKWARD))
+    field = pii.train(pii_examples.table(100))
+    assert pii.train([]).emit.any() == False  # noqa: E712
     out = pii.find(odd(spark, AWKWARD + [(40, "9" * 30000), (41, "a" * 50000 + "@"), (42, "+1 (499) 555-6503")]), field, keep=("doc_id", "d"))
     assert out.count() == len(AWKWARD) + 3 and out.where("size(spans) < size(base)").count() == 0
     assert out.where("doc_id = 42").first().base[0].kind == "phone" and pii.find(odd(spark, []), field).count() == 0

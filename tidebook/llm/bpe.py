@@ -20,6 +20,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 #: The pre-token pattern of byte-level vocabularies, and the four kinds of run it is made of.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RUNS = {"L": r"\p{L}*", "N": r"\p{N}*", "O": r"[^\s\p{L}\p{N}]*", "S": r"\s*"}
@@ -324,6 +326,7 @@ def tokenize(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
                     out["decoded"] = [decoder.decode(i) for i in ids]
                 yield finish(out) if finish else out
 
+    small_batches(df.sparkSession)
     src = df.select(*[df[c].alias(f"k{i}") for i, c in enumerate(keep)], df[text].alias("t"))
     kinds = dict(df.dtypes)
     schema = schema or ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "ids array<bigint>", *["decoded string"] * decode])

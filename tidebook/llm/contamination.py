@@ -13,7 +13,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, unused
 
 #: Fixed value: what separates words once A-Z is lower case (all ASCII but digits and letters).
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -132,6 +132,7 @@ def clean(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str =
           item_text: str = "text", share: int = 20) -> DataFrame:
     """docs without the contaminated ones: those of whose words one in ``share`` at least lies in a benchmark window."""
     found = contamination(docs, bench, doc_id, text, item_id, item_text).where(f"n_hit > 0 and {share} * n_hit >= n_words")
-    gone = found.select(F.col("d").alias("_d"), F.col("t").alias("_t"))
-    same = docs[doc_id].eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("_t"))
+    d, t = unused(docs, "gone_d", "gone_t")
+    gone = found.select("d", "t").toDF(d, t)
+    same = docs[doc_id].eqNullSafe(F.col(d)) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col(t))
     return docs.join(gone, same, "left_anti")

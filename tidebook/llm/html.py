@@ -18,6 +18,8 @@ from html import unescape
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 #: Elements that never hold article text.
 FURNITURE = set(
     "head nav footer aside form script style noscript iframe object embed template button select textarea option "
@@ -335,6 +337,7 @@ def extract(df: DataFrame, html: str = "html", keep: tuple[str, ...] = (), text:
                 out[text] = [main_text(h) for h in part["h"]]
                 yield out
 
+    small_batches(df.sparkSession)
     kinds = dict(df.dtypes)
     src = df.select(*[df[c].alias(f"k{i}") for i, c in enumerate(keep)], df[html].alias("h"))
     return src.mapInPandas(batches, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{text}` string"]))

@@ -17,11 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quality import sample_rows
+from .common import small_batches
 
 #: Symbols: 0 for what is no letter, 1 to 26 for a to z, the rest shared by all other letters.
 SYMBOLS = 64
 UNKNOWN = "und"
+#: Distinct n-grams whose vectors are held at a time.
+GRAMS = 2048
 
 
 @lru_cache(maxsize=1)
@@ -70,25 +72,27 @@ class Space:
         out = np.zeros((len(texts), self.size), np.float32)
         codes = [self.grams(t) for t in texts]
         lens = [len(c) for c in codes]
-        if sum(lens):
-            there, place = np.unique(np.concatenate(codes), return_inverse=True)
-            count = np.bincount(np.repeat(np.arange(len(texts)), lens) * len(there) + place, minlength=len(texts) * len(there))
-            count = count.reshape(len(texts), -1).astype(np.float32)
-            for lo in range(0, len(there), 4096):
-                part, vec = there[lo : lo + 4096], None
-                for k in range(self.n - 1, -1, -1):
-                    vec = letters[k][part % SYMBOLS] if vec is None else vec * letters[k][part % SYMBOLS]
-                    part = part // SYMBOLS
-                out += count[:, lo : lo + 4096] @ vec.astype(np.float32)
+        if not sum(lens):
+            return out
+        there, place = np.unique(np.concatenate(codes), return_inverse=True)
+        row = np.repeat(np.arange(len(texts)), lens)
+        for lo in range(0, len(there), GRAMS):
+            part, vec = there[lo : lo + GRAMS], None
+            for k in range(self.n - 1, -1, -1):
+                vec = letters[k][part % SYMBOLS] if vec is None else vec * letters[k][part % SYMBOLS]
+                part = part // SYMBOLS
+            here = (place >= lo) & (place < lo + GRAMS)
+            count = np.bincount(row[here] * len(vec) + place[here] - lo, minlength=len(texts) * len(vec))
+            out += count.reshape(len(texts), -1).astype(np.float32) @ vec.astype(np.float32)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-def _chunks(texts: list, chars: int = 150_000) -> Iterator[slice]:
-    """Slices of texts with about so many characters each, so memory is bounded."""
+def _chunks(texts: list, chars: int = 150_000, rows: int = 200) -> Iterator[slice]:
+    """Slices of texts with about so many characters each and so many rows at most, so memory is bounded."""
     lo = size = 0
     for k, t in enumerate(texts):
         size += len(t or "")
-        if size >= chars:
+        if size >= chars or k + 1 - lo >= rows:
             yield slice(lo, k + 1)
             lo, size = k + 1, 0
     if lo < len(texts):
@@ -97,7 +101,7 @@ def _chunks(texts: list, chars: int = 150_000) -> Iterator[slice]:
 
 def prototypes(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", bound: int = 20_000,
                space: Space = Space()) -> dict[str, np.ndarray]:
-    """Each language's prototype, from at most about ``bound`` labelled rows.
+    """Each language's prototype, from at most about ``bound`` labelled rows, shared out evenly among the languages.
 
     Rows with a null language, a null text or no letter are left out. Sums over
     partitions are added up by Spark; one vector a language reaches the driver.
@@ -112,8 +116,15 @@ def prototypes(labelled: DataFrame, text: str = "text", lang: str = "lang", key:
         for y, v in total.items():
             yield pd.DataFrame({"y": y, "i": np.arange(space.size), "v": v})
 
-    rows = sample_rows(labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()), F.col(key), bound)
-    sums = rows.select(F.col(text).alias("x"), F.col(lang).alias("y")).mapInPandas(partial, "y string, i int, v double")
+    small_batches(labelled.sparkSession)
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("x"), F.col(lang).alias("y"), F.col(key).cast("string").alias("k"))
+    # One row a language: a label set, not data that grows.
+    size = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    each, one = max(1, bound // max(1, len(size))), 1 << 20
+    if any(n > each for n in size.values()):
+        share = F.create_map(*[F.lit(x) for y, n in size.items() for x in (y, min(one, one * each // n + 1))])
+        rows = rows.where(F.pmod(F.xxhash64("k"), F.lit(one)) < share[F.col("y")])
+    sums = rows.select("x", "y").mapInPandas(partial, "y string, i int, v double")
     got = sums.groupBy("y", "i").agg(F.sum("v").alias("v")).toPandas().sort_values(["y", "i"])
     return {y: g["v"].to_numpy() for y, g in got.groupby("y") if g["v"].any()}
 
@@ -126,6 +137,7 @@ def identify(df: DataFrame, known: dict[str, np.ndarray], text: str = "text", ke
     ``und`` with score 0. Ties go to the first language by name. The score is a
     softmax over the cosines. keep may hold nulls; rows may repeat.
     """
+    small_batches(df.sparkSession)
     names = sorted(known)
     proto = np.stack([known[y] / max(np.linalg.norm(known[y]), 1e-9) for y in names]) if names else np.zeros((0, space.size))
     proto = proto.astype(np.float32)

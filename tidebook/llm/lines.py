@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, small_batches, unused
 
 #: What is stripped at both ends of a line.
 SPACE = b" \t\n\v\f\r"
@@ -146,6 +146,7 @@ def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     one document, repeated rows as well; null and empty texts are one empty line,
     which has no key. Texts may be very long: only hashes are shuffled.
     """
+    small_batches(docs.sparkSession)
     partitions = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     gone = dropped_lines(docs, doc_id, text, min_docs, min_chars, partitions).distinct()
     each = gone.groupBy("d", "t").agg(F.collect_list("pos").alias("gone"), F.max("pos").alias("m"))
@@ -171,14 +172,14 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
 
     All columns of docs stay; if it has columns called n_lines or n_dropped, they are replaced.
     """
-    maps = keep_bitmaps(docs, doc_id, text, min_docs, min_chars).select(
-        F.col("d").alias("_d"), F.col("t").alias("_t"), F.col("n_dropped").alias("_n"), F.col("keep").alias("_keep"))
+    names = unused(docs, "map_d", "map_t", "map_n", "map_keep", "row_d", "row_t")
+    maps = keep_bitmaps(docs, doc_id, text, min_docs, min_chars).select("d", "t", "n_dropped", "keep").toDF(*names[:4])
     d, t = row_key(docs[doc_id], docs[text])
-    rows = docs.drop("n_lines", "n_dropped").withColumns({"_d0": d, "_t0": t})
-    out = rows.join(maps, (F.col("_d0") == F.col("_d")) & (F.col("_t0") == F.col("_t")), "left")
+    rows = docs.drop("n_lines", "n_dropped").withColumns({names[4]: d, names[5]: t})
+    out = rows.join(maps, (F.col(names[4]) == F.col(names[0])) & (F.col(names[5]) == F.col(names[1])), "left")
     x = F.coalesce(F.col(text), F.lit(""))
     return out.withColumns({
         "n_lines": (F.length(x) - F.length(F.replace(x, F.lit("\n"))) + 1).cast("long"),
-        "n_dropped": F.coalesce("_n", F.lit(0)).cast("long"),
-        text: F.when(F.col("_keep").isNull(), F.col(text)).otherwise(kept_text(x, "_keep")),
-    }).drop("_d", "_t", "_n", "_keep", "_d0", "_t0")
+        "n_dropped": F.coalesce(names[2], F.lit(0)).cast("long"),
+        text: F.when(F.col(names[3]).isNull(), F.col(text)).otherwise(kept_text(x, names[3])),
+    }).drop(*names)

@@ -1,7 +1,7 @@
 """Personal data: exact patterns, and a linear-chain conditional random field beside them.
 
-The field reads stretches of words around every word with a digit or an @, as each
-kind needs one of them. Its features are word shapes; it is trained on a small labelled table by
+The field reads stretches of whole words around every word with a digit, an @ or a cue (a spelled-out dot, a word like
+password). Its features are word shapes; it is trained on a small labelled table (``pii_examples``) by
 gradient steps on the log-likelihood (forward-backward), and decoded by Viterbi,
 both in numpy over batches of stretches.
 """
@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 KINDS = ["email", "ip", "card", "phone"]
 Span = tuple[str, int, int]
 
@@ -66,57 +68,99 @@ def base_spans(text: str | None) -> list[Span]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-LABELS = ["", *KINDS]
+#: What the field labels words with; a secret (a password, a token, an access key) is no pattern's.
+LABELS = ["", *KINDS, "secret"]
 _TRIGGER = re.compile(r"[0-9@]\S*+")
-_WORD = re.compile(r"\S+")
+#: Beside words with a digit or an @, words with one of these may be or announce personal data.
+CUES = ("passw", "pwd", "secret", "token", "api", "access_key", "dot", "(at)", "[at]")
+_CUE = re.compile(r"(?i:[0-9@]|passw|\bpwd|secret|token|\bapi|access_key|\bdot\b|\(at\)|\[at\])\S*+")
+_WORD = re.compile(r"\S++")
 _BUCKETS = 1 << 14
-#: Characters taken in on both sides of a word with a digit or an @.
-REACH = 40
+#: Whole words taken in on both sides of such a word.
+REACH = 4
+#: Words of a stretch from which on it is decoded by itself, a part of its features at a time.
+LONG, PART = 2048, 1024
 
 
 def stretches(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Runs of words (start, end) around the words that can be personal data."""
-    lo = hi = -1
-    for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if lo < 0:
-            lo, hi = a, b
-        elif a <= hi:
-            hi = b
-        else:
-            yield [w.span() for w in _WORD.finditer(text, lo, hi)]
-            lo, hi = a, b
-    if lo >= 0:
-        yield [w.span() for w in _WORD.finditer(text, lo, hi)]
+    """Runs of words (start, end) around the words that can be personal data; all other words are outside the field."""
+    low = text.lower()
+    words: list[tuple[int, int]] = []
+    done = 0  # where the last word taken in ends
+    for m in (_CUE if any(c in low for c in CUES) else _TRIGGER).finditer(text):
+        a, b = m.span()
+        if a >= done:
+            while a > done and not text[a - 1].isspace():
+                a -= 1
+            left, at = [(a, b)], a
+            while len(left) <= REACH:
+                while at > done and text[at - 1].isspace():
+                    at -= 1
+                end = at
+                while at > done and not text[at - 1].isspace():
+                    at -= 1
+                if at == end:
+                    break
+                left.append((at, end))
+            if words and len(left) > REACH and not text[done : left[-1][0]].isspace():
+                yield words
+                words = []
+            words += left[::-1]
+            done = b
+        after = 0
+        while after < REACH and words[-1 - after][0] >= b:
+            after += 1
+        while after < REACH and (w := _WORD.search(text, done)):
+            words.append(w.span())
+            done, after = w.end(), after + 1
+    if words:
+        yield words
+
+
+#: Classes of letters in a word's shape; other characters stand for themselves.
+_CLASS = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "abcdefghijklmnopqrstuvwxyz" + "0123456789", "A" * 26 + "a" * 26 + "d" * 10)
+_RUN = re.compile(r"(.)\1{2,}", re.S)
 
 
 def _shape(word: str) -> str:
-    out = []
-    for c in word[:40]:
-        k = "d" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c
-        if len(out) < 2 or out[-1] != k or out[-2] != k:
-            out.append(k)
-    return "".join(out)
+    """Letters as A or a, digits as d, runs of three or more as two."""
+    word = word.translate(_CLASS)
+    if not word.isascii():
+        word = "".join("d" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in word)
+    return _RUN.sub(r"\1\1", word)
+
+
+def _mixture(core: str) -> str:
+    """How a long word mixes letters and digits: what tells a code from a number or a plain word."""
+    if len(core) < 10:
+        return "short"
+    kinds = ("d" * any("0" <= c <= "9" for c in core) + "a" * any("a" <= c <= "z" for c in core) + "A" * any("A" <= c <= "Z" for c in core)
+             + "-" * (not core.isalnum()) + "h" * all(c in "0123456789abcdef" for c in core))
+    return f"{kinds}{sum(a.isdigit() != b.isdigit() for a, b in zip(core, core[1:])) * 4 // len(core)}"
 
 
 def _facts(word: str) -> list[str]:
     digits = "".join(_DIGITS.findall(word))
-    core = word.strip(".,;:!?$%&*#\"'()")
-    parts = core.split(".")
+    core = word.strip(".,;:!?$%&*#\"'()[]")
+    parts = core.replace("[.]", ".").split(".")
+    plain = _DIGITS.sub("", core).lower()
     return [
         "s" + _shape(word), "c" + _shape(core), f"n{min(len(digits), 20)}", f"l{min(len(word), 20)}", "f" + word[:1] * (not word[:1].isalnum()),
         f"@{'@' in word}{'.' in core}", f"u{12 <= len(digits) <= 19 and luhn(digits)}",
-        f"q{len(parts) == 4 and all(p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts)}", f"x{all(c in '0123456789abcdef' for c in core)}"]
+        f"q{len(parts) == 4 and all(p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts)}", f"x{all(c in '0123456789abcdef' for c in core)}",
+        "w" + (plain if len(plain) < 20 else plain[:4] + "~"), "m" + _mixture(core), "p" + core[:4] * (len(core) > 15), f"={core.partition('=')[0].lower() if 0 < core.find('=') < 20 else ''}",
+        f":{core.count(':') > 1}{'=' in core}"]
 
 
 def features(text: str, words: list[tuple[int, int]]) -> np.ndarray:
     """Hashed features of each word: its own facts, and the shapes of its neighbours."""
     facts = [_facts(text[a:b]) for a, b in words]
-    blank = ["s", "c"]
+    blank = [""] * len(_facts(""))
     out = []
     for k, own in enumerate(facts):
         before, after = (facts[k - 1] if k else blank), (facts[k + 1] if k + 1 < len(facts) else blank)
-        names = [*own, "<" + before[0], ">" + after[0], "<" + before[0] + own[1], ">" + after[0] + own[1], "b"]
+        names = [*own, "<" + before[0], ">" + after[0], "<" + before[0] + own[1], ">" + after[0] + own[1], "<" + before[9], ">" + after[9],
+                 "<" + before[9] + own[10], "<<" + (facts[k - 2][9] if k > 1 else "") + own[10], "b"]
         out.append([zlib.crc32(n.encode("utf-8", "replace")) % _BUCKETS for n in names])
     return np.array(out, dtype=np.int32).reshape(len(words), -1)
 
@@ -154,6 +198,27 @@ class Field:
         return [out[r, : lens[r]] for r in range(n)]
 
 
+    def decode_long(self, text: str, words: list[tuple[int, int]]) -> np.ndarray:
+        """The best labels of one stretch of any length; only one byte a word and label is kept of it."""
+        k = len(LABELS)
+        back, best = np.zeros((len(words), k), np.int8), np.zeros(k)
+        for lo in range(0, len(words), PART):
+            hi, from_ = min(lo + PART, len(words)), max(0, lo - 2)
+            e = self.emit[features(text, words[from_ : hi + 1])[lo - from_ : hi - from_]].sum(axis=1)
+            for t in range(lo, hi):
+                if t:
+                    via = best[:, None] + self.move
+                    back[t] = via.argmax(axis=0)
+                    best = via.max(axis=0) + e[t - lo]
+                else:
+                    best = e[0]
+        out, cur = np.zeros(len(words), np.int8), int(best.argmax())
+        for t in range(len(words) - 1, -1, -1):
+            out[t] = cur
+            cur = int(back[t, cur])
+        return out
+
+
 def fit_field(seqs: list[np.ndarray], labels: list[np.ndarray], epochs: int = 12, rate: float = 0.3, batch: int = 64, l2: float = 1e-4) -> Field:
     """Gradient steps (scaled by each weight's past gradients) on the log-likelihood; labels everything as nothing without rows."""
     k = len(LABELS)
@@ -195,14 +260,10 @@ def fit_field(seqs: list[np.ndarray], labels: list[np.ndarray], epochs: int = 12
     return field
 
 
-def train(labelled: DataFrame, text: str = "text", spans: Callable[[str | None], list[Span]] = base_spans, rows: int = 1500) -> Field:
-    """A field from a small labelled table: at most ``rows`` rows of it, whose text and labels come to the driver.
-
-    spans gives the labelled spans of a text. Null texts teach nothing.
-    """
+def train(labelled: list[tuple[str, list[Span]]]) -> Field:
+    """A field from a small labelled table: texts and their spans. The same table gives the same field."""
     seqs, labels = [], []
-    for (x,) in labelled.select(text).where(labelled[text].isNotNull()).limit(rows).collect():
-        known = spans(x)
+    for x, known in labelled:
         for words in stretches(x):
             lab = np.zeros(len(words), np.int8)
             for kind, a, b in known:
@@ -227,24 +288,26 @@ def added_spans(texts: list[str], base: list[list[Span]], field: Field) -> list[
     """What the field finds and no base span overlaps."""
     found, seqs, places = [[] for _ in texts], [], []
 
+    def take(row: int, words: list[tuple[int, int]], lab: np.ndarray) -> None:
+        starts = np.flatnonzero(np.append(True, lab[1:] != lab[:-1]))
+        for k, end in zip(starts.tolist(), [*starts[1:].tolist(), len(lab)]):
+            if lab[k]:
+                kind = LABELS[lab[k]]
+                a, b = _trim(texts[row], words[k][0], words[end - 1][1], kind)
+                if a < b:
+                    found[row].append((kind, a, b))
+
     def decode() -> None:
         for (row, words), lab in zip(places, field.viterbi(seqs)):
-            k = 0
-            while k < len(lab):
-                end = k + 1
-                while end < len(lab) and lab[end] == lab[k]:
-                    end += 1
-                if lab[k]:
-                    kind = LABELS[lab[k]]
-                    a, b = _trim(texts[row], words[k][0], words[end - 1][1], kind)
-                    if a < b and not any(x < b and a < y for _, x, y in base[row]):
-                        found[row].append((kind, a, b))
-                k = end
+            take(row, words, lab)
         seqs.clear(), places.clear()
 
     size = 0
     for row, text in enumerate(texts):
         for words in stretches(text):
+            if len(words) >= LONG:
+                take(row, words, field.decode_long(text, words))
+                continue
             seqs.append(features(text, words))
             places.append((row, words))
             size = max(size, len(words))
@@ -253,7 +316,19 @@ def added_spans(texts: list[str], base: list[list[Span]], field: Field) -> list[
                 size = 0
     if seqs:
         decode()
-    return found
+    return [_apart(sorted(x, key=lambda s: s[1]), b) for x, b in zip(found, base)]
+
+
+def _apart(more: list[Span], base: list[Span]) -> list[Span]:
+    """Those of more, which do not overlap each other, that overlap none of base; both by start."""
+    out, k, reach = [], 0, 0
+    for s in more:
+        while k < len(base) and base[k][1] < s[2]:
+            reach = max(reach, base[k][2])
+            k += 1
+        if reach <= s[1]:
+            out.append(s)
+    return out
 
 
 def written(spans: list[Span]) -> str:
@@ -263,13 +338,13 @@ def written(spans: list[Span]) -> str:
 def find(df: DataFrame, field: Field, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """keep, base and spans (arrays of kind, start, end) of every whole text, one output row an input row.
 
-    base has what the patterns find; spans adds what only the field finds. Null and
-    empty texts have none. Offsets are code points, ends exclusive. keep may hold
+    base has what the patterns find; spans adds what only the field finds, where no base span is: other forms of
+    the four kinds, and secrets. Null and empty texts have none. Offsets are code points, ends exclusive. keep may hold
     nulls; rows may repeat.
     """
     def batches(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
-            for lo in range(0, max(1, len(pdf)), 400):
+            for lo in range(0, max(1, len(pdf)), 100):
                 part = pdf.iloc[lo : lo + 400].reset_index(drop=True)
                 out = part[[f"k{i}" for i in range(len(keep))]].set_axis(list(keep), axis=1)
                 texts = [t or "" for t in part["x"]]
@@ -280,6 +355,7 @@ def find(df: DataFrame, field: Field, text: str = "text", keep: tuple[str, ...]
                 out["spans"] = [as_rows(sorted(b + m, key=lambda s: (s[1], KINDS.index(s[0])))) for b, m in zip(base, more)]
                 yield out
 
+    small_batches(df.sparkSession)
     kinds = dict(df.dtypes)
     src = df.select(*[df[c].alias(f"k{i}") for i, c in enumerate(keep)], df[text].alias("x"))
     one = "array<struct<kind:string,start:bigint,end:bigint>>"

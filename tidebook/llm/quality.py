@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Statistics of a text, in the order of ``statistics``.
 NAMES = [
     "log_bytes", "log_words", "log_lines", "word_len", "word_len_sd", "upper", "digit", "space", "other_ascii", "high_bytes",
@@ -145,6 +147,7 @@ def with_statistics(df: DataFrame, text: str, keep: dict[str, str]) -> DataFrame
             out["stats"] = [statistics(t) for t in pdf["x"]]
             yield out
 
+    small_batches(df.sparkSession)
     src = df.select(*[df[c].cast(k).alias(f"k{i}") for i, (c, k) in enumerate(keep.items())], df[text].alias("x"))
     return src.mapInPandas(batches, ", ".join([*(f"`{c}` {k}" for c, k in keep.items()), "stats array<float>"]))
 
@@ -183,6 +186,7 @@ def score(df: DataFrame, model: Trees, text: str = "text", keep: tuple[str, ...]
             out[name] = np.concatenate(parts) if parts else np.zeros(0)
             yield out
 
+    small_batches(df.sparkSession)
     kinds = dict(df.dtypes)
     src = df.select(*[df[c].alias(f"k{i}") for i, c in enumerate(keep)], df[text].alias("x"))
     return src.mapInPandas(batches, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{name}` double"]))

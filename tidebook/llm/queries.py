@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, contamination, html, jaccard, language, lines, neighbours, pii, quality, suffixes
+from . import bpe, contamination, html, jaccard, language, lines, neighbours, pii, pii_examples, quality, suffixes
 from .common import read_table
 
 
@@ -113,23 +113,23 @@ def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(docs, finish=digest, schema="doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-#: Documents that the field for personal data learns from, labelled by the patterns.
-PII_ROWS = 1500
-
-
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in whole texts of documents: what patterns find, and beside it what a field trained on a small labelled table adds.
+
+    Null and empty texts have no spans; rows may repeat. n_secret and n_spans count secrets, which no pattern finds, and all spans.
+    """
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    small = quality.sample_rows(docs.where("text rlike '[0-9@]'"), F.col("doc_id"), PII_ROWS)
-    found = pii.find(docs, pii.train(small, rows=2 * PII_ROWS), keep=("doc_id",))
+    found = pii.find(docs, pii.train(pii_examples.table()), keep=("doc_id",))
 
     def written(spans: str) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    return found.select("doc_id", *[_of_kind(k) for k in pii.KINDS], F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+    return found.select("doc_id", *[_of_kind(k) for k in pii.KINDS], F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"),
+                        _of_kind("secret", "spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
-def _of_kind(kind: str) -> Column:
-    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+def _of_kind(kind: str, among: str = "base") -> Column:
+    return F.size(F.filter(among, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
 def queries() -> dict:

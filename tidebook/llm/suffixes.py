@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 from .lines import NO_ID
 
 #: Bytes of a repeated string, and of the strings named first.
@@ -100,7 +100,7 @@ class Block:
         return _mix(half(at), half(at + LENGTH - 32))
 
 
-def _blocks(pdfs: Iterator[pd.DataFrame], most: int = 2 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, Block]]:
+def _blocks(pdfs: Iterator[pd.DataFrame], most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, Block]]:
     """Blocks of about ``most`` bytes with their rows' ids and text marks."""
     for pdf in pdfs:
         lo = size = 0
@@ -205,14 +205,14 @@ def _in(on: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def _filter(h: DataFrame) -> bytes:
     """A bitmap of BITS bits with two set for each name; fixed in size, combined by Spark."""
-    width = BITS // PARTS
+    width = BITS // 8 // PARTS
 
     def bits(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        on = np.zeros(BITS, bool)
+        on = np.zeros(BITS // 8, np.uint8)
         for pdf in pdfs:
             for k in _bits(np.ascontiguousarray(pdf.iloc[:, 0].to_numpy())):
-                on[k] = True
-        yield pd.DataFrame({"part": np.arange(PARTS), "blob": [zlib.compress(np.packbits(x).tobytes(), 1) for x in on.reshape(PARTS, width)]})
+                np.bitwise_or.at(on, k >> 3, np.uint8(128) >> (k & 7).astype(np.uint8))
+        yield pd.DataFrame({"part": np.arange(PARTS), "blob": [zlib.compress(x.tobytes(), 1) for x in on.reshape(PARTS, width)]})
 
     def join(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}
@@ -259,7 +259,7 @@ def _strings(rows: list[tuple]) -> pd.DataFrame:
 
 
 #: Segments of whole anchors that are compared in one go, and of one anchor that are left to a sort by string instead.
-GO, LEAVE = 20_000, 100_000
+GO, LEAVE = 8_000, 20_000
 
 
 def _compared(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -338,6 +338,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     than 50 bytes stays. A null id counts as smaller than all others; rows that share an id do not
     remove anything from each other, and equal rows get equal results.
     """
+    small_batches(docs.sparkSession)
     d = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
     t = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit((1 << TEXT_BITS) - 1))
     texts = docs.select(d.alias("d"), t.alias("t"), F.col(text).alias("x"))
