@@ -7,36 +7,49 @@ from pyspark.sql import functions as F
 
 from tidebook.llm import contamination, jaccard, lines, quality
 from tidebook.llm import queries as q
-from tidebook.llm.common import materialize, read_table
+from tidebook.llm.common import materialize, read_table, unused
 
 #: Documents that score less are rejected.
 QUALITY = 0.3
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose quality score is QUALITY at least."""
+    """Keeps the documents whose quality score is QUALITY at least.
+
+    A null or empty text is scored as such; null ids are never labelled; repeated rows get the same score.
+    """
     model = q.quality_model(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality"))
-    return quality.score(docs, model, keep=tuple(docs.columns), name="_score").where(f"_score >= {QUALITY}").drop("_score")
+    (score,) = unused(docs, "quality_score")
+    return quality.score(docs, model, keep=tuple(docs.columns), name=score).where(F.col(score) >= QUALITY).drop(score)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that ten documents or more have; n_chars follows the text."""
+    """Drops lines that ten documents or more have; n_chars follows the text.
+
+    No document goes; a null or empty text has no line that could. Repeated rows, and rows with a null id, count as one document.
+    """
     kept = lines.dedup_lines(docs, min_docs=10).select(*docs.columns)
     return kept.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the smallest id, of each group of near copies."""
+    """Keeps one document, the one with the smallest id, of each group of near copies.
+
+    Documents without a word, as null and empty texts, all stay. A row repeated with its id is a copy, so one stays at most; a null id counts as the smallest.
+    """
     return jaccard.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold too much of the benchmark."""
+    """Drops documents of whose words one in twenty at least lies in a benchmark window.
+
+    Null and empty texts have no words and stay; repeated rows stay or go together; null ids are judged like others.
+    """
     return contamination.clean(docs, read_table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document kept."""
+    """Token counts and digests of every document kept; a null text counts as empty, and repeated rows are repeated."""
     return q.token_digests(docs)
 
 
