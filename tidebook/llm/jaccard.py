@@ -34,7 +34,7 @@ from .words import Hasher, blocks
 #: Counters of the sketch that tells frequent n-grams from rare ones (a power of two), and the parts it is shipped in.
 COUNTERS, PARTS = 1 << 24, 64
 #: Members, and n-grams of all members together, from which on a cell is cut into blocks.
-BLOCK, BLOCK_GRAMS = 1000, 500_000
+BLOCK, BLOCK_GRAMS = 400, 400_000
 #: Rows of a region that are held at a time; a larger one, and one at a border of partitions, is cut into rings by Spark.
 HELD = 50_000
 #: Tables up to this many pairs of 64-bit numbers (some 40 MB) may be broadcast; larger ones are joined by shuffle.
