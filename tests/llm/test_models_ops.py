@@ -235,6 +235,30 @@ def test_balanced_parts_and_router():
     assert (router.rank(x, 1)[:, 0] == label).mean() > 0.9
 
 
+def test_html_wrappers_attributes_and_open_elements():
+    """The article stands in a form, after an open nav, or under attributes that only look like a mark."""
+    body = "".join(f"<p>This is paragraph number {k}, with some text, commas, and enough words to count as an article.</p>" for k in range(6))
+    want = "\n".join(["Head", *re.findall("<p>(.*?)</p>", body)])
+    menu = "<ul><li><a href=/>Home</a><li><a href=/b>Blog</a></ul>"
+    article = f"<h1>Head</h1>{body}"
+    for page in (f"<div title='the hidden costs of x'>{article}</div>", f"<div data-hidden='false'>{article}</div>", f"<div data-x=\"a style='display:none'\">{article}</div>",
+                 f"<form action='/x'><div id=content>{article}</div><input name=q></form>", f"<form>{menu}<div>{article}</div><label>Search</label><button>Go</button></form>",
+                 f"<nav>{menu}<div class=post>{article}</div>", f"<div class='post with-sharing'>{article}</div>", f"<div id='ad-hoc-networks'>{article}</div>"):
+        assert html.main_text(f"<html><body>{page}</body></html>") == want, page
+    side = "<form><p>Search our pages, please, with a word.</p><input></form><nav><a href=/>Home</a> and more, and more.</nav>"
+    assert html.main_text(f"<body>{side}<div>{article}</div>") == want
+    assert html.main_text(f"<body><div hidden>{body}</div><div><p>short visible text.</p></div>") == "short visible text."
+
+
+def test_html_time_is_linear_in_nesting():
+    import time
+
+    for part in ("<div>x, y", "<section class=ad>x, y", "<ul><li>x, y", "<article>x, y", "<dl><center>x"):
+        began = time.process_time()
+        html.main_text(part * 16_000)
+        assert time.process_time() - began < 5, part
+
+
 def plain_spans(x):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", x)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", x) if all(int(p) <= 255 for p in m.group().split("."))]

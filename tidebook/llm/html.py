@@ -22,8 +22,12 @@ from .common import small_batches
 
 #: Elements that never hold article text.
 FURNITURE = set(
-    "head nav footer aside form script style noscript iframe object embed template button select textarea option "
+    "head footer aside script style noscript iframe object embed template button select textarea option "
     "svg canvas audio video map dialog menu datalist applet frameset noframes title fieldset label input".split())
+#: Elements that hold none either, unless the page stands in them; judged like names.
+WRAPPERS = {"form": "<form>", "nav": "<nav>"}
+#: Points of all text in a form or a menu from which on it can be what the page stands in.
+ARTICLE = 8
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 #: Words in a class or an id that mark furniture.
 NAMES = set(
@@ -64,14 +68,41 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "out", "named", "score", "leaf", "size", "links", "inside")
+    __slots__ = ("tag", "parent", "out", "named", "score", "leaf", "size", "links", "points", "told", "head", "inside", "flag", "branch")
 
     def __init__(self, tag: str, parent: _Node | None, out: bool, named: set[str], leaf: bool, score: float):
         self.tag, self.parent, self.out, self.named, self.leaf, self.score = tag, parent, out, named, leaf, score
-        self.size = self.links = 0
         self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
 
 
+#: A block of text: its container, its text, and how many of its characters are links.
+Block = tuple[_Node, str, int]
+
+
+def _points(text: str, links: int) -> float:
+    return (1 + text.count(",") + min(3, len(text) // 100)) * (1 - links / len(text))
+
+
+def _add_up(nodes: list[_Node], blocks: list[Block]) -> None:
+    """Sizes, links, points, headlines, and whether they tell something, of all containers, from the innermost outwards."""
+    for n in nodes:
+        n.size = n.links = 0
+        n.points, n.told, n.head = 0.0, False, False
+    for node, text, links in blocks:
+        node.size += len(text)
+        node.links += links
+        node.points += _points(text, links)
+        node.told |= node.leaf or text.rstrip("\"')]»”’").endswith((".", "!", "?", "…", "。"))
+        node.head |= node.tag in ("h1", "h2")
+    for n in reversed(nodes):  # children come after their parents
+        if (up := n.parent) is not None:
+            up.size += n.size
+            up.links += n.links
+            up.points += n.points
+            up.told |= n.told
+            up.head |= n.head
+
+
 def _names(tag: str, tokens: list[str]) -> tuple[set[str], bool]:
     """The words of a class and an id that may mark furniture, and whether others mark the article."""
     bad, good = set(), False
@@ -92,6 +123,7 @@ def _judge(tag: str, attrs: str, parent: _Node) -> tuple[bool, set[str], float]:
     """Whether an element is furniture for sure, words of its names that say so, and the points it starts with."""
     if tag in FURNITURE or (tag == "header" and not parent.inside):
         return True, set(), 0.0
+    wrapper = {WRAPPERS[tag]} if tag in WRAPPERS else set()
     score, tokens = 25.0 if tag == "article" else 15.0 if tag == "main" else 0.0, []
     if attrs.strip("/> \t\r\n") and "=" in attrs or "hidden" in attrs.lower():
         for name, value in _ATTR.findall(attrs):
@@ -105,60 +137,75 @@ def _judge(tag: str, attrs: str, parent: _Node) -> tuple[bool, set[str], float]:
             if name in ("class", "id"):
                 tokens += value.split()
     if not tokens or tag in ("html", "body", "main"):
-        return False, set(), score
+        return False, wrapper, score
     bad, good = _names(tag, tokens)
     if parent.inside and tag in ("header", "h1", "h2", "h3", "p"):
         bad -= {"header"}
-    return False, bad, score + 10.0 * (good and not bad)
+    return False, bad | wrapper, score + 10.0 * (good and not bad)
 
 
-def _up(node: _Node | None) -> Iterator[_Node]:
-    while node is not None:
-        yield node
-        node = node.parent
+def _ring(marked: list[_Node]) -> set[_Node]:
+    """All containers around the marked ones."""
+    out: set[_Node] = set()
+    for n in marked:
+        up = n.parent
+        while up is not None and up not in out:
+            out.add(up)
+            up = up.parent
+    return out
 
 
-def _unnamed(blocks: list[tuple[_Node, str, int]]) -> list[tuple[_Node, str, int]]:
-    """The blocks that no container's name marks as furniture; all if there are no others.
+def _unnamed(nodes: list[_Node], blocks: list[Block]) -> list[Block]:
+    """The blocks that no container's name marks as furniture; all outside forms and menus if there are no others.
 
     A word for a place in the layout counts for nothing where one container or all together would take
     most of the page's text that is no link, and around the only article; no word counts around an article
-    with most of that text. Inside an article, a header with a headline stays.
+    with most of that text. Inside an article, a header with a headline stays. A form or a menu counts as none
+    where it holds most of that text and enough points for an article.
     """
-    free: dict[_Node, int] = {}
-    heads: set[_Node] = set()
-    total = 0
-    for node, text, links in blocks:
-        total += len(text) - links
-        for up in _up(node):
-            free[up] = free.get(up, 0) + len(text) - links
-            if node.tag in ("h1", "h2"):
-                heads.add(up)
-    if not any(n.named for n in free):
+    _add_up(nodes, blocks)
+    full = [n for n in nodes if n.size]
+    if not any(n.named for n in full):
         return blocks
+    total = sum(len(text) - links for _, text, links in blocks)
     alike: dict[tuple, int] = {}  # children of one container with the same words stand together
-    for n in free:
-        alike[n.parent, frozenset(n.named)] = alike.get((n.parent, frozenset(n.named)), 0) + free[n]
-    says = {n: n.named & OTHERS if 2 * alike[n.parent, frozenset(n.named)] > total else n.named for n in free}
+    for n in full:
+        key = n.parent, frozenset(n.named)
+        alike[key] = alike.get(key, 0) + n.size - n.links
+    says = {n: n.named & OTHERS if 2 * alike[n.parent, frozenset(n.named)] > total else n.named for n in full}
+    wraps = set(WRAPPERS.values())
+    for n in full:
+        if n.tag in WRAPPERS and not (2 * (n.size - n.links) > total and n.points >= ARTICLE):
+            says[n] = says[n] | {WRAPPERS[n.tag]}
+        elif n.tag in WRAPPERS:
+            says[n] = says[n] - wraps
+    said: dict[_Node | None, frozenset[str]] = {None: frozenset()}  # by a container or one around it
     taken: dict[str, int] = {}
-    for n in free:
-        for w in says[n].difference(*(says[u] for u in _up(n.parent))) if says[n] else ():
-            taken[w] = taken.get(w, 0) + free[n]
-    void = {w for w, size in taken.items() if w not in OTHERS and 2 * size > total}
-    marked = [n for n in free if n.tag in ("article", "main") and free[n] and not n.named]
-    only = all(any(says[u] - void for u in _up(n)) for n in marked)
-    around, held = set(), set()
-    for n in marked:
-        held.update(_up(n.parent) if only else ())
-        around.update(_up(n.parent) if 2 * free[n] > total else ())
-    bad = {n for n in free if n not in around and says[n] - void - (NAMES - OTHERS if n in held else {"header", "masthead"} if n.inside and n in heads else set())}
-    return [b for b in blocks if bad.isdisjoint(_up(b[0]))] or blocks
+    for n in full:
+        new = says[n] - said[n.parent]
+        said[n] = said[n.parent] | new if new else said[n.parent]
+        for w in new:
+            taken[w] = taken.get(w, 0) + n.size - n.links
+    void = {w for w, size in taken.items() if w not in OTHERS | wraps and 2 * size > total}
+    marked = [n for n in full if n.tag in ("article", "main") and n.size > n.links and not n.named]
+    held = _ring(marked) if all(said[n] - void for n in marked) else set()
+    around = _ring([n for n in marked if 2 * (n.size - n.links) > total])
+    for n in full:
+        if n in held:
+            but = NAMES - OTHERS | wraps
+        else:
+            but = {"header", "masthead"} if n.inside and n.head else set()
+        bad = says[n] - void - but if n not in around else set()
+        n.flag = (n.parent is not None and n.parent.flag) or bool(bad)
+        n.branch = (n.parent is not None and n.parent.branch) or not wraps.isdisjoint(bad)
+    return [b for b in blocks if not b[0].flag] or [b for b in blocks if not b[0].branch]
 
 
 def main_text(html: str | None) -> str:
     """The article of one page, its blocks joined by newlines; empty if there is none."""
     root = _Node("#root", None, False, set(), False, 0.0)
-    stack, blocks, buf = [root], [], []
+    stack, nodes, blocks, buf = [root], [root], [], []
+    there: dict[str, int] = {}  # open elements by tag
     link_depth = link_chars = 0
     html = html or ""
 
@@ -171,9 +218,13 @@ def main_text(html: str | None) -> str:
             buf, link_chars = [], 0
 
     def pop(tags: set[str], borders: set[str]) -> None:
+        if not any(there.get(x) for x in tags):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in tags:
                 flush()
+                for n in stack[k:]:
+                    there[n.tag] -= 1
                 del stack[k:]
                 return
             if stack[k].tag in borders:
@@ -224,28 +275,27 @@ def main_text(html: str | None) -> str:
             parent = stack[-1]
             out, named, score = (True, set(), 0.0) if parent.out else _judge(tag, m[3], parent)
             stack.append(_Node(tag, parent, out, named, tag in LEAVES, score))
+            there[tag] = there.get(tag, 0) + 1
+            if not out:
+                nodes.append(stack[-1])
     if at < len(html) and not stack[-1].out:
         buf.append(html[at:])
     flush()
     if not blocks:
         return ""
-    blocks = _unnamed(blocks)
-
+    blocks = _unnamed(nodes, blocks)
+    if not blocks:
+        return ""
+    _add_up(nodes, blocks)
     touched: dict[_Node, None] = {}
     for node, text, links in blocks:
-        points = (1 + text.count(",") + min(3, len(text) // 100)) * (1 - links / len(text))
-        top = node.parent if node.leaf and node.parent else node
+        points, top = _points(text, links), node.parent if node.leaf and node.parent else node
         for share in (1.0, 0.5, 1 / 3):
             if top is None:
                 break
             top.score += points * share
             touched[top] = None
             top = top.parent
-        up: _Node | None = node
-        while up is not None:
-            up.size += len(text)
-            up.links += links
-            up = up.parent
     for node in touched:
         node.score *= 1 - node.links / max(1, node.size)
     best = max(touched, key=lambda n: n.score)
@@ -255,72 +305,57 @@ def main_text(html: str | None) -> str:
             best = up
         up = up.parent
     if best.tag in ("article", "main"):
-        beside = _beside_marked(best, max(10.0, 0.2 * best.score))
-    else:
-        beside = _beside(best, blocks)
-    return "\n".join(text for node, text, links in blocks if beside(node, text, links))
+        return _beside_marked(best, nodes, blocks)
+    return _beside(best, nodes, blocks)
 
 
-def _few(links: int, size: int) -> bool:
-    return links < 0.25 * size
+def _few(node: _Node) -> bool:
+    return node.links < 0.25 * node.size
 
 
-def _beside_marked(best: _Node, enough: float):
-    """What stays of a page with a marked article: it, siblings that score enough, longer ones that are one block, and a headline."""
-    def keep(node: _Node, text: str, links: int) -> bool:
-        below = None
-        for up in _up(node):
-            if up is best:
-                return True
-            if up is best.parent:
-                return below is not None and up.parent is not None and (
-                    below.score >= enough or (below.leaf and (below.size > 80 or below.tag in ("h1", "h2")) and _few(below.links, below.size)))
-            below = up
-        return False
-    return keep
+def _beside_marked(best: _Node, nodes: list[_Node], blocks: list[Block]) -> str:
+    """The text of a page with a marked article: it, siblings that score enough, longer ones that are one block, and a headline."""
+    enough, at = max(10.0, 0.2 * best.score), best.parent
+    for n in nodes:  # the child of the article's parent in which a container is, if it stays
+        if n.parent is not at or n is best or at is None:
+            n.branch = n.parent.branch if n.parent is not None and n is not best else n is best
+        else:
+            n.branch = at.parent is not None and (
+                n.score >= enough or (n.leaf and (n.size > 80 or n.tag in ("h1", "h2")) and _few(n)))
+    return "\n".join(text for node, text, _ in blocks if node.branch)
 
 
-def _beside(best: _Node, blocks: list[tuple[_Node, str, int]]):
-    """What stays of a page without one: the best container, and what stands beside it with few links.
+def _beside(best: _Node, nodes: list[_Node], blocks: list[Block]) -> str:
+    """The text of a page without one: the best container, and what stands beside it with few links.
 
     These are siblings with a fifth of its points, by all text in them, short ones that are or hold a heading, a
     paragraph or the like, or a sentence, and loose text between them. If any sibling has so many points, the parent
     stands for the article, as does one with no other child; then what is beside that is judged in the same way.
     """
-    points: dict[_Node, float] = {}
-    told: set[_Node] = set()
-    below: dict[_Node, dict[_Node, None]] = {}
-    for node, text, links in blocks:
-        mine = (1 + text.count(",") + min(3, len(text) // 100)) * (1 - links / len(text))
-        last = None
-        for up in _up(node):
-            points[up] = points.get(up, 0.0) + mine
-            if node.leaf or text.rstrip("\"')]»”’").endswith((".", "!", "?", "…", "。")):
-                told.add(up)
-            if last is not None:
-                below.setdefault(up, {})[last] = None
-            last = up
+    below: dict[_Node, list[_Node]] = {}
+    for n in nodes:
+        if n.size and n.parent is not None:
+            below.setdefault(n.parent, []).append(n)
     own = {node for node, _, _ in blocks}
-    kept, above, at, total = {best}, set(), best, points[best]
+    kept, above, at, total = {best}, set(), best, best.points
     while at.parent is not None:
         several, others = False, [n for n in below[at.parent] if n is not at]
         worth = 0.2 * total
         for n in others:
-            share = points[n] * (1 - n.links / max(1, n.size))
+            share = n.points * (1 - n.links / max(1, n.size))
             if share >= worth:
                 several = True
                 total += share
-            if share >= worth or (n in told and _few(n.links, n.size)):
+            if share >= worth or (n.told and _few(n)):
                 kept.add(n)
         at = at.parent
         if at in own:  # with loose text
             above.add(at)
         if (others or at in own) and not several:
             break
-
-    def keep(node: _Node, text: str, links: int) -> bool:
-        return (node in above and _few(links, len(text))) or any(up in kept for up in _up(node))
-    return keep
+    for n in nodes:
+        n.flag = n in kept or (n.parent is not None and n.parent.flag)
+    return "\n".join(text for node, text, links in blocks if node.flag or (node in above and links < 0.25 * len(text)))
 
 
 def extract(df: DataFrame, html: str = "html", keep: tuple[str, ...] = (), text: str = "text") -> DataFrame:
