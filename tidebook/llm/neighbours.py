@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 from .quality import sample_rows
 
 
@@ -144,14 +144,17 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id",
     split, and its queries go to every piece. Queries come in blocks as well, of about ``asks`` of all different ones (64 MB by
     default), to each of which the pieces are copied; a group is one block's queries of a part with one piece.
     """
+    small_batches(df.sparkSession)
     rows = df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("v")))
-    rows = materialize(rows.groupBy("id", "v").agg(F.max("q").alias("q")), "vectors")
-    order = Window.partitionBy("v").orderBy("id")
+    rows = materialize(rows.groupBy("id", "v").agg(F.max("q").alias("q")).withColumn("h", F.xxhash64("v")), "vectors")
+    # Sorted by hash first, so that whole vectors are compared only where these are equal.
+    order = Window.partitionBy("h", "v").orderBy("id")
     some = rows.withColumn("r", F.row_number().over(order)).where(f"r <= {k + 1}")
-    different = some.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # k + 1 ids at most
-    different = materialize(different.withColumn("g", F.element_at("ids", 1)), "different-vectors")
-    asked = rows.where("q").select("v").distinct()
+    different = some.groupBy("h", "v").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # k + 1 ids at most
+    different = materialize(different.select("v", "ids", F.element_at("ids", 1).alias("g")), "different-vectors")
+    # A query vector goes by the smallest of the ids that ask for it.
+    asked = materialize(rows.where("q").groupBy("h", "v").agg(F.min("id").alias("a")), "asked-vectors")
     n = different.count()
     parts = parts or int(min(256, max(1, n // 400)))
     router, probes = learn(different, "v", parts, k, target, bound)
@@ -179,10 +182,10 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id",
     index = index.select("v", "ids", F.col("part").alias("home"), F.pmod(F.xxhash64("g"), F.col("pieces")).alias("box"))
     blocks = -(-asked.count() // (asks or max(1, (64 << 20) // (8 * router.weight.shape[0])))) or 1
     index = index.withColumn("asks", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    asked = asked.mapInPandas(route(probes), "v array<double>, part array<long>")
-    asked = asked.select("v", F.explode("part").alias("part")).join(F.broadcast(pieces), "part")
-    asked = asked.select("v", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"),
-                         F.pmod(F.xxhash64("v"), F.lit(blocks).cast("long")).alias("asks"))
+    routed = asked.select("v", "a").mapInPandas(route(probes), "v array<double>, a long, part array<long>")
+    routed = routed.select("v", "a", F.explode("part").alias("part")).join(F.broadcast(pieces), "part")
+    routed = routed.select("v", "a", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"),
+                           F.pmod(F.xxhash64("a"), F.lit(blocks).cast("long")).alias("asks"))
 
     def rank(key: tuple, ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -201,20 +204,21 @@ def nearest(df: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id",
                 # All that may be among the k + 1 best once scores are exact: ties are decided by id.
                 take = len(y) - min(k + 1, len(y))
                 least = np.partition(s, take, axis=1)[:, take] - 8 * (size + 8) * np.finfo(float).eps
-                for r, v in enumerate(a["v"].iloc[lo : lo + 256]):
+                for r, name in enumerate(a["a"].iloc[lo : lo + 256]):
                     cols = np.flatnonzero(s[r] >= least[r])
                     exact = (y[cols] * x[r]).sum(axis=1) / (nx[r] * ny[cols])
                     for c in np.lexsort(([ids[j][0] for j in cols], -exact))[: k + 1]:
-                        out.append((v, ids[cols[c]], float(exact[c])))
-        return pd.DataFrame(out, columns=["v", "ids", "score"])
+                        out.append((name, ids[cols[c]], float(exact[c])))
+        return pd.DataFrame(out, columns=["a", "ids", "score"])
 
-    found = asked.groupBy("part", "piece", "asks").cogroup(index.groupBy("home", "box", "asks")).applyInPandas(rank, "v array<double>, ids array<long>, score double")
+    found = routed.groupBy("part", "piece", "asks").cogroup(index.groupBy("home", "box", "asks")).applyInPandas(rank, "a long, ids array<long>, score double")
     # k + 1 best vectors hold the k best ids of every query with this vector, its own left out.
-    by = Window.partitionBy("v").orderBy(F.desc("score"), F.element_at("ids", 1))
+    by = Window.partitionBy("a").orderBy(F.desc("score"), F.element_at("ids", 1))
     best = found.withColumn("r", F.row_number().over(by)).where(f"r <= {k + 1}")
-    best = materialize(best.groupBy("v").agg(F.collect_list(F.struct("score", "ids")).alias("best")), "best-of-vectors")
+    best = materialize(best.groupBy("a").agg(F.collect_list(F.struct("score", "ids")).alias("best")), "best-of-vectors")
     flat = F.flatten(F.transform("best", lambda b: F.transform(b["ids"], lambda i: F.struct((-b["score"]).alias("minus"), i.alias("id")))))
-    own = rows.where("q").select(F.col("id").alias("query_id"), "v").join(best.select("v", flat.alias("near")), "v")
+    own = rows.where("q").select(F.col("id").alias("query_id"), "h", "v").join(asked, ["h", "v"]).select("query_id", "a")
+    own = own.join(best.select("a", flat.alias("near")), "a")
     near = F.slice(F.array_sort(F.filter("near", lambda c: c["id"] != F.col("query_id"))), 1, k)
     out = own.select("query_id", near.alias("near")).select("query_id", F.posexplode("near").alias("p", "c"))
     return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("c.id").alias("vec_id"), (-F.col("c.minus")).alias("score"))
