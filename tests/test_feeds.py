@@ -1,57 +1,159 @@
-"""Feed parsers on small files."""
+"""Feed parsers against plain ones, on files drawn from a seed and cut into small parts."""
 
 import gzip
+import random
+from datetime import datetime, timedelta, timezone
 
-from tidebook.sources import feeds, market
+import pytest
 
-DAY = 16602  # 2015-06-16
+from tidebook.sources import feeds, market
 
+ZERO = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
-def test_clocks(spark):
-    from pyspark.sql import functions as F
 
-    r = spark.createDataFrame([("20150616", "10:00:00.5", "093000000000001")], "d string, c string, u string").select(
-        feeds.day_ns(F.col("d")).alias("d"), feeds.clock_ns(F.col("c")).alias("c"), feeds.utc_ns(F.col("u")).alias("u")).first()
-    assert r.d == DAY * 86400 * 10**9 and r.c == 36000 * 10**9 + 500_000_000 and r.u == 34200 * 10**9 + 1
+def nanos(day: datetime, clock_ns: int) -> int:
+    return (day - ZERO).days * 86_400 * 10**9 + clock_ns
 
 
-def test_equity_tape(spark, tmp_path):
-    rows = ["10:00:00.000, QUOTE BID NB, AB, 50.00, 2", "10:00:00.000, QUOTE ASK NB, AB, 50.50, 3", "10:00:00.500, TRADE, AB, 50.50, 1", "10:00:01.000, TRADE NB, AB, 50.00, 5",
-            "10:00:01.500, TRADE, AB, 50.25, 5", "10:00:02.000, QUOTE BID, AB, 1, 1", "08:00:00.000, TRADE, AB, 50.50, 1", "16:00:00.000, TRADE, AB, 50.50, 1", "bad"]
-    (tmp_path / "a.csv").write_text("Date, Timestamp, EventType, Ticker, Price, Quantity, Exchange, Conditions\n" + "".join(f"20150616, {r}, X, 1\n" for r in rows[:-1]) + "bad\n")
-    tape = feeds.equity_tape(spark, str(tmp_path / "a.csv"))
-    assert tape.count() == 5 and feeds.equity_tape(spark, str(tmp_path / "a.csv"), regular_hours=False).count() == 7
-    assert [r.side for r in feeds.sign_by_quote(tape).orderBy("line").collect()] == [1, -1, 0]
+def day_of(r: random.Random) -> datetime:
+    return datetime(2001, 1, 1, tzinfo=timezone.utc) + timedelta(days=r.randrange(9000))
 
 
-def tape_row(clock, kind, side, level, price, qty):
-    return f"20230313,{clock},20230313,{clock},1,XX,XX,XXM3,{kind},INFO,{side},{level},{price},{qty},1,0,2,0,0,0\n"
+@pytest.fixture
+def small_parts(spark):
+    """Files are cut every few hundred bytes, so what is carried crosses many borders."""
+    keys = {"spark.sql.files.maxPartitionBytes": "700b", "spark.sql.files.openCostInBytes": "1b"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
 
 
-def test_futures_tape(spark, tmp_path):
-    head = "UTCDate,UTCTime,LocalDate,LocalTime,SecurityID,Product,Group,Ticker,TypeMask,Info,Side,Level,Price,Quantity,Orders,Flags,PriceDecimals,MainFraction,SubFraction,PriceDisplayFormat\n"
-    rows = [("090000000000000", 161, "B", 0, 10.0, 5), ("090000000000001", 97, "S", 0, 10.5, 4), ("090000000000002", 162, "B", 0, 10.5, 2), ("090000000000003", 98, "S", 0, 10.0, 0),
-            ("090000000000004", 49, "B", 0, 0, 500), ("090000000000005", 108, "S", 0, 0, 0), ("090000000000006", 161, "B", 1, 9.5, 7), ("090000000000007", 98, "S", 0, 10.0, 3)]
-    with gzip.open(tmp_path / "t.csv.gz", "wt") as f:
-        f.write(head + "".join(tape_row(*r) for r in rows))
-    path = str(tmp_path / "t.csv.gz")
-    assert [(r.price, r["size"], r.side) for r in feeds.futures_trades(spark, path).orderBy("line").collect()] == [(10.5, 2.0, 1), (10.0, 3.0, -1)]
-    books = [([tuple(x) for x in r.bids], [tuple(x) for x in r.asks]) for r in feeds.futures_quotes(spark, path).orderBy("line").collect()]
-    assert books == [([(10.0, 5.0)], []), ([(10.0, 5.0)], [(10.5, 4.0)]), ([(10.0, 5.0)], [])]
+def order(r):
+    return (r.file, r.part, r.line)
 
 
-def test_futures_depth(spark, tmp_path):
-    def row(side, depth, *levels):
-        flat = [x for l in levels for x in (*l, 1)] + [0] * (30 - 3 * len(levels))
-        return ",".join(map(str, ["20230313", "090000000000000", "20230313", "040000000000000", 1, "XX", "XX", "XXM3", side, 0, 2, 0, 0, 0, depth, *flat])) + "\n"
+def test_clocks(spark):
+    from pyspark.sql import functions as F
 
-    (tmp_path / "d.csv").write_text("h\n" + row("B", 2, (10.0, 5), (9.5, 0)) + row("S", 1, (10.5, 4), (11.0, 9)) + row("X", 1, (1, 1)) + row("B", 0, (10.25, 1), (10.0, 5)))
-    books = [([tuple(x) for x in r.bids], [tuple(x) for x in r.asks]) for r in feeds.futures_depth(spark, str(tmp_path / "d.csv")).orderBy("line").collect()]
-    assert books == [([(10.0, 5.0)], []), ([(10.0, 5.0)], [(10.5, 4.0)]), ([(10.25, 1.0), (10.0, 5.0)], [(10.5, 4.0)])]
+    r = random.Random(5)
+    rows, want = [], []
+    for _ in range(40):
+        day, h, m, s, ns = day_of(r), r.randrange(24), r.randrange(60), r.randrange(60), r.randrange(10**9)
+        digits = r.randrange(0, 5)
+        frac = f"{r.randrange(10**digits):0{digits}d}" if digits else ""
+        rows.append((day.strftime("%Y%m%d"), f"{h:02d}:{m:02d}:{s:02d}" + f".{frac}" * bool(frac), f"{h:02d}{m:02d}{s:02d}{ns:09d}"))
+        second = ((h * 60 + m) * 60 + s) * 10**9
+        want.append((nanos(day, 0), second + int((frac + "000")[:3]) * 10**6, second + ns))
+    got = spark.createDataFrame(rows, "d string, c string, u string").select(feeds.day_ns(F.col("d")), feeds.clock_ns(F.col("c")), feeds.utc_ns(F.col("u"))).collect()
+    assert [tuple(x) for x in got] == want
+
+
+def equity_file(seed):
+    """Text of an equity tape, and what a plain reader makes of it: (rows in hours, rows in all, sides of the trades in hours)."""
+    r = random.Random(seed)
+    day, out, every, inside, sides = day_of(r), [], [], [], []
+    best = {"bid": None, "ask": None}
+    for _ in range(150):
+        ms = r.randrange(6 * 3600_000, 20 * 3600_000)
+        kind = r.choice(["QUOTE BID NB", "QUOTE ASK NB", "TRADE", "TRADE NB", "QUOTE ASK", "STATUS"])
+        px, size = r.randrange(100, 140) / 4, r.randrange(1, 900)
+        s = ms // 1000
+        out.append(f"{day:%Y%m%d}, {s // 3600:02d}:{s // 60 % 60:02d}:{s % 60:02d}.{ms % 1000:03d}, {kind}, Q{seed}, {px}, {size}, V, {r.randrange(9)}")
+        if r.random() < 0.1:
+            out.append(r.choice(["", "not a row", "a,b,c"]))
+        name = {"QUOTE BID NB": "bid", "QUOTE ASK NB": "ask", "TRADE": "trade", "TRADE NB": "trade"}.get(kind)
+        if name is None:
+            continue
+        row = (nanos(day, ms * 10**6), name, px, float(size))
+        every.append(row)
+        if 34_200_000 <= ms < 57_600_000:
+            inside.append(row)
+            if name == "trade":
+                middle = None if None in best.values() else sum(best.values()) / 2
+                sides.append(0 if middle is None or px == middle else 1 if px > middle else -1)
+            else:
+                best[name] = px
+    return "Date, Timestamp, EventType, Ticker, Price, Quantity, Exchange, Conditions\n" + "\n".join(out) + "\n", inside, every, sides
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_equity_tape(spark, tmp_path, small_parts, seed):
+    text, inside, every, sides = equity_file(seed)
+    (tmp_path / "a.csv").write_text(text)
+    path = str(tmp_path / "a.csv")
+    tape = feeds.equity_tape(spark, path)
+    assert tape.rdd.getNumPartitions() > 3
+    plain = lambda df: [(x.ts_ns, x.kind, x.price, x["size"]) for x in sorted(df.collect(), key=order)]
+    assert plain(tape) == inside and plain(feeds.equity_tape(spark, path, regular_hours=False)) == every
+    assert [x.side for x in sorted(feeds.sign_by_quote(tape).collect(), key=order)] == sides
+
+
+def tape_file(seed):
+    """Text of a futures tape, its trades and its books, read plainly."""
+    r = random.Random(seed)
+    day, clock, out, trades, books, book = day_of(r), r.randrange(10**13), [], [], [], {"B": [], "S": []}
+    for _ in range(120):
+        clock += r.randrange(10**9)
+        kind, side, level = r.choice([161, 97, 162, 98, 172, 108, 49, 51]), r.choice("BS"), r.choice([0, 0, 1, 2])
+        px, qty = r.randrange(400, 440) / 8, r.randrange(0, 9)
+        s = clock // 10**9
+        stamp = f"{s // 3600:02d}{s // 60 % 60:02d}{s % 60:02d}{clock % 10**9:09d}"
+        out.append(f"{day:%Y%m%d},{stamp},0,0,{r.randrange(99)},P,G,T{seed},{kind},I,{side},{level},{px},{qty},1,0,2,0,0,0")
+        ts = nanos(day, clock)
+        if kind in (162, 98) and qty > 0:
+            trades.append((ts, px, float(qty), 1 if kind == 162 else -1))
+        if (kind in (161, 97) and level == 0) or kind in (172, 108):
+            book = book | {side: [] if kind in (172, 108) else [(px, float(qty))]}
+            books.append((ts, book["B"], book["S"]))
+    return ",".join(f"h{k}" for k in range(20)) + "\n" + "\n".join(out) + "\n", trades, books
+
+
+@pytest.mark.parametrize("zipped", [False, True])
+def test_futures_tape(spark, tmp_path, small_parts, zipped):
+    found = [tape_file(seed) for seed in (21, 22)]
+    for k, (text, _, _) in enumerate(found):
+        with (gzip.open(tmp_path / f"t{k}.csv.gz", "wt") if zipped else open(tmp_path / f"t{k}.csv", "w")) as f:
+            f.write(text)
+    trades = sorted(feeds.futures_trades(spark, str(tmp_path)).collect(), key=order)
+    assert [(x.ts_ns, x.price, x["size"], x.side) for x in trades] == [t for _, own, _ in found for t in own]
+    books = sorted(feeds.futures_quotes(spark, str(tmp_path)).collect(), key=order)
+    assert [(x.ts_ns, [tuple(l) for l in x.bids], [tuple(l) for l in x.asks]) for x in books] == [b for _, _, own in found for b in own]
+
+
+def test_futures_depth(spark, tmp_path, small_parts):
+    r = random.Random(31)
+    day, clock, out, want, book = day_of(r), 10**12, [], [], {"B": [], "S": []}
+    for _ in range(80):
+        clock += r.randrange(10**8)
+        side, depth = r.choice("BBSSX"), r.choice([0, 1, 3, 10])
+        levels = [(r.randrange(0, 50) / 2, r.randrange(0, 4)) for _ in range(10)]
+        s = clock // 10**9
+        flat = ",".join(f"{p},{z},1" for p, z in levels)
+        out.append(f"{day:%Y%m%d},{s // 3600:02d}{s // 60 % 60:02d}{s % 60:02d}{clock % 10**9:09d},0,0,7,P,G,D,{side},0,2,0,0,0,{depth},{flat}")
+        if side != "X":
+            book = book | {side: [(p, float(z)) for p, z in levels[: depth or 10] if p > 0 and z > 0]}
+            want.append((nanos(day, clock), book["B"], book["S"]))
+    (tmp_path / "d.csv").write_text(",".join(f"h{k}" for k in range(45)) + "\n" + "\n".join(out) + "\n")
+    books = feeds.futures_depth(spark, str(tmp_path / "d.csv"))
+    got = [(x.ts_ns, [tuple(l) for l in x.bids], [tuple(l) for l in x.asks]) for x in sorted(books.collect(), key=order)]
+    assert got == want
+    # Stored and read again; the throttle keeps the last book of each fifth of a second.
+    feeds.store_snapshots(books, str(tmp_path / "all"), "V")
+    feeds.store_snapshots(books, str(tmp_path / "some"), "V", per_second=5)
+    back = lambda p: sorted((x.ts_ns, [tuple(l) for l in x.bids], [tuple(l) for l in x.asks]) for x in market.read_snapshots(spark, str(tmp_path / p), "D").collect())
+    assert back("all") == sorted(want)
+    assert back("some") == sorted({t // 200_000_000: (t, b, a) for t, b, a in want}.values())
 
 
 def test_stored_tables(spark, tmp_path):
-    rows = [(1, 1, s, "V", 1, [(99.0, 1.0)], []) for s in ("X", "Y")]
+    r = random.Random(41)
+    rows = [(r.randrange(10**9), None, r.choice("XY"), "V", 1, [(r.randrange(9) + 1.0, 1.0)], []) for _ in range(30)]
     spark.createDataFrame(rows, market.SNAPSHOTS).write.parquet(str(tmp_path / "s"))
     got = market.read_snapshots(spark, str(tmp_path / "s"), "X").collect()
-    assert [r.symbol for r in got] == ["X"] and got[0].asks == []
+    assert sorted(x.ts_ns for x in got) == sorted(x[0] for x in rows if x[2] == "X")
+    trades = spark.createDataFrame([(r.randrange(10**9), r.choice("XY"), r.randrange(9) + 0.5, 2.0, 1) for _ in range(30)], "ts_ns long, symbol string, price double, size double, side int")
+    feeds.store_trades(trades, str(tmp_path / "t"), "V")
+    assert market.read_trades(spark, str(tmp_path / "t"), "Y").count() == trades.where("symbol = 'Y'").count()

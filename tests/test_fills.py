@@ -85,8 +85,14 @@ def test_blocks_of_time_do_not_show(spark):
         for s in (7, 1000))
     assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
     from pyspark.sql import functions as F
-    a, b = (timeline.trailing(df, ["sym"], 9, {"n": F.count("*"), "s": F.sum("v")}, size=s) for s in (9, 1000))
-    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    since = {"late": F.col("ts_ns") - F.col("seq") % 5}
+    cols = {"n": F.lit(1), "s": F.col("v"), "late": F.col("v")}
+    a, b = (timeline.trailing(df, ["sym"], 9, cols, since, size=s).collect() for s in (9, 1000))
+    assert sorted(map(str, a)) == sorted(map(str, b))
+    for seq, sym, ts, _, n, s, late in a:
+        inside = [(x, v or 0) for x, y, t, v in data if y == sym and ts - 9 < t <= ts]
+        assert (n, s) == (len(inside), sum(v for _, v in inside))
+        assert late == sum(v or 0 for x, y, t, v in data if y == sym and t <= ts and t - x % 5 > ts - 9)
 
 
 def test_empty_tables(spark):

@@ -40,5 +40,5 @@ def test_oracle(spark, duck, name):
 def test_every_query_is_documented():
     assert set(plans.ORACLES) <= set(plans.QUERIES)
     without = set(plans.QUERIES) - set(plans.ORACLES)
-    assert without == {"ewma_fair", "refresh_triggers", "model_quotes", "hedge_fires", "queue_tracker", "perm_null", "bootstrap_ci", "effective_trials",
+    assert without == {"ewma_fair", "refresh_triggers", "model_quotes", "hedge_fires", "queue_tracker",
                        "hmm_filter", "ofi_pca", "calibration_by_rank"}

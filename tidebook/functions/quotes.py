@@ -86,6 +86,11 @@ def fee(notional: Column, is_maker: Column, maker: float, taker: float, rebate:
     return F.abs(notional) * F.when(is_maker, maker - rebate).otherwise(taker)
 
 
+def slippage(notional: Column, is_maker: Column, rate: float, maker_pays: bool = False) -> Column:
+    """Cost of crossing the book; a resting order fills at its own price and has none, unless maker_pays."""
+    return F.when(is_maker & ~F.lit(maker_pays), F.lit(0.0)).otherwise(F.abs(notional) * rate)
+
+
 def funding(inv: Column, px: Column, dt_ns: Column, rate: float) -> Column:
     """Cost of holding inv over dt at a rate for eight hours."""
     return F.when(dt_ns > 0, F.abs(inv) * F.abs(px) * rate * dt_ns / F.lit(float(EIGHT_HOURS_NS))).otherwise(F.lit(0.0))

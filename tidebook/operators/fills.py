@@ -37,7 +37,7 @@ def in_interval(trades: DataFrame, quoted: DataFrame) -> DataFrame:
 
 
 def fills(trades: DataFrame, quoted: DataFrame) -> DataFrame:
-    """Queue-aware maker fills: seq (of the trade), sym, ts_ns, interval, side (+1 we bought), price, size, idx, user_id."""
+    """Queue-aware maker fills: seq (of the trade), sym, ts_ns, interval, side (+1 we bought), price, size, idx, user_id, queue (before the order at first)."""
     at = in_interval(trades, quoted).withColumn("o", F.explode("orders")).drop("orders")
     hit = at.where((F.col("side") == -F.col("o.side")) & (F.abs(F.col("price") - F.col("o.px")) <= 1e-9))
     w = Window.partitionBy("sym", "interval", "o.side", "o.idx").orderBy("ts_ns", "seq")
@@ -48,7 +48,7 @@ def fills(trades: DataFrame, quoted: DataFrame) -> DataFrame:
 
     hit = hit.withColumn("fill", filled(F.col("_c")) - filled(F.col("_c") - F.col("size")))
     return hit.where("fill > 0").select("seq", "sym", "ts_ns", "user_id", "interval", F.col("o.side").alias("side"), F.col("o.px").alias("price"),
-                                        F.col("fill").alias("size"), F.col("o.idx").alias("idx"))
+                                        F.col("fill").alias("size"), F.col("o.idx").alias("idx"), F.col("o.queue").alias("queue"))
 
 
 def naive_fills(trades: DataFrame, quoted: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def splitmix(counter: np.ndarray, seed: int) -> np.ndarray:
 def _replicates(df: DataFrame, by: str, order: str, value: str, draws: int, one, schema: str) -> DataFrame:
     """Sums over a group's rows of each replicate. Rows are spread over tasks: row i's part in replicate j depends on (i, j) alone.
 
-    Rows are numbered inside blocks of a group; blocks are counted, not gathered.
+    i is the row's order, an integer that tells a group's rows apart.
     """
     def partial(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict = {}
@@ -40,7 +40,7 @@ def _replicates(df: DataFrame, by: str, order: str, value: str, draws: int, one,
         for key, acc in total.items():
             yield pd.DataFrame({"by": key, "j": np.arange(draws), "s": acc[:, 0], "w": acc[:, 1]})
 
-    rows = df.where(F.col(value).isNotNull()).select(F.col(by).alias("by"), F.xxhash64(order).alias("i"), F.col(value).alias("x"))
+    rows = df.where(F.col(value).isNotNull()).select(F.col(by).alias("by"), F.col(order).cast("long").alias("i"), F.col(value).alias("x"))
     sums = rows.mapInPandas(partial, schema)
     return sums.groupBy("by", "j").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
 
@@ -59,17 +59,25 @@ def sign_flip_null(df: DataFrame, by: str, order: str, value: str, draws: int, s
     return both.groupBy(F.col("by").alias(by), "n", "mean").agg(((hits + 1) / (draws + 1)).alias("p"))
 
 
-def bootstrap_means(df: DataFrame, by: str, order: str, value: str, draws: int, seed: int, alpha: float) -> DataFrame:
-    """by, lo, mean, hi: percentile interval of the mean; each row's number of copies in a replicate is Poisson(1)."""
-    cut = np.cumsum(np.exp(-1.0) / np.array([1, 1, 2, 6, 24, 120, 720, 5040], dtype=np.float64))
+#: Shares of a Poisson(1) variable: at most 0, at most 1, and so on.
+POISSON = np.cumsum(np.exp(-1.0) / np.array([1, 1, 2, 6, 24, 120, 720, 5040], dtype=np.float64))
+
 
+def replicate_means(df: DataFrame, by: str, order: str, value: str, draws: int, seed: int) -> DataFrame:
+    """by, j, m: a group's mean in each replicate; each row's number of copies in a replicate is Poisson(1)."""
     def weigh(i: np.ndarray, x: np.ndarray, j: np.ndarray) -> np.ndarray:
         u = splitmix(i.astype(np.uint64)[None, :] + j.astype(np.uint64)[:, None] * np.uint64(MUL2), seed) >> np.uint64(11)
-        w = np.searchsorted(cut, u.astype(np.float64) / 2.0**53)
+        w = np.searchsorted(POISSON, u.astype(np.float64) / 2.0**53)
         return np.stack([(w * x).sum(axis=1), w.sum(axis=1)], axis=1)
 
     kind = dict(df.dtypes)[by]
-    means = _replicates(df, by, order, value, draws, weigh, f"by {kind}, j int, s double, w double").where("w > 0").withColumn("m", F.col("s") / F.col("w"))
+    sums = _replicates(df, by, order, value, draws, weigh, f"by {kind}, j int, s double, w double").where("w > 0")
+    return sums.select("by", "j", (F.col("s") / F.col("w")).alias("m"))
+
+
+def bootstrap_means(df: DataFrame, by: str, order: str, value: str, draws: int, seed: int, alpha: float) -> DataFrame:
+    """by, lo, mean, hi: percentile interval of the mean."""
+    means = replicate_means(df, by, order, value, draws, seed)
     ci = means.groupBy("by").agg(F.expr(f"percentile(m, {alpha / 2})").alias("lo"), F.expr(f"percentile(m, {1 - alpha / 2})").alias("hi"))
     seen = df.groupBy(F.col(by).alias("b")).agg(F.avg(value).alias("mean"))
     return ci.join(seen, F.col("by") == F.col("b")).select(F.col("by").alias(by), "lo", "mean", "hi")

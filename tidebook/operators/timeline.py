@@ -62,14 +62,30 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], columns: dict[
     return out.drop("_blk", *[f"_own_{n}" for n in columns.values()], *[f"_carry_{n}" for n in columns.values()])
 
 
-def trailing(df: DataFrame, keys: list[str], width_ns: int, columns: dict[str, Column], ts: str = "ts_ns", size: int = BLOCK_NS) -> DataFrame:
-    """Adds aggregates over the rows with time in (t - width, t], ties included; rows near a block's end also serve the next one."""
-    size = max(size, width_ns)
+def trailing(df: DataFrame, keys: list[str], width_ns: int, columns: dict[str, Column], since: dict[str, Column] | None = None,
+             ts: str = "ts_ns", size: int = BLOCK_NS) -> DataFrame:
+    """Adds sums of columns over the rows with time in (t - width, t], ties included; null counts as 0.
+
+    A row's value comes in at its time and leaves when the window has passed that time, or the one in ``since``, so a
+    trailing sum is a running sum of both and no row is added up again for another. Sums run inside blocks of
+    time; rows near a block's end also serve the next one.
+    """
+    size, since = max(size, width_ns), since or {}
     df = df.withColumn("_blk", block(ts, size))
     helps = (F.col("_blk") + 1) * size - F.col(ts) < width_ns
     both = df.withColumn("_to", F.explode(F.when(helps, F.array("_blk", F.col("_blk") + 1)).otherwise(F.array("_blk"))))
-    w = Window.partitionBy(*keys, "_to").orderBy(ts).rangeBetween(-width_ns + 1, 0)
-    return both.withColumns({n: c.over(w) for n, c in columns.items()}).where("_to = _blk").drop("_to", "_blk")
+    values = {n: F.coalesce(c, F.lit(0)) for n, c in columns.items()}
+
+    def entry(at: Column, own: bool, names: list[str], sign: int) -> Column:
+        zero = {n: v * 0 for n, v in values.items()}
+        return F.struct(at.alias("at"), F.lit(own).alias("own"), *[(sign * values[n] if n in names else zero[n]).alias(n) for n in columns])
+
+    plain = [n for n in columns if n not in since]
+    leaving = [(F.col(ts), plain)] * bool(plain) + [(c, [n]) for n, c in since.items()]
+    entries = [entry(F.col(ts), True, list(columns), 1), *[entry(F.greatest(F.col(ts), c + width_ns), False, names, -1) for c, names in leaving]]
+    both = both.withColumn("_e", F.explode(F.array(*entries))).where(F.col("_e.at") < (F.col("_to") + 1) * size)
+    w = Window.partitionBy(*keys, "_to").orderBy("_e.at").rangeBetween(Window.unboundedPreceding, 0)
+    return both.withColumns({n: F.sum(f"_e.{n}").over(w) for n in columns}).where("_e.own and _to = _blk").drop("_to", "_blk", "_e")
 
 
 def as_of(probes: DataFrame, states: DataFrame, keys: list[str], value: str, name: str, at: str = "ts_ns", tie: str = "seq") -> DataFrame:

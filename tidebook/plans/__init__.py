@@ -1,6 +1,6 @@
 """Registered queries over the market tables."""
 
-from . import fills, inference, models, stateful, tape
+from . import desk, fills, inference, models, stateful, tape
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "fills", "inference", "models", "stateful", "tape"]
+__all__ = ["ORACLES", "QUERIES", "desk", "fills", "inference", "models", "stateful", "tape"]

@@ -211,10 +211,13 @@ HORIZONS = {"1s": 10**9, "10s": 10 * 10**9, "60s": 60 * 10**9, "1h": mk.HOUR_NS}
 def with_mids(fills: DataFrame, snaps: DataFrame, horizons: dict[str, int], shift: int = 0) -> DataFrame:
     """fills with the mid known at each fill's time (m0) and after each horizon; one pass in time order for all of them."""
     names = {"0": 0, **horizons}
-    probe = fills.select("sym", "seq", "idx", F.explode(F.array(*[F.struct(F.lit(n).alias("h"), (F.col("ts_ns") + v + shift).alias("ts_ns")) for n, v in names.items()])).alias("p"))
-    probe = probe.select("sym", "seq", "idx", F.col("p.h").alias("h"), F.col("p.ts_ns").alias("ts_ns"))
-    known = as_of(probe, snaps, ["sym"], "mid", "m").groupBy("sym", "seq", "idx").pivot("h", list(names)).agg(F.first("m"))
-    return fills.join(known.withColumnsRenamed({n: f"m{n}" for n in names}), ["sym", "seq", "idx"])
+    whole = F.struct(*fills.columns).alias("whole")
+    probe = fills.select("sym", "seq", "idx", whole, F.explode(F.array(*[F.struct(F.lit(n).alias("h"), (F.col("ts_ns") + v + shift).alias("ts_ns")) for n, v in names.items()])).alias("p"))
+    probe = probe.select("sym", "seq", "idx", "whole", F.col("p.h").alias("h"), F.col("p.ts_ns").alias("ts_ns"))
+    # A fill's probes come together again with the fill itself, so it is made once.
+    known = as_of(probe, snaps, ["sym"], "mid", "m").groupBy("sym", "seq", "idx").agg(
+        F.first("whole").alias("whole"), *[F.max(F.when(F.col("h") == n, F.col("m"))).alias(f"m{n}") for n in names])
+    return known.select("whole.*", *[f"m{n}" for n in names])
 
 
 def markouts(fills: DataFrame, horizons: dict[str, int]) -> DataFrame:

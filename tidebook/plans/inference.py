@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidebook.functions import quotes as q
 from tidebook.operators import fills as sim
-from tidebook.operators.resampling import bootstrap_means, sign_flip_null
+from tidebook.operators.resampling import MUL1, MUL2, POISSON, STEP, bootstrap_means, replicate_means, sign_flip_null
 from tidebook.sources import market as mk
 
 from .fills import LEDGER, MARK, TOUCHED, costed, marked
@@ -76,16 +76,19 @@ def bh_bhy(spark, sf_dir):
     return step_up(p)
 
 
-@query(sql("""SELECT count(*) AS n, round(sum(CASE WHEN x > 0 THEN x ELSE 0 END) / nullif(-sum(CASE WHEN x < 0 THEN x ELSE 0 END), 0), 7) AS rrr,
-  round(sum(CASE WHEN x > 0 AND k > 1 THEN x ELSE 0 END) / nullif(-sum(CASE WHEN x < 0 THEN x ELSE 0 END), 0), 7) AS rrr_without_best, round(min(x), 7) AS worst,
+@query(sql("""SELECT count(*) AS n, coalesce(round(sum(CASE WHEN x > 0 THEN x ELSE 0 END) / nullif(-sum(CASE WHEN x < 0 THEN x ELSE 0 END), 0), 7), 'inf'::DOUBLE) AS rrr,
+  coalesce(round(sum(CASE WHEN x > 0 AND (k > 1 OR m = 1) THEN x ELSE 0 END) / nullif(-sum(CASE WHEN x < 0 AND (k > 1 OR m = 1) THEN x ELSE 0 END), 0), 7), 'inf'::DOUBLE) AS rrr_without_best, round(min(x), 7) AS worst,
   round(sum((x - mu) ** 3) / count(*) / (sum((x - mu) ** 2) / count(*)) ** 1.5, 7) AS skew FROM (
-  SELECT x, row_number() OVER (ORDER BY x DESC, d) AS k, avg(x) OVER () AS mu FROM (SELECT ts_ns // 86400000000000 AS d, round(sum(edge + carry - fee - funding), 6) AS x FROM costed GROUP BY 1))""", *TOUCHED, LEDGER))
+  SELECT x, row_number() OVER (ORDER BY x DESC, d) AS k, avg(x) OVER () AS mu, count(*) OVER () AS m FROM (SELECT ts_ns // 86400000000000 AS d, round(sum(edge + carry - fee - funding), 6) AS x FROM costed GROUP BY 1))""", *TOUCHED, LEDGER))
 def tail_rrr(spark, sf_dir):
-    """Gains over losses of daily profit, with and without the best day."""
+    """Gains over losses of daily profit, with and without the best day; infinite without a losing day."""
     d = costed(spark, sf_dir).groupBy(F.expr(f"ts_ns div {DAY}").alias("d")).agg(F.round(F.sum("net"), 6).alias("x"))
     gain, loss = F.sum(F.when(F.col("x") > 0, F.col("x")).otherwise(0.0)), -F.sum(F.when(F.col("x") < 0, F.col("x")).otherwise(0.0))
-    top = F.greatest(F.lit(0.0), F.max("x"))
-    return d.agg(F.count("*").alias("n"), F.round(F.try_divide(gain, loss), 7).alias("rrr"), F.round(F.try_divide(gain - top, loss), 7).alias("rrr_without_best"),
+    # The best day is a loss only if all are, and it is the only one's own best.
+    several, endless = F.count("*") > 1, F.lit(float("inf"))
+    top, least = (F.when(several, F.greatest(F.lit(0.0), F.max("x"))).otherwise(F.lit(0.0)), F.when(several, F.least(F.lit(0.0), F.max("x"))).otherwise(F.lit(0.0)))
+    return d.agg(F.count("*").alias("n"), F.coalesce(F.round(F.try_divide(gain, loss), 7), endless).alias("rrr"),
+                 F.coalesce(F.round(F.try_divide(gain - top, loss + least), 7), endless).alias("rrr_without_best"),
                  F.round(F.min("x"), 7).alias("worst"), F.round(F.skewness("x"), 7).alias("skew"))
 
 
@@ -125,20 +128,20 @@ def daily_sharpe(spark, sf_dir):
     return per.where("sd > 0").select("strategy", "n", F.round(F.col("mu") / F.col("sd"), 7).alias("sharpe"))
 
 
-Q_LAGS = 3
+Q_LAGS = 10
 
 
-@query(sql("""SELECT strategy, n, round(mu / sqrt((g0 + 2 * (""" + " + ".join(f"{1 - k / (Q_LAGS + 1)} * coalesce(g{k}, 0)" for k in range(1, Q_LAGS + 1)) + """)) / n), 6) AS t_hac FROM (
-  SELECT strategy, count(*) AS n, avg(x) AS mu, var_pop(x) AS g0, """ + ", ".join(f"covar_samp(x, l{k}) AS g{k}" for k in range(1, Q_LAGS + 1)) + """ FROM (
+@query(sql("""SELECT strategy, n, round(mu / sd, 7) AS sharpe, round(mu / sqrt((g0 + 2 * (""" + " + ".join(f"{1 - k / (Q_LAGS + 1)} * coalesce(g{k}, 0)" for k in range(1, Q_LAGS + 1)) + """)) / n), 6) AS t_hac FROM (
+  SELECT strategy, count(*) AS n, avg(x) AS mu, stddev_samp(x) AS sd, var_pop(x) AS g0, """ + ", ".join(f"covar_samp(x, l{k}) AS g{k}" for k in range(1, Q_LAGS + 1)) + """ FROM (
     SELECT *, """ + ", ".join(f"lag(x, {k}) OVER w AS l{k}" for k in range(1, Q_LAGS + 1)) + """ FROM daily WINDOW w AS (PARTITION BY strategy ORDER BY d)) GROUP BY 1)
-  WHERE g0 + 2 * (""" + " + ".join(f"{1 - k / (Q_LAGS + 1)} * coalesce(g{k}, 0)" for k in range(1, Q_LAGS + 1)) + ") > 0", *TOUCHED, MARK, DAILY))
+  WHERE n >= 5 AND sd > 0 AND g0 + 2 * (""" + " + ".join(f"{1 - k / (Q_LAGS + 1)} * coalesce(g{k}, 0)" for k in range(1, Q_LAGS + 1)) + ") > 0", *TOUCHED, MARK, DAILY))
 def lo_hac(spark, sf_dir):
-    """t-value of mean daily markout with autocovariances up to three lags."""
+    """Sharpe ratio of daily markout, and t-value of its mean with autocovariances up to ten lags."""
     w = Window.partitionBy("strategy").orderBy("d")  # one row a day
     x = daily(spark, sf_dir).withColumns({f"l{k}": F.lag("x", k).over(w) for k in range(1, Q_LAGS + 1)})
-    per = x.groupBy("strategy").agg(F.count("*").alias("n"), F.avg("x").alias("mu"), F.var_pop("x").alias("g0"), *[F.covar_samp("x", f"l{k}").alias(f"g{k}") for k in range(1, Q_LAGS + 1)])
+    per = x.groupBy("strategy").agg(F.count("*").alias("n"), F.avg("x").alias("mu"), F.stddev_samp("x").alias("sd"), F.var_pop("x").alias("g0"), *[F.covar_samp("x", f"l{k}").alias(f"g{k}") for k in range(1, Q_LAGS + 1)])
     long = F.col("g0") + 2 * sum((F.coalesce(f"g{k}", F.lit(0.0)) * (1 - k / (Q_LAGS + 1)) for k in range(1, Q_LAGS + 1)), F.lit(0.0))
-    return per.withColumn("v", long).where("v > 0").select("strategy", "n", F.round(F.col("mu") / F.sqrt(F.col("v") / F.col("n")), 6).alias("t_hac"))
+    return per.withColumn("v", long).where("n >= 5 and sd > 0 and v > 0").select("strategy", "n", F.round(F.col("mu") / F.col("sd"), 7).alias("sharpe"), F.round(F.col("mu") / F.sqrt(F.col("v") / F.col("n")), 6).alias("t_hac"))
 
 
 def within_slope(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
@@ -185,19 +188,62 @@ def brier_by_rank(spark, sf_dir):
     return per.select("rank", "n", F.round("p", 9).alias("p"), F.round(F.col("p") * (1 - F.col("p")), 9).alias("brier"))
 
 
-@query()
+def draws_sql(step: int, count: int = 1000, seed: int = 2026) -> str:
+    """CTEs that end in z(strategy, x, j, z): the counter's random number of each row and replicate."""
+    wrap = "18446744073709551616::UHUGEINT"
+    return f"""c0 AS (SELECT strategy, x, j, (d::UHUGEINT + j::UHUGEINT * {step}::UHUGEINT) % {wrap} AS c FROM daily, (SELECT unnest(range({count})) AS j) WHERE x IS NOT NULL),
+z0 AS (SELECT *, (({seed}::UHUGEINT + (c + 1::UHUGEINT) * {STEP}::UHUGEINT) % {wrap})::UBIGINT AS a FROM c0),
+z1 AS (SELECT *, ((xor(a, a >> 30)::UHUGEINT * {MUL1}::UHUGEINT) % {wrap})::UBIGINT AS b FROM z0),
+z2 AS (SELECT *, ((xor(b, b >> 27)::UHUGEINT * {MUL2}::UHUGEINT) % {wrap})::UBIGINT AS e FROM z1),
+z AS (SELECT strategy, x, j, xor(e, e >> 31) AS z FROM z2)"""
+
+
+@query(sql("""SELECT strategy, n, round(mean, 9) AS mean, (count(*) FILTER (s / n >= mean - 1e-12) + 1) / 1001e0 AS p FROM
+  (SELECT strategy, j, sum(CASE WHEN z >> 63 = 1 THEN x ELSE -x END) AS s FROM z GROUP BY ALL) JOIN (SELECT strategy, count(*) AS n, avg(x) AS mean FROM daily GROUP BY 1) USING (strategy)
+  GROUP BY ALL""", *TOUCHED, MARK, DAILY, draws_sql(MUL1)))
 def perm_null(spark, sf_dir):
     """For each strategy: mean daily markout, and how often a random choice of signs does as well."""
-    return sign_flip_null(daily(spark, sf_dir), "strategy", "d", "x", draws=1000, seed=2026)
+    return sign_flip_null(daily(spark, sf_dir), "strategy", "d", "x", draws=1000, seed=2026).withColumn("mean", F.round("mean", 9))
 
 
-@query()
-def bootstrap_ci(spark, sf_dir):
-    """Percentile intervals of the mean daily markout, days drawn again with replacement."""
-    return bootstrap_means(daily(spark, sf_dir), "strategy", "d", "x", draws=1000, seed=2026, alpha=0.05)
+#: Copies of a row in a replicate: the number of these shares of a Poisson variable below the random number.
+COPIES = "+".join(f"(z >> 11 > {c!r}::DOUBLE * 9007199254740992e0)::INT" for c in POISSON.tolist())
+INTERVAL = """SELECT {keys}round(quantile_cont(m, 0.025), 9) AS lo, round(any_value(mean), 9) AS mean, round(quantile_cont(m, 0.975), 9) AS hi FROM
+  (SELECT {keys}j, sum(w * x) / sum(w) AS m FROM (SELECT *, {copies} AS w FROM z) GROUP BY ALL HAVING sum(w) > 0) {seen}{group}"""
 
 
-@query()
+@query(sql(INTERVAL.format(keys="strategy, ", copies=COPIES, seen="JOIN (SELECT strategy, avg(x) AS mean FROM daily GROUP BY 1) USING (strategy)", group=" GROUP BY strategy"),
+           *TOUCHED, MARK, DAILY, draws_sql(MUL2)))
+def bootstrap_ci(spark, sf_dir):
+    """Percentile intervals of the mean daily markout, days drawn again with replacement."""
+    ci = bootstrap_means(daily(spark, sf_dir), "strategy", "d", "x", draws=1000, seed=2026, alpha=0.05)
+    return ci.select("strategy", *[F.round(c, 9).alias(c) for c in ("lo", "mean", "hi")])
+
+
+PAIRED = """pairs AS (SELECT a.strategy // 2 AS strategy, a.d, b.x - a.x AS x FROM daily a JOIN daily b ON a.d = b.d AND b.strategy = a.strategy + 1 WHERE a.strategy % 2 = 0)"""
+
+
+@query(sql("""SELECT pair, n_pairs, round(any_value(mean), 9) AS delta, round(quantile_cont(m, 0.025), 9) AS lo, round(quantile_cont(m, 0.975), 9) AS hi,
+  round(least(1e0, 2 * least(avg((m >= 0)::INT), avg((m <= 0)::INT))), 9) AS p FROM
+  (SELECT strategy AS pair, j, sum(w * x) / sum(w) AS m FROM (SELECT *, """ + COPIES + """ AS w FROM z) GROUP BY ALL HAVING sum(w) > 0)
+  JOIN (SELECT strategy AS pair, avg(x) AS mean, count(*) AS n_pairs FROM pairs GROUP BY 1) USING (pair) WHERE n_pairs >= 3 GROUP BY pair, n_pairs""",
+           *TOUCHED, MARK, DAILY, PAIRED, draws_sql(MUL2).replace("FROM daily,", "FROM pairs,")))
+def paired_delta(spark, sf_dir):
+    """Mean difference of daily markout between two strategies on the days that both have, its interval, and a two-sided p."""
+    x = daily(spark, sf_dir).withColumns({"pair": F.expr("strategy div 2"), "second": F.expr("strategy % 2")})
+    both = x.groupBy("pair", "d").agg(F.max(F.when(F.col("second") == 0, F.col("x"))).alias("a"), F.max(F.when(F.col("second") == 1, F.col("x"))).alias("b"))
+    both = both.select("pair", "d", (F.col("b") - F.col("a")).alias("x")).where("x is not null")
+    means = replicate_means(both, "pair", "d", "x", draws=1000, seed=2026)
+    per = means.groupBy("by").agg(F.expr("percentile(m, 0.025)").alias("lo"), F.expr("percentile(m, 0.975)").alias("hi"),
+                                  F.avg((F.col("m") >= 0).cast("int")).alias("up"), F.avg((F.col("m") <= 0).cast("int")).alias("down"))
+    seen = both.groupBy("pair").agg(F.count("*").alias("n_pairs"), F.avg("x").alias("delta")).where("n_pairs >= 3")
+    return seen.join(per, F.col("pair") == F.col("by")).select("pair", "n_pairs", *[F.round(c, 9).alias(c) for c in ("delta", "lo", "hi")],
+                                                              F.round(F.least(F.lit(1.0), 2 * F.least("up", "down")), 9).alias("p"))
+
+
+@query(sql("""SELECT round(64e0 / (8 + 2 * coalesce(sum(CASE WHEN isnan(c) THEN 0 ELSE c * c END), 0)), 9) AS n_effective FROM (
+  SELECT corr(a.x, b.x) AS c FROM full_days a JOIN full_days b ON a.d = b.d AND a.strategy < b.strategy GROUP BY a.strategy, b.strategy)""", *TOUCHED, MARK, DAILY,
+           """full_days AS (SELECT s.strategy, t.d, coalesce(x, 0) AS x FROM (SELECT unnest(range(8)) AS strategy) s CROSS JOIN (SELECT DISTINCT d FROM daily) t LEFT JOIN daily USING (strategy, d))"""))
 def effective_trials(spark, sf_dir):
     """Number of independent strategies that the correlations of daily markouts amount to: trace squared over the squared norm."""
     wide = daily(spark, sf_dir).groupBy("d").pivot("strategy", list(range(8))).agg(F.first("x")).fillna(0.0)

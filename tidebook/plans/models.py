@@ -82,8 +82,8 @@ def markout_toxicity(spark, sf_dir):
     """Mean loss after an hour of the fills whose hour ended within the last one; nothing later is used."""
     m = marked(spark, sf_dir).select("sym", "seq", (F.col("ts_ns") + HOUR).alias("ts_ns"), F.col("markout_1h").alias("v"), F.lit(1).alias("kind"))
     both = mk.snapshots(spark, sf_dir).select("sym", "seq", "ts_ns", F.lit(0).alias("kind")).unionByName(m, allowMissingColumns=True)
-    t = trailing(both, ["sym"], HOUR, {"a": F.avg("v")}).where("kind = 0")
-    return t.select("seq", "sym", F.round(F.greatest(F.lit(0.0), -F.col("a")) * F.when(F.col("a").isNotNull(), 1e4), 6).alias("toxicity"))
+    t = trailing(both, ["sym"], HOUR, {"s": F.col("v"), "n": F.when(F.col("v").isNotNull(), 1)}).where("kind = 0")
+    return t.select("seq", "sym", F.round(F.greatest(F.lit(0.0), -F.try_divide("s", "n")) * F.when(F.col("n") > 0, 1e4), 6).alias("toxicity"))
 
 
 @query()

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tidebook.operators import sessions as ses
 from tidebook.sources import market as mk
+from tidebook.sources.storage import scratch
 from tidebook.streaming import fills as stream
 
 from .fills import TAKE, TOUCHED, touch
@@ -56,5 +55,4 @@ def queue_tracker(spark, sf_dir):
 @query(sql(TAKE.replace(", idx", ""), *TOUCHED))
 def stream_touch_fills(spark, sf_dir):
     """Touch fills from a stream over the events table; the rows must be those of the batch plan."""
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/tidebook").rstrip("/")
-    return stream.replay(spark, sf_dir, f"{folder}/stream-{uuid.uuid4().hex}")
+    return stream.replay(spark, sf_dir, scratch(spark, "stream"))

@@ -163,23 +163,24 @@ def reference_prices(spark, sf_dir):
 @query(sql("""SELECT seq, sym, round(sum(price * size) OVER w / sum(size) OVER w, 9) AS vwap FROM trade WINDOW w AS (PARTITION BY sym ORDER BY ts_ns RANGE BETWEEN 7199999999999 PRECEDING AND CURRENT ROW)"""))
 def vwap_trailing(spark, sf_dir):
     """Volume-weighted price of the last two hours."""
-    t = trailing(mk.trades(spark, sf_dir), ["sym"], 2 * HOUR, {"pv": F.sum(F.col("price") * F.col("size")), "v": F.sum("size")})
+    t = trailing(mk.trades(spark, sf_dir), ["sym"], 2 * HOUR, {"pv": F.col("price") * F.col("size"), "v": F.col("size")})
     return t.select("seq", "sym", F.round(F.col("pv") / F.col("v"), 9).alias("vwap"))
 
 
 @query(sql("""SELECT seq, sym, round(abs(sum(side * size) OVER w) / sum(size) OVER w, 9) AS ofi, (abs(sum(side * size) OVER w) / sum(size) OVER w >= 0.6) AS ofi_on,
   (greatest(sum(CASE WHEN side > 0 THEN size ELSE 0 END) OVER w, sum(CASE WHEN side < 0 THEN size ELSE 0 END) OVER w) / sum(size) OVER w >= 0.75) AS toxic,
-  (abs(sum(side * size) OVER w) / sum(size) OVER w >= 0.6 OR count(*) OVER w >= 6) AS hybrid_any
+  (abs(sum(side * size) OVER w) / sum(size) OVER w >= 0.6 OR greatest(sum(CASE WHEN side > 0 THEN size ELSE 0 END) OVER w, sum(CASE WHEN side < 0 THEN size ELSE 0 END) OVER w) / sum(size) OVER w >= 0.75) AS hybrid_any,
+  (abs(sum(side * size) OVER w) / sum(size) OVER w >= 0.6 AND greatest(sum(CASE WHEN side > 0 THEN size ELSE 0 END) OVER w, sum(CASE WHEN side < 0 THEN size ELSE 0 END) OVER w) / sum(size) OVER w >= 0.75) AS hybrid_all
   FROM trade WINDOW w AS (PARTITION BY sym ORDER BY ts_ns RANGE BETWEEN 14399999999999 PRECEDING AND CURRENT ROW)"""))
 def flow_filters(spark, sf_dir):
     """Imbalance and one-sidedness of the last four hours' trades, and filters on them alone and combined."""
     def one(side):
-        return F.sum(F.when(F.col("side") == side, F.col("size")).otherwise(0.0))
+        return F.when(F.col("side") == side, F.col("size")).otherwise(0.0)
 
-    t = trailing(mk.trades(spark, sf_dir), ["sym"], 4 * HOUR, {"net": F.sum(F.col("side") * F.col("size")), "v": F.sum("size"), "buy": one(1), "sell": one(-1), "n": F.count("*")})
-    ofi = F.abs("net") / F.col("v")
-    return t.select("seq", "sym", F.round(ofi, 9).alias("ofi"), (ofi >= 0.6).alias("ofi_on"), (F.greatest("buy", "sell") / F.col("v") >= 0.75).alias("toxic"),
-                    ((ofi >= 0.6) | (F.col("n") >= 6)).alias("hybrid_any"))
+    t = trailing(mk.trades(spark, sf_dir), ["sym"], 4 * HOUR, {"net": F.col("side") * F.col("size"), "v": F.col("size"), "buy": one(1), "sell": one(-1)})
+    ofi, toxic = F.abs("net") / F.col("v"), F.greatest("buy", "sell") / F.col("v") >= 0.75
+    return t.select("seq", "sym", F.round(ofi, 9).alias("ofi"), (ofi >= 0.6).alias("ofi_on"), toxic.alias("toxic"),
+                    ((ofi >= 0.6) | toxic).alias("hybrid_any"), ((ofi >= 0.6) & toxic).alias("hybrid_all"))
 
 
 TOXIC = """tox AS (SELECT s.seq, s.sym, s.ts_ns, (SELECT round(abs(sum(t.side * t.size)) / sum(t.size), 9) FROM trade t WHERE t.sym = s.sym AND t.ts_ns <= s.ts_ns AND t.ts_ns > s.ts_ns - 3600000000000) AS toxicity FROM snap s)"""
@@ -189,8 +190,8 @@ def toxicity(spark, sf_dir) -> DataFrame:
     """Imbalance of the last hour's trades at each snapshot, null without trades."""
     t = mk.trades(spark, sf_dir).select("seq", "sym", "ts_ns", F.col("size").alias("v"), (F.col("side") * F.col("size")).alias("s"), F.lit(1).alias("kind"))
     both = mk.snapshots(spark, sf_dir).select("seq", "sym", "ts_ns", F.lit(0).alias("kind")).unionByName(t, allowMissingColumns=True)
-    both = trailing(both, ["sym"], HOUR, {"sv": F.sum("s"), "vv": F.sum("v")}).where("kind = 0")
-    return both.select("seq", "sym", "ts_ns", F.round(F.abs("sv") / F.col("vv"), 9).alias("toxicity"))
+    both = trailing(both, ["sym"], HOUR, {"sv": F.col("s"), "vv": F.col("v")}).where("kind = 0")
+    return both.select("seq", "sym", "ts_ns", F.round(F.try_divide(F.abs("sv"), "vv"), 9).alias("toxicity"))
 
 
 @query(sql("SELECT seq, sym, toxicity FROM tox", TOXIC))
@@ -297,13 +298,13 @@ def realized_vol(spark, sf_dir):
 
 
 def returns_in_window(s: DataFrame, width_ns: int) -> DataFrame:
-    """Adds to each row n, s1 and s2 of log returns between mids inside (t - width, t], up to this row."""
-    s = s.withColumn("d", F.struct("ts_ns", "mid"))
+    """Adds to each row the number of mids inside (t - width, t], and sums s1 and s2 of the log returns between them and of their squares."""
+    s = s.withColumn("d", F.struct("mid", "ts_ns"))
     s = last_known(s, ["sym"], ["ts_ns", "seq"], {"d": "p"}, before=True)
     s = s.withColumn("r", F.log("mid") - F.log("p.mid"))
-    # A return counts if both its ends are inside, that is if its earlier end is; sums over rows less the first row's return.
-    return trailing(s, ["sym"], width_ns, {"n": F.count("*"), "t0": F.min("ts_ns"), "s1": F.sum("r"), "s2": F.sum(F.col("r") * F.col("r")),
-                                           "r0": F.min_by(F.coalesce("r", F.lit(0.0)), F.struct("ts_ns", "seq"))})
+    # A return counts while both its ends are inside, that is until its earlier end leaves.
+    left = F.coalesce("p.ts_ns", "ts_ns")
+    return trailing(s, ["sym"], width_ns, {"n": F.lit(1), "s1": F.col("r"), "s2": F.col("r") * F.col("r")}, since={"s1": left, "s2": left})
 
 
 @query(sql("""SELECT seq, sym, CASE WHEN n > 1 THEN round(sqrt(greatest(0, (s2 - r0 * r0) / (n - 1) - ((s1 - r0) / (n - 1)) ** 2)), 7) END AS sigma, n FROM (
@@ -313,8 +314,8 @@ def returns_in_window(s: DataFrame, width_ns: int) -> DataFrame:
 def rolling_sigma(spark, sf_dir):
     """Population deviation of the log returns between mids of the last day."""
     s = returns_in_window(mk.snapshots(spark, sf_dir), mk.DAY_NS)
-    m, m1, m2 = F.col("n") - 1, F.coalesce("s1", F.lit(0.0)) - F.col("r0"), F.coalesce("s2", F.lit(0.0)) - F.col("r0") * F.col("r0")
-    return s.select("seq", "sym", F.when(m > 0, F.round(F.sqrt(F.greatest(F.lit(0.0), F.try_divide(m2, m) - F.pow(F.try_divide(m1, m), 2))), 7)).alias("sigma"), "n")
+    m = F.col("n") - 1
+    return s.select("seq", "sym", F.when(m > 0, F.round(F.sqrt(F.greatest(F.lit(0.0), F.try_divide("s2", m) - F.pow(F.try_divide("s1", m), 2))), 7)).alias("sigma"), "n")
 
 
 @query(sql("""SELECT sym, win, is_from, count(CASE WHEN ts_ns < oos_from THEN 1 END) AS n_is, count(CASE WHEN ts_ns >= oos_from THEN 1 END) AS n_oos FROM (
