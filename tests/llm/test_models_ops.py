@@ -144,6 +144,85 @@ def test_language_awkward(spark):
     assert {r.lang_pred for r in language.identify(odd(spark, AWKWARD), {}).collect()} == {"und"}
 
 
+def plain_bundle(text, space, letters, seen):
+    """A text's vector by binding each n-gram's letters one by one, and adding up."""
+    table, out = language._symbol_table(), np.zeros(space.size)
+    symbols = [0]
+    for c in (text or "").lower():
+        s = int(table[ord(c)]) if ord(c) < 1 << 16 else 27 + ord(c) % (language.SYMBOLS - 27) if c.isalpha() else 0
+        if s or symbols[-1]:
+            symbols.append(s)
+    symbols += [0] * bool(symbols[-1])
+    if not any(symbols):
+        return out
+    for k in range(len(symbols) - space.n + 1):
+        gram = tuple(symbols[k : k + space.n])
+        if gram not in seen:
+            v = np.ones(space.size)
+            for place, s in enumerate(gram):
+                v = v * np.roll(letters[s], space.n - 1 - place)
+            seen[gram] = v
+        out += seen[gram]
+    return out / max(np.linalg.norm(out), 1e-9)
+
+
+def test_language_equals_brute_force(spark):
+    """The whole query against n-grams bound one by one; prototypes are sums of texts outside the held-out fold."""
+    space = language.Space()
+    letters = np.random.default_rng(space.seed).integers(0, 2, (language.SYMBOLS, space.size), dtype=np.int8) * 2.0 - 1
+    rows, seen = spark.read.parquet(f"{SF}/documents.parquet").collect(), {}
+    vec = {r.doc_id: plain_bundle(r.text, space, letters, seen) for r in rows}
+    proto = {}
+    for r in rows:
+        if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            proto[r.lang] = proto.get(r.lang, 0) + vec[r.doc_id]
+    names = sorted(proto)
+    m = np.stack([proto[y] / np.linalg.norm(proto[y]) for y in names])
+    for r in q.op5_language(spark, SF).collect():
+        cos = m @ vec[r.doc_id]
+        e = np.exp(20 * (cos - cos.max()))
+        if not vec[r.doc_id].any():
+            assert (r.lang_pred, r.score) == ("und", 0)
+        elif np.sort(cos)[-1] - np.sort(cos)[-2] > 1e-5:
+            assert r.lang_pred == names[int(cos.argmax())] and abs(r.score - e.max() / e.sum()) < 1e-3
+
+
+def test_language_bundles_do_not_show_their_parts(monkeypatch):
+    r = random.Random(3)
+    texts = ["".join(r.choice("abc déß\n漢𝒜1") for _ in range(r.randrange(60))) for _ in range(50)] + [None, ""]
+    space = language.Space(size=64)
+    letters = space.letters()
+    whole = space.bundle(texts, letters)
+    monkeypatch.setattr(language, "GRAMS", 5)
+    assert np.allclose(space.bundle(texts, letters), whole, atol=1e-5)
+    assert [len(texts[s]) for s in language._chunks(["ab"] * 450)] == [200, 200, 50]
+    plain = np.random.default_rng(space.seed).integers(0, 2, (language.SYMBOLS, space.size), dtype=np.int8) * 2.0 - 1
+    assert np.allclose(whole, [plain_bundle(t, space, plain, {}) for t in texts], atol=1e-5)
+
+
+def test_language_sample_keeps_rare_languages(spark):
+    rows = [(k, "the cat and the dog", "en") for k in range(400)] + [(1000 + k, "el gato y la casa", "es") for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(language.prototypes(df, bound=20)) == {"en", "es"}
+    assert language.prototypes(df.limit(0)) == {} and language.identify(df.limit(0), {}).count() == 0
+
+
+def test_quality_equals_brute_force(spark):
+    """The whole query against trees walked node by node, over statistics of one text at a time."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    m = q.quality_model(docs, spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality"))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in q.op6_quality(spark, SF).collect():
+        x, raw = quality.statistics(text[r.doc_id]).astype(np.float32).astype(np.float64), m.base
+        for at in m.roots:
+            while m.left[at] != at:
+                j = m.feature[at]
+                at = m.left[at] + int((m.edges[j] < x[j]).sum() > m.limit[at])
+            raw += m.value[at]
+        assert abs(r.score - 1 / (1 + np.exp(-raw))) < 1e-9 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+    assert quality.score(docs.limit(0), m).count() == 0
+
+
 def test_quality_held_out(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     got = {r.doc_id: r for r in q.op6_quality(spark, SF).collect()}
@@ -369,3 +448,24 @@ def test_pipeline_stages(spark):
     clean = {i for i, n, h, _ in hits(left, items) if not (h > 0 and 20 * h >= n)}
     assert four.columns == names and {r.doc_id for r in four.collect()} == clean
     assert {r.doc_id for r in cp.run(spark, SF).collect()} == clean
+
+
+def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
+    """Nulls in any column, empty and repeated rows, other columns: each stage keeps its columns and its defined rows; empty tables stay empty."""
+    rows = [*AWKWARD, (None, None), (60, "z " * 3000)]
+    docs = odd(spark, rows).withColumn("n_chars", F.length("text").cast("long")).withColumn("quality_score", F.lit(None).cast("string"))
+    spark.createDataFrame([(1, 1, 0), (None, 0, 0), (3, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "a b c d e f g h i j k l m n"), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(cp.STAGES)
+    assert set(stages["quality"](spark, docs, str(tmp_path)).columns) == set(docs.columns)
+    two = stages["line_dedup"](spark, docs, str(tmp_path))
+    assert two.columns == docs.columns and two.count() == len(rows)
+    three = stages["near_copies"](spark, docs, str(tmp_path))
+    kept = sorted(str(r.doc_id) for r in three.collect())
+    # Rows without a word all stay, repeated ones too; (5, one) is a copy of 4.
+    assert three.columns == docs.columns and kept == sorted(["None", "None", "None", "1", "2", "3", "4", "6", "8", "9", "60"])
+    four = stages["decontamination"](spark, docs, str(tmp_path))
+    assert four.columns == docs.columns and {None, 1, 2, 3, 4, 5} <= {r.doc_id for r in four.collect()}
+    assert stages["bpe"](spark, docs, str(tmp_path)).count() == len(rows)
+    for stage in stages.values():
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0

@@ -43,20 +43,24 @@ def token_digests(docs: DataFrame) -> DataFrame:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text and what they decode to, as digests. A null text counts as empty; repeated rows are repeated; other columns are not read."""
     return token_digests(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page. Null and empty pages, and pages with nothing but furniture, have an empty text; ids may be null or repeat."""
     pages = html.extract(read_table(spark, sf_dir, "pages", "page_id", "url", "html"), keep=("page_id", "url"))
     return pages.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near copies. Null and empty texts have an empty set and stand alone; repeated rows get equal results; a null id counts as the smallest."""
     groups = jaccard.jaccard_groups(read_table(spark, sf_dir, "documents", "doc_id", "text"))
     return groups.select(F.col("d").alias("doc_id"), "n_shingles", "component_id")
 
 
 def op4_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document. Null and empty texts have no words and no hits; rows equal in id and text are one; null items are in no list."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     found = contamination.contamination(docs, read_table(spark, sf_dir, "benchmark", "item_id", "text"))
     return found.select(
@@ -69,6 +73,7 @@ def _remainder(doc_id: str, n: int) -> Column:
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text. A null text, one without a letter, and all of them without a learned language, are und with score 0; a null id is in no held-out fold."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     known = language.prototypes(docs.where(_remainder("doc_id", 4) != 2))
     found = language.identify(docs, known, keep=("doc_id",))
@@ -87,6 +92,7 @@ def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Trees:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text. Null and empty texts have zero statistics; without labels every score is one half; a null id is in no held-out fold."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     model = quality_model(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality"))
     scored = quality.score(docs, model, keep=("doc_id",))
@@ -95,15 +101,18 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth. Unusable vectors and null ids take no part, repeated rows count once, ties go to the smaller id."""
     return neighbours.nearest(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5)
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that ten documents or more have go. A null or empty text is one empty line, which stays; repeated rows, and rows with a null id, count as one document."""
     kept = lines.dedup_lines(read_table(spark, sf_dir, "documents", "doc_id", "text"), min_docs=10)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes in 50-byte strings of an earlier document go. A null text is empty; a null id counts as the smallest; rows of one id take nothing from each other."""
     def digest(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({
             "doc_id": pdf["doc_id"], "n_bytes": pdf["n_bytes"], "n_removed": [sum(s["end"] - s["start"] for s in x) for x in pdf["spans"]],
