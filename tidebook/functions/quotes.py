@@ -39,9 +39,17 @@ def nearest_level(levels: Column, px: Column) -> Column:
     return F.array_min(far)["px"]
 
 
-def order(side: int, px: Column, size: Column, idx: int = 0) -> Column:
-    """One resting order; idx keeps orders of a side apart."""
-    return F.struct(F.lit(side).alias("side"), px.cast("double").alias("px"), size.cast("double").alias("size"), F.lit(idx).alias("idx"))
+def order(side: int, px: Column, size: Column, idx: int = 0, queue: Column | None = None) -> Column:
+    """One resting order; idx keeps orders of a side apart. queue is the visible size at its price where that is known without a search."""
+    queue = F.lit(None) if queue is None else queue
+    return F.struct(F.lit(side).alias("side"), px.cast("double").alias("px"), size.cast("double").alias("size"), F.lit(idx).alias("idx"), queue.cast("double").alias("queue"))
+
+
+def at_level(side: int, size: Column, level: int = 0, idx: int = 0, when: Column | None = None) -> Column:
+    """An order at a level of its own side's book; its queue is that level's size. when: a condition for it to be there at all."""
+    levels = "bids" if side == 1 else "asks"
+    px = best(levels, level=level)
+    return order(side, px if when is None else F.when(when, px), size, idx, best(levels, "sz", level))
 
 
 def shape_levels(half: Column, step: float, n: Column) -> Column:

@@ -23,7 +23,7 @@ def resting(snaps: DataFrame, orders, queued: bool = True) -> DataFrame:
     snaps = snaps.withColumn("_orders", F.filter(orders, lambda o: o["px"].isNotNull()))
     own = F.transform("_orders", lambda o: F.struct(
         o["side"].alias("side"), o["px"].alias("px"), o["size"].alias("size"), o["idx"].alias("idx"),
-        F.when(o["side"] == 1, size_at(F.col("bids"), o["px"])).otherwise(size_at(F.col("asks"), o["px"])).alias("queue")))
+        F.coalesce(o["queue"], F.when(o["side"] == 1, size_at(F.col("bids"), o["px"])).otherwise(size_at(F.col("asks"), o["px"]))).alias("queue")))
     keep = F.filter(own, lambda o: o["queue"].isNotNull()) if queued else own
     return snaps.select("seq", "sym", "ts_ns", keep.alias("orders"))
 

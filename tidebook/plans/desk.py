@@ -10,7 +10,7 @@ from tidebook.operators import fills as sim
 from tidebook.operators.timeline import as_of, last_known, running_sum, trailing
 from tidebook.sources import feeds
 from tidebook.sources import market as mk
-from tidebook.sources.storage import scratch
+from tidebook.sources.storage import scratch, stored
 
 from .fills import MARK, TOUCHED, marked, quoted, touch_orders, with_mids
 from .inference import step_up
@@ -98,7 +98,7 @@ def full_ledger(spark: SparkSession, sf_dir: str, run: str = "run") -> DataFrame
     n = running_sum(snaps.withColumn("one", F.lit(1)), ["sym"], ["ts_ns", "seq"], {"one": "n"})
     taken = sim.taker_fills(n.where("n % 50 = 0"), 2.0, 1).select(
         "seq", "sym", "ts_ns", F.col("level").alias("idx"), "side", F.lit(False).alias("is_maker"), "price", "size", F.lit(None).cast("double").alias("queue"))
-    f = with_mids(made.unionByName(taken), snaps, MARKS)
+    f = with_mids(stored(made.unionByName(taken), "both-fills"), snaps, MARKS)
     order = ["ts_ns", "seq", "idx"]
     f = f.withColumns({"signed": F.col("side") * F.col("size"), "one": F.lit(1).cast("long"), "mark": F.when(F.col("m0").isNotNull(), F.struct("m0", "ts_ns"))})
     f = last_known(running_sum(f, ["sym"], order, {"signed": "inv_after", "one": "number"}), ["sym"], order, {"mark": "prev"}, before=True)

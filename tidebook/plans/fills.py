@@ -9,6 +9,7 @@ from tidebook.functions import quotes as q
 from tidebook.operators import fills as sim
 from tidebook.operators.timeline import as_of, block, last_known, running_sum
 from tidebook.sources import market as mk
+from tidebook.sources.storage import stored
 
 from .registry import query, sql
 
@@ -17,7 +18,7 @@ SIZE = 3.0
 
 def touch_orders(size: float = SIZE):
     s = F.lit(size)
-    return F.array(q.order(1, mk.best("bids"), s), q.order(-1, mk.best("asks"), s))
+    return F.array(q.at_level(1, s), q.at_level(-1, s))
 
 
 def quoted(spark: SparkSession, sf_dir: str, orders, queued: bool = True) -> DataFrame:
@@ -28,6 +29,11 @@ def touch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sim.fills(mk.trades(spark, sf_dir), quoted(spark, sf_dir, touch_orders()))
 
 
+def touch_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, for plans that read fills more than once: they are few against the events that they come from."""
+    return stored(touch(spark, sf_dir), "touch-fills")
+
+
 OUT = ["seq", "sym", "ts_ns", "interval", "side", "price", "size", "idx"]
 #: From orders(sym, seq, ts_ns, side, px, size, idx, queue): fills(seq, sym, ts_ns, user_id, interval, side, price, size, idx).
 FILLS = """
@@ -58,8 +64,8 @@ def touch_fills(spark, sf_dir):
 @query(sql(TAKE, "quotes AS (SELECT sym, seq, ts_ns, 1 AS side, bids[2].px AS px, 3e0 AS size, 0 AS idx FROM snap UNION ALL SELECT sym, seq, ts_ns, -1, ask, 3e0, 0 FROM snap)", LOOKUP, FILLS))
 def depth_skew_fills(spark, sf_dir):
     """Bid one level behind the touch (at it, if there is only one), ask at the touch."""
-    bid = F.coalesce(mk.best("bids", level=1), mk.best("bids"))
-    orders = F.array(q.order(1, bid, F.lit(SIZE)), q.order(-1, mk.best("asks"), F.lit(SIZE)))
+    bid, queue = (F.coalesce(mk.best("bids", x, 1), mk.best("bids", x)) for x in ("px", "sz"))
+    orders = F.array(q.order(1, bid, F.lit(SIZE), 0, queue), q.at_level(-1, F.lit(SIZE)))
     return sim.fills(mk.trades(spark, sf_dir), quoted(spark, sf_dir, orders)).select(OUT)
 
 
@@ -69,7 +75,7 @@ def depth_skew_fills(spark, sf_dir):
 def rank_fills(spark, sf_dir):
     """Orders at depth ranks 1 to 5 on both sides, each with its own queue; fills by rank and side."""
     s = F.lit(SIZE)
-    orders = F.array(*[q.order(1, mk.best("bids", level=r - 1), s, r) for r in range(1, 6)], *[q.order(-1, mk.best("asks", level=r - 1), s, r) for r in range(1, 6)])
+    orders = F.array(*[q.at_level(side, s, r - 1, r) for side in (1, -1) for r in range(1, 6)])
     found = sim.fills(mk.trades(spark, sf_dir), quoted(spark, sf_dir, orders))
     return found.groupBy(F.col("idx").alias("rank"), "side").agg(F.count("*").alias("n_fills"), F.sum("size").alias("qty"))
 
@@ -78,7 +84,7 @@ def rank_fills(spark, sf_dir):
 def microskew_fills(spark, sf_dir):
     """Only the bid where the microprice leans up, only the ask where it leans down, both where it doesn't lean."""
     lean, s = q.microprice() - q.mid(), F.lit(SIZE)
-    orders = F.array(q.order(1, F.when(lean >= 0, mk.best("bids")), s), q.order(-1, F.when(lean <= 0, mk.best("asks")), s))
+    orders = F.array(q.at_level(1, s, when=lean >= 0), q.at_level(-1, s, when=lean <= 0))
     return sim.fills(mk.trades(spark, sf_dir), quoted(spark, sf_dir, orders)).select(OUT)
 
 
@@ -163,7 +169,7 @@ def inventory(fills: DataFrame) -> DataFrame:
 @query(sql("SELECT seq, sym, inventory, peak_long, peak_short FROM path", *TOUCHED, PATH))
 def inventory_path(spark, sf_dir):
     """Inventory after each fill, and its largest long and short so far."""
-    inv = inventory(touch(spark, sf_dir))
+    inv = inventory(touch_stored(spark, sf_dir))
     w = Window.partitionBy("sym", "b").orderBy("ts_ns", "seq", "idx")
     inv = inv.withColumn("b", block())
     tops = inv.groupBy("sym", "b").agg(F.max("inventory").alias("hi"), F.min("inventory").alias("lo"))
@@ -183,7 +189,7 @@ costed AS (SELECT *, inv0 * coalesce(mid - mid0, 0) AS carry, coalesce(abs(inv0)
 
 def costed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of touch fills: marks, fees, inventory before, carry, edge, funding, net."""
-    fills = touch(spark, sf_dir)
+    fills = touch_stored(spark, sf_dir)
     fills = as_of(fills, mk.snapshots(spark, sf_dir), ["sym"], "mid", "mid")
     fills = fills.withColumns({"signed": F.col("size") * F.col("side"), "before": F.struct("mid", "ts_ns")})
     order = ["ts_ns", "seq", "idx"]
@@ -231,7 +237,7 @@ def markouts(fills: DataFrame, horizons: dict[str, int]) -> DataFrame:
 
 
 def marked(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
-    return markouts(with_mids(touch(spark, sf_dir), mk.snapshots(spark, sf_dir), HORIZONS, shift), HORIZONS)
+    return markouts(with_mids(touch_stored(spark, sf_dir), mk.snapshots(spark, sf_dir), HORIZONS, shift), HORIZONS)
 
 
 MARK = "marks AS (SELECT f.*, s.mid AS m0" + "".join(f", s{k}.mid AS m{n}" for k, n in enumerate(HORIZONS)) + """ FROM fills f
@@ -286,7 +292,7 @@ LATE = [0, 10**9, 60 * 10**9, mk.HOUR_NS]
   ASOF LEFT JOIN snap a ON f.sym = a.sym AND f.ts_ns + {v} >= a.ts_ns ASOF LEFT JOIN snap b ON f.sym = b.sym AND f.ts_ns + {v + mk.HOUR_NS} >= b.ts_ns""" for v in LATE), *TOUCHED))
 def latency_cliff(spark, sf_dir):
     """Realised spread after an hour if every fill came later by an offset; the first mark moves too."""
-    f, snaps = touch(spark, sf_dir), mk.snapshots(spark, sf_dir)
+    f, snaps = touch_stored(spark, sf_dir), mk.snapshots(spark, sf_dir)
     late = f.withColumn("offset_ns", F.explode(F.array(*[F.lit(v).cast("long") for v in LATE])))
     late = late.withColumns({"ts_ns": F.col("ts_ns") + F.col("offset_ns"), "after": F.col("ts_ns") + F.col("offset_ns") + mk.HOUR_NS})
     late = as_of(as_of(late, snaps, ["sym"], "mid", "m0"), snaps, ["sym"], "mid", "m1", at="after")
@@ -331,7 +337,7 @@ def gated_fills(spark, sf_dir):
     """The touch, pulled while the touch sizes are too uneven."""
     bz, az = mk.best("bids", "sz"), mk.best("asks", "sz")
     calm = F.abs(bz - az) / (bz + az) < 0.4
-    orders = F.array(q.order(1, F.when(calm, mk.best("bids")), F.lit(SIZE)), q.order(-1, F.when(calm, mk.best("asks")), F.lit(SIZE)))
+    orders = F.array(q.at_level(1, F.lit(SIZE), when=calm), q.at_level(-1, F.lit(SIZE), when=calm))
     return sim.fills(mk.trades(spark, sf_dir), quoted(spark, sf_dir, orders)).select(OUT)
 
 
@@ -339,7 +345,7 @@ def gated_fills(spark, sf_dir):
   SELECT *, quantile_cont(a, 0.95) OVER (PARTITION BY win) AS qt FROM (SELECT ts_ns // 86400000000000 AS win, abs(inventory) AS a FROM path))) GROUP BY win, cvar""", *TOUCHED, PATH))
 def wfo_cvar(spark, sf_dir):
     """Mean of the largest five percent of absolute inventory, by day."""
-    a = inventory(touch(spark, sf_dir)).select(F.expr("ts_ns div 86400000000000").alias("win"), F.abs("inventory").alias("a"))
+    a = inventory(touch_stored(spark, sf_dir)).select(F.expr("ts_ns div 86400000000000").alias("win"), F.abs("inventory").alias("a"))
     q95 = a.groupBy("win").agg(F.expr("percentile(a, 0.95)").alias("q"), F.count("*").alias("n"))
     return a.join(q95, "win").groupBy("win", "n").agg(F.round(F.avg(F.when(F.col("a") >= F.col("q"), F.col("a"))), 9).alias("cvar")).select("win", "n", "cvar")
 
@@ -359,7 +365,7 @@ def fill_rate_buckets(spark, sf_dir):
   LEFT JOIN (SELECT sym, ts_ns // 3600000000000 AS bucket, arg_max(inventory, (ts_ns, seq, idx)) AS inv, count(*) AS n FROM path GROUP BY ALL) USING (sym, bucket)""", *TOUCHED, PATH))
 def inventory_buckets(spark, sf_dir):
     """Inventory at each hour's end and fills so far, carried through empty hours."""
-    p = inventory(touch(spark, sf_dir)).withColumn("bucket", F.expr("ts_ns div 3600000000000"))
+    p = inventory(touch_stored(spark, sf_dir)).withColumn("bucket", F.expr("ts_ns div 3600000000000"))
     per = p.groupBy("sym", "bucket").agg(F.max_by("inventory", F.struct("ts_ns", "seq", "idx")).alias("inv"), F.count("*").alias("n"))
     grid = per.groupBy("sym").agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).select("sym", F.explode(F.sequence("lo", "hi")).alias("bucket"))
     w = Window.partitionBy("sym").orderBy("bucket")  # one row an hour

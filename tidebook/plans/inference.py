@@ -181,7 +181,7 @@ def leave_one_root_out(spark, sf_dir):
 def brier_by_rank(spark, sf_dir):
     """Share of bid orders at each depth rank that get a fill, and the Brier score of that share."""
     snaps = mk.snapshots(spark, sf_dir)
-    orders = F.array(*[q.order(1, mk.best("bids", level=r - 1), F.lit(3.0), r) for r in range(1, 6)])
+    orders = F.array(*[q.at_level(1, F.lit(3.0), r - 1, r) for r in range(1, 6)])
     hit = sim.fills(mk.trades(spark, sf_dir), sim.resting(snaps, orders)).select("interval", F.col("idx").alias("rank")).distinct()
     per = snaps.agg(F.count("*").alias("n")).withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(5))))
     per = per.join(hit.groupBy("rank").agg(F.count("*").alias("nf")), "rank", "left").withColumn("p", F.coalesce("nf", F.lit(0)) / F.col("n"))
