@@ -119,10 +119,11 @@ def _place(lo: np.ndarray, extra: np.ndarray, t: np.ndarray) -> np.ndarray:
 
 
 def _names(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The names of all anchors, and nothing else."""
+    """The names of all anchors, and nothing else; of one that a block has several times, two are enough."""
     for _, _, b in _blocks(pdfs):
         if len(b.lo):
-            yield pd.DataFrame({"h": b.name[b.at].view(np.int64)})
+            h, times = np.unique(b.name[b.at].view(np.int64), return_counts=True)
+            yield pd.DataFrame({"h": np.repeat(h, np.minimum(times, 2))})
 
 
 def _again(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,30 +139,42 @@ def _again(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _anchors(shared: bytes):
-    """Anchors whose names are shared, with their segments' names and places."""
+    """Anchors whose names are shared, with their segments' names and places; done tells that the block has the same segment in an earlier document.
+
+    So of a segment that very many documents have, few rows of each block wait for rows of others.
+    """
     def batches(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         on = np.frombuffer(shared, np.uint8)
         for d, t, b in _blocks(pdfs):
             if len(b.lo):
-                h = b.name[b.at].view(np.int64)
-                use = _in(on, h)
-                yield pd.DataFrame({"h": h[use], "c": b.segment_names().view(np.int64)[use], "d": d[b.row[use]],
-                                    "x": _place((b.lo - b.start[b.row])[use], (b.hi - b.lo)[use], t[b.row[use]])})
+                use = _in(on, b.name[b.at].view(np.int64))
+                h, c, doc = b.name[b.at].view(np.int64)[use], b.segment_names().view(np.int64)[use], d[b.row[use]]
+                order = np.lexsort((doc, _key(h, c)))
+                key = _key(h, c)[order]
+                run = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+                done = np.zeros(len(h), bool)
+                done[order] = doc[order] > np.repeat(doc[order][run], np.diff(np.append(run, len(key))))
+                yield pd.DataFrame({"h": h, "c": c, "d": doc, "x": _place((b.lo - b.start[b.row])[use], (b.hi - b.lo)[use], t[b.row[use]]), "done": done})
     return batches
 
 
-def _key(h: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
-    return _mix(_mix(h.view(_U), c.view(_U)), d.view(_U)).view(np.int64)
+def _key(h: np.ndarray, c: np.ndarray, d: np.ndarray | None = None) -> np.ndarray:
+    both = _mix(h.view(_U), c.view(_U))
+    return (both if d is None else _mix(both, d.view(_U))).view(np.int64)
 
 
 def _covered(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by h, c, d: segments that an earlier document has (kind 0), and segments to be looked at closely (kind 1, as keys).
+    """Rows sorted by h, c, d: segments that an earlier document has (kind 0), and segments to be looked at closely (kind 1, as keys); done ones pass through.
 
     The latter are each different segment's first document's, where an anchor has
     different segments in different documents: any other is covered as a whole.
     """
     last, wait, several, low, high = None, np.zeros(0, np.int64), False, 0, 0
     for pdf in pdfs:
+        done = pdf["done"].to_numpy(dtype=bool)
+        if done.any():
+            yield pd.DataFrame({"kind": np.int32(0), "d": pdf["d"].to_numpy()[done], "x": pdf["x"].to_numpy()[done]})
+            pdf = pdf[~done]
         h, c, d = (np.ascontiguousarray(pdf[k].to_numpy()) for k in "hcd")
         if not len(h):
             continue
@@ -344,8 +357,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = docs.select(d.alias("d"), t.alias("t"), F.col(text).alias("x"))
     names = texts.mapInPandas(_names, "h long").repartition("h").sortWithinPartitions("h")
     shared = _filter(names.mapInPandas(_again, "h long"))
-    anchors = texts.mapInPandas(_anchors(shared), "h long, c long, d long, x long")
-    found = materialize(anchors.repartition("h").sortWithinPartitions("h", "c", "d").mapInPandas(_covered, "kind int, d long, x long"), "segments")
+    anchors = texts.mapInPandas(_anchors(shared), "h long, c long, d long, x long, done boolean")
+    dealt = anchors.repartition(F.when(F.col("done"), F.xxhash64("d", "x")).otherwise(F.col("h"))).sortWithinPartitions("h", "c", "d")
+    found = materialize(dealt.mapInPandas(_covered, "kind int, d long, x long"), "segments")
     close = _filter(found.where("kind = 1").select("d"))
     near = texts.mapInPandas(_contexts(shared, close), "h long, d long, x long, bytes binary")
     near = near.repartition("h").sortWithinPartitions("h").mapInPandas(_compared, "kind int, w long, d long, x long")
