@@ -167,3 +167,6 @@ def test_stream_reads_folders(spark, tmp_path):
     late = events.where("event_id < 50").withColumn("event_id", F.col("event_id") + 1_000_000)
     late.write.mode("append").parquet(f"{tmp_path}/grows/events.parquet")
     assert streamed(spark, f"{tmp_path}/grows", f"{tmp_path}/b") == want
+    beside = spark.read.parquet(f"{tmp_path}/b/stream/late")
+    known = late.where("event_type in ('view', 'click', 'signup', 'purchase', 'error')")
+    assert sorted(r.seq for r in beside.collect()) == sorted(r.event_id for r in known.collect())

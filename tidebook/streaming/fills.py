@@ -3,7 +3,8 @@
 State is kept for each symbol: the last book's two orders with their queues, and the last
 event's place in the total order. A micro-batch runs the closed form of the batch plan, so it is spread and
 spilled by Spark whatever its size; state comes in as one more snapshot. Inside a micro-batch order does not matter; an event
-that is older than one of an earlier micro-batch comes too late and is dropped, as replacing orders can't be undone.
+that is older than one of an earlier micro-batch comes too late, as replacing orders can't be undone: it changes nothing and
+is written beside the fills, so the last place of each symbol is its watermark.
 """
 
 from __future__ import annotations
@@ -20,6 +21,12 @@ STATE = ("sym long, ts_ns long, kind int, seq long, book_ns long, interval long,
 PLACE = ("ts_ns", "kind", "seq")
 
 
+def late_events(events: DataFrame, state: DataFrame) -> DataFrame:
+    """Events of a micro-batch that are not after the last one of their symbol."""
+    last = state.select("sym", F.struct(*PLACE).alias("last"))
+    return events.join(F.broadcast(last), "sym").where(F.struct(*PLACE) <= F.col("last")).drop("last")
+
+
 def touch_step(events: DataFrame, state: DataFrame, size: float) -> tuple[DataFrame, DataFrame]:
     """Fills of one micro-batch, and the state after it: one row a symbol, as is the state before it."""
     last = state.select("sym", F.struct(*PLACE).alias("last"))
@@ -62,7 +69,7 @@ def touch_step(events: DataFrame, state: DataFrame, size: float) -> tuple[DataFr
 def touch_fills(events: DataFrame, folder: str, size: float = 3.0) -> StreamingQuery:
     """Starts a stream over what is there now, from where the folder's last one stopped.
 
-    events: a streaming DataFrame (sym, seq, ts_ns, kind, bid, bid_sz, ask, ask_sz, side, price, size). Fills and state go to the folder,
+    events: a streaming DataFrame (sym, seq, ts_ns, kind, bid, bid_sz, ask, ask_sz, side, price, size). Fills, state and late events go to the folder,
     Parquet by micro-batch; one that is repeated after a failure overwrites its own, from the state before it.
     """
     spark = events.sparkSession
@@ -75,6 +82,7 @@ def touch_fills(events: DataFrame, folder: str, size: float = 3.0) -> StreamingQ
         fills, state = touch_step(batch, before, size)
         fills.write.mode("overwrite").parquet(f"{folder}/fills/batch={number}")
         state.write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
+        late_events(batch, before).write.mode("overwrite").parquet(f"{folder}/late/batch={number}")
         batch.unpersist()
 
     return events.writeStream.foreachBatch(step).trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").start()
