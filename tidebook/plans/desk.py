@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from tidebook.functions import quotes as q
 from tidebook.operators import fills as sim
+from tidebook.operators.resampling import MUL2, replicate_means
 from tidebook.operators.timeline import as_of, last_known, running_sum, trailing
 from tidebook.sources import feeds
 from tidebook.sources import market as mk
 from tidebook.sources.storage import scratch, stored
 
 from .fills import MARK, TOUCHED, marked, quoted, touch_orders, with_mids
-from .inference import step_up
+from .inference import COPIES, draws_sql, step_up
 from .registry import query, sql
 from .tape import OFI, order_flow, rolling_sigma
 
@@ -314,3 +315,38 @@ def gate_choice(spark, sf_dir):
     per = g.groupBy("gate", "win").agg(F.count("*").alias("n_fills"), F.round(F.sum(F.col("markout_1h") * 1e4 - 0.015), 6).alias("net_bp"))
     best = Window.partitionBy("win").orderBy(F.desc("net_bp"), "gate")  # four rows
     return per.withColumn("k", F.row_number().over(best)).where("k = 1").select("gate", "win", "n_fills", "net_bp")
+
+
+ROOT_DAYS = """root_days AS (SELECT 0 AS strategy, root * 100000 + d AS d, round(sum(cap), 6) AS y, round(sum(adv), 6) AS x FROM (
+  SELECT user_id % 13 AS root, ts_ns // 86400000000000 AS d, 1e4 * side * (m0 - price) / m0 AS cap, 1e4 * side * (m1h - m0) / m0 AS adv FROM marks) GROUP BY root, d)"""
+
+
+@query(sql("""SELECT n AS n_rootdays, round(point, 6) AS ratio, round(quantile_cont(r, 0.025), 6) AS lo, round(quantile_cont(r, 0.975), 6) AS hi FROM
+  (SELECT j, -100 * sum(w * x) / sum(w * y) AS r FROM (SELECT *, """ + COPIES + """ AS w FROM z) GROUP BY j HAVING sum(w * y) != 0), (SELECT count(*) AS n, -100 * sum(x) / sum(y) AS point FROM root_days) GROUP BY n, point""",
+           *TOUCHED, MARK, ROOT_DAYS, draws_sql(MUL2, table="root_days", also="y, ")))
+def ratio_ci(spark, sf_dir):
+    """Adverse selection in percent of captured spread, pooled over root-days, and its interval with root-days drawn again."""
+    m = marked(spark, sf_dir).select(F.expr(f"user_id % 13 * 100000 + ts_ns div {DAY}").alias("i"), (F.col("adverse_1h") * 1e4).alias("adv"),
+                                     (F.col("side") * (F.col("m0") - F.col("price")) / F.col("m0") * 1e4).alias("cap"))
+    per = stored(m.groupBy("i").agg(F.round(F.sum("cap"), 6).alias("cap"), F.round(F.sum("adv"), 6).alias("adv")).withColumn("every", F.lit(0)), "root-days")
+    # One seed, so both sums of a replicate have the same copies of each root-day.
+    adv, cap = (replicate_means(per, "every", "i", c, draws=1000, seed=2026).withColumnRenamed("m", c) for c in ("adv", "cap"))
+    r = adv.join(cap, ["by", "j"]).where("cap != 0").select((-100 * F.col("adv") / F.col("cap")).alias("r"))
+    ci = r.agg(F.expr("percentile(r, 0.025)").alias("lo"), F.expr("percentile(r, 0.975)").alias("hi"))
+    seen = per.agg(F.count("*").alias("n_rootdays"), (-100 * F.sum("adv") / F.sum("cap")).alias("ratio"))
+    return seen.crossJoin(ci).select("n_rootdays", *[F.round(c, 6).alias(c) for c in ("ratio", "lo", "hi")])  # one row each
+
+
+@query("""WITH d AS (SELECT l_returnflag AS root, l_quantity::DOUBLE AS x1, l_discount::DOUBLE AS x2, l_extendedprice::DOUBLE / 1000 AS y FROM lineitem),
+s AS (SELECT sum(n) AS n, sum(s11) AS s11, sum(s22) AS s22, sum(s12) AS s12, sum(s1y) AS s1y, sum(s2y) AS s2y FROM (
+  SELECT root, count(*) AS n, var_pop(x1) * count(*) AS s11, var_pop(x2) * count(*) AS s22, covar_pop(x1, x2) * count(*) AS s12, covar_pop(x1, y) * count(*) AS s1y, covar_pop(x2, y) * count(*) AS s2y FROM d GROUP BY root))
+SELECT n::BIGINT AS n, round((s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12), 7) AS slope1, round((s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12), 7) AS slope2 FROM s""")
+def fe_two_slopes(spark, sf_dir):
+    """Two slopes within return flags at once: price on quantity and discount, from each flag's sums."""
+    d = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.col("l_returnflag").alias("root"), F.col("l_quantity").cast("double").alias("x1"), F.col("l_discount").cast("double").alias("x2"), (F.col("l_extendedprice").cast("double") / 1000).alias("y"))
+    n = F.count("*")
+    per = d.groupBy("root").agg(n.alias("n"), *[(F.covar_pop(a, b) * n).alias(name) for name, a, b in (
+        ("s11", "x1", "x1"), ("s22", "x2", "x2"), ("s12", "x1", "x2"), ("s1y", "x1", "y"), ("s2y", "x2", "y"))])
+    s = per.agg(*[F.sum(c).alias(c) for c in ("n", "s11", "s22", "s12", "s1y", "s2y")])
+    return s.select("n", F.round(F.expr("(s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12)"), 7).alias("slope1"), F.round(F.expr("(s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12)"), 7).alias("slope2"))

@@ -188,14 +188,14 @@ def brier_by_rank(spark, sf_dir):
     return per.select("rank", "n", F.round("p", 9).alias("p"), F.round(F.col("p") * (1 - F.col("p")), 9).alias("brier"))
 
 
-def draws_sql(step: int, count: int = 1000, seed: int = 2026) -> str:
-    """CTEs that end in z(strategy, x, j, z): the counter's random number of each row and replicate."""
+def draws_sql(step: int, count: int = 1000, seed: int = 2026, table: str = "daily", also: str = "") -> str:
+    """CTEs that end in z(strategy, x, j, z): the counter's random number of each row and replicate, from the table's strategy, d, x and what is named also."""
     wrap = "18446744073709551616::UHUGEINT"
-    return f"""c0 AS (SELECT strategy, x, j, (d::UHUGEINT + j::UHUGEINT * {step}::UHUGEINT) % {wrap} AS c FROM daily, (SELECT unnest(range({count})) AS j) WHERE x IS NOT NULL),
+    return f"""c0 AS (SELECT strategy, {also}x, j, (d::UHUGEINT + j::UHUGEINT * {step}::UHUGEINT) % {wrap} AS c FROM {table}, (SELECT unnest(range({count})) AS j) WHERE x IS NOT NULL),
 z0 AS (SELECT *, (({seed}::UHUGEINT + (c + 1::UHUGEINT) * {STEP}::UHUGEINT) % {wrap})::UBIGINT AS a FROM c0),
 z1 AS (SELECT *, ((xor(a, a >> 30)::UHUGEINT * {MUL1}::UHUGEINT) % {wrap})::UBIGINT AS b FROM z0),
 z2 AS (SELECT *, ((xor(b, b >> 27)::UHUGEINT * {MUL2}::UHUGEINT) % {wrap})::UBIGINT AS e FROM z1),
-z AS (SELECT strategy, x, j, xor(e, e >> 31) AS z FROM z2)"""
+z AS (SELECT strategy, {also}x, j, xor(e, e >> 31) AS z FROM z2)"""
 
 
 @query(sql("""SELECT strategy, n, round(mean, 9) AS mean, (count(*) FILTER (s / n >= mean - 1e-12) + 1) / 1001e0 AS p FROM
@@ -227,7 +227,7 @@ PAIRED = """pairs AS (SELECT a.strategy // 2 AS strategy, a.d, b.x - a.x AS x FR
   round(least(1e0, 2 * least(avg((m >= 0)::INT), avg((m <= 0)::INT))), 9) AS p FROM
   (SELECT strategy AS pair, j, sum(w * x) / sum(w) AS m FROM (SELECT *, """ + COPIES + """ AS w FROM z) GROUP BY ALL HAVING sum(w) > 0)
   JOIN (SELECT strategy AS pair, avg(x) AS mean, count(*) AS n_pairs FROM pairs GROUP BY 1) USING (pair) WHERE n_pairs >= 3 GROUP BY pair, n_pairs""",
-           *TOUCHED, MARK, DAILY, PAIRED, draws_sql(MUL2).replace("FROM daily,", "FROM pairs,")))
+           *TOUCHED, MARK, DAILY, PAIRED, draws_sql(MUL2, table="pairs")))
 def paired_delta(spark, sf_dir):
     """Mean difference of daily markout between two strategies on the days that both have, its interval, and a two-sided p."""
     x = daily(spark, sf_dir).withColumns({"pair": F.expr("strategy div 2"), "second": F.expr("strategy % 2")})
