@@ -92,9 +92,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 1
         # Large star: neighbours larger than u go to the smallest of u and its neighbours.
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = (both.where("v > u").join(low, "u")
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
-        large = materialize(large, "large-star")
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        large = materialize(large, "large-star")  # repeated edges go in the next step
         # Small star: u and its smaller neighbours go to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -104,5 +103,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 1
         cur = nxt
     else:
         raise RuntimeError(f"components: not complete after {max_rounds} rounds")
-    below = cur.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-    return below.unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct().join(below, "node", "left_anti"))
+    roots = cur.select("v").distinct()  # none of them is a u, and each u is there once
+    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("v", "v"))

@@ -373,7 +373,7 @@ def _joined(meetings: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, per
     active = materialize(by_signature.mapInArrow(_active(percent), "k long, side int, f long, c long"), f"{name}-active")
     sets = _sets(active.select("f").distinct(), nodes, texts, n)
     by_set = dealt(active.join(sets, "f").withColumn("n", F.lit(0).cast("long")))
-    links = materialize(by_set.mapInArrow(_linked(percent), "a long, b long").distinct(), f"{name}-links")
+    links = materialize(by_set.mapInArrow(_linked(percent), "a long, b long"), f"{name}-links")
     discard(active, sets)
     return links
 
@@ -384,12 +384,10 @@ def _key(*parts: Column | str) -> Column:
 
 def _spokes(cells: DataFrame) -> DataFrame:
     """Meetings of pivots with the members of their cells, large cells in parts."""
-    large = cells.groupBy("p").count().where(f"count > {BLOCK}").select("p", F.ceil(F.col("count") / BLOCK).cast("long").alias("parts"))
-    large = materialize(large, "large-cells")
+    size = materialize(cells.groupBy("p").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts")), "cell-sizes")
     part = F.pmod(F.xxhash64("f"), F.coalesce("parts", F.lit(1)).cast("long"))
-    members = cells.join(large, "p", "left").select(_key("p", part), F.lit(1).alias("side"), "f", F.col("f").alias("c"))
-    pivots = cells.select("p").distinct().join(large, "p", "left").select(
-        "p", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1)).alias("part"))
+    members = cells.join(size.where("parts > 1"), "p", "left").select(_key("p", part), F.lit(1).alias("side"), "f", F.col("f").alias("c"))
+    pivots = size.select("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     return members.union(pivots.select(_key("p", "part"), F.lit(0).alias("side"), F.col("p").alias("f"), F.col("p").alias("c")))
 
 
@@ -406,6 +404,8 @@ def _mixed(cells: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
     size = member.groupBy("p").agg(F.count("*").alias("m"), F.sum("n").alias("grams"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("m > 2 and c0 != c1")
     size = materialize(size.select("p", (F.expr(f"m > {BLOCK} or grams > {BLOCK_GRAMS}")).alias("large")), "mixed-cells")
     whole = member.join(size.where("not large"), "p").select(_key("p"), F.lit(2).alias("side"), "f", "c")
+    if size.where("large").isEmpty():
+        return whole
 
     inner = member.join(size.where("large"), "p", "left_semi")
     share = materialize(inner.groupBy("p", "c").agg(F.count("*").alias("m"), F.sum("n").alias("grams")), "shares")
@@ -455,11 +455,11 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     alone = later.join(groups.select("node"), "node", "left_anti").select("node", F.col("last").alias("c"))
     groups = materialize(first.union(alone), "components")
 
-    lows = rows.where("n > 0").groupBy("f").agg(F.min("d").alias("low"))
-    lowest = materialize(lows.join(groups, lows["f"] == groups["node"]).groupBy("c").agg(F.min("low").alias("low")), "lowest")
-    known = materialize(groups.join(lowest, "c").select(F.col("node").alias("f"), "c", "low"), "known")
-    alone = materialize(lows.join(known, "f", "left_anti").select("f", F.col("f").alias("c"), "low"), "alone")
-    out = rows.select("d", "t", "n", "f").join(known.union(alone), "f", "left")
+    sets = rows.where("n > 0").groupBy("f").agg(F.min("d").alias("least")).join(groups.withColumnRenamed("node", "f"), "f", "left")
+    sets = materialize(sets.select("f", F.coalesce("c", "f").alias("c"), "least"), "labelled-sets")
+    lowest = materialize(sets.groupBy("c").agg(F.min("least").alias("low")), "lowest")
+    known = materialize(sets.join(lowest, "c").select("f", "c", "low"), "known")
+    out = rows.select("d", "t", "n", "f").join(known, "f", "left")
     return out.select("d", "t", F.col("n").alias("n_shingles"), "f", F.coalesce("c", "f").alias("group"), F.coalesce("low", "d").alias("component_id"))
 
 
