@@ -418,8 +418,10 @@ def test_long_stretches_are_decoded_as_short_ones(monkeypatch):
 def test_pii_awkward(spark):
     field = pii.train(pii_examples.table(100))
     assert pii.train([]).emit.any() == False  # noqa: E712
-    out = pii.find(odd(spark, AWKWARD + [(40, "9" * 30000), (41, "a" * 50000 + "@"), (42, "+1 (499) 555-6503")]), field, keep=("doc_id", "d"))
-    assert out.count() == len(AWKWARD) + 3 and out.where("size(spans) < size(base)").count() == 0
+    out = pii.find(odd(spark, AWKWARD + [(40, "9" * 30000), (41, "a" * 50000 + "@"), (42, "+1 (499) 555-6503"), (43, 'the token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b" from 10.1.2.3')]),
+                   pii.train(pii_examples.table()), keep=("doc_id", "d"))
+    assert [s.kind for s in out.where("doc_id = 43").first().spans] == ["secret", "ip"]
+    assert out.count() == len(AWKWARD) + 4 and out.where("size(spans) < size(base)").count() == 0
     assert out.where("doc_id = 42").first().base[0].kind == "phone" and pii.find(odd(spark, []), field).count() == 0
 
 

@@ -352,7 +352,7 @@ def find(df: DataFrame, field: Field, text: str = "text", keep: tuple[str, ...]
                 more = added_spans(texts, base, field)
                 as_rows = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
                 out["base"] = [as_rows(b) for b in base]
-                out["spans"] = [as_rows(sorted(b + m, key=lambda s: (s[1], KINDS.index(s[0])))) for b, m in zip(base, more)]
+                out["spans"] = [as_rows(sorted(b + m, key=lambda s: (s[1], LABELS.index(s[0])))) for b, m in zip(base, more)]
                 yield out
 
     small_batches(df.sparkSession)
