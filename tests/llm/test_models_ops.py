@@ -355,7 +355,9 @@ def test_pii_patterns(spark):
         x = "".join(r.choice("aB@@..--+%_ 0123 45(6)7é\n") for _ in range(r.randrange(50)))
         assert pii.base_spans(x) == plain_spans(x)
     docs = {d.doc_id: d.text for d in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    for row in q.op10_pii(spark, SF).collect():
+    rows = q.op10_pii(spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    for row in rows:
         base = plain_spans(docs[row.doc_id])
         assert row.base_sha256 == sha(pii.written(base)) and {pii.written([b]) for b in base} <= set(row.spans.split(","))
         assert (row.n_email, row.n_ip, row.n_card, row.n_phone) == tuple(sum(b[0] == k for b in base) for k in pii.KINDS)

@@ -345,7 +345,7 @@ def find(df: DataFrame, field: Field, text: str = "text", keep: tuple[str, ...]
     def batches(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
             for lo in range(0, max(1, len(pdf)), 100):
-                part = pdf.iloc[lo : lo + 400].reset_index(drop=True)
+                part = pdf.iloc[lo : lo + 100].reset_index(drop=True)
                 out = part[[f"k{i}" for i in range(len(keep))]].set_axis(list(keep), axis=1)
                 texts = [t or "" for t in part["x"]]
                 base = [base_spans(t) for t in texts]
