@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, contamination, html, jaccard, language, lines, neighbours, pii, pii_examples, quality, suffixes
+from . import bpe, contamination, html, jaccard, language, lexical, lines, neighbours, pii, pii_examples, quality, spelling, suffixes, urls
 from .common import read_table
 
 
@@ -141,10 +141,39 @@ def _of_kind(kind: str, among: str = "base") -> Column:
     return F.size(F.filter(among, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
+#: The rules of the URL filter (allow, host, path).
+URL_RULES = [(True, "org", "/"), (False, "example.org", "/es/"), (False, "example.org", "/en/1"), (True, "com", "/fr/"), (False, "com", "/de/")]
+
+
+def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page's URL: the longest rule's, else the character models'. A null URL is judged as an empty one; equal URLs get equal verdicts, repeated rows are repeated."""
+    judged = urls.judge(read_table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+#: Letters of words, and one run in so many that loses a letter.
+LETTERS, ONE_IN = r"[A-Za-z\u00C0-\u00FF]", 199
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among all words of documents. Null and empty texts have no words; repeated rows count each; a null id is written as nothing in a run's number."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")))
+    words = spelling.runs(docs, LETTERS, least=6).select(spelling.without(F.col("run"), h, ONE_IN).alias("word"))
+    counts = words.where(F.length("word") >= 6).groupBy("word").agg(F.count("*").alias("n")).where("n >= 5")
+    return spelling.variants(counts, ratio=5)
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for each benchmark item. Null texts and items without a term have no rows; each row of documents is a document of its own; a null doc_id counts as the largest."""
+    docs, items = read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "benchmark", "item_id", "text")
+    return lexical.search(docs, items, k=20)
+
+
 def queries() -> dict:
     return {"op1_bpe": op1_bpe, "op2_html": op2_html, "op3_jaccard": op3_jaccard, "op4_contamination": op4_contamination,
             "op5_language": op5_language, "op6_quality": op6_quality, "op7_neighbours": op7_neighbours, "op8_lines": op8_lines,
-            "op9_suffixes": op9_suffixes, "op10_pii": op10_pii}
+            "op9_suffixes": op9_suffixes, "op10_pii": op10_pii, "op11_urls": op11_urls, "op12_spelling": op12_spelling, "op13_lexical": op13_lexical}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -181,6 +210,72 @@ SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed,
   sha256(unhex(CASE WHEN spans IS NULL THEN x ELSE head || substr(x, 2 * last + 1) END)) AS kept_sha256 FROM b LEFT JOIN k USING (doc_id)"""
 
 
+
+
+def _crc32(x: str) -> str:
+    """crc32 of a string's UTF-8 bytes in SQL, bit by bit."""
+    one = f"('0x' || substr(hex(encode({x})), 2 * i + 1, 2))::BIGINT"
+    bits = f"flatten(list_transform(range(octet_length(encode({x}))), lambda i: [{one}, 0, 0, 0, 0, 0, 0, 0]))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"
+
+
+def _urls_sql(order: int = 4, least: int = 4) -> str:
+    """The URL filter in SQL: a step for each order of the two models, then scores, threshold and verdicts."""
+    fits = [(f"(host = '{h}' OR suffix(host, '.{h}')) AND prefix(path, '{p}')", h + p, ok) for ok, h, p in sorted(URL_RULES, key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r[0]))]
+    rule, allow = (f"CASE {' '.join(f'WHEN {f} THEN {v}' for f, v in x)} END" for x in ([(f, f"'{n}'") for f, n, _ in fits], [(f, str(ok)) for f, _, ok in fits]))
+    parts = [f"""u0 AS (SELECT DISTINCT coalesce(url, '') AS x FROM pages),
+u1 AS (SELECT x, CASE WHEN instr(x, '://') > 0 THEN substr(x, instr(x, '://') + 3) ELSE '' END AS rest FROM u0),
+u2 AS (SELECT x, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u1),
+u AS (SELECT *, {rule} AS rule, {allow} AS allow, {_crc32("x")} % {urls.FOLDS} = 0 AS held FROM u2),
+places AS (SELECT x, allow, held, substr(repeat(chr(2), {order}) || x || chr(3), i, {order + 1}) AS gram FROM (SELECT *, unnest(range(1, length(x) + 2)) AS i FROM u)),
+counts AS (SELECT gram, count(*) FILTER (allow AND NOT held) AS good, count(*) FILTER (NOT allow AND NOT held) AS bad FROM places GROUP BY 1)"""]
+    for k in range(order + 1):
+        sums = ", ".join(f"sum({c}) OVER w AS {c}_all, sum(({c} > 0)::INT) OVER w AS {c}_kinds" for c in ("good", "bad"))
+        parts.append(f"l{k} AS (SELECT *, {sums} FROM (SELECT substr(gram, {order + 1 - k}) AS g, sum(good) AS good, sum(bad) AS bad FROM counts GROUP BY 1) WINDOW w AS (PARTITION BY substr(g, 1, {k})))")
+        below = {c: f"p.p_{c}" if k else "(1.0::DOUBLE / 256)" for c in ("good", "bad")}
+        mixed = ", ".join(f"CASE WHEN {c}_all >= {least if k else 1} THEN ({c} + {c}_kinds * {below[c]})::DOUBLE / ({c}_all + {c}_kinds) ELSE {below[c]} END AS p_{c}" for c in ("good", "bad"))
+        parts.append(f"p{k} AS (SELECT l.g, {mixed} FROM l{k} l" + (f" JOIN p{k - 1} p ON substr(l.g, 2) = p.g)" if k else ")"))
+    parts.append(f"""llr AS (SELECT g AS gram, floor(ln(p_good) * 1000000)::BIGINT - floor(ln(p_bad) * 1000000)::BIGINT AS llr FROM p{order}),
+scored AS (SELECT x, greatest(least(floor(sum(llr) / (count(*) * {urls.STEP}.0::DOUBLE)), {urls.STEPS}), -{urls.STEPS})::BIGINT AS step FROM places JOIN llr USING (gram) GROUP BY x),
+held AS (SELECT step, count(*) FILTER (allow) AS good, count(*) FILTER (NOT allow) AS bad FROM u JOIN scored USING (x) WHERE held AND allow IS NOT NULL GROUP BY 1),
+ends AS (SELECT * FROM held UNION ALL SELECT max(step) + 1, 0, 0 FROM held HAVING count(*) > 0),
+errors AS (SELECT step, coalesce(sum(good) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * (SELECT sum(bad) FROM held)
+  + sum(bad) OVER (ORDER BY step ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) * (SELECT sum(good) FROM held) AS error FROM ends),
+threshold AS (SELECT coalesce((SELECT step FROM errors WHERE (SELECT sum(good) > 0 AND sum(bad) > 0 FROM held) ORDER BY error, abs(step), step LIMIT 1), 0) AS t)
+SELECT page_id, host, path, rule, CASE WHEN coalesce(allow, step >= t) THEN 'allow' ELSE 'block' END AS verdict
+FROM pages JOIN u ON coalesce(url, '') = u.x JOIN scored USING (x), threshold""")
+    return "WITH " + ",\n".join(parts)
+
+
+SPELLING_SQL = f"""WITH r AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+c AS (SELECT *, count(*) AS k FROM r WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT run, k, {_crc32("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM c),
+v AS (SELECT CASE WHEN h % {ONE_IN} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM h),
+w AS (SELECT word, sum(k)::BIGINT AS n FROM v WHERE length(word) >= 6 GROUP BY 1 HAVING sum(k) >= 5),
+cut AS (SELECT word, n, i, substr(word, 1, i) AS a, substr(word, i + 2) AS b FROM (SELECT *, unnest(range(length(word))) AS i FROM w)),
+near AS (SELECT DISTINCT x.word, x.n, y.word AS other, y.n AS m FROM cut x JOIN cut y USING (a, b) WHERE x.word != y.word
+  UNION SELECT x.word, x.n, y.word, y.n FROM cut x JOIN w y ON y.word = x.a || x.b
+  UNION SELECT y.word, y.n, x.word, x.n FROM cut x JOIN w y ON y.word = x.a || x.b),
+best AS (SELECT word, n, count(*) AS n_near, max(m) AS m, min(other) FILTER (m = top) AS other FROM (SELECT *, max(m) OVER (PARTITION BY word) AS top FROM near) GROUP BY ALL),
+f AS (SELECT word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * w.n THEN other END AS form, CASE WHEN m >= 5 * w.n THEN m END AS form_n FROM w LEFT JOIN best USING (word)),
+walk AS (WITH RECURSIVE s AS (SELECT word, word AS last, 0 AS k FROM f UNION ALL SELECT s.word, f.form, k + 1 FROM s JOIN f ON f.word = s.last WHERE f.form IS NOT NULL) SELECT word, max_by(last, k) AS root FROM s GROUP BY 1)
+SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n FROM f JOIN walk USING (word)"""
+
+_TERMS = "regexp_extract_all(" + _LOWER.format("text") + ", '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+
+LEXICAL_SQL = f"""WITH d AS (SELECT * FROM (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents WHERE text IS NOT NULL) WHERE len(w) > 0),
+s AS (SELECT count(*)::BIGINT AS docs, sum(len(w))::BIGINT AS terms FROM d),
+i AS (SELECT *, row_number() OVER () AS item FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+q AS (SELECT item, t, count(*) AS c FROM (SELECT item, unnest({_TERMS}) AS t FROM i) GROUP BY ALL),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) SEMI JOIN q USING (t) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY t, docs),
+m AS (SELECT r, doc_id, 75 + (25 * len(w)::BIGINT * docs) // terms AS m FROM d, s),
+score AS (SELECT item, r, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM q JOIN tf USING (t) JOIN w USING (t) JOIN m USING (r) GROUP BY ALL),
+best AS (SELECT item, doc_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM score JOIN m USING (r) WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM best JOIN i USING (item) WHERE rank <= 20"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express the result; the other operators are tested against brute force."""
-    return {"op4_contamination": CONTAMINATION_SQL, "op8_lines": LINES_SQL, "op9_suffixes": SUFFIXES_SQL}
+    return {"op4_contamination": CONTAMINATION_SQL, "op8_lines": LINES_SQL, "op9_suffixes": SUFFIXES_SQL,
+            "op11_urls": _urls_sql(), "op12_spelling": SPELLING_SQL, "op13_lexical": LEXICAL_SQL}

@@ -45,13 +45,13 @@ class Hasher:
             self.forth = np.concatenate([self.forth, self.forth * _U(pow(_STEP, k, 1 << 64))])
             self.back = np.concatenate([self.back, self.back * _U(pow(_BACK, k, 1 << 64))])
 
-    def words(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the words of texts end to end, A-Z lower-cased, and how many words each text has. ends: where texts end."""
+    def words(self, data: np.ndarray, ends: np.ndarray, letters: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of texts end to end, A-Z lower-cased, and how many words each text has. ends: where texts end; letters: which bytes words are of, else all but white space."""
         if not len(data):
             return np.zeros(0, _U), np.zeros(len(ends), np.int64)
         n = len(data)
         self._grow(n + 1)
-        word = ~_SPACE[data]
+        word = (~_SPACE if letters is None else letters)[data]
         first, last = word.copy(), word.copy()
         border = np.append(0, ends[:-1])
         first[1:] &= ~word[:-1]
