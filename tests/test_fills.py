@@ -84,15 +84,53 @@ def test_blocks_of_time_do_not_show(spark):
         timeline.running_sum(timeline.last_known(df, ["sym"], ["ts_ns", "seq"], {"v": "known"}, size=s), ["sym"], ["ts_ns", "seq"], {"v": "total"}, size=s)
         for s in (7, 1000))
     assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
-    from pyspark.sql import functions as F
-    since = {"late": F.col("ts_ns") - F.col("seq") % 5}
-    cols = {"n": F.lit(1), "s": F.col("v"), "late": F.col("v")}
-    a, b = (timeline.trailing(df, ["sym"], 9, cols, since, size=s).collect() for s in (9, 1000))
-    assert sorted(map(str, a)) == sorted(map(str, b))
-    for seq, sym, ts, _, n, s, late in a:
-        inside = [(x, v or 0) for x, y, t, v in data if y == sym and ts - 9 < t <= ts]
-        assert (n, s) == (len(inside), sum(v for _, v in inside))
-        assert late == sum(v or 0 for x, y, t, v in data if y == sym and t <= ts and t - x % 5 > ts - 9)
+
+
+def inside(rows, width):
+    """For each row of (seq, sym, ts, value, time of the row before): the values in its window, and those that began in it."""
+    for seq, sym, ts, *_ in rows:
+        mine = [r for r in rows if r[1] == sym and ts - width < r[2] <= ts]
+        yield seq, [r[3] for r in mine if r[3] is not None], [r[3] for r in mine if r[3] is not None and r[4] > ts - width]
+
+
+@pytest.mark.parametrize("width", [1, 9, 50, 1000])
+def test_trailing_windows(spark, width):
+    """Fractional values, ties, nulls and one NaN against sums over each window; what began before the window doesn't count."""
+    r, rows, before = random.Random(width), [], {}
+    for seq, ts in enumerate(sorted(r.randrange(900) for _ in range(300))):
+        sym = seq % 3
+        rows.append((seq, sym, ts, float("nan") if seq == 40 else r.choice([None, 0.1, 0.2, 0.3, r.random() * 1e-9, -7.7]), before.get(sym, ts)))
+        before[sym] = ts
+    df = spark.createDataFrame(rows, "seq long, sym long, ts_ns long, v double, p long").repartition(5)
+    got = timeline.trailing(df, ["sym"], width, {"s": F.col("v"), "n": F.when(F.col("v").isNotNull(), 1), "late": F.col("v")},
+                            since={"late": F.col("p"), "m": F.col("p")}, moments={"m": F.col("v"), "w": F.col("v")})
+    got = {x.seq: x for x in got.collect()}
+    near = lambda a, b: (a is None and b is None) or (math.isnan(a) and math.isnan(b)) or abs(a - b) <= 1e-12 * max(1, abs(b))
+    assert len(got) == len(rows)
+    for seq, every, late in inside(rows, width):
+        x = got[seq]
+        assert near(x.s, sum(every) if every else None) and x.n == (len(every) or None) and near(x.late, sum(late) if late else None)
+        for count, mean, var, want in ((x.m_n, x.m_mean, x.m_var, late), (x.w_n, x.w_mean, x.w_var, every)):
+            mid = sum(want) / len(want) if want else None
+            assert count == len(want) and near(mean, mid) and near(var, sum((v - mid) ** 2 for v in want) / len(want) if want else None)
+
+
+def test_trailing_takes_nothing_off(spark):
+    """An emptied window is null, not what rounding left; a NaN is in its own windows only; large values leave small variances alone."""
+    df = spark.createDataFrame([(1, 0, 0.1), (2, 1, 0.2), (3, 2, 0.3), (4, 10**12, None)], "seq long, ts_ns long, v double").withColumn("sym", F.lit(1))
+    last = timeline.trailing(df, ["sym"], 1000, {"net": F.col("v"), "vol": F.abs("v")}).where("seq = 4").first()
+    assert last.net is None and last.vol is None
+    df = spark.createDataFrame([(1, 1, float("nan")), (2, 50, 1.0), (3, 200, 2.0)], "seq long, ts_ns long, v double").withColumn("sym", F.lit(1))
+    got = {x.seq: x.s for x in timeline.trailing(df, ["sym"], 10, {"s": F.col("v")}).collect()}
+    assert math.isnan(got[1]) and (got[2], got[3]) == (1.0, 2.0)
+    df = spark.createDataFrame([(k, k, 1e9 + k % 2) for k in range(40)], "seq long, ts_ns long, v double").withColumn("sym", F.lit(1))
+    assert all(abs(x.m_var - 0.25) < 1e-6 for x in timeline.trailing(df, ["sym"], 8, {}, moments={"m": F.col("v")}).where("seq >= 7").collect())
+
+
+def test_trailing_refuses_values_that_overlap(spark):
+    df = spark.createDataFrame([(1, 11, 2), (2, 12, 3)], "seq long, ts_ns long, p long").withColumn("sym", F.lit(1))
+    with pytest.raises(Exception, match="do not begin at the row before"):
+        timeline.trailing(df, ["sym"], 10, {"s": F.lit(1.0)}, since={"s": F.col("p")}).collect()
 
 
 def test_empty_tables(spark):

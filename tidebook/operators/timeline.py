@@ -62,30 +62,70 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], columns: dict[
     return out.drop("_blk", *[f"_own_{n}" for n in columns.values()], *[f"_carry_{n}" for n in columns.values()])
 
 
+def _added(parts: list[Column]) -> Column:
+    """Sum of the parts that are not null, null if all are."""
+    return reduce(lambda a, b: F.coalesce(a + b, a, b), parts)
+
+
+def _merged(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column]) -> tuple[Column, Column, Column]:
+    """(count, mean, sum of squares about the mean) of two sets of numbers together."""
+    (n, mean, m2), (k, other, o2) = a, b
+    n, k, total, off = n.cast("double"), k.cast("double"), (n + k).cast("double"), other - mean
+    some = (n > 0) & (k > 0)
+    return (n + k, F.when(some, mean + off * k / total).otherwise(F.coalesce(mean, other)),
+            F.when(some, m2 + o2 + off * off * n * k / total).otherwise(F.coalesce(m2, o2)))
+
+
 def trailing(df: DataFrame, keys: list[str], width_ns: int, columns: dict[str, Column], since: dict[str, Column] | None = None,
-             ts: str = "ts_ns", size: int = BLOCK_NS) -> DataFrame:
-    """Adds sums of columns over the rows with time in (t - width, t], ties included; null counts as 0.
+             moments: dict[str, Column] | None = None, ts: str = "ts_ns") -> DataFrame:
+    """Adds sums of columns over the rows with time in (t - width, t], ties included; null where no value is in the window.
+
+    ``moments`` adds for each of its columns name_n, name_mean and name_var, the population variance, from merged central moments. A value whose name is in ``since``
+    counts only while that time is inside the window too; it must be the time of the row before, at which what the value measures began
+    (a log return's earlier end), so at most one value of a key spans a block's border; more raise.
 
-    A row's value comes in at its time and leaves when the window has passed that time, or the one in ``since``, so a
-    trailing sum is a running sum of both and no row is added up again for another. Sums run inside blocks of
-    time; rows near a block's end also serve the next one.
+    Time is cut into blocks as wide as the window, which then is the rest of one block and the beginning of the next. Sums run from a
+    block's beginning and from its end, and nothing is ever taken off: an emptied window is null, and a NaN is only in windows that hold it.
+    A row with values serves its own block and the next.
     """
-    size, since = max(size, width_ns), since or {}
-    df = df.withColumn("_blk", block(ts, size))
-    helps = (F.col("_blk") + 1) * size - F.col(ts) < width_ns
-    both = df.withColumn("_to", F.explode(F.when(helps, F.array("_blk", F.col("_blk") + 1)).otherwise(F.array("_blk"))))
-    values = {n: F.coalesce(c, F.lit(0)) for n, c in columns.items()}
-
-    def entry(at: Column, own: bool, names: list[str], sign: int) -> Column:
-        zero = {n: v * 0 for n, v in values.items()}
-        return F.struct(at.alias("at"), F.lit(own).alias("own"), *[(sign * values[n] if n in names else zero[n]).alias(n) for n in columns])
-
-    plain = [n for n in columns if n not in since]
-    leaving = [(F.col(ts), plain)] * bool(plain) + [(c, [n]) for n, c in since.items()]
-    entries = [entry(F.col(ts), True, list(columns), 1), *[entry(F.greatest(F.col(ts), c + width_ns), False, names, -1) for c, names in leaving]]
-    both = both.withColumn("_e", F.explode(F.array(*entries))).where(F.col("_e.at") < (F.col("_to") + 1) * size)
-    w = Window.partitionBy(*keys, "_to").orderBy("_e.at").rangeBetween(Window.unboundedPreceding, 0)
-    return both.withColumns({n: F.sum(f"_e.{n}").over(w) for n in columns}).where("_e.own and _to = _blk").drop("_to", "_blk", "_e")
+    since, moments = since or {}, moments or {}
+    values = columns | moments
+    blk, at = F.expr(f"{ts} div {width_ns}"), F.col(ts)
+    own, cross = F.col("_e.own"), {n: (c < blk * width_ns) for n, c in since.items()}
+
+    def entry(shift: int, here: bool, at: Column, names: list[str]) -> Column:
+        def value(n: str) -> Column:
+            v = values[n]
+            return F.when(F.lit(n in names) & ~F.coalesce(cross.get(n, F.lit(False)) if here else F.lit(False), F.lit(False)), v)
+
+        return F.struct((blk + shift).alias("blk"), at.alias("at"), F.lit(here).alias("own"), *[value(n).alias(n) for n in values],
+                        *[(F.when(cross[n] & v.isNotNull(), F.struct(at.alias("lo"), (since[n] + width_ns).alias("hi"), v.alias("v"))) if here
+                           else F.lit(None).cast("struct<lo:bigint,hi:bigint,v:double>")).alias(f"x_{n}") for n, v in values.items() if n in since])
+
+    leaving = [(at, [n for n in values if n not in since])] + [(c, [n]) for n, c in since.items()]
+    entries = [entry(0, True, at, list(values))]
+    for left, names in leaving:
+        if names:
+            serves = reduce(lambda a, b: a | b, [values[n].isNotNull() for n in names]) & (left >= blk * width_ns)
+            entries.append(F.when(serves, entry(1, False, left + width_ns, names)))
+    both = df.withColumn("_e", F.explode(F.array_compact(F.array(*entries))))
+    part = Window.partitionBy(*keys, "_e.blk")
+    first, last = part.orderBy("_e.at").rangeBetween(Window.unboundedPreceding, 0), part.orderBy(F.desc("_e.at")).rangeBetween(Window.unboundedPreceding, -1)
+    sides = (("a", first, own), ("b", last, ~own))
+    run = {f"_{s}_{n}": F.sum(F.when(mine, F.col(f"_e.{n}"))).over(w) for s, w, mine in sides for n in columns}
+    run |= {f"_{s}_{what}_{n}": f(F.when(mine, F.col(f"_e.{n}"))).over(w) for s, w, mine in sides for n in moments for what, f in (("n", F.count), ("mean", F.avg), ("var", F.var_pop))}
+    run |= {f"_x_{n}": F.max(f"_e.x_{n}").over(part) for n in since} | {f"_xs_{n}": F.count(f"_e.x_{n}").over(part) for n in since}
+    out = both.withColumns(run).where(own)
+    spans = {n: F.when(F.col(f"_xs_{n}") > 1, F.raise_error(F.lit(f"trailing: values of {n} do not begin at the row before")).cast("double"))
+             .when((F.col(f"_x_{n}.lo") <= at) & (at < F.col(f"_x_{n}.hi")), F.col(f"_x_{n}.v")) for n in since}
+    made = {n: _added([F.col(f"_a_{n}"), F.col(f"_b_{n}"), *([spans[n]] if n in spans else [])]) for n in columns}
+    for n in moments:
+        parts = [(F.col(f"_{s}_n_{n}"), F.col(f"_{s}_mean_{n}"), F.col(f"_{s}_var_{n}") * F.col(f"_{s}_n_{n}")) for s in "ab"]
+        if n in spans:
+            parts.append((F.when(spans[n].isNotNull(), 1).otherwise(0), spans[n], F.when(spans[n].isNotNull(), spans[n] * 0)))
+        count, mean, m2 = reduce(_merged, parts)
+        made |= {f"{n}_n": count.cast("long"), f"{n}_mean": mean, f"{n}_var": m2 / count}
+    return out.withColumns(made).drop("_e", *run)
 
 
 def as_of(probes: DataFrame, states: DataFrame, keys: list[str], value: str, name: str, at: str = "ts_ns", tie: str = "seq") -> DataFrame:

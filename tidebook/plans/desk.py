@@ -137,11 +137,9 @@ def surges(spark, sf_dir) -> DataFrame:
     t = t.select("seq", "sym", "ts_ns", F.lit(1).alias("kind"), F.log(F.col("price") / F.col("p.price")).alias("r"), F.coalesce("p.ts_ns", "ts_ns").alias("left"),
                  (F.col("side") * F.col("size")).alias("s"), F.col("size").alias("v"), F.lit(1).alias("one"))
     both = mk.snapshots(spark, sf_dir).select("seq", "sym", "ts_ns", F.lit(0).alias("kind"), "bids", "asks").unionByName(t, allowMissingColumns=True)
-    left = F.coalesce("left", "ts_ns")
-    w = trailing(both, ["sym"], 4 * HOUR, {"n": F.col("one"), "s1": F.col("r"), "s2": F.col("r") * F.col("r"), "net": F.col("s"), "vol": F.col("v")}, since={"s1": left, "s2": left})
-    m = F.col("n") - 1
-    var = F.greatest(F.lit(0.0), F.try_divide("s2", m) - F.pow(F.try_divide("s1", m), 2))
-    return w.where("kind = 0").withColumns({"surge_bp": F.when(F.col("n") >= 3, F.round(F.sqrt(var) * 1e4, 4)), "ofi": F.round(F.try_divide(F.abs("net"), "vol"), 9)})
+    w = trailing(both, ["sym"], 4 * HOUR, {"n": F.col("one"), "net": F.col("s"), "vol": F.col("v")}, since={"r": F.coalesce("left", "ts_ns")}, moments={"r": F.col("r")})
+    surge = F.when(F.col("n") >= 3, F.round(F.sqrt(F.coalesce("r_var", F.lit(0.0))) * 1e4, 4))
+    return w.where("kind = 0").withColumns({"surge_bp": surge, "ofi": F.round(F.try_divide(F.abs("net"), "vol"), 9)})
 
 
 @query(sql("""SELECT seq, sym, surge_bp, surge, micro, flow, (surge OR micro OR flow) AS any_of, (surge AND micro AND flow) AS all_of FROM (

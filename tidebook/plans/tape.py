@@ -207,6 +207,18 @@ def gate_mask(spark, sf_dir):
     return t.select("seq", "sym", F.coalesce(F.col("last") + 2 * HOUR > F.col("ts_ns"), F.lit(False)).alias("pulled"))
 
 
+@query(sql("""SELECT s.seq, s.sym, n, round(net / vol, 9) AS imbalance, round(pv / vol, 9) AS vwap, CASE WHEN n > 0 THEN round(dev, 7) END AS size_dev FROM (
+  SELECT s.seq, s.sym, count(t.seq) AS n, sum(t.side * t.value) AS net, sum(t.value) AS vol, sum(t.price * t.value) AS pv, stddev_pop(t.value) AS dev
+  FROM snap s LEFT JOIN (SELECT t.*, ev.value / 7 AS value FROM trade t JOIN ev USING (seq)) t ON t.sym = s.sym AND t.ts_ns <= s.ts_ns AND t.ts_ns > s.ts_ns - 3600000000000 GROUP BY ALL) s"""))
+def flow_fractional(spark, sf_dir):
+    """The last hour's trades at each snapshot, sizes with fractions: imbalance, volume-weighted price and deviation of sizes, null without trades."""
+    t = mk.trades(spark, sf_dir, F.col("value") / 7).select("seq", "sym", "ts_ns", F.lit(1).alias("kind"), "side", "price", "size")
+    both = mk.snapshots(spark, sf_dir).select("seq", "sym", "ts_ns", F.lit(0).alias("kind")).unionByName(t, allowMissingColumns=True)
+    size = F.col("size")
+    w = trailing(both, ["sym"], HOUR, {"net": F.col("side") * size, "vol": size, "pv": F.col("price") * size}, moments={"size": size}).where("kind = 0")
+    return w.select("seq", "sym", F.col("size_n").alias("n"), F.round(F.try_divide("net", "vol"), 9).alias("imbalance"), F.round(F.try_divide("pv", "vol"), 9).alias("vwap"), F.round(F.sqrt("size_var"), 7).alias("size_dev"))
+
+
 def _side(px: str, pp: str, sz: str, pz: str, up: str) -> str:
     return f"(CASE WHEN {px} {up} {pp} THEN {sz} WHEN {px} = {pp} THEN {sz} - {pz} ELSE -{pz} END)"
 
@@ -298,13 +310,12 @@ def realized_vol(spark, sf_dir):
 
 
 def returns_in_window(s: DataFrame, width_ns: int) -> DataFrame:
-    """Adds to each row the number of mids inside (t - width, t], and sums s1 and s2 of the log returns between them and of their squares."""
+    """Adds to each row the number of mids inside (t - width, t], and count, mean and variance (r_n, r_mean, r_var) of the log returns between them."""
     s = s.withColumn("d", F.struct("mid", "ts_ns"))
     s = last_known(s, ["sym"], ["ts_ns", "seq"], {"d": "p"}, before=True)
-    s = s.withColumn("r", F.log("mid") - F.log("p.mid"))
+    r = F.log("mid") - F.log("p.mid")
     # A return counts while both its ends are inside, that is until its earlier end leaves.
-    left = F.coalesce("p.ts_ns", "ts_ns")
-    return trailing(s, ["sym"], width_ns, {"n": F.lit(1), "s1": F.col("r"), "s2": F.col("r") * F.col("r")}, since={"s1": left, "s2": left})
+    return trailing(s, ["sym"], width_ns, {"n": F.lit(1)}, since={"r": F.coalesce("p.ts_ns", "ts_ns")}, moments={"r": r})
 
 
 @query(sql("""SELECT seq, sym, CASE WHEN n > 1 THEN round(sqrt(greatest(0, (s2 - r0 * r0) / (n - 1) - ((s1 - r0) / (n - 1)) ** 2)), 7) END AS sigma, n FROM (
@@ -314,8 +325,7 @@ def returns_in_window(s: DataFrame, width_ns: int) -> DataFrame:
 def rolling_sigma(spark, sf_dir):
     """Population deviation of the log returns between mids of the last day."""
     s = returns_in_window(mk.snapshots(spark, sf_dir), mk.DAY_NS)
-    m = F.col("n") - 1
-    return s.select("seq", "sym", F.when(m > 0, F.round(F.sqrt(F.greatest(F.lit(0.0), F.try_divide("s2", m) - F.pow(F.try_divide("s1", m), 2))), 7)).alias("sigma"), "n")
+    return s.select("seq", "sym", F.when(F.col("r_n") > 0, F.round(F.sqrt("r_var"), 7)).alias("sigma"), "n")
 
 
 @query(sql("""SELECT sym, win, is_from, count(CASE WHEN ts_ns < oos_from THEN 1 END) AS n_is, count(CASE WHEN ts_ns >= oos_from THEN 1 END) AS n_oos FROM (

@@ -42,12 +42,12 @@ def snapshots(spark: SparkSession, sf_dir: str, depth: int = DEPTH) -> DataFrame
     return s.select("seq", "sym", "ts_ns", "user_id", "event_type", "mid", side(-1, 3, 5).alias("bids"), side(1, 4, 3).alias("asks"))
 
 
-def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trades: seq, sym, ts_ns, user_id, side, price, size."""
+def trades(spark: SparkSession, sf_dir: str, size: Column | None = None) -> DataFrame:
+    """Trades: seq, sym, ts_ns, user_id, side, price, size (whole numbers from 1 to 8, or what is given)."""
     t = events(spark, sf_dir).where("event_type in ('purchase', 'error')")
     side = F.when(F.col("event_type") == "purchase", 1).otherwise(-1)
     return t.select("seq", "sym", "ts_ns", "user_id", side.alias("side"), (F.col("mid") + F.lit(0.5) * side).alias("price"),
-                    (1 + F.expr("floor(value) % 8")).cast("double").alias("size"))
+                    (size if size is not None else (1 + F.expr("floor(value) % 8")).cast("double")).alias("size"))
 
 
 def read_snapshots(spark: SparkSession, path: str, symbol: str | None = None) -> DataFrame:
