@@ -308,18 +308,32 @@ def test_compared_segments_of_frequent_anchors(monkeypatch):
 
     r = np.random.default_rng(4)
     texts = [b"".join(bytes([r.integers(97, 99)]) * 30 for _ in range(3)) + bytes([97 + k % 3]) * 20 for k in range(60)]
-    rows = pd.DataFrame({"h": np.arange(60) // 25, "d": r.permutation(60), "x": [suffixes._place(np.int64(7), np.int64(len(t) - 50), np.int64(k)) for k, t in enumerate(texts)], "bytes": texts})
+    rows = pd.DataFrame({"h": np.arange(60) // 25, "d": r.permutation(60), "t": np.arange(60), "x": [suffixes._place(np.int64(7), np.int64(len(t) - 50)) for t in texts], "bytes": texts})
 
     def found(go, leave):
         monkeypatch.setattr(suffixes, "GO", go)
         monkeypatch.setattr(suffixes, "LEAVE", leave)
         out = pd.concat(list(suffixes._compared(iter([rows.iloc[k : k + 11] for k in range(0, 60, 11)]))))
         late = out[out.kind == 1].sort_values(["w", "d"])
-        sure = {(int(d), int(x)) for d, x in out[out.kind == 0][["d", "x"]].to_numpy()}
-        return sure | {(int(d), int(x)) for p in suffixes._repeated(iter([late])) for d, x in p.to_numpy()}
+        sure = {tuple(x) for x in out[out.kind == 0][["d", "t", "x"]].to_numpy().tolist()}
+        return sure | {tuple(x) for p in suffixes._repeated(iter([late])) for x in p.to_numpy().tolist()}
 
     every = found(10**6, 10**6)
     assert every and found(10**6, 5) <= every
     same = rows.assign(h=0)
     rows = same
     assert found(10**6, 10**6) == found(3, 5) == found(10**6, 59)
+
+
+def test_suffixes_texts_of_one_id(spark):
+    """Texts of one id whose hashes agree in 26 bits: bytes of the one that repeats an earlier document go, and none of the other."""
+    import xxhash
+
+    first = "".join(chr(97 + k * k % 23) + chr(97 + k * 7 % 19) for k in range(120))
+    tails, others = ([f(k) for k in range(20_000)] for f in (lambda k: f"{first} tail {k}", lambda k: f"{k} " + "".join(chr(65 + (k + j * j * 5) % 26) for j in range(240))))
+    low = lambda x: xxhash.xxh64_intdigest(x.encode(), seed=42) & ((1 << 26) - 1)
+    known = {low(x): x for x in tails}
+    other = next(x for x in others if low(x) in known)
+    rows = [(1, first), (2, known[low(other)]), (2, other), (2, other)]
+    got = sorted((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), bytes(r.kept).decode()) for r in suffixes.remove_repeats(odd(spark, rows)).collect())
+    assert got == sorted([(1, 240, 0, first), (2, len(rows[1][1]), 240, rows[1][1][240:]), (2, len(other), 0, other), (2, len(other), 0, other)])

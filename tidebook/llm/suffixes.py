@@ -31,8 +31,8 @@ SPAN = LENGTH - FIRST + 1
 #: Bits and parts of the filters that tell which anchors are shared and which segments are looked at closely; what passes
 #: by chance only makes more rows.
 BITS, PARTS = 1 << 26, 64
-#: Bits of a packed place: where it starts, how many strings start there in a row, which text of its id.
-LEN_BITS, TEXT_BITS = 6, 26
+#: Bits of a packed place beside where it starts: how many strings start there in a row.
+LEN_BITS = 6
 
 _U = np.uint64
 _K = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -114,8 +114,8 @@ def _blocks(pdfs: Iterator[pd.DataFrame], most: int = 1 << 19) -> Iterator[tuple
                 lo, size, texts = k + 1, 0, []
 
 
-def _place(lo: np.ndarray, extra: np.ndarray, t: np.ndarray) -> np.ndarray:
-    return (lo << (LEN_BITS + TEXT_BITS)) | (extra << TEXT_BITS) | t
+def _place(lo: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    return (lo << LEN_BITS) | extra
 
 
 def _names(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,7 +154,7 @@ def _anchors(shared: bytes):
                 run = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
                 done = np.zeros(len(h), bool)
                 done[order] = doc[order] > np.repeat(doc[order][run], np.diff(np.append(run, len(key))))
-                yield pd.DataFrame({"h": h, "c": c, "d": doc, "x": _place((b.lo - b.start[b.row])[use], (b.hi - b.lo)[use], t[b.row[use]]), "done": done})
+                yield pd.DataFrame({"h": h, "c": c, "d": doc, "t": t[b.row[use]], "x": _place((b.lo - b.start[b.row])[use], (b.hi - b.lo)[use]), "done": done})
     return batches
 
 
@@ -173,7 +173,7 @@ def _covered(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in pdfs:
         done = pdf["done"].to_numpy(dtype=bool)
         if done.any():
-            yield pd.DataFrame({"kind": np.int32(0), "d": pdf["d"].to_numpy()[done], "x": pdf["x"].to_numpy()[done]})
+            yield pdf.loc[done, ["d", "t", "x"]].assign(kind=np.int32(0))[["kind", "d", "t", "x"]]
             pdf = pdf[~done]
         h, c, d = (np.ascontiguousarray(pdf[k].to_numpy()) for k in "hcd")
         if not len(h):
@@ -184,7 +184,7 @@ def _covered(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         least = np.repeat(np.append(last[2] if last else 0, d[run]), np.diff(np.concatenate([[0], run, [len(h)]])))
         later = d > least
         if later.any():
-            yield pd.DataFrame({"kind": np.int32(0), "d": d[later], "x": pdf["x"].to_numpy()[later]})
+            yield pdf.loc[later, ["d", "t", "x"]].assign(kind=np.int32(0))[["kind", "d", "t", "x"]]
         # Per anchor: whether it has several segments, and its documents' range; the first may go on from the last batch.
         start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         many = np.add.reduceat(same_h & ~same, start) > 0
@@ -198,7 +198,7 @@ def _covered(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         use = first & np.repeat(close, np.diff(np.append(start, len(h))))
         out = np.concatenate([wait, key[use]]) if close[0] else key[use]
         if len(out):
-            yield pd.DataFrame({"kind": np.int32(1), "d": out, "x": 0})
+            yield pd.DataFrame({"kind": np.int32(1), "d": out, "t": 0, "x": 0})
         kept = np.zeros(0, np.int64) if close[-1] else key[start[-1] :][first[start[-1] :]]
         wait = np.concatenate([wait, kept]) if len(start) == 1 and not close[0] else kept
         several, low, high, last = bool(many[-1]), lo[-1], hi[-1], (h[-1], c[-1], least[-1])
@@ -252,27 +252,28 @@ def _contexts(shared: bytes, close: bytes):
             use = use[_in(near, _key(h[use], c[use], d[b.row[use]]))]
             lo, hi, row = b.lo[use], b.hi[use], b.row[use]
             if len(use):
-                yield pd.DataFrame({"h": h[use].view(np.int64), "d": d[row], "x": _place(lo - b.start[row], hi - lo, t[row]),
+                yield pd.DataFrame({"h": h[use].view(np.int64), "d": d[row], "t": t[row], "x": _place(lo - b.start[row], hi - lo),
                                     "bytes": [b.data[p : q + LENGTH] for p, q in zip(lo.tolist(), hi.tolist())]})
     return batches
 
 
 def _strings(rows: list[tuple]) -> pd.DataFrame:
-    """Every 50-byte string of segments (d, x, bytes): its name w, its document d, its own place x and its segment."""
+    """Every 50-byte string of segments (d, t, x, bytes): its name w, its document d and text t, and its own place x."""
     b = Block.__new__(Block)
-    b.name_all(b"".join(r[2] for r in rows))
-    x = np.array([r[1] for r in rows], np.int64)
-    count = ((x >> TEXT_BITS) & ((1 << LEN_BITS) - 1)) + 1
+    b.name_all(b"".join(r[3] for r in rows))
+    d, t, x = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+    count = (x & ((1 << LEN_BITS) - 1)) + 1
     size = count + LENGTH - 1
     seg = np.repeat(np.arange(len(rows)), count)
     offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    place = (x[seg] & ~np.int64(((1 << LEN_BITS) - 1) << TEXT_BITS)) + (offset << (LEN_BITS + TEXT_BITS))
+    place = (x[seg] & ~np.int64((1 << LEN_BITS) - 1)) + (offset << LEN_BITS)
     at = (np.cumsum(size) - size)[seg] + offset
-    return pd.DataFrame({"w": b.full_names(at).view(np.int64), "d": np.array([r[0] for r in rows], np.int64)[seg], "x": place})
+    return pd.DataFrame({"w": b.full_names(at).view(np.int64), "d": d[seg], "t": t[seg], "x": place})
 
 
 #: Segments of whole anchors that are compared in one go, and of one anchor that are left to a sort by string instead.
 GO, LEAVE = 8_000, 20_000
+_COMPARED = ["kind", "w", "d", "t", "x"]
 
 
 def _compared(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -290,26 +291,27 @@ def _compared(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             least = d[order][np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
             gone = order[d[order] > least]
             if len(gone):
-                yield pd.DataFrame({"kind": np.int32(0), "w": 0, "d": d[gone], "x": s["x"].to_numpy()[gone]})
+                yield pd.DataFrame({"kind": np.int32(0), "w": 0, "d": d[gone], "t": s["t"].to_numpy()[gone], "x": s["x"].to_numpy()[gone]})
 
     for pdf in pdfs:
-        for h, d, x, data in zip(pdf["h"].to_numpy(), pdf["d"].to_numpy(), pdf["x"].to_numpy(), pdf["bytes"]):
+        for h, d, t, x, data in zip(*(pdf[c].to_numpy() for c in "hdtx"), pdf["bytes"]):
             if h != key:
                 if large:
-                    yield _strings(now).assign(kind=np.int32(1))[["kind", "w", "d", "x"]] if now else pd.DataFrame({"kind": [], "w": [], "d": [], "x": []})
+                    if now:
+                        yield _strings(now).assign(kind=np.int32(1))[_COMPARED]
                 else:
                     done += now
                     if len(done) >= GO:
                         yield from settle(done)
                         done = []
                 key, now, large = h, [], False
-            now.append((d, x, data))
+            now.append((d, t, x, data))
             if len(now) >= LEAVE or (large and len(now) >= GO):
                 large = True
-                yield _strings(now).assign(kind=np.int32(1))[["kind", "w", "d", "x"]]
+                yield _strings(now).assign(kind=np.int32(1))[_COMPARED]
                 now = []
     if large and now:
-        yield _strings(now).assign(kind=np.int32(1))[["kind", "w", "d", "x"]]
+        yield _strings(now).assign(kind=np.int32(1))[_COMPARED]
     yield from settle(done + ([] if large else now))
 
 
@@ -325,7 +327,7 @@ def _repeated(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         least = np.repeat(np.append(last[1] if last else 0, d[run]), np.diff(np.concatenate([[0], run, [len(w)]])))
         later = d > least
         if later.any():
-            yield pd.DataFrame({"d": d[later], "x": pdf["x"].to_numpy()[later]})
+            yield pdf.loc[later, ["d", "t", "x"]]
         last = (w[-1], least[-1])
 
 
@@ -333,8 +335,8 @@ def merged(places: np.ndarray) -> list[tuple[int, int]]:
     """Maximal runs of bytes covered by packed places."""
     if not len(places):
         return []
-    lo = places >> (LEN_BITS + TEXT_BITS)
-    hi = lo + ((places >> TEXT_BITS) & ((1 << LEN_BITS) - 1)) + LENGTH
+    lo = places >> LEN_BITS
+    hi = lo + (places & ((1 << LEN_BITS) - 1)) + LENGTH
     order = np.argsort(lo, kind="stable")
     lo, hi = lo[order], np.maximum.accumulate(hi[order])
     new = np.append(True, lo[1:] > hi[:-1])
@@ -353,20 +355,20 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     small_batches(docs.sparkSession)
     d = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
-    t = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit((1 << TEXT_BITS) - 1))
+    t = F.xxhash64(F.coalesce(F.col(text), F.lit("")))  # tells the rows of one id apart
     texts = docs.select(d.alias("d"), t.alias("t"), F.col(text).alias("x"))
     names = texts.mapInPandas(_names, "h long").repartition("h").sortWithinPartitions("h")
     shared = _filter(names.mapInPandas(_again, "h long"))
-    anchors = texts.mapInPandas(_anchors(shared), "h long, c long, d long, x long, done boolean")
-    dealt = anchors.repartition(F.when(F.col("done"), F.xxhash64("d", "x")).otherwise(F.col("h"))).sortWithinPartitions("h", "c", "d")
-    found = materialize(dealt.mapInPandas(_covered, "kind int, d long, x long"), "segments")
+    anchors = texts.mapInPandas(_anchors(shared), "h long, c long, d long, t long, x long, done boolean")
+    dealt = anchors.repartition(F.when(F.col("done"), F.xxhash64("d", "t", "x")).otherwise(F.col("h"))).sortWithinPartitions("h", "c", "d")
+    found = materialize(dealt.mapInPandas(_covered, "kind int, d long, t long, x long"), "segments")
     close = _filter(found.where("kind = 1").select("d"))
-    near = texts.mapInPandas(_contexts(shared, close), "h long, d long, x long, bytes binary")
-    near = near.repartition("h").sortWithinPartitions("h").mapInPandas(_compared, "kind int, w long, d long, x long")
+    near = texts.mapInPandas(_contexts(shared, close), "h long, d long, t long, x long, bytes binary")
+    near = near.repartition("h").sortWithinPartitions("h").mapInPandas(_compared, "kind int, w long, d long, t long, x long")
     near = materialize(near, "compared")
-    late = near.where("kind = 1").select("w", "d", "x").repartition("w").sortWithinPartitions("w", "d").mapInPandas(_repeated, "d long, x long")
-    places = found.where("kind = 0").select("d", "x").unionByName(near.where("kind = 0").select("d", "x")).unionByName(late)
-    places = places.groupBy("d", F.col("x").bitwiseAND(F.lit((1 << TEXT_BITS) - 1)).alias("t")).agg(F.collect_list("x").alias("places"))
+    late = near.where("kind = 1").select("w", "d", "t", "x").repartition("w").sortWithinPartitions("w", "d").mapInPandas(_repeated, "d long, t long, x long")
+    places = found.where("kind = 0").select("d", "t", "x").unionByName(near.where("kind = 0").select("d", "t", "x")).unionByName(late)
+    places = places.groupBy("d", "t").agg(F.collect_list("x").alias("places"))
     places = materialize(places, "covered-places").select(F.col("d").alias("d1"), F.col("t").alias("t1"), "places")
     rows = docs.select(F.col(doc_id).alias("id"), d.alias("d"), t.alias("t"), F.col(text).alias("x"))
     rows = rows.join(places, (F.col("d") == F.col("d1")) & (F.col("t") == F.col("t1")), "left").select("id", "x", "places")
