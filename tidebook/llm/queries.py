@@ -238,11 +238,11 @@ counts AS (SELECT gram, count(*) FILTER (allow AND NOT held) AS good, count(*) F
     parts.append(f"""llr AS (SELECT g AS gram, floor(ln(p_good) * 1000000)::BIGINT - floor(ln(p_bad) * 1000000)::BIGINT AS llr FROM p{order}),
 scored AS (SELECT x, greatest(least(floor(sum(llr) / (count(*) * {urls.STEP}.0::DOUBLE)), {urls.STEPS}), -{urls.STEPS})::BIGINT AS step FROM places JOIN llr USING (gram) GROUP BY x),
 held AS (SELECT step, count(*) FILTER (allow) AS good, count(*) FILTER (NOT allow) AS bad FROM u JOIN scored USING (x) WHERE held AND allow IS NOT NULL GROUP BY 1),
-ends AS (SELECT * FROM held UNION ALL SELECT max(step) + 1, 0, 0 FROM held HAVING count(*) > 0),
-errors AS (SELECT step, coalesce(sum(good) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * (SELECT sum(bad) FROM held)
+ends AS (SELECT * FROM held UNION ALL SELECT {urls.STEPS + 1}, 0, 0),
+errors AS (SELECT greatest(least(0, step), lag(step, 1, -{urls.STEPS + 1}) OVER (ORDER BY step) + 1) AS t, coalesce(sum(good) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * (SELECT sum(bad) FROM held)
   + sum(bad) OVER (ORDER BY step ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) * (SELECT sum(good) FROM held) AS error FROM ends),
-threshold AS (SELECT coalesce((SELECT step FROM errors WHERE (SELECT sum(good) > 0 AND sum(bad) > 0 FROM held) ORDER BY error, abs(step), step LIMIT 1), 0) AS t)
-SELECT page_id, host, path, rule, CASE WHEN coalesce(allow, step >= t) THEN 'allow' ELSE 'block' END AS verdict
+threshold AS (SELECT coalesce((SELECT t FROM errors WHERE (SELECT sum(good) > 0 AND sum(bad) > 0 FROM held) ORDER BY error, abs(t), t LIMIT 1), 0) AS t)
+SELECT page_id, u.host, u.path, u.rule, CASE WHEN coalesce(u.allow, step >= t) THEN 'allow' ELSE 'block' END AS verdict
 FROM pages JOIN u ON coalesce(url, '') = u.x JOIN scored USING (x), threshold""")
     return "WITH " + ",\n".join(parts)
 

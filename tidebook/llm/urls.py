@@ -85,15 +85,16 @@ def _weights(counts: DataFrame, order: int, least: int) -> DataFrame:
 
 
 def _threshold(held: DataFrame) -> int:
-    """The step from which scores of held-out URLs are more often good: least sum of both error rates, of equals the nearest to 0, then the lower."""
+    """The step from which on held-out URLs are taken for good: least sum of both error rates, of equals the nearest to 0, then the lower."""
     rows = sorted((r.step, r.good, r.bad) for r in held.groupBy("step").agg(F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad")).collect())
     good, bad = sum(r[1] for r in rows), sum(r[2] for r in rows)
     if not good or not bad:
         return 0
-    found, missed, passed = [], 0, bad
-    for step, g, b in [*rows, (rows[-1][0] + 1, 0, 0)]:
-        found.append((missed * bad + passed * good, abs(step), step))
-        missed, passed = missed + g, passed - b
+    found, missed, passed, last = [], 0, bad, -STEPS - 1
+    for step, g, b in [*rows, (STEPS + 1, 0, 0)]:
+        at = max(min(0, step), last + 1)  # all steps from the last one to this one make the same errors
+        found.append((missed * bad + passed * good, abs(at), at))
+        missed, passed, last = missed + g, passed - b, step
     return min(found)[2]
 
 
