@@ -187,24 +187,81 @@ def test_quote_functions(spark):
     assert (row.m, row.n) == (100.0, None) and row.u == pytest.approx(99.5) and row.w == pytest.approx(99.5)
 
 
-def streamed(spark, sf_dir, folder):
-    return sorted(tuple(r) for r in stream.replay(spark, str(sf_dir), f"{folder}/stream").collect())
+def fills_of(df):
+    return sorted((r.seq, r.ts_ns, r.interval, r.side, r.price, r.size, r.sym) for r in df.collect())
 
 
-def test_stream_reads_folders(spark, tmp_path):
-    """A table of part files, in no order of time, gives the fills of the batch plan; more files go on from the state."""
-    events = spark.read.parquet(f"{SF}/events.parquet")
-    want = sorted((r.seq, r.ts_ns, r.interval, r.side, r.price, r.size, r.sym) for r in touch(spark, SF).collect())
+@pytest.fixture
+def few_states(spark):
+    """Each partition of state costs a worker and a commit in every micro-batch."""
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_stream_in_any_cut(spark, tmp_path, few_states):
+    """Part files in no order of time, one in each micro-batch, all of which wait: the fills of one run over all."""
+    events, how = spark.read.parquet(f"{SF}/events.parquet"), {"by_day": True, "throttle": True}
+    want = fills_of(stream.replay(spark, SF, f"{tmp_path}/once", **how))
     events.repartition(5).write.parquet(f"{tmp_path}/whole/events.parquet")
-    assert want and streamed(spark, f"{tmp_path}/whole", f"{tmp_path}/a") == want
-    cuts = [int(x) for x in np.linspace(0, events.count(), 5)]
+    shuffled = stream.read_events(spark, f"{tmp_path}/whole", files=1)
+    stream.touch_fills(shuffled, f"{tmp_path}/a", delay="60 days", **how).awaitTermination()
+    assert not fills_of(stream.read_fills(spark, f"{tmp_path}/a"))
+    stream.close(spark, f"{tmp_path}/a")
+    stream.touch_fills(shuffled, f"{tmp_path}/a", delay="60 days", **how).awaitTermination()
+    assert want and fills_of(stream.read_fills(spark, f"{tmp_path}/a")) == want
+
+
+def test_stream_goes_on(spark, tmp_path, few_states):
+    """Five runs from one checkpoint over a table that grows give the batch plan's fills; most come before the end, and what is late then is dropped and counted."""
+    events, want = spark.read.parquet(f"{SF}/events.parquet"), fills_of(touch(spark, SF))
+    cuts, early = [int(x) for x in np.linspace(0, events.count(), 6)], 0
+
+    def go_on():
+        run = stream.touch_fills(stream.read_events(spark, str(tmp_path)), f"{tmp_path}/out")
+        run.awaitTermination()
+        return run
+
     for lo, hi in zip(cuts, cuts[1:]):  # ids are in order of time
-        events.where(f"event_id >= {lo} and event_id < {hi}").repartition(3).write.mode("append").parquet(f"{tmp_path}/grows/events.parquet")
-        got = streamed(spark, f"{tmp_path}/grows", f"{tmp_path}/b")
-    assert got == want
+        events.where(f"event_id >= {lo} and event_id < {hi}").repartition(2).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+        if hi == cuts[-1]:
+            early = len(fills_of(stream.read_fills(spark, f"{tmp_path}/out")))
+            stream.close(spark, f"{tmp_path}/out")
+        go_on()
+    assert fills_of(stream.read_fills(spark, f"{tmp_path}/out")) == want and 0.7 * len(want) < early < len(want)
     late = events.where("event_id < 50").withColumn("event_id", F.col("event_id") + 1_000_000)
-    late.write.mode("append").parquet(f"{tmp_path}/grows/events.parquet")
-    assert streamed(spark, f"{tmp_path}/grows", f"{tmp_path}/b") == want
-    beside = spark.read.parquet(f"{tmp_path}/b/stream/late")
-    known = late.where("event_type in ('view', 'click', 'signup', 'purchase', 'error')")
-    assert sorted(r.seq for r in beside.collect()) == sorted(r.event_id for r in known.collect())
+    late.write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    assert stream.late_rows(go_on()) == late.where("event_type in ('view', 'click', 'signup', 'purchase', 'error')").count()
+    assert fills_of(stream.read_fills(spark, f"{tmp_path}/out")) == want
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("throttle", [False, True])
+def test_session_step_in_pieces(seed, throttle):
+    """Any cut of a session's events gives the fills of an event-by-event replay, also with missing sides."""
+    r, rows = random.Random(seed), []
+    for seq in range(400):
+        if r.random() < 0.4:
+            side = lambda px: (px, float(r.randrange(1, 4))) if r.random() < 0.9 else (None, None)
+            rows.append((seq, seq * 10, 0, *side(99.0 + r.randrange(2)), *side(101.0), None, None, None))
+        else:
+            rows.append((seq, seq * 10, 1, *[None] * 4, r.choice([1, -1]), r.choice([99.0, 100.0, 101.0]), r.choice([0.5, 1.0, 2.5])))
+    want, book, orders, last = [], None, {}, None
+    for seq, ts, kind, bid, bz, ask, az, side, px, size in rows:
+        if kind == 0:
+            if not throttle or (bid, bz, ask, az) != last:
+                book, orders = seq, {1: [bid, bz, 3.0], -1: [ask, az, 3.0]}
+            last = (bid, bz, ask, az)
+        elif book is not None and orders[-side][0] == px:
+            o = orders[-side]
+            ahead = min(o[1], size)
+            fill = min(o[2], size - ahead)
+            orders[-side] = [px, o[1] - ahead, o[2] - fill]
+            want += [(seq, book, -side, fill)] if fill else []
+    for cuts in ([0, 400], [0, 1, 2, 77, 203, 400], list(range(0, 401, 10))):
+        got, state = [], None
+        for lo, hi in zip(cuts, cuts[1:]):
+            fills, state = stream.session_step(pd.DataFrame(rows[lo:hi], columns=stream.EVENT).sample(frac=1, random_state=seed), state, 3.0, throttle)
+            got += list(zip(fills["seq"], fills["interval"], fills["side"], fills["size"]))
+        assert got == want

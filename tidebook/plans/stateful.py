@@ -9,7 +9,7 @@ from tidebook.sources import market as mk
 from tidebook.sources.storage import scratch
 from tidebook.streaming import fills as stream
 
-from .fills import TAKE, TOUCHED, touch
+from .fills import FILLS, LOOKUP, TAKE, TOUCH, TOUCHED, touch
 from .registry import query, sql
 
 
@@ -56,3 +56,14 @@ def queue_tracker(spark, sf_dir):
 def stream_touch_fills(spark, sf_dir):
     """Touch fills from a stream over the events table; the rows must be those of the batch plan."""
     return stream.replay(spark, sf_dir, scratch(spark, "stream"))
+
+
+KEPT = """kept AS (SELECT * FROM (SELECT *, ts_ns // 86400000000000 AS day, row_number() OVER w = 1 OR (bid, bsz, ask, asz) IS DISTINCT FROM lag((bid, bsz, ask, asz)) OVER w AS new
+  FROM snap WINDOW w AS (PARTITION BY sym, ts_ns // 86400000000000 ORDER BY ts_ns, seq)) WHERE new)"""
+SESSION_FILLS = FILLS.replace("ASOF JOIN snap s ON t.sym = s.sym", "ASOF JOIN kept s ON t.sym = s.sym AND t.ts_ns // 86400000000000 = s.day")
+
+
+@query(sql("SELECT seq, ts_ns, interval, side, price, size, sym FROM fills", KEPT, TOUCH, LOOKUP, SESSION_FILLS))
+def stream_sessions(spark, sf_dir):
+    """Touch fills from a stream, each symbol's day a session of its own, over books whose best level changed."""
+    return stream.replay(spark, sf_dir, scratch(spark, "sessions"), by_day=True, throttle=True)
