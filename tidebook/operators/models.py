@@ -1,4 +1,4 @@
-"""Small models fitted inside groups: hidden regimes, a first component, a logistic curve."""
+"""Small models: a first component, a logistic curve."""
 
 from __future__ import annotations
 
@@ -8,66 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _log_density(x: np.ndarray, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
-    d = x[:, None, :] - mean[None]
-    return -0.5 * (np.log(2 * np.pi * var)[None] + d * d / var[None]).sum(axis=2)
-
-
-def fit_regimes(x: np.ndarray, k: int, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Expectation-maximisation of a hidden Markov chain with diagonal Gaussians; states in order of their first mean.
-
-    It starts from slices of the rows ordered by the first column, so results repeat.
-    """
-    n, floor = len(x), 1e-12 + 1e-6 * x.var(axis=0)
-    part = np.argsort(np.argsort(x[:, 0], kind="stable")) * k // n
-    mean = np.stack([x[part == s].mean(axis=0) for s in range(k)])
-    var = np.stack([x[part == s].var(axis=0) for s in range(k)]) + floor
-    move, start = np.full((k, k), 0.1 / k) + 0.9 * np.eye(k), np.full(k, 1 / k)
-    for _ in range(rounds):
-        e, lm = _log_density(x, mean, var), np.log(move)
-        a, b = np.zeros((n, k)), np.zeros((n, k))
-        a[0] = np.log(start) + e[0]
-        for t in range(1, n):
-            a[t] = np.logaddexp.reduce(a[t - 1][:, None] + lm, axis=0) + e[t]
-        for t in range(n - 2, -1, -1):
-            b[t] = np.logaddexp.reduce(lm + (e[t + 1] + b[t + 1])[None], axis=1)
-        z = np.logaddexp.reduce(a[-1])
-        p = np.exp(a + b - z)
-        pair = np.exp(a[:-1, :, None] + lm[None] + (e[1:] + b[1:])[:, None, :] - z).sum(axis=0) + 1e-6
-        move, start = pair / pair.sum(axis=1, keepdims=True), p[0] + 1e-9
-        w = p.sum(axis=0)[:, None] + 1e-9
-        mean = p.T @ x / w
-        var = np.stack([(p[:, [s]] * (x - mean[s]) ** 2).sum(axis=0) for s in range(k)]) / w + floor
-    order = np.argsort(mean[:, 0], kind="stable")
-    return start[order] / start.sum(), move[np.ix_(order, order)], mean[order], var[order]
-
-
-def filtered(x: np.ndarray, start: np.ndarray, move: np.ndarray, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
-    """Each row's most probable state from the rows up to it; later rows change nothing."""
-    e, out = _log_density(x, mean, var), np.zeros(len(x), np.int64)
-    a = np.log(start) + e[0]
-    for t in range(len(x)):
-        if t:
-            a = np.logaddexp.reduce(a[:, None] + np.log(move), axis=0) + e[t]
-        a -= np.logaddexp.reduce(a)
-        out[t] = a.argmax()
-    return out
-
-
-def regimes(bars: DataFrame, by: str, order: str, features: list[str], k: int) -> DataFrame:
-    """(by, order, state): regimes of each group's bars, fitted on its first half and filtered over all of them; null features are left out."""
-    kinds = dict(bars.dtypes)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=features).sort_values(order)
-        x = pdf[features].to_numpy(dtype=np.float64)
-        if len(x) < 4 * k:
-            return pd.DataFrame({by: [], order: [], "state": []})
-        return pd.DataFrame({by: key[0], order: pdf[order].to_numpy(), "state": filtered(x, *fit_regimes(x[: len(x) // 2], k))})
-
-    return bars.select(by, order, *features).groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {order} {kinds[order]}, state long")
-
-
 def first_component(rows: DataFrame, by: str, values: str, n: int) -> DataFrame:
     """(by, share, loadings): first principal component of standardised arrays of n values.
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The splitmix64 step and its two multipliers.
@@ -81,3 +81,33 @@ def bootstrap_means(df: DataFrame, by: str, order: str, value: str, draws: int,
     ci = means.groupBy("by").agg(F.expr(f"percentile(m, {alpha / 2})").alias("lo"), F.expr(f"percentile(m, {1 - alpha / 2})").alias("hi"))
     seen = df.groupBy(F.col(by).alias("b")).agg(F.avg(value).alias("mean"))
     return ci.join(seen, F.col("by") == F.col("b")).select(F.col("by").alias(by), "lo", "mean", "hi")
+
+
+#: The prime modulus 2**31 - 1, and what a permutation's rounds multiply and add.
+PRIME, OF_VALUE, OF_KEY, PLUS = 2_147_483_647, 1_103_515_245, 1_812_433_253, 12_345
+ROUNDS = 6
+
+
+def shuffle_step(x: str, rows: str, columns: str, key: str, div: str = "div") -> str:
+    """SQL for one pass of a keyed permutation of 0 to rows * columns - 1, a Feistel network on x's row and column."""
+    left, right = f"({x} {div} {columns})", f"({x} % {columns})"
+    for k in range(ROUNDS):
+        mix = f"(({right if k % 2 == 0 else left} * {OF_VALUE} + ({key} * {ROUNDS} + {k}) * {OF_KEY} + {PLUS}) % {PRIME}) {div} 128"
+        if k % 2 == 0:
+            left = f"(({left} + ({mix})) % {rows})"
+        else:
+            right = f"(({right} + ({mix})) % {columns})"
+    return f"({left} * {columns} + {right})"
+
+
+def shuffled(x: str, n: str, key: str) -> Column:
+    """x's place (long) in a permutation of 0 to n - 1 that key names: arithmetic on x alone, no sort. x, n, key: SQL of whole numbers; n under 2**31.
+
+    A network permutes a few numbers more, fewer than the root of n; a place beyond n is passed through it again.
+    """
+    rows = f"cast(ceil(sqrt({n})) as bigint)"
+    columns = f"(({n} + {rows} - 1) div {rows})"
+    step = shuffle_step("x", "s.r", "s.c", "s.k")
+    start = f"named_struct('x', cast({x} as bigint), 'r', {rows}, 'c', {columns}, 'k', cast({key} as bigint), 'n', cast({n} as bigint))"
+    once = f"named_struct('x', {step.replace('(x ', '(s.x ')}, 'r', s.r, 'c', s.c, 'k', s.k, 'n', s.n)"
+    return F.expr(f"aggregate(sequence(1, {rows} * {columns} - {n} + 1), {start}, (s, i) -> if(i > 1 and s.x < s.n, s, {once}), s -> s.x)")

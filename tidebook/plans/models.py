@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.operators.models import first_component, logistic_curve, regimes
+from tidebook.operators.models import first_component, logistic_curve
+from tidebook.operators.regimes import regimes
 from tidebook.operators.timeline import last_known, trailing
 from tidebook.sources import market as mk
 
@@ -88,8 +89,8 @@ def markout_toxicity(spark, sf_dir):
 
 @query()
 def hmm_filter(spark, sf_dir):
-    """Three volatility regimes of four-hour bars, filtered forward."""
-    return regimes(bar_features(spark, sf_dir), "sym", "bar", ["vol", "drift"], 3)
+    """Four volatility regimes of four-hour bars, filtered forward."""
+    return regimes(bar_features(spark, sf_dir), "sym", "bar", ["vol", "drift"], 4)
 
 
 @query()
