@@ -63,11 +63,41 @@ def sign_flip_null(df: DataFrame, by: str, order: str, value: str, draws: int, s
 POISSON = np.cumsum(np.exp(-1.0) / np.array([1, 1, 2, 6, 24, 120, 720, 5040], dtype=np.float64))
 
 
+def replicate_sums(df: DataFrame, by: str, order: str, values: dict[str, Column], draws: int, seed: int) -> DataFrame:
+    """(by, j, copies, each name): sums of several values in each replicate, from the same draws; each row's number of copies in a replicate is Poisson(1).
+
+    One pass: whatever moments a statistic needs, it is made of these sums afterwards. Null values count as 0. j = -1 has the sums of the rows themselves.
+    """
+    names = list(values)
+
+    def partial(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict = {}
+        for pdf in pdfs:
+            for key, g in pdf.groupby("by"):
+                i, x = g["i"].to_numpy(), np.column_stack([np.ones(len(g)), g[[f"v{k}" for k in range(len(names))]].to_numpy(dtype=np.float64)])
+                acc = total.setdefault(key, np.zeros((draws + 1, x.shape[1])))
+                acc[0] += x.sum(axis=0)
+                for lo in range(0, draws, CHUNK):
+                    j = np.arange(lo, min(draws, lo + CHUNK))
+                    acc[j + 1] += _copies(i, j, seed) @ x
+        for key, acc in total.items():
+            yield pd.DataFrame({"by": key, "j": np.arange(-1, draws)} | {f"v{k}": acc[:, k] for k in range(acc.shape[1])})
+
+    rows = df.select(F.col(by).alias("by"), F.col(order).cast("long").alias("i"), *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"v{k}") for k, c in enumerate(values.values())])
+    sums = rows.mapInPandas(partial, f"by {dict(df.dtypes)[by]}, j int, " + ", ".join(f"v{k} double" for k in range(len(names) + 1)))
+    return sums.groupBy("by", "j").agg(*[F.sum(f"v{k}").alias(n) for k, n in enumerate(["copies", *names])])
+
+
+def _copies(i: np.ndarray, j: np.ndarray, seed: int) -> np.ndarray:
+    """How often rows i are in replicates j: a matrix of replicates by rows."""
+    u = splitmix(i.astype(np.uint64)[None, :] + j.astype(np.uint64)[:, None] * np.uint64(MUL2), seed) >> np.uint64(11)
+    return np.searchsorted(POISSON, u.astype(np.float64) / 2.0**53).astype(np.float64)
+
+
 def replicate_means(df: DataFrame, by: str, order: str, value: str, draws: int, seed: int) -> DataFrame:
     """by, j, m: a group's mean in each replicate; each row's number of copies in a replicate is Poisson(1)."""
     def weigh(i: np.ndarray, x: np.ndarray, j: np.ndarray) -> np.ndarray:
-        u = splitmix(i.astype(np.uint64)[None, :] + j.astype(np.uint64)[:, None] * np.uint64(MUL2), seed) >> np.uint64(11)
-        w = np.searchsorted(POISSON, u.astype(np.float64) / 2.0**53)
+        w = _copies(i, j, seed)
         return np.stack([(w * x).sum(axis=1), w.sum(axis=1)], axis=1)
 
     kind = dict(df.dtypes)[by]

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions import quotes as q
 from tidebook.operators import fills as sim
-from tidebook.operators.resampling import MUL2, replicate_means
+from tidebook.operators.ranking import step_up
+from tidebook.operators.resampling import MUL2, replicate_sums
 from tidebook.operators.timeline import as_of, last_known, running_sum, trailing
 from tidebook.sources import feeds
 from tidebook.sources import market as mk
 from tidebook.sources.storage import scratch, stored
 
 from .fills import MARK, TOUCHED, marked, quoted, touch_orders, with_mids
-from .inference import COPIES, draws_sql, step_up
+from .inference import COPIES, draws_sql
 from .registry import query, sql
 from .tape import OFI, order_flow, rolling_sigma
 
@@ -326,13 +329,49 @@ def ratio_ci(spark, sf_dir):
     """Adverse selection in percent of captured spread, pooled over root-days, and its interval with root-days drawn again."""
     m = marked(spark, sf_dir).select(F.expr(f"user_id % 13 * 100000 + ts_ns div {DAY}").alias("i"), (F.col("adverse_1h") * 1e4).alias("adv"),
                                      (F.col("side") * (F.col("m0") - F.col("price")) / F.col("m0") * 1e4).alias("cap"))
-    per = stored(m.groupBy("i").agg(F.round(F.sum("cap"), 6).alias("cap"), F.round(F.sum("adv"), 6).alias("adv")).withColumn("every", F.lit(0)), "root-days")
-    # One seed, so both sums of a replicate have the same copies of each root-day.
-    adv, cap = (replicate_means(per, "every", "i", c, draws=1000, seed=2026).withColumnRenamed("m", c) for c in ("adv", "cap"))
-    r = adv.join(cap, ["by", "j"]).where("cap != 0").select((-100 * F.col("adv") / F.col("cap")).alias("r"))
-    ci = r.agg(F.expr("percentile(r, 0.025)").alias("lo"), F.expr("percentile(r, 0.975)").alias("hi"))
-    seen = per.agg(F.count("*").alias("n_rootdays"), (-100 * F.sum("adv") / F.sum("cap")).alias("ratio"))
-    return seen.crossJoin(ci).select("n_rootdays", *[F.round(c, 6).alias(c) for c in ("ratio", "lo", "hi")])  # one row each
+    per = m.groupBy("i").agg(F.round(F.sum("cap"), 6).alias("cap"), F.round(F.sum("adv"), 6).alias("adv")).withColumn("every", F.lit(0))
+    r = replicate_sums(per, "every", "i", {"cap": F.col("cap"), "adv": F.col("adv")}, draws=1000, seed=2026).where("cap != 0").withColumn("r", -100 * F.col("adv") / F.col("cap"))
+    seen, drawn = F.col("j") < 0, F.when(F.col("j") >= 0, F.col("r"))
+    out = r.agg(F.max(F.when(seen, F.col("copies"))).cast("long").alias("n_rootdays"), F.max(F.when(seen, F.col("r"))).alias("ratio"),
+                F.percentile(drawn, 0.025).alias("lo"), F.percentile(drawn, 0.975).alias("hi"))
+    return out.where("n_rootdays is not null").select("n_rootdays", *[F.round(c, 6).alias(c) for c in ("ratio", "lo", "hi")])
+
+
+def correlations(n: str, moment) -> tuple[Column, Column]:
+    """Pearson's correlation of x and y, and their partial one given z, from n and sums of products: moment("xy") and the like."""
+    def c(a, b):
+        return moment(a + b) * n - moment(a) * moment(b)
+
+    def r(a, b):
+        return F.try_divide(c(a, b), F.sqrt(c(a, a) * c(b, b)))
+
+    xy, xz, yz = r("x", "y"), r("x", "z"), r("y", "z")
+    return xy, F.try_divide(xy - xz * yz, F.sqrt((1 - xz * xz) * (1 - yz * yz)))
+
+
+_PAIRS = ["x", "y", "z", "xx", "yy", "zz", "xy", "xz", "yz"]
+_R = "(({n} * {ab} - {a} * {b}) / nullif(sqrt(({n} * {a}{a} - {a} * {a}) * ({n} * {b}{b} - {b} * {b})), 0))"
+_XY, _XZ, _YZ = (_R.format(n="n", a=p[0], b=p[1], ab=p) for p in ("xy", "xz", "yz"))
+
+
+@query(sql(f"""SELECT name, any_value(n) FILTER (j < 0)::BIGINT AS n, round(any_value(r) FILTER (j < 0), 6) AS r, round(quantile_cont(r, 0.025) FILTER (j >= 0), 6) AS lo, round(quantile_cont(r, 0.975) FILTER (j >= 0), 6) AS hi FROM (
+  SELECT j, n, unnest(['pearson', 'partial']) AS name, unnest([{_XY}, ({_XY} - {_XZ} * {_YZ}) / nullif(sqrt((1 - {_XZ} * {_XZ}) * (1 - {_YZ} * {_YZ})), 0)]) AS r FROM (
+    SELECT j, sum(w) AS n, {', '.join(f"sum(w * {' * '.join(p)}) AS {p}" for p in _PAIRS)} FROM (SELECT *, {COPIES} AS w FROM z UNION ALL SELECT 0, y, z, x, -1, 0, 1 FROM root_sums) GROUP BY j)) GROUP BY name"""
+           .replace("FROM (SELECT *, ", "FROM (SELECT x, y, zz AS z, j, ").replace("UNION ALL SELECT 0, y, z, x, -1, 0, 1 FROM", "UNION ALL SELECT x, y, zz, -1, 1 FROM"),
+           *TOUCHED, MARK, """root_sums AS (SELECT 0 AS strategy, root * 100000 + d AS d, round(sum(cap), 6) AS y, round(sum(adv), 6) AS x, count(*)::DOUBLE AS zz FROM (
+  SELECT user_id % 13 AS root, ts_ns // 86400000000000 AS d, 1e4 * side * (m0 - price) / m0 AS cap, 1e4 * side * (m1h - m0) / m0 AS adv FROM marks) GROUP BY root, d)""", draws_sql(MUL2, table="root_sums", also="y, zz, ")))
+def correlation_ci(spark, sf_dir):
+    """Correlation of a root-day's adverse selection with its captured spread, and the same given its number of fills, each with its interval, all from one set of draws."""
+    m = marked(spark, sf_dir).select(F.expr(f"user_id % 13 * 100000 + ts_ns div {DAY}").alias("i"), (F.col("adverse_1h") * 1e4).alias("adv"),
+                                     (F.col("side") * (F.col("m0") - F.col("price")) / F.col("m0") * 1e4).alias("cap"))
+    per = m.groupBy("i").agg(F.round(F.sum("adv"), 6).alias("x"), F.round(F.sum("cap"), 6).alias("y"), F.count("*").cast("double").alias("z")).withColumn("every", F.lit(0))
+    moments = {p: reduce(lambda a, b: a * b, [F.col(c) for c in p]) for p in _PAIRS}
+    s = replicate_sums(per, "every", "i", moments, draws=1000, seed=2026)
+    pearson, partial = correlations(F.col("copies"), lambda p: F.col(p if p in _PAIRS else p[::-1]))
+    s = s.select("j", "copies", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), r.alias("r")) for n, r in (("pearson", pearson), ("partial", partial))])).alias("c"))
+    seen, drawn = F.col("j") < 0, F.when(F.col("j") >= 0, F.col("c.r"))
+    return s.groupBy("c.name").agg(F.max(F.when(seen, F.col("copies"))).cast("long").alias("n"), F.round(F.max(F.when(seen, F.col("c.r"))), 6).alias("r"),
+                                   F.round(F.percentile(drawn, 0.025), 6).alias("lo"), F.round(F.percentile(drawn, 0.975), 6).alias("hi"))
 
 
 @query("""WITH d AS (SELECT l_returnflag AS root, l_quantity::DOUBLE AS x1, l_discount::DOUBLE AS x2, l_extendedprice::DOUBLE / 1000 AS y FROM lineitem),

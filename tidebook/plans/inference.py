@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidebook.functions import quotes as q
 from tidebook.operators import fills as sim
+from tidebook.operators.ranking import average_ranks, step_up
 from tidebook.operators.resampling import MUL1, MUL2, POISSON, STEP, bootstrap_means, replicate_means, sign_flip_null
 from tidebook.sources import market as mk
 
@@ -18,16 +19,6 @@ from .registry import query, sql
 DAY = 86_400_000_000_000
 
 
-def average_ranks(df: DataFrame, value: str, name: str, by: list[str] | None = None) -> DataFrame:
-    """Adds average-tie ranks of value. Only distinct values with counts are put in order, so ties cost nothing."""
-    by = by or []
-    per = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by).orderBy(value)
-    per = per.select(*by, F.col(value).alias("_v"), (F.sum("_n").over(w) - F.col("_n") + (F.col("_n") + 1) / 2).alias(name))
-    out = df.join(per.withColumnsRenamed({b: f"_{b}" for b in by}), [F.col(value) == F.col("_v"), *[F.col(b) == F.col(f"_{b}") for b in by]])
-    return out.drop("_v", *[f"_{b}" for b in by])
-
-
 @query(sql("""SELECT n_bid, n_ask, round(u / (n_bid * n_ask), 9) AS share, abs(u / (n_bid * n_ask) - 0.5) >= 0.05 AS separated FROM (
   SELECT count(*) FILTER (side = 1) AS n_bid, count(*) FILTER (side = -1) AS n_ask, sum(rk) FILTER (side = 1) - count(*) FILTER (side = 1) * (count(*) FILTER (side = 1) + 1) / 2 AS u FROM (
     SELECT side, rank() OVER (ORDER BY size) + (count(*) OVER (PARTITION BY size) - 1) / 2 AS rk FROM fills))""", *TOUCHED))
@@ -48,18 +39,6 @@ def spearman(spark, sf_dir):
     return x.agg(F.count("*").alias("n"), F.round(F.corr("ra", "rb"), 9).alias("rho"))
 
 
-def step_up(p: DataFrame, alpha: float = 0.1) -> DataFrame:
-    """Benjamini-Hochberg and -Yekutieli over one family (a row a hypothesis: id, p): adjusted p and decisions."""
-    asc, fam = Window.orderBy("p", "id"), Window.partitionBy()
-    p = p.withColumns({"rank": F.row_number().over(asc), "m": F.count("*").over(fam)})
-    harmonic = F.aggregate(F.sequence(F.lit(1), F.col("m").cast("int")), F.lit(0.0), lambda a, i: a + F.lit(1.0) / i)
-    p = p.withColumn("raw", F.col("p") * F.col("m") / F.col("rank")).withColumn("h", harmonic)
-    down = Window.orderBy(F.desc("p"), F.desc("id"))
-    qb = F.least(F.lit(1.0), F.min("raw").over(down))
-    qy = F.least(F.lit(1.0), F.min(F.col("raw") * F.col("h")).over(down))
-    return p.select("id", "p", F.col("rank").cast("long").alias("rank"), F.round(qb, 9).alias("q_bh"), F.round(qy, 9).alias("q_bhy"), (qb <= alpha).alias("bh"), (qy <= alpha).alias("bhy"))
-
-
 P_VALUES = """pv AS (SELECT o_custkey % 97 AS id, round(exp(-abs(avg(o_totalprice) - any_value(g)) / (any_value(s) / sqrt(count(*)))), 9) AS p FROM orders,
   (SELECT avg(o_totalprice) AS g, stddev_samp(o_totalprice) AS s FROM orders) GROUP BY 1)"""
 

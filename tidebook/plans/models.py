@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebook.operators.effects import clustered_fit
 from tidebook.operators.models import first_component, logistic_curve
 from tidebook.operators.regimes import regimes
 from tidebook.operators.timeline import last_known, trailing
@@ -78,6 +79,32 @@ def clustered_ols(spark, sf_dir):
     return clustered_slope(l.select(F.expr("l_suppkey % 50").alias("g"), F.col("l_quantity").cast("double").alias("x"), (F.col("l_extendedprice").cast("double") / 1000).alias("y")), "g", "x", "y")
 
 
+#: Terms of the regression with two sets of effects: dummies of flags and line numbers (the first number is the base), then the two slopes, then the response.
+_DUMMIES = [f"(l_returnflag = '{f}')::INT::DOUBLE" for f in "ANR"] + [f"(l_linenumber = {k})::INT::DOUBLE" for k in range(2, 8)]
+_TERMS = [*_DUMMIES, "l_quantity::DOUBLE", "l_discount::DOUBLE", "l_extendedprice::DOUBLE / 1000"]
+_D = len(_DUMMIES)
+TWO_WAY = f"""WITH d AS MATERIALIZED (SELECT l_suppkey % 50 AS g, list_value({', '.join(_TERMS)}) AS z FROM lineitem),
+s0 AS MATERIALIZED (SELECT i, j, sum(z[i + 1] * z[j + 1]) AS v FROM d, (SELECT unnest(range({_D + 3})) AS i), (SELECT unnest(range({_D + 3})) AS j) GROUP BY ALL),
+""" + ",\n".join(f"""s{n + 1} AS MATERIALIZED (SELECT a.i, a.j, CASE WHEN NOT p.v > 1e-9 * greatest(o.v, 1e-300) THEN a.v WHEN a.i = {n} AND a.j = {n} THEN 1 / p.v WHEN a.i = {n} THEN a.v / p.v WHEN a.j = {n} THEN -a.v / p.v ELSE a.v - c.v * (r.v / p.v) END AS v
+  FROM s{n} a JOIN s{n} p ON p.i = {n} AND p.j = {n} JOIN s{n} r ON r.i = {n} AND r.j = a.j JOIN s{n} c ON c.i = a.i AND c.j = {n} JOIN s0 o ON o.i = {n} AND o.j = {n})""" for n in range(_D)) + f""",
+held AS ({' UNION ALL '.join(f'SELECT {n} AS i, p.v > 1e-9 * greatest(o.v, 1e-300) AS used FROM s{n} p JOIN s0 o USING (i, j) WHERE i = {n} AND j = {n}' for n in range(_D))}),
+off AS (SELECT {', '.join(f'list(CASE WHEN used THEN v ELSE 0 END ORDER BY i) FILTER (j = {_D + t}) AS c{t}' for t in range(3))} FROM s{_D} JOIN held USING (i) WHERE j >= {_D}),
+w AS MATERIALIZED (SELECT g, {', '.join(f'z[{_D + t + 1}] - list_dot_product(z[1:{_D}], c{t}) AS {c}' for t, c in enumerate(('x1', 'x2', 'y')))} FROM d, off),
+m AS (SELECT count(*) AS n, sum(x1 * x1) AS a, sum(x1 * x2) AS b, sum(x2 * x2) AS c, sum(x1 * y) AS u, sum(x2 * y) AS v FROM w),
+f AS (SELECT *, a * c - b * b AS det, (u * c - v * b) / (a * c - b * b) AS b1, (v * a - u * b) / (a * c - b * b) AS b2 FROM m),
+k AS (SELECT count(*) AS clusters, sum(p * p) AS pp, sum(p * q) AS pq, sum(q * q) AS qq FROM (SELECT g, sum(x1 * (y - b1 * x1 - b2 * x2)) AS p, sum(x2 * (y - b1 * x1 - b2 * x2)) AS q FROM w, f GROUP BY g))
+SELECT 'quantity' AS term, round(b1, 7) AS beta, round(sqrt(c * c * pp - 2 * b * c * pq + b * b * qq) / det, 7) AS se, n::BIGINT AS n, clusters FROM f, k
+UNION ALL SELECT 'discount', round(b2, 7), round(sqrt(b * b * pp - 2 * a * b * pq + a * a * qq) / det, 7), n::BIGINT, clusters FROM f, k"""
+
+
+@query(TWO_WAY)
+def fe_two_way(spark, sf_dir):
+    """Price on quantity and discount with effects of return flags and of line numbers at once, errors grouped by supplier."""
+    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.expr("l_suppkey % 50").alias("g"), "l_returnflag", "l_linenumber", F.col("l_quantity").cast("double").alias("quantity"), F.col("l_discount").cast("double").alias("discount"), (F.col("l_extendedprice").cast("double") / 1000).alias("y"))
+    return clustered_fit(l, "y", ["quantity", "discount"], ["l_returnflag", "l_linenumber"], "g").withColumns({c: F.round(c, 7) for c in ("beta", "se")})
+
+
 @query(sql("""SELECT s.seq, s.sym, (SELECT round(greatest(0, -avg(side * (m1h - price) / m0)) * CASE WHEN count(m1h) > 0 THEN 1e4 END, 6) FROM marks m WHERE m.sym = s.sym AND m.ts_ns + 3600000000000 <= s.ts_ns AND m.ts_ns > s.ts_ns - 2 * 3600000000000) AS toxicity FROM snap s""", *TOUCHED, MARK))
 def markout_toxicity(spark, sf_dir):
     """Mean loss after an hour of the fills whose hour ended within the last one; nothing later is used."""
