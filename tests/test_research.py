@@ -59,3 +59,123 @@ def test_regimes_by_blocks(spark, monkeypatch):
         got = sorted((x.g, x.t, x.state) for x in rg.regimes(df, "g", "t", ["u", "v"], 4, rounds=2, block=block).collect())
         assert got == want
     assert len({s for *_, s in want}) == 4 and rg.regimes(df.limit(0), "g", "t", ["u", "v"], rounds=1).count() == 0
+
+
+@pytest.mark.parametrize("partitions", [1, 16])
+def test_ranks_in_ranges(spark, partitions):
+    """Average ranks inside keys and without any, with ties, nulls, NaN-free; the same for any number of ranges."""
+    from tidebook.operators.ranking import average_ranks, in_ranges, running
+
+    r = random.Random(3)
+    rows = [(k, r.choice(["a", "b", None]), r.choice([None, *map(float, range(7)), r.random()])) for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, g string, v double").repartition(5)
+    for by in ([], ["g"]):
+        got = {x.id: x.rk for x in average_ranks(df, "v", "rk", by, partitions).collect()}
+        pdf = pd.DataFrame(rows, columns=["id", "g", "v"])
+        pdf["g"], pdf["v"] = pdf["g"].fillna("none") if by else "all", pdf["v"].fillna(-1.0)  # nulls come first and are ties
+        want = pdf.groupby("g")["v"].rank(method="average")
+        assert len(got) == 300 and all(abs(got[k] - want[k]) < 1e-9 for k in range(300))
+    ranged = in_ranges(df, ["g"], ["id"], partitions)
+    back = running(ranged, ["g"], ["id"], "low", F.coalesce("v", F.lit(9.0)), F.min, F.least, backwards=True)
+    low = {x.id: x.low for x in back.collect()}
+    for k, g, _ in rows:
+        assert low[k] == min(9.0 if v is None else v for j, h, v in rows if h == g and j >= k)
+
+
+@pytest.mark.parametrize("partitions", [1, 16])
+def test_step_up_in_ranges(spark, partitions):
+    from tidebook.operators.ranking import step_up
+
+    r = random.Random(8)
+    p = [(k, round(r.random() ** 3, 3)) for k in range(200)]
+    got = {x.id: x for x in step_up(spark.createDataFrame(p, "id long, p double").repartition(3), 0.1, partitions).collect()}
+    order, least, least_y = sorted(p, key=lambda x: (x[1], x[0])), 1.0, 1.0
+    h = sum(1 / i for i in range(1, 201))
+    for rank in range(200, 0, -1):
+        k, v = order[rank - 1]
+        least, least_y = min(least, v * 200 / rank), min(least_y, v * 200 / rank * h)
+        x = got[k]
+        assert x["rank"] == rank and abs(x.q_bh - least) < 1e-9 and abs(x.q_bhy - least_y) < 1e-9 and (x.bh, x.bhy) == (least <= 0.1, least_y <= 0.1)
+    assert step_up(spark.createDataFrame([], "id long, p double"), 0.1, partitions).count() == 0
+
+
+def test_no_window_without_a_key(spark):
+    """The plan of ranks and adjusted p-values has no window over all rows."""
+    from tidebook.operators.ranking import average_ranks, step_up
+
+    df = spark.createDataFrame([(1, 0.2), (2, 0.1)], "id long, p double")
+    for out in (average_ranks(df, "p", "rk"), step_up(df)):
+        plan = out._jdf.queryExecution().toString()
+        assert "Window" in plan and all("_part" in line for line in plan.splitlines() if "Window " in line and "windowspec" in line.lower())
+
+
+def test_permutations_by_arithmetic(spark):
+    """Every key gives a permutation, different keys different ones, and places are spread evenly."""
+    from tidebook.operators.resampling import shuffled
+
+    sizes = [1, 2, 3, 7, 12, 60, 61, 200]
+    df = spark.createDataFrame([(n, k, x) for n in sizes for k in range(30) for x in range(n)], "n long, k long, x long")
+    found = {}
+    for r in df.withColumn("at", shuffled("x", "n", "k")).collect():
+        found.setdefault((r.n, r.k), {})[r.x] = r.at
+    assert all(sorted(p.values()) == list(range(n)) for (n, _), p in found.items())
+    assert len({tuple(sorted(found[60, k].items())) for k in range(30)}) == 30
+    assert abs(np.mean([found[200, k][0] for k in range(30)]) - 99.5) < 40
+
+
+def test_effects_equal_dummies(spark):
+    """Slopes and clustered errors with two sets of effects against least squares with dummies; a null level counts as one."""
+    from tidebook.operators.effects import clustered_fit, demeaned
+
+    r = np.random.default_rng(4)
+    n = 400
+    a, b, g = r.integers(0, 5, n), r.integers(0, 7, n), r.integers(0, 20, n)
+    x1, x2 = r.normal(size=n) + a, r.normal(size=n) - b + 0.3 * a
+    y = 2 * x1 - 0.7 * x2 + 3.0 * a - b * b + r.normal(size=n)
+    names = [None, "p", "q", "r", "s"]
+    df = spark.createDataFrame([(names[i], int(j), int(k), float(u), float(v), float(w)) for i, j, k, u, v, w in zip(a, b, g, x1, x2, y)] + [("p", 1, 1, None, 0.0, 0.0)],
+                               "a string, b int, g int, x1 double, x2 double, y double").repartition(4)
+    d = np.column_stack([np.eye(5)[a], np.eye(7)[b][:, 1:]])
+    z = np.column_stack([x1, x2, y])
+    z = z - d @ np.linalg.lstsq(d, z, rcond=None)[0]
+    x, e = z[:, :2], z[:, 2]
+    beta = np.linalg.solve(x.T @ x, x.T @ e)
+    scores = np.stack([(x[g == k] * (e - x @ beta)[g == k, None]).sum(axis=0) for k in range(20)])
+    inverse = np.linalg.inv(x.T @ x)
+    se = np.sqrt(np.diag(inverse @ scores.T @ scores @ inverse))
+    got = {t.term: t for t in clustered_fit(df, "y", ["x1", "x2"], ["a", "b"], "g").collect()}
+    assert np.allclose([got[t].beta for t in ("x1", "x2")], beta, rtol=1e-7) and np.allclose([got[t].se for t in ("x1", "x2")], se, rtol=1e-6) and got["x1"].n == n and got["x1"].clusters == 20
+    with pytest.raises(RuntimeError, match="still move"):
+        demeaned(df, ["a", "b"], ["x1"], tolerance=0.0, max_rounds=2)
+    with pytest.raises(ValueError, match="not independent"):
+        clustered_fit(df.withColumn("same", F.col("b") * 1.0), "y", ["same"], ["a", "b"], "g")
+
+
+def test_least_squares_from_sums(spark):
+    """Coefficients from sums of products against least squares over rows; a column that others explain gets 0."""
+    from tidebook.operators.linear import products, solve
+
+    r = np.random.default_rng(6)
+    rows, want = [], {}
+    for w in (0, 1):
+        x = np.column_stack([np.ones(50), r.normal(size=(50, 3))])
+        x = np.column_stack([x, x[:, 1] * 2.0])
+        y = x[:, :4] @ r.normal(size=4) + r.normal(size=50)
+        rows += [(w, [float(v) for v in z]) for z in np.column_stack([x, y])]
+        want[w] = np.linalg.lstsq(x[:, :4], y, rcond=None)[0]
+    sums = products(spark.createDataFrame(rows, "win long, z array<double>").repartition(3), ["win"], "z")
+    got = {(x.win, x.model): x.betas for x in solve(sums, "win", 6, {"all": ([0, 1, 2, 3, 4], [5]), "one": ([0], [5])}).collect()}
+    for w in (0, 1):
+        assert np.allclose(got[w, "all"][:4], want[w]) and got[w, "all"][4] == 0
+        assert np.allclose(got[w, "one"], np.mean([z[5] for v, z in rows if v == w]))
+
+
+def test_one_set_of_draws(spark):
+    """Sums of a replicate agree with means from the same seed, and -1 has the rows themselves."""
+    from tidebook.operators.resampling import replicate_means, replicate_sums
+
+    df = spark.createDataFrame([(k % 2, k, k * 0.5, None if k % 7 == 0 else 1.0) for k in range(60)], "g long, i long, x double, y double").repartition(4)
+    got = {(x.by, x.j): x for x in replicate_sums(df, "g", "i", {"x": F.col("x"), "xx": F.col("x") * F.col("x"), "y": F.col("y")}, draws=30, seed=5).collect()}
+    means = {(x.by, x.j): x.m for x in replicate_means(df, "g", "i", "x", draws=30, seed=5).collect()}
+    assert all(math.isclose(got[k].x / got[k].copies, m) for k, m in means.items()) and len(means) == 60
+    assert got[0, -1].copies == 30 and got[0, -1].x == sum(k * 0.5 for k in range(0, 60, 2)) and got[0, -1].y == 30 - 5

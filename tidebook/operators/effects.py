@@ -61,7 +61,9 @@ def clustered_fit(df: DataFrame, y: str, xs: list[str], effects: list[str], clus
     for r in products(rows.select(F.array(*[F.col(c).cast("double") for c in (*xs, y)]).alias("z")), [], "z").collect():
         m[r.i, r.j] = m[r.j, r.i] = r.v
     a, b = m[:k, :k], m[:k, k]
-    if not k or np.linalg.cond(a / np.sqrt(np.outer(a.diagonal(), a.diagonal()) + 1e-300)) > 1e12:
+    raw = df.agg(F.count("*"), *[F.var_pop(x) for x in xs]).first()
+    gone = [x for x, left, v in zip(xs, a.diagonal(), raw[1:]) if left <= 1e-12 * raw[0] * (v or 1.0)]
+    if gone or not k or np.linalg.cond(a / np.sqrt(np.outer(a.diagonal(), a.diagonal()) + 1e-300)) > 1e12:
         raise ValueError(f"clustered_fit: {xs} are not independent once effects are taken out")
     beta = np.linalg.solve(a, b)
     e = F.col(y) - reduce(lambda s, t: s + t, [F.col(x) * F.lit(float(v)) for x, v in zip(xs, beta)])
