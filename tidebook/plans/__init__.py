@@ -1,6 +1,6 @@
 """Registered queries over the market tables."""
 
-from . import crossroots, desk, fills, inference, models, stateful, tape
+from . import crossroots, desk, fills, inference, models, stateful, tape, walkforward
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "crossroots", "desk", "fills", "inference", "models", "stateful", "tape"]
+__all__ = ["ORACLES", "QUERIES", "crossroots", "desk", "fills", "inference", "models", "stateful", "tape", "walkforward"]
