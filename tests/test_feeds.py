@@ -157,3 +157,82 @@ def test_stored_tables(spark, tmp_path):
     trades = spark.createDataFrame([(r.randrange(10**9), r.choice("XY"), r.randrange(9) + 0.5, 2.0, 1) for _ in range(30)], "ts_ns long, symbol string, price double, size double, side int")
     feeds.store_trades(trades, str(tmp_path / "t"), "V")
     assert market.read_trades(spark, str(tmp_path / "t"), "Y").count() == trades.where("symbol = 'Y'").count()
+
+
+def manifest_of(tmp_path, r, sizes):
+    """Tape files of a root and date each, with ragged rows, and their manifest."""
+    want = {}
+    for (root, date), n in sizes.items():
+        rows = [",".join(f" {root}{date}x{k}f{c}" for c in range(r.randrange(1, 5))) for k in range(n)]
+        folder = tmp_path / "files" / f"root={root}" / f"date={date}"
+        folder.mkdir(parents=True)
+        text = "head,er\n" + "".join(f"{x}\n\n" if r.random() < 0.2 else f"{x}\n" for x in rows)
+        if root == "Z":
+            with gzip.open(folder / "a.csv.gz", "wt") as f:
+                f.write(text)
+        else:
+            (folder / "a.csv").write_text(text if r.random() < 0.5 else text.rstrip("\n"))
+        want |= {(root, date): [tuple([c.strip() for c in x.split(",")][:3] + [None] * (3 - len(x.split(",")))) for x in rows]}
+    return want
+
+
+@pytest.mark.parametrize("part", [1, 7, 100, 1 << 20])
+def test_tape_source(spark, tmp_path, part):
+    """However files are cut, each row is there once and in order; files that filters leave out are never opened."""
+    from tidebook.sources import tapes
+
+    want = manifest_of(tmp_path, random.Random(part), {("A", "20240101"): 9, ("A", "20240102"): 0, ("B", "20240101"): 12, ("Z", "20240103"): 5} if part < 100 else {("A", "20240101"): 200, ("Z", "20240103"): 50})
+    tapes.list_tapes(spark, str(tmp_path / "files"), str(tmp_path / "manifest"))
+    rows = sorted(tapes.tape(spark, str(tmp_path / "manifest"), 3, part).collect(), key=lambda x: (x.root, x.date, x.part, x.line))
+    assert [(x.root, x.date, x.c0, x.c1, x.c2) for x in rows] == [(*k, *v) for k in sorted(want) for v in want[k]]
+    for f in (tmp_path / "files").rglob("root=A/**/a.csv"):
+        f.unlink()
+    other = tapes.tape(spark, str(tmp_path / "manifest"), 3, part).where("root = 'Z' and date >= '20240102' and c0 is not null")
+    assert [x.c0 for x in sorted(other.collect(), key=lambda x: x.line)] == [v[0] for v in want["Z", "20240103"]]
+    with pytest.raises(Exception, match="(?i)no such file|not found|does not exist"):
+        tapes.tape(spark, str(tmp_path / "manifest"), 3, part).collect()
+
+
+def test_tape_stream(spark, tmp_path):
+    """A stream takes each manifest entry once, over restarts."""
+    from tidebook.sources import tapes
+
+    want = {}
+    for k, root in enumerate("ABC"):
+        want |= manifest_of(tmp_path / root, random.Random(k), {(root, "20240101"): 20 + k})
+        tapes.list_tapes(spark, str(tmp_path / root / "files"), str(tmp_path / "manifest"))
+        # Names of Spark's files are in no order, so entries are dealt to files whose names are.
+        new = [f for f in (tmp_path / "manifest").iterdir() if f.name.startswith("part-")]
+        new[0].rename(tmp_path / "manifest" / f"{k:05d}.json")
+        run = tapes.stream(spark, str(tmp_path / "manifest"), 3).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check"))
+        run.trigger(availableNow=True).start().awaitTermination()
+        got = spark.read.parquet(str(tmp_path / "out")).collect()
+        assert sorted((x.root, x.c0) for x in got) == sorted((r, v[0]) for (r, _), rows in want.items() for v in rows)
+
+
+def test_sink_goes_on(spark, tmp_path):
+    """A second run writes nothing, one that is killed leaves nothing that is seen, and the next one does its keys whole."""
+    from pyspark.sql import functions as F
+
+    from tidebook.sources import sink
+
+    keys, asked = spark.createDataFrame([(k, f"d{k % 3}") for k in range(12)], "k long, d string"), []
+
+    def work(some, fail=False):
+        asked.append(sorted(r.k for r in some.collect()))
+        out = some.where("k != 5").withColumn("v", F.explode(F.array(F.col("k"), F.col("k") + 1)))
+        return out.withColumn("v", F.when(F.col("k") == 7, F.raise_error(F.lit("killed")).cast("long")).otherwise(F.col("v"))) if fail else out
+
+    path, schema = str(tmp_path / "store"), work(keys).schema
+    asked.clear()
+    with pytest.raises(Exception, match="killed"):
+        sink.store_by_key(keys.where("k < 9"), lambda s: work(s, True), path)
+    assert sink.committed(spark, path, keys.schema).count() == 0
+    assert sink.store_by_key(keys.where("k < 6"), work, path) == 6 and asked.pop() == list(range(6))
+    assert sink.store_by_key(keys, work, path, at_once=4) == 6
+    assert sorted(k for a in asked[1:] for k in a) == list(range(6, 12))
+    n = len(asked)
+    assert sink.store_by_key(keys, work, path) == 0 and len(asked) == n
+    got = sink.read_by_key(spark, path, schema, ["k", "d"])
+    assert sorted((r.k, r.v) for r in got.collect()) == sorted((k, v) for k in range(12) if k != 5 for v in (k, k + 1))
+    assert {r.k: r.rows for r in sink.committed(spark, path, keys.schema).collect()} == {k: 2 * (k != 5) for k in range(12)}

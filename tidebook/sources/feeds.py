@@ -63,10 +63,10 @@ def utc_ns(text: Column) -> Column:
     return (F.floor(s / 10000) * 3600 + F.floor(s / 100) % 100 * 60 + s % 100).cast("long") * SECOND_NS + v % SECOND_NS
 
 
-def equity_tape(spark: SparkSession, path: str, regular_hours: bool = True) -> DataFrame:
-    """Best bids and offers and trades of an equity file: file, part, line, ts_ns, kind (bid, ask, trade), symbol, price, size."""
+def equity_tape(spark: SparkSession, path: str | None, regular_hours: bool = True, rows: DataFrame | None = None) -> DataFrame:
+    """Best bids and offers and trades of an equity file, or of rows that were read already: file, part, line, ts_ns, kind (bid, ask, trade), symbol, price, size."""
     kind = F.create_map(*[F.lit(x) for pair in {"QUOTE BID NB": "bid", "QUOTE ASK NB": "ask", "TRADE": "trade", "TRADE NB": "trade"}.items() for x in pair])
-    rows = lines(spark, path, EQUITY_COLUMNS).where("c5 is not null").withColumn("clock", clock_ns(F.col("c1")))
+    rows = (lines(spark, path, EQUITY_COLUMNS) if rows is None else rows).where("c5 is not null").withColumn("clock", clock_ns(F.col("c1")))
     rows = rows.select(*PLACE, "clock", (day_ns(F.col("c0")) + F.col("clock")).alias("ts_ns"), F.try_element_at(kind, F.col("c2")).alias("kind"),
                        F.col("c3").alias("symbol"), _num(4).alias("price"), _num(5).alias("size")).where("kind is not null")
     if regular_hours:
@@ -106,9 +106,9 @@ def futures_depth(spark: SparkSession, path: str) -> DataFrame:
     return _books(rows, shown.cast(f"array<{LEVEL}>"), F.col("c8"))
 
 
-def futures_trades(spark: SparkSession, path: str) -> DataFrame:
-    """Trades of a futures tape: file, part, line, ts_ns, symbol, price, size, side; rows without a quantity are left out."""
-    rows = _anchored(lines(spark, path, TAPE_COLUMNS))
+def futures_trades(spark: SparkSession, path: str | None, rows: DataFrame | None = None) -> DataFrame:
+    """Trades of a futures tape, or of rows that were read already: file, part, line, ts_ns, symbol, price, size, side; rows without a quantity are left out."""
+    rows = _anchored(lines(spark, path, TAPE_COLUMNS) if rows is None else rows)
     kind = _num(8).cast("int")
     rows = rows.withColumn("kind", kind).where(F.col("kind").isin(BUY, SELL) & (_num(13) > 0))
     return rows.select(*PLACE, "ts_ns", F.col("c7").alias("symbol"), _num(12).alias("price"), _num(13).alias("size"), F.when(F.col("kind") == BUY, 1).otherwise(-1).alias("side"))
