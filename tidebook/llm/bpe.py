@@ -167,7 +167,7 @@ class Encoder:
 
     LONG = 4096
 
-    def __init__(self, merges: Merges, memo_entries: int = 200_000):
+    def __init__(self, merges: Merges, memo_entries: int = 100_000):
         self.m = merges
         self.memo = _Memo(self._piece, memo_entries)
         self.words = _Memo(self._word, 3 * memo_entries // 2)
