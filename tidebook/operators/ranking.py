@@ -70,3 +70,16 @@ def step_up(p: DataFrame, alpha: float = 0.1, partitions: int | None = None) ->
     out = running(out.withColumn("raw_y", F.col("raw") * F.col("h")), [], ["p", "id"], "least_y", F.col("raw_y"), F.min, F.least, backwards=True)
     qb, qy = F.least(F.lit(1.0), "least"), F.least(F.lit(1.0), "least_y")
     return out.select("id", "p", F.col("rank").cast("long").alias("rank"), F.round(qb, 9).alias("q_bh"), F.round(qy, 9).alias("q_bhy"), (qb <= alpha).alias("bh"), (qy <= alpha).alias("bhy"))
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float], partitions: int | None = None) -> DataFrame:
+    """(by, n, each name): interpolated quantiles of the non-null values inside each ``by``, from counts of distinct values in order; no key's values meet in one place."""
+    per = in_ranges(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n")), by, [value], partitions)
+    per = running(per, by, [value], "_upto", F.col("_n"), F.sum, lambda a, b: a + b)
+    total = per.groupBy(*[F.col(b).alias(f"_{b}") for b in by]).agg(F.sum("_n").alias("n"))
+    per = per.join(total, reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by], F.lit(True)))
+    at = {name: F.lit(share) * (F.col("n") - 1) for name, share in shares.items()}
+    ends = {f"_{end}_{name}": F.min(F.when(F.col("_upto") > cut(p), F.col(value))) for name, p in at.items() for end, cut in (("lo", F.floor), ("hi", F.ceil))}
+    out = per.groupBy(*by).agg(F.max("n").alias("n"), *[e.alias(c) for c, e in ends.items()])
+    mid = {name: F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (p - F.floor(p)) for name, p in at.items()}
+    return out.select(*by, "n", *[e.alias(name) for name, e in mid.items()])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidebook.functions import quotes as q
 from tidebook.operators import fills as sim
-from tidebook.operators.ranking import step_up
+from tidebook.operators.ranking import quantiles, step_up
 from tidebook.operators.resampling import MUL2, replicate_sums
 from tidebook.operators.timeline import as_of, last_known, running_sum, trailing
 from tidebook.sources import feeds
@@ -293,7 +293,8 @@ def block_null(spark, sf_dir):
 def tercile_deltas(spark, sf_dir):
     """By root, the mean markout of fills in its most volatile third less that of its calmest third."""
     f = regimes_of_fills(spark, sf_dir).where("known.sigma is not null").select(F.expr("user_id % 13").alias("root"), F.col("known.sigma").alias("sigma"), (F.col("markout_1h") * 1e4).alias("x"))
-    cut = f.groupBy("root").agg(F.expr(f"percentile(sigma, {1 / 3})").alias("lo"), F.expr(f"percentile(sigma, {2 / 3})").alias("hi"))
+    f = stored(f, "fills-in-regimes")
+    cut = quantiles(f, ["root"], "sigma", {"lo": 1 / 3, "hi": 2 / 3}).drop("n")
     low, high = F.col("sigma") <= F.col("lo"), F.col("sigma") >= F.col("hi")
     per = f.join(F.broadcast(cut), "root").groupBy("root").agg(  # one row a root
         F.count(F.when(low, 1)).alias("n_low"), F.count(F.when(high, 1)).alias("n_high"), F.avg(F.when(low, F.col("x"))).alias("a"), F.avg(F.when(high, F.col("x"))).alias("b"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidebook.functions import quotes as q
 from tidebook.operators import fills as sim
+from tidebook.operators.ranking import quantiles
 from tidebook.operators.timeline import as_of, block, last_known, running_sum
 from tidebook.sources import market as mk
 from tidebook.sources.storage import stored
@@ -345,8 +346,8 @@ def gated_fills(spark, sf_dir):
   SELECT *, quantile_cont(a, 0.95) OVER (PARTITION BY win) AS qt FROM (SELECT ts_ns // 86400000000000 AS win, abs(inventory) AS a FROM path))) GROUP BY win, cvar""", *TOUCHED, PATH))
 def wfo_cvar(spark, sf_dir):
     """Mean of the largest five percent of absolute inventory, by day."""
-    a = inventory(touch_stored(spark, sf_dir)).select(F.expr("ts_ns div 86400000000000").alias("win"), F.abs("inventory").alias("a"))
-    q95 = a.groupBy("win").agg(F.expr("percentile(a, 0.95)").alias("q"), F.count("*").alias("n"))
+    a = stored(inventory(touch_stored(spark, sf_dir)).select(F.expr("ts_ns div 86400000000000").alias("win"), F.abs("inventory").alias("a")), "inventories")
+    q95 = quantiles(a, ["win"], "a", {"q": 0.95})
     return a.join(q95, "win").groupBy("win", "n").agg(F.round(F.avg(F.when(F.col("a") >= F.col("q"), F.col("a"))), 9).alias("cvar")).select("win", "n", "cvar")
 
 
