@@ -1,6 +1,6 @@
 """Registered queries over the market tables."""
 
-from . import crossroots, desk, fills, inference, models, quoters, stateful, tape, tapes, walkforward
+from . import crossroots, desk, fills, inference, logs, models, quoters, stateful, tape, tapes, walkforward
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "crossroots", "desk", "fills", "inference", "models", "quoters", "stateful", "tape", "tapes", "walkforward"]
+__all__ = ["ORACLES", "QUERIES", "crossroots", "desk", "fills", "inference", "logs", "models", "quoters", "stateful", "tape", "tapes", "walkforward"]
