@@ -119,6 +119,38 @@ def test_html_article_in_parts(page, want):
     assert html.main_text(f"<html><body>{page}</body></html>").split("\n") == [re.sub("<.*?>", "", w) for w in want]
     assert html.main_text(page).split("\n") == [re.sub("<.*?>", "", w) for w in want]
 
+A = "<p>Some text of a long story, told in full, and more, and more.</p>" * 4
+ITEM = "<div><b>Ann</b><p>I think so, too, and so does my cat, really.</p></div>"
+
+
+@pytest.mark.parametrize("page, want", [
+    # Readers' comments and notices that no class or id gives away.
+    (f"<div><h1>Head</h1>{A}</div><section class='reader-reactions'><h2>Comments</h2>{ITEM * 3}</section>", ["Head"] + [S] * 4),
+    (f"<div><h1>Head</h1>{A}</div><div id='discussion'><h3>5 Responses</h3>{ITEM * 3}</div>", ["Head"] + [S] * 4),
+    (f"<div class='cc-window'><p>We keep small files to count visits.</p><button>Fine</button></div><div><h1>Head</h1>{A}</div>", ["Head"] + [S] * 4),
+    (f"<div><h1>Head</h1>{A}<h3>12 comments</h3><ol><li><b>Ann</b><p>No.</p></li><li><b>Bob</b><p>Yes.</p></li></ol></div>", ["Head"] + [S] * 4),
+    (f"<article><h1>Head</h1>{A}<h2>Discussion</h2>{ITEM * 4}</article>", ["Head"] + [S] * 4),
+    (f"<article><h1>Head</h1>{A}</article><div class=t1><div><h4>Kommentare (2)</h4></div><div class=t2>{ITEM * 2}</div></div>", ["Head"] + [S] * 4),
+    (f"<main><h1>Head</h1>{A}<section><h2>Comentarios</h2><p>Muy bien, gracias a todos.</p><p>No, no lo creo, lo siento.</p></section></main>", ["Head"] + [S] * 4),
+    (f"<div>{A}</div><div><div>Get the news by mail, each day.<input name=m><button>Go</button></div></div>", [S] * 4),
+    # Parts of an article that look a little like them.
+    (f"<div><h1>Head</h1>{A}<h2>Discussion</h2>{A}<h2>Results</h2><p>All, of it, fits.</p></div>", ["Head"] + [S] * 4 + ["Discussion"] + [S] * 4 + ["Results", "All, of it, fits."]),
+    (f"<h1>Comments</h1><div>{A}</div>", ["Comments"] + [S] * 4),
+    (f"<div>{A}<h2>Comments on the law</h2>{A * 2}</div>", [S] * 4 + ["Comments on the law"] + [S] * 8),
+    (f"<div>{A}<h2>Reactions</h2><p>The mayor, the council, and the press were glad.</p></div>", [S] * 4 + ["Reactions", "The mayor, the council, and the press were glad."]),
+    (f"<div><h1>Head</h1><button>Listen</button>{A}</div>", ["Head"] + [S] * 4)])
+def test_html_comments_and_notices_by_place(page, want):
+    assert html.main_text(f"<html><body>{page}</body></html>").split("\n") == [re.sub("<.*?>", "", w) for w in want]
+
+
+def test_html_many_headings_in_linear_time():
+    import time
+
+    for page in ("<h3>Comments</h3><div><p>x, y.</p></div>" * 8000, "<div><h3>Comments</h3><p>a, b.</p>" * 8000):
+        began = time.time()
+        html.main_text(f"<div>{A}</div>{page}")
+        assert time.time() - began < 20
+
 
 def test_html_names_still_mark_furniture():
     page = "<body><div><p>Short post.</p></div><div id=comments><p>{0}</p><p>{0}</p></div><div class='widget widget_text'><p>w</p></div><div class=hidden><p>h</p></div></body>"

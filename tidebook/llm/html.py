@@ -6,7 +6,8 @@ its parent gets all of them, the parent above half, the one above that a third.
 Points are discounted by the share of the block's characters that are links.
 The container with most points and its siblings that score enough are kept, without
 the parts that are furniture by element, role or name. Names are judged once the page is
-read: one that would take the article away counts for nothing.
+read: one that would take the article away counts for nothing. Readers' comments are also told
+by their heading and place, and notices by a button in a short part beside the article.
 """
 
 from __future__ import annotations
@@ -62,16 +63,23 @@ ENDS_P = BLOCKS - {"html", "body", "head", "title", "option", "button", "caption
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)"
     r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*(?:>|\Z))", re.S)
+#: Headings that readers' comments stand under, in the languages of the pages; the second kind only with a number or over alike parts.
+_READERS = re.compile(r"(?:(?:\d+|no|add|post|leave|write) (?:a |your |new )*)?(?:reader |user )?(?:comments?|kommentare?|commentaires?|comentarios?)(?: ?\(?\d+\)?)?:?|(?:\d+|no) comments? on .*|leave a (?:reply|comment)", re.I)
+_TALK = re.compile(r"((?:\d+|no) )?(?:reader |user )?(?:discussion|conversation|responses?|repl(?:y|ies)|reactions?|thoughts|antworten|réponses?|respuestas?)( ?\(?\d+\)?)?(?: (?:to|on) .*)?:?", re.I)
+#: Characters up to which something with a button that stands beside the article is a notice.
+NOTICE = 400
+
 _RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "out", "named", "score", "leaf", "size", "links", "points", "told", "head", "inside", "flag", "branch")
+    __slots__ = ("tag", "parent", "out", "named", "score", "leaf", "size", "links", "points", "told", "head", "inside", "flag", "branch", "knobs")
 
     def __init__(self, tag: str, parent: _Node | None, out: bool, named: set[str], leaf: bool, score: float):
         self.tag, self.parent, self.out, self.named, self.leaf, self.score = tag, parent, out, named, leaf, score
+        self.knobs = False
         self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
 
 
@@ -101,6 +109,52 @@ def _add_up(nodes: list[_Node], blocks: list[Block]) -> None:
             up.points += n.points
             up.told |= n.told
             up.head |= n.head
+            up.knobs |= n.knobs
+
+
+def _talked(nodes: list[_Node], blocks: list[Block]) -> list[Block]:
+    """The blocks without readers' comments, told by where they stand: under a heading of that kind, after other text.
+
+    The heading and what follows it in its container go, up to the next heading there. Where the heading may as well be an article's own (Discussion), it must have
+    a number, or parts alike must follow, each a container of its own. What would take half of the page's text stays.
+    """
+    _add_up(nodes, blocks)
+    total, seen, gone = sum(len(text) - links for _, text, links in blocks), False, set()
+    children: dict[_Node, list[_Node]] = {}
+    first: dict[_Node, str] = {}
+    for node, text, _ in blocks:
+        first.setdefault(node, text)
+    heads = [n for n in nodes if n.tag in ("h1", "h2", "h3", "h4", "h5", "h6") and n in first and len(first[n]) <= 80 and (_READERS.fullmatch(first[n]) or _TALK.fullmatch(first[n]))]
+    if not heads:
+        return blocks
+    for n in nodes:
+        if n.parent is not None and n.size:
+            children.setdefault(n.parent, []).append(n)
+    looked: set[_Node] = set()
+    for h in heads:
+        top = h
+        while top.parent is not None and top.parent.size == top.size and top.parent.parent is not None:  # a heading that is wrapped up alone
+            top = top.parent
+        if top.parent in looked:  # the first of a container's headings of that kind is enough
+            continue
+        looked.add(top.parent)
+        beside = children.get(top.parent, [])
+        after = beside[beside.index(top) + 1 :]
+        stop = next((k for k, n in enumerate(after) if n.tag in ("h1", "h2", "h3") and n.tag <= h.tag), len(after))
+        part = after[:stop]
+        parts = [n for n in part if not n.leaf]
+        lists = [c for n in parts for c in children.get(n, []) if n.tag in ("ul", "ol", "dl")]
+        alike = max([sum(1 for n in found if n.tag == tag) for found in (parts, lists) for tag in {n.tag for n in found}], default=0)
+        sure = _READERS.fullmatch(first[h]) or (m := _TALK.fullmatch(first[h])) and (m[1] or m[2])
+        if part and (sure or alike >= 2) and 2 * sum(n.size - n.links for n in [top, *part]) < total:
+            gone |= {top, *part}
+    for n in nodes:
+        n.flag = n in gone or (n.parent is not None and n.parent.flag)
+    for node, _, _ in blocks:  # an article comes before what its readers say
+        if node.flag and not seen:
+            return blocks
+        seen = True
+    return [b for b in blocks if not b[0].flag]
 
 
 def _names(tag: str, tokens: list[str]) -> tuple[set[str], bool]:
@@ -259,6 +313,8 @@ def main_text(html: str | None) -> str:
         if tag == "a":
             link_depth += 1
         elif tag in VOID:
+            if tag == "input":
+                stack[-1].knobs = True
             if tag == "hr":
                 flush()
             elif tag == "br":
@@ -278,12 +334,16 @@ def main_text(html: str | None) -> str:
             there[tag] = there.get(tag, 0) + 1
             if not out:
                 nodes.append(stack[-1])
+            elif tag in ("button", "input", "select", "textarea"):
+                parent.knobs = True
     if at < len(html) and not stack[-1].out:
         buf.append(html[at:])
     flush()
     if not blocks:
         return ""
     blocks = _unnamed(nodes, blocks)
+    if blocks:
+        blocks = _talked(nodes, blocks)
     if not blocks:
         return ""
     _add_up(nodes, blocks)
@@ -321,7 +381,7 @@ def _beside_marked(best: _Node, nodes: list[_Node], blocks: list[Block]) -> str:
             n.branch = n.parent.branch if n.parent is not None and n is not best else n is best
         else:
             n.branch = at.parent is not None and (
-                n.score >= enough or (n.leaf and (n.size > 80 or n.tag in ("h1", "h2")) and _few(n)))
+                n.score >= enough and not (n.knobs and n.size <= NOTICE and not n.head) or (n.leaf and (n.size > 80 or n.tag in ("h1", "h2")) and _few(n)))
     return "\n".join(text for node, text, _ in blocks if node.branch)
 
 
@@ -346,7 +406,7 @@ def _beside(best: _Node, nodes: list[_Node], blocks: list[Block]) -> str:
             if share >= worth:
                 several = True
                 total += share
-            if share >= worth or (n.told and _few(n)):
+            if share >= worth or (n.told and _few(n) and not (n.knobs and n.size <= NOTICE and not n.head)):
                 kept.add(n)
         at = at.parent
         if at in own:  # with loose text
