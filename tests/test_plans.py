@@ -41,4 +41,4 @@ def test_every_query_is_documented():
     assert set(plans.ORACLES) <= set(plans.QUERIES)
     without = set(plans.QUERIES) - set(plans.ORACLES)
     assert without == {"ewma_fair", "refresh_triggers", "model_quotes", "hedge_fires", "queue_tracker",
-                       "hmm_filter", "ofi_pca", "calibration_by_rank"}
+                       "hmm_filter", "ofi_pca", "ofi_integrated", "calibration_by_rank"}

@@ -179,3 +179,31 @@ def test_one_set_of_draws(spark):
     means = {(x.by, x.j): x.m for x in replicate_means(df, "g", "i", "x", draws=30, seed=5).collect()}
     assert all(math.isclose(got[k].x / got[k].copies, m) for k, m in means.items()) and len(means) == 60
     assert got[0, -1].copies == 30 and got[0, -1].x == sum(k * 0.5 for k in range(0, 60, 2)) and got[0, -1].y == 30 - 5
+
+
+def test_component_fitted_in_sample(spark):
+    """Scores by a component of the fitting rows only, against an eigenvector in numpy; a constant column counts nothing."""
+    from tidebook.operators.models import integrated
+
+    r = np.random.default_rng(9)
+    common = r.normal(size=80)
+    x = np.column_stack([common * k + r.normal(size=80) * 0.5 for k in (1.0, 0.8, -0.6)] + [np.full(80, 3.0)])
+    x[40:] *= 5  # later rows must not matter
+    df = spark.createDataFrame([("a", t, [float(v) for v in row]) for t, row in enumerate(x)], "g string, t long, v array<double>").repartition(3)
+    got = [s.score for s in sorted(integrated(df, "g", "v", 4, F.col("t") < 40, ["t"]).collect(), key=lambda s: s.t)]
+    z = (x[:, :3] - x[:40, :3].mean(axis=0)) / x[:40, :3].std(axis=0)
+    top = np.linalg.eigh(np.corrcoef(x[:40, :3].T))[1][:, -1]
+    assert np.allclose(got, z @ (top * np.sign(top[0])))
+
+
+@pytest.mark.parametrize("partitions", [1, 9])
+def test_quantiles_in_ranges(spark, partitions):
+    from tidebook.operators.ranking import quantiles
+
+    r = random.Random(2)
+    rows = [(r.choice(["a", None]), r.choice([None, 1.0, 2.0, r.random()])) for _ in range(200)] + [("one", 5.0), ("none", None)]
+    got = {x.g: x for x in quantiles(spark.createDataFrame(rows, "g string, v double").repartition(4), ["g"], "v", {"low": 0.05, "mid": 0.5, "top": 1.0}, partitions).collect()}
+    for g in {g for g, v in rows if v is not None}:
+        v = [v for h, v in rows if h == g and v is not None]
+        assert got[g].n == len(v) and np.allclose([got[g].low, got[g].mid, got[g].top], np.quantile(v, [0.05, 0.5, 1.0]))
+    assert "none" not in got

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebook.functions.stats import corr
 from tidebook.operators.linear import SMALL, products, solve
 from tidebook.operators.resampling import shuffle_step, shuffled
 from tidebook.sources import market as mk
@@ -14,7 +15,7 @@ from .desk import CROSS, hourly_moves
 from .registry import query, sql
 from .tape import OFI, order_flow
 
-ROOTS = 13
+ROOTS, DAY_NS = 13, mk.DAY_NS
 #: Four-hour bins; a window is three blocks of bins to fit and one to score.
 BIN, BLOCK, IN_BLOCKS = 4 * mk.HOUR_NS, 20, 3
 #: A taker's fee in basis points, beside half the spread.
@@ -157,7 +158,27 @@ def block_permutation_null(spark, sf_dir):
     moved = drawn.select("sym", "j", "place", F.expr(f"if(short < place, {nb} * {HOURS} - n, 0)").alias("less"), F.explode("part").alias("p"))
     moved = moved.select("sym", "j", (F.col("place") * HOURS + F.col("p.o") - F.col("less")).alias("i"), F.col("p.x2").alias("z"))
     added = F.expr("(r1 * r1 + r2 * r2 - 2 * r1 * r2 * r12) / (1 - r12 * r12) - r1 * r1")
-    f = w.join(moved, ["sym", "i"]).groupBy("sym", "j").agg(F.corr("dm", "ofi").alias("r1"), F.corr("dm", "z").alias("r2"), F.corr("ofi", "z").alias("r12")).where("abs(r12) < 1")
-    seen = w.groupBy("sym", "n").agg(F.corr("dm", "ofi").alias("r1"), F.corr("dm", "x2").alias("r2"), F.corr("ofi", "x2").alias("r12")).where("abs(r12) < 1").select("sym", "n", added.alias("observed"))
+    f = w.join(moved, ["sym", "i"]).groupBy("sym", "j").agg(corr("dm", "ofi").alias("r1"), corr("dm", "z").alias("r2"), corr("ofi", "z").alias("r12")).where("abs(r12) < 1")
+    seen = w.groupBy("sym", "n").agg(corr("dm", "ofi").alias("r1"), corr("dm", "x2").alias("r2"), corr("ofi", "x2").alias("r12")).where("abs(r12) < 1").select("sym", "n", added.alias("observed"))
     hits = f.select("sym", added.alias("r2")).join(seen, "sym").groupBy("sym", "n", "observed").agg(F.count(F.when(F.col("r2") >= F.col("observed") - 1e-12, 1)).alias("hits"))
     return hits.select("sym", "n", F.round("observed", 8).alias("observed"), ((F.col("hits") + 1) / (DRAWS + 1)).alias("p"))
+
+
+#: Bins of a day, and how many that all roots have make a day count.
+DAY_BIN, COMMON = 6 * mk.HOUR_NS, 2
+
+
+@query(sql(f"""SELECT day, bin, root::INT AS root, ofi, round(ret, 9) AS ret, round(half_bp, 9) AS half_bp FROM (
+  SELECT *, count(*) OVER (PARTITION BY day) AS cells, ln(lead(c) OVER (PARTITION BY root, day ORDER BY bin)) - ln(c) AS ret FROM (SELECT *, count(*) OVER (PARTITION BY day, bin) AS roots FROM rows13) WHERE roots = {ROOTS}) WHERE cells >= {ROOTS * COMMON}""", OFI,
+           f"""rows13 AS (SELECT root, day, bin, any_value(ofi) AS ofi, any_value(c) AS c, 5e3 / any_value(c) AS half_bp FROM (SELECT user_id % {ROOTS} AS root, o.ts_ns // {DAY_NS} AS day, o.ts_ns % {DAY_NS} // {DAY_BIN} AS bin, sum(ofi) OVER q AS ofi,
+    last_value(o.mid) OVER (PARTITION BY user_id % {ROOTS}, o.ts_ns // {DAY_NS}, o.ts_ns % {DAY_NS} // {DAY_BIN} ORDER BY o.ts_ns, seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS c FROM ofi o JOIN snap USING (seq)
+  WINDOW q AS (PARTITION BY user_id % {ROOTS}, o.ts_ns // {DAY_NS}, o.ts_ns % {DAY_NS} // {DAY_BIN})) GROUP BY root, day, bin)"""))
+def root_panel(spark, sf_dir):
+    """Bins that all thirteen roots have, of days with enough of them: each root's flow, its log return to the next such bin of the day, and half its spread in bp."""
+    at = F.struct("ts_ns", "seq")
+    e = order_flow(spark, sf_dir).select(F.expr(f"user_id % {ROOTS}").cast("int").alias("root"), F.expr(f"ts_ns div {DAY_NS}").alias("day"), F.expr(f"ts_ns % {DAY_NS} div {DAY_BIN}").alias("bin"), "ts_ns", "seq", "ofi", "mid")
+    e = e.groupBy("day", "bin", "root").agg(F.sum("ofi").alias("ofi"), F.max_by("mid", at).alias("c"))
+    # One row a bin and root from here on: a bin's roots and a day's bins are few.
+    e = e.withColumn("roots", F.count("*").over(Window.partitionBy("day", "bin"))).where(F.col("roots") == ROOTS)
+    e = e.withColumns({"cells": F.count("*").over(Window.partitionBy("day")), "next": F.lead("c").over(Window.partitionBy("day", "root").orderBy("bin"))})
+    return e.where(F.col("cells") >= ROOTS * COMMON).select("day", "bin", "root", "ofi", F.round(F.log("next") - F.log("c"), 9).alias("ret"), F.round(F.lit(5e3) / F.col("c"), 9).alias("half_bp"))

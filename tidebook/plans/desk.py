@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions import quotes as q
+from tidebook.functions.stats import corr
 from tidebook.operators import fills as sim
 from tidebook.operators.ranking import quantiles, step_up
 from tidebook.operators.resampling import MUL2, replicate_sums
@@ -259,7 +260,7 @@ def own_cross_ols(spark, sf_dir):
     h = hourly_moves(spark, sf_dir)
     other = h.select((1 - F.col("sym")).alias("sym"), "bin", F.col("ofi").alias("x2"))
     w = h.where("dm is not null").join(other, ["sym", "bin"])
-    f = w.groupBy("sym").agg(F.count("*").alias("n"), F.corr("dm", "ofi").alias("r1"), F.corr("dm", "x2").alias("r2"), F.corr("ofi", "x2").alias("r12")).where("abs(r12) < 1")
+    f = w.groupBy("sym").agg(F.count("*").alias("n"), corr("dm", "ofi").alias("r1"), corr("dm", "x2").alias("r2"), corr("ofi", "x2").alias("r12")).where("abs(r12) < 1")
     return f.select("sym", "n", F.round(F.expr("r1 * r1"), 8).alias("r2_own"), F.round(F.expr("(r1 * r1 + r2 * r2 - 2 * r1 * r2 * r12) / (1 - r12 * r12)"), 8).alias("r2_cross"))
 
 
@@ -278,7 +279,7 @@ def block_null(spark, sf_dir):
     w = w.withColumns({"i": F.row_number().over(by.orderBy("bin")) - 1, "n": F.count("*").over(by)})
     moved = w.select("sym", "i", "n", "x2", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS))).alias("k"))
     moved = moved.select("sym", "k", F.expr(f"pmod(i - k * (n div {BLOCKS + 1}), n)").cast("int").alias("i"), F.col("x2").alias("z"))
-    f = w.join(moved, ["sym", "i"]).groupBy("sym", "k").agg(F.count("*").alias("n"), F.corr("dm", "ofi").alias("r1"), F.corr("dm", "z").alias("r2"), F.corr("ofi", "z").alias("r12"))
+    f = w.join(moved, ["sym", "i"]).groupBy("sym", "k").agg(F.count("*").alias("n"), corr("dm", "ofi").alias("r1"), corr("dm", "z").alias("r2"), corr("ofi", "z").alias("r12"))
     f = f.where("abs(r12) < 1").select("sym", "k", "n", F.expr("(r1 * r1 + r2 * r2 - 2 * r1 * r2 * r12) / (1 - r12 * r12) - r1 * r1").alias("r2"))
     seen = f.where("k = 0").select("sym", "n", F.col("r2").alias("observed"))
     null = f.where("k > 0").join(seen.select("sym", "observed"), "sym").groupBy("sym").agg(F.count(F.when(F.col("r2") >= F.col("observed") - 1e-12, 1)).alias("hits"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions import quotes as q
+from tidebook.functions.stats import corr
 from tidebook.operators import fills as sim
 from tidebook.operators.ranking import average_ranks, step_up
 from tidebook.operators.resampling import MUL1, MUL2, POISSON, STEP, bootstrap_means, replicate_means, sign_flip_null
@@ -36,7 +37,7 @@ def spearman(spark, sf_dir):
     """Rank correlation of quantity and discount."""
     x = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_quantity", "l_discount").dropna()
     x = average_ranks(average_ranks(x, "l_quantity", "ra"), "l_discount", "rb")
-    return x.agg(F.count("*").alias("n"), F.round(F.corr("ra", "rb"), 9).alias("rho"))
+    return x.agg(F.count("*").alias("n"), F.round(corr("ra", "rb"), 9).alias("rho"))
 
 
 P_VALUES = """pv AS (SELECT o_custkey % 97 AS id, round(exp(-abs(avg(o_totalprice) - any_value(g)) / (any_value(s) / sqrt(count(*)))), 9) AS p FROM orders,
@@ -227,6 +228,6 @@ def effective_trials(spark, sf_dir):
     """Number of independent strategies that the correlations of daily markouts amount to: trace squared over the squared norm."""
     wide = daily(spark, sf_dir).groupBy("d").pivot("strategy", list(range(8))).agg(F.first("x")).fillna(0.0)
     cols = [str(k) for k in range(8)]
-    one = wide.agg(*[F.corr(F.col(a), F.col(b)).alias(f"{a}_{b}") for a, b in combinations(cols, 2)])
+    one = wide.agg(*[corr(F.col(a), F.col(b)).alias(f"{a}_{b}") for a, b in combinations(cols, 2)])
     square = sum((F.pow(F.coalesce(F.nanvl(F.col(f"{a}_{b}"), F.lit(0.0)), F.lit(0.0)), 2) for a, b in combinations(cols, 2)), F.lit(0.0))
     return one.select(F.round(F.lit(64.0) / (F.lit(8.0) + 2 * square), 9).alias("n_effective"))

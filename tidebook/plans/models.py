@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.operators.effects import clustered_fit
-from tidebook.operators.models import first_component, logistic_curve
+from tidebook.operators.models import first_component, integrated, logistic_curve
 from tidebook.operators.regimes import regimes
 from tidebook.operators.timeline import last_known, trailing
 from tidebook.sources import market as mk
+from tidebook.sources.storage import stored
 
 from .fills import MARK, TOUCHED, marked
 from .inference import brier_by_rank
@@ -127,6 +128,15 @@ def ofi_pca(spark, sf_dir):
     return first_component(b, "sym", "v", 10)
 
 
+@query()
+def ofi_integrated(spark, sf_dir):
+    """Ten levels' hourly flows as one number, by a component fitted on the first half of the hours only."""
+    b = cont_ofi_bins(spark, sf_dir).select("sym", "bin", F.array(*[F.col(f"ofi{l}").cast("double") for l in range(10)]).alias("v"))
+    b = stored(b, "level-flows")
+    half = b.groupBy("sym").agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"))
+    return integrated(b.join(half, "sym"), "sym", "v", 10, F.expr("2 * (bin - lo) <= hi - lo"), ["bin"])
+
+
 @query()
 def calibration_by_rank(spark, sf_dir):
     """Fill probability by depth rank against a logistic curve in the rank."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions import quotes as q
+from tidebook.functions.stats import corr
 from tidebook.operators.timeline import as_of, block, last_known, running_sum, trailing
 from tidebook.sources import market as mk
 
@@ -262,7 +263,7 @@ def ofi_r2(spark, sf_dir):
     """Share of hourly mid changes that flow explains."""
     w = Window.partitionBy("sym").orderBy("bin")  # one row an hour
     b = ofi_bins(spark, sf_dir).withColumn("dm", F.col("mid_close") - F.lag("mid_close").over(w)).where("dm is not null")
-    return b.groupBy("sym").agg(F.count("*").alias("n_bins"), F.round(F.pow(F.corr("ofi", "dm"), 2), 8).alias("r2"))
+    return b.groupBy("sym").agg(F.count("*").alias("n_bins"), F.round(F.pow(corr("ofi", "dm"), 2), 8).alias("r2"))
 
 
 BARS = "bars AS (SELECT sym, ts_ns // 14400000000000 AS bar, arg_min(mid, (ts_ns, seq)) AS o, max(mid) AS h, min(mid) AS l, arg_max(mid, (ts_ns, seq)) AS c, count(*) AS n FROM snap GROUP BY ALL)"
