@@ -505,3 +505,25 @@ def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
     assert stages["bpe"](spark, docs, str(tmp_path)).count() == len(rows)
     for stage in stages.values():
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_kept_columns_that_clash(spark):
+    """A kept column with the name of one that is added raises; a table's own counts of lines go through the pipeline's stage as they are."""
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(1, "a b", 7, "x")], "doc_id long, text string, n_lines long, SCORE string").withColumns({c: F.lit(1) for c in ("ids", "lang_pred", "spans", "decoded")})
+    for run in (lambda: bpe.tokenize(df, q.vocabulary(), keep=("ids",)), lambda: bpe.tokenize(df, q.vocabulary(), keep=("decoded",), decode=True), lambda: language.identify(df, {}, keep=("SCORE",)),
+                lambda: html.extract(df, html="SCORE", keep=("text",)), lambda: pii.find(df, None, keep=("spans",)), lambda: quality.score(df, None, keep=("SCORE",))):
+        with pytest.raises(ValueError, match="twice"):
+            run()
+    out = corpus_pipeline.dedup_lines(spark, df, SF)
+    assert out.columns == [*df.columns, "n_chars"] and out.first().n_lines == 7
+
+
+def test_encoder_after_an_error():
+    """A text that breaks off leaves nothing behind for the next one."""
+    encoder, _ = bpe.coder(q.vocabulary())
+    whole = encoder.encode("some words, and more")
+    with pytest.raises(TypeError):
+        encoder.encode(["half a text ", None], 1)
+    assert encoder.encode("some words, and more") == whole

@@ -20,7 +20,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import no_clash, small_batches
 
 #: The pre-token pattern of byte-level vocabularies, and the four kinds of run it is made of.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -270,9 +270,13 @@ class Encoder:
 
     def encode(self, text: str, chunk: int = 1 << 16) -> array:
         ids = array("I")
-        for at in range(0, len(text), chunk):
-            ids.frombytes(self.feed(text[at : at + chunk]))
-        ids.frombytes(self.finish())
+        try:
+            for at in range(0, len(text), chunk):
+                ids.frombytes(self.feed(text[at : at + chunk]))
+            ids.frombytes(self.finish())
+        except BaseException:  # the encoder is kept for other texts
+            self._reset()
+            raise
         return ids
 
 
@@ -326,6 +330,7 @@ def tokenize(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
                     out["decoded"] = [decoder.decode(i) for i in ids]
                 yield finish(out) if finish else out
 
+    no_clash(keep, "ids", *["decoded"] * decode)
     small_batches(df.sparkSession)
     src = df.select(*[df[c].alias(f"k{i}") for i, c in enumerate(keep)], df[text].alias("t"))
     kinds = dict(df.dtypes)

@@ -68,6 +68,12 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def no_clash(keep: tuple[str, ...], *added: str) -> None:
+    """Raises where a kept column has the name of one that an operator adds, as the result would have it twice."""
+    if clash := {c.lower() for c in keep} & set(added):
+        raise ValueError(f"kept columns {sorted(clash)} would be in the result twice; rename them first")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
     """Smallest reachable vertex of each vertex that has an edge.
 

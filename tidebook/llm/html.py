@@ -19,7 +19,7 @@ from html import unescape
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import no_clash, small_batches
 
 #: Elements that never hold article text.
 FURNITURE = set(
@@ -432,6 +432,7 @@ def extract(df: DataFrame, html: str = "html", keep: tuple[str, ...] = (), text:
                 out[text] = [main_text(h) for h in part["h"]]
                 yield out
 
+    no_clash(keep, text.lower())
     small_batches(df.sparkSession)
     kinds = dict(df.dtypes)
     src = df.select(*[df[c].alias(f"k{i}") for i, c in enumerate(keep)], df[html].alias("h"))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import no_clash, small_batches
 
 #: Symbols: 0 for what is no letter, 1 to 26 for a to z, the rest shared by all other letters.
 SYMBOLS = 64
@@ -137,6 +137,7 @@ def identify(df: DataFrame, known: dict[str, np.ndarray], text: str = "text", ke
     ``und`` with score 0. Ties go to the first language by name. The score is a
     softmax over the cosines. keep may hold nulls; rows may repeat.
     """
+    no_clash(keep, "lang_pred", "score")
     small_batches(df.sparkSession)
     names = sorted(known)
     proto = np.stack([known[y] / max(np.linalg.norm(known[y]), 1e-9) for y in names]) if names else np.zeros((0, space.size))

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import no_clash, small_batches
 
 KINDS = ["email", "ip", "card", "phone"]
 Span = tuple[str, int, int]
@@ -355,6 +355,7 @@ def find(df: DataFrame, field: Field, text: str = "text", keep: tuple[str, ...]
                 out["spans"] = [as_rows(sorted(b + m, key=lambda s: (s[1], LABELS.index(s[0])))) for b, m in zip(base, more)]
                 yield out
 
+    no_clash(keep, "base", "spans")
     small_batches(df.sparkSession)
     kinds = dict(df.dtypes)
     src = df.select(*[df[c].alias(f"k{i}") for i, c in enumerate(keep)], df[text].alias("x"))

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import no_clash, small_batches
 
 #: Statistics of a text, in the order of ``statistics``.
 NAMES = [
@@ -186,6 +186,7 @@ def score(df: DataFrame, model: Trees, text: str = "text", keep: tuple[str, ...]
             out[name] = np.concatenate(parts) if parts else np.zeros(0)
             yield out
 
+    no_clash(keep, name.lower())
     small_batches(df.sparkSession)
     kinds = dict(df.dtypes)
     src = df.select(*[df[c].alias(f"k{i}") for i, c in enumerate(keep)], df[text].alias("x"))
