@@ -28,7 +28,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     No document goes; a null or empty text has no line that could. Repeated rows, and rows with a null id, count as one document.
     """
-    kept = lines.dedup_lines(docs, min_docs=10).select(*docs.columns)
+    # A table's own columns of these names are kept under others while the operator adds its counts.
+    own = [c for c in docs.columns if c.lower() in ("n_lines", "n_dropped")]
+    aside = dict(zip(own, unused(docs, *own)))
+    kept = lines.dedup_lines(docs.withColumnsRenamed(aside), min_docs=10).drop("n_lines", "n_dropped").withColumnsRenamed({n: c for c, n in aside.items()}).select(*docs.columns)
     return kept.withColumn("n_chars", F.length("text").cast("long"))
 
 
