@@ -389,3 +389,37 @@ def fe_two_slopes(spark, sf_dir):
         ("s11", "x1", "x1"), ("s22", "x2", "x2"), ("s12", "x1", "x2"), ("s1y", "x1", "y"), ("s2y", "x2", "y"))])
     s = per.agg(*[F.sum(c).alias(c) for c in ("n", "s11", "s22", "s12", "s1y", "s2y")])
     return s.select("n", F.round(F.expr("(s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12)"), 7).alias("slope1"), F.round(F.expr("(s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12)"), 7).alias("slope2"))
+
+
+def sign_test(up: Column, n: Column) -> Column:
+    """Two-sided p of up successes out of n at even odds."""
+    few = F.least(up, n - up)
+    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), few), F.lit(0.0), lambda s, k: s + F.aggregate(
+        F.filter(F.sequence(F.lit(0).cast("long"), k), lambda i: i > 0), F.lit(1.0), lambda c, i: c * (n - k + i) / i))
+    return F.when(n > 0, F.least(F.lit(1.0), 2 * tail / F.pow(F.lit(2.0), n)))
+
+
+@query(sql("""SELECT n, up, round(least(1, 2 * tail / 2 ** n), 9) AS p, round(leverage, 9) AS leverage, round(total, 6) AS total, round(total - top, 6) AS total_without_top FROM (
+  SELECT n, up, leverage, total, top, list_sum(list_transform(range(least(up, n - up) + 1), lambda k: factorial(n::INT)::DOUBLE / factorial(k::INT)::DOUBLE / factorial((n - k)::INT)::DOUBLE)) AS tail FROM (
+    SELECT count(*) FILTER (s != 0) AS n, count(*) FILTER (s > 0) AS up, max(abs(s)) / sum(abs(s)) AS leverage, sum(s) AS total, arg_max(s, (abs(s), root)) AS top FROM (SELECT root, round(sum(net_bp), 6) AS s FROM cells GROUP BY root)))""", *TOUCHED, MARK, WINDOWS))
+def root_robustness(spark, sf_dir):
+    """How far the roots agree on the net of the walk forward: those above nothing and the sign test of it, the largest root's share of all, and the total without it."""
+    per = window_cells(spark, sf_dir).groupBy("root").agg(F.round(F.sum("net_bp"), 6).alias("s"))
+    one = per.agg(F.count(F.when(F.col("s") != 0, 1)).alias("n"), F.count(F.when(F.col("s") > 0, 1)).alias("up"), F.try_divide(F.max(F.abs("s")), F.sum(F.abs("s"))).alias("leverage"),
+                  F.sum("s").alias("total"), F.max_by("s", F.struct(F.abs("s"), "root")).alias("top"))
+    return one.select("n", "up", F.round(sign_test(F.col("up"), F.col("n")), 9).alias("p"), F.round("leverage", 9).alias("leverage"), F.round("total", 6).alias("total"), F.round(F.col("total") - F.col("top"), 6).alias("total_without_top"))
+
+
+def nan_mean(c: str) -> Column:
+    """Mean of a column's values that are numbers; null if none is."""
+    return F.avg(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")))
+
+
+@query(sql("""SELECT count(*) AS n_roots, count(sharpe) FILTER (NOT isnan(sharpe)) AS n_trials, round(avg(sharpe) FILTER (NOT isnan(sharpe)), 9) AS sharpe, round(avg(n_fills), 9) AS n_fills, round(avg(net_bp), 9) AS net_bp, round(avg(position), 9) AS position FROM (
+  SELECT root, avg(n_fills) AS n_fills, avg(net_bp) AS net_bp, avg(position) AS position, CASE WHEN root % 5 = 0 THEN 'nan'::DOUBLE WHEN count(*) > 1 AND stddev_samp(net_bp) > 0 THEN avg(net_bp) / stddev_samp(net_bp) END AS sharpe FROM cells GROUP BY root)""", *TOUCHED, MARK, WINDOWS))
+def window_means(spark, sf_dir):
+    """Column means over roots of their windows' means; ratios that are not defined (here every fifth root's, set to no number) count neither in a mean nor as a trial."""
+    per = window_cells(spark, sf_dir).groupBy("root").agg(F.avg("n_fills").alias("n_fills"), F.avg("net_bp").alias("net_bp"), F.avg("position").alias("position"), F.count("*").alias("n"), F.stddev_samp("net_bp").alias("sd"))
+    per = per.withColumn("sharpe", F.when(F.col("root") % 5 == 0, F.lit(float("nan"))).when((F.col("n") > 1) & (F.col("sd") > 0), F.try_divide("net_bp", "sd")))
+    trials = F.count(F.when(F.col("sharpe").isNotNull() & ~F.isnan("sharpe"), 1))
+    return per.agg(F.count("*").alias("n_roots"), trials.alias("n_trials"), *[F.round(nan_mean(c), 9).alias(c) for c in ("sharpe", "n_fills", "net_bp", "position")])
