@@ -166,6 +166,42 @@ def test_models_lean_against_inventory():
         assert flat[0] < flat[1] and sum(long) <= sum(flat)
 
 
+@pytest.mark.parametrize("window", [1, 30, 500])
+def test_sigma_of_each_window(window):
+    """Against both passes over each window, with equal times and with gaps that empty it; the work of an addition does not grow with the window."""
+    r, sigma, t, seen = random.Random(window), ses.Sigma(window), 0, []
+    for _ in range(800):
+        t, mid = t + r.choice([0, 0, 1, 2, 9, 60]), 100 + r.choice([0.0, 0.5, 3.3])
+        seen = [x for x in seen if x[0] > t - window] + [(t, mid)]
+        rs = [math.log(b[1] / a[1]) for a, b in zip(seen, seen[1:])]
+        want = np.std(rs) / math.sqrt(max(1, t - seen[0][0]) / len(rs)) if rs else None
+        assert sigma.add(t, mid) == (want if want is None else pytest.approx(want, rel=1e-12, abs=1e-15))
+    wide, n = ses.Sigma(10**9), 150_000
+    assert all(wide.add(k, 100.0) in (None, 0.0) for k in range(n)) and len(wide.old) + len(wide.new) == n - 1
+
+
+def test_sessions_come_in_frames(spark):
+    """A session that is longer than a frame comes in several, in order, and its state goes on; sessions in one partition do not mix."""
+    n, spark_rows = 1000, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = spark.range(3 * n).select((F.col("id") % 3).alias("sym"), F.lit(0).cast("long").alias("day"), (3 * n - F.col("id")).alias("ts_ns"), F.lit(0).alias("kind"), F.col("id").alias("seq"))
+
+    def step(frames):
+        count = 0
+        for pdf in [frames] if isinstance(frames, pd.DataFrame) else frames:
+            for seq in pdf["seq"]:
+                count += 1
+                yield seq, count, len(pdf)
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = ses.fold(rows.repartition(5), step, "seq long, place long, frame long").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", spark_rows)
+    assert max(r.frame for r in got) <= 64 and len(got) == 3 * n
+    for sym in range(3):
+        assert [r.seq for r in sorted((r for r in got if r.sym == sym), key=lambda r: r.place)] == list(range(3 * n - 3 + sym, -1, -3))
+
+
 def test_model_queries_are_deterministic(spark):
     a, b = (sorted(stateful.model_quotes(spark, SF).collect()) for _ in range(2))
     assert a == b and a

@@ -33,8 +33,9 @@ def refresh_triggers(spark, sf_dir):
 @query()
 def model_quotes(spark, sf_dir):
     """Fills of the four inventory models, by model and symbol."""
-    every = rows(spark, sf_dir).withColumn("model", F.explode(F.array(*[F.lit(m) for m in ses.MODELS])))
-    out = ses.fold(every, ses.model_fills(), "seq long, side int, price double, size double, inventory double", ["model"])
+    levels = {f"{s}_{w}": F.col(f"{s}s.{w}") for s in ("bid", "ask") for w in ("px", "sz")}
+    every = rows(spark, sf_dir).withColumns(levels).drop("bids", "asks")
+    out = ses.fold(every, ses.model_fills(), "model string, seq long, side int, price double, size double, inventory double")
     return out.groupBy("model", "sym").agg(F.count("*").alias("n_fills"), F.sum("size").alias("qty"), F.max(F.abs("inventory")).alias("peak"),
                                            F.sum(-F.col("side") * F.col("size") * F.col("price")).alias("cash"))
 
