@@ -301,3 +301,53 @@ def test_session_step_in_pieces(seed, throttle):
             fills, state = stream.session_step(pd.DataFrame(rows[lo:hi], columns=stream.EVENT).sample(frac=1, random_state=seed), state, 3.0, throttle)
             got += list(zip(fills["seq"], fills["interval"], fills["side"], fills["size"]))
         assert got == want
+
+
+class State:
+    """One key's state in memory, as a map or as a value."""
+
+    def __init__(self):
+        self.kept = {}
+
+    exists = lambda self: bool(self.kept)
+    keys = lambda self: iter(list(self.kept))
+    getValue = lambda self, k: self.kept[k]
+    removeKey = lambda self, k: self.kept.pop(k)
+    clear = lambda self: self.kept.clear()
+    get = lambda self: self.kept[0]
+
+    def updateValue(self, k, v):
+        self.kept[k] = v
+
+    def update(self, v):
+        self.kept[0] = v
+
+
+@pytest.mark.parametrize("cuts", [[10**9], [40, 41, 90, 10**9]])
+def test_a_stream_is_taken_in_parts_of_time(monkeypatch, cuts):
+    """Events of a hundred hours that wait in no order: no step takes more than a slot's, and their fills are those of one step over all; a watermark inside a slot leaves its later events."""
+    r, hour = random.Random(5), 3_600_000_000_000
+    rows = [(k, k * hour // 10, 0, 99.0, 1.0, 101.0, 1.0, None, None, None) if k % 3 == 0 else (k, k * hour // 10, 1, *[None] * 4, r.choice([1, -1]), r.choice([99.0, 101.0]), 2.0) for k in range(1000)]
+    events = pd.DataFrame(rows, columns=stream.EVENT)
+    want, _ = stream.session_step(events, None, 3.0, False)
+    sizes, step = [], stream.session_step
+    monkeypatch.setattr(stream, "session_step", lambda e, *how: sizes.append(len(e)) or step(e, *how))
+    monkeypatch.setattr(stream, "SORTED_ROWS", 150)
+
+    class Handle:
+        getMapState = getValueState = getListState = lambda self, *a: State()
+        registerTimer = lambda self, at: None
+
+    s = stream.Sessions(3.0, False)
+    s.init(Handle())
+    mixed = events.sample(frac=1, random_state=1)
+    assert not list(s.handleInputRows((1,), iter([mixed[k : k + 100] for k in range(0, 1000, 100)]), None))
+    got = []
+    for cut in cuts:
+        now = type("Now", (), {"getCurrentWatermarkInMs": lambda self: cut * hour // 1_000_000})()
+        part = list(s.handleExpiredTimer((1,), now, None))
+        assert all((f["ts_ns"] <= cut * hour).all() for f in part)
+        got += part
+    cols = ["seq", "interval", "side", "price", "size"]
+    assert pd.concat(got)[cols].values.tolist() == want[cols].values.tolist() and len(want)
+    assert max(sizes) <= 10 * stream.SLOT_NS // hour and sum(sizes) == 1000 and not s.waiting.kept

@@ -1,7 +1,7 @@
 """Touch fills from a stream, the same as the batch plan's, with state that Spark keeps.
 
-Events come in any order and any cut into micro-batches. A key's events wait in Spark's state store until the watermark has
-passed them; then no earlier event can follow, and they are taken in their order. What is carried on is the last book's two orders with what is left of
+Events come in any order and any cut into micro-batches. A key's events wait in Spark's state store, parted by the time they are from, until the watermark has
+passed them; then no earlier event can follow, and they are taken in their order, a part of time at once, so a worker never holds a key's history. What is carried on is the last book's two orders with what is left of
 them and of their queues. A timer at each batch's last event makes them ready, and one at the session's end
 drops the session's state. What counts as late is a matter of event time and the watermark's delay alone: Spark drops such events
 and counts them (``late_rows``).
@@ -10,6 +10,7 @@ and counts them (``late_rows``).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
@@ -28,6 +29,8 @@ EVENT = ["seq", "ts_ns", "kind", "bid", "bid_sz", "ask", "ask_sz", "side", "pric
 SNAPSHOT, TRADE, CLOCK = 0, 1, 2
 #: The clock's last tick, some 260 years after 1970.
 CLOSING_NS = 8_200_000_000_000_000_000
+#: Events that wait are kept, and taken, by so much time; so many are sorted into it at once. Each part of the state costs a call or two.
+SLOT_NS, SORTED_ROWS = 6 * 3_600_000_000_000, 500_000
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -94,16 +97,29 @@ class Sessions(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "chunk binary")
+        self.waiting = handle.getMapState("slots", "slot long, part long", "chunk binary")
+        self.parts = handle.getValueState("parts", "n long")
         self.book = handle.getValueState("book", BOOK)
 
+    def _wait(self, events: pd.DataFrame) -> None:
+        """Puts events into their slots; parts of a slot are told apart by a number that only grows."""
+        n = self.parts.get()[0] if self.parts.exists() else 0
+        for slot, chunk in events.groupby(events["ts_ns"] // SLOT_NS):
+            self.waiting.updateValue((int(slot), n), (_packed(chunk),))
+        self.parts.update((n + 1,))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        latest = None
+        latest, some, n = None, [], 0
         for pdf in rows:
             pdf = pdf[pdf["kind"] != CLOCK]
             if len(pdf):
-                self.waiting.appendValue((_packed(pdf),))
+                some, n = [*some, pdf[EVENT]], n + len(pdf)
                 latest = max(latest or 0, int(pdf["ts_ns"].max()))
+            if n >= SORTED_ROWS:
+                self._wait(pd.concat(some, ignore_index=True))
+                some, n = [], 0
+        if some:
+            self._wait(pd.concat(some, ignore_index=True))
         if latest is not None:
             self.handle.registerTimer(latest // 1_000_000 + 1)
             if len(key) > 1:
@@ -112,19 +128,28 @@ class Sessions(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1_000  # in microseconds, as Spark judges what is late
-        chunks = [_unpacked(c) for (c,) in self.waiting.get()] if self.waiting.exists() else []
-        if chunks:
-            events = pd.concat(chunks, ignore_index=True)
+        places = sorted((int(s), int(n)) for s, n in self.waiting.keys()) if self.waiting.exists() else []
+        book = self.book.get() if self.book.exists() else None
+        taken, rest = [], False
+        for slot, parts in groupby((p for p in places if p[0] * SLOT_NS // 1_000 <= passed), lambda p: p[0]):
+            parts = list(parts)
+            events = pd.concat([_unpacked(self.waiting.getValue(p)[0]) for p in parts], ignore_index=True)
             ready = events["ts_ns"] // 1_000 <= passed
             if ready.any():
-                fills, book = session_step(events[ready], self.book.get() if self.book.exists() else None, self.size, self.throttle)
-                if book is not None:
-                    self.book.update(book)
-                self.waiting.clear()
+                taken += parts
                 if not ready.all():
-                    self.waiting.appendValue((_packed(events[~ready]),))
+                    self._wait(events[~ready])
+                    rest = True
+                fills, book = session_step(events[ready], book, self.size, self.throttle)
                 if len(fills):
                     yield fills.assign(sym=int(key[0])).astype({"side": "int32"})
+        if taken and not rest and len(taken) == len(places):
+            self.waiting.clear()
+        else:
+            for p in taken:
+                self.waiting.removeKey(p)
+        if taken and book is not None:
+            self.book.update(book)
         if len(key) > 1 and passed * 1_000 >= (int(key[1]) + 1) * DAY_NS:
             self.book.clear()
 
