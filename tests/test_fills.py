@@ -202,6 +202,14 @@ def test_sessions_come_in_frames(spark):
         assert [r.seq for r in sorted((r for r in got if r.sym == sym), key=lambda r: r.place)] == list(range(3 * n - 3 + sym, -1, -3))
 
 
+@pytest.mark.parametrize("name, want", [("queue_tracker", "bids kind price seq side size ts_ns")])
+def test_workers_get_what_a_fold_reads(spark, monkeypatch, name, want):
+    """Books are most of a row, and of a worker's memory."""
+    seen, real = [], ses.fold
+    monkeypatch.setattr(ses, "fold", lambda rows, *how: seen.append(rows.columns) or real(rows, *how))
+    assert getattr(stateful, name)(spark, SF).count() and sorted(set(seen[0]) - set(ses.KEYS)) == want.split()
+
+
 def test_model_queries_are_deterministic(spark):
     a, b = (sorted(stateful.model_quotes(spark, SF).collect()) for _ in range(2))
     assert a == b and a

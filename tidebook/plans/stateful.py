@@ -50,7 +50,7 @@ def hedge_fires(spark, sf_dir):
 @query()
 def queue_tracker(spark, sf_dir):
     """The queue ahead of one bid a session that stays where it was put."""
-    return ses.fold(rows(spark, sf_dir), ses.queue_track, "seq long, queue double, cause string")
+    return ses.fold(rows(spark, sf_dir).drop("asks", "mid"), ses.queue_track, "seq long, queue double, cause string")
 
 
 @query(sql(TAKE.replace(", idx", ""), *TOUCHED))
