@@ -20,7 +20,8 @@ def rows(spark, sf_dir):
 @query()
 def ewma_fair(spark, sf_dir):
     """Fair value: the mid averaged with a half-life of two hours, anew every day."""
-    out = ses.fold(rows(spark, sf_dir).where("kind = 0"), ses.ewma(2 * mk.HOUR_NS), "seq long, fair double")
+    mids = rows(spark, sf_dir).where("kind = 0").select("sym", "day", "ts_ns", "kind", "seq", "mid")
+    out = ses.fold(mids, ses.ewma(2 * mk.HOUR_NS), "seq long, fair double")
     return out.select("seq", "sym", "day", F.round("fair", 9).alias("fair"))
 
 
