@@ -202,7 +202,7 @@ def test_sessions_come_in_frames(spark):
         assert [r.seq for r in sorted((r for r in got if r.sym == sym), key=lambda r: r.place)] == list(range(3 * n - 3 + sym, -1, -3))
 
 
-@pytest.mark.parametrize("name, want", [("queue_tracker", "bids kind price seq side size ts_ns"), ("ewma_fair", "kind mid seq ts_ns")])
+@pytest.mark.parametrize("name, want", [("queue_tracker", "bids kind price seq side size ts_ns"), ("refresh_triggers", "kind mid seq side size ts_ns"), ("ewma_fair", "kind mid seq ts_ns")])
 def test_workers_get_what_a_fold_reads(spark, monkeypatch, name, want):
     """Books are most of a row, and of a worker's memory."""
     seen, real = [], ses.fold

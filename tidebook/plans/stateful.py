@@ -28,7 +28,7 @@ def ewma_fair(spark, sf_dir):
 @query()
 def refresh_triggers(spark, sf_dir):
     """When quotes would be renewed by time, by moves of the mid, and by changes of the inventory."""
-    return ses.fold(rows(spark, sf_dir), ses.triggers(mk.HOUR_NS, 50.0, 5.0), "seq long, on_time boolean, on_move boolean, on_inventory boolean")
+    return ses.fold(rows(spark, sf_dir).drop("bids", "asks", "price"), ses.triggers(mk.HOUR_NS, 50.0, 5.0), "seq long, on_time boolean, on_move boolean, on_inventory boolean")
 
 
 @query()
