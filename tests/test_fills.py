@@ -133,6 +133,21 @@ def test_trailing_refuses_values_that_overlap(spark):
         timeline.trailing(df, ["sym"], 10, {"s": F.lit(1.0)}, since={"s": F.col("p")}).collect()
 
 
+def test_windows_are_not_put_together(spark):
+    """Few rows, which adaptive execution would give to one task: sums over windows use all shuffle partitions."""
+    df = spark.createDataFrame([(k, k % 2, k * 100, 1.0) for k in range(200)], "seq long, sym long, ts_ns long, v double")
+    assert timeline.trailing(df, ["sym"], 1000, {"s": F.col("v")}).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_orders_come_by_number(spark):
+    """Orders stay out of the pass in time order; a repeated snapshot does not repeat trades, and a null number is a number."""
+    snaps = spark.createDataFrame([(1, 0, 10, [1]), (1, 0, 10, [1]), (None, 0, 20, [2]), (3, 1, 5, [])], "seq long, sym long, ts_ns long, orders array<int>")
+    trades = spark.createDataFrame([(7, 0, 15, 1.0), (8, 0, 25, 1.0), (9, 1, 5, 1.0), (10, 1, 4, 1.0)], "seq long, sym long, ts_ns long, price double")
+    at = sim.in_interval(trades, snaps)
+    assert sorted((r.seq, r.interval, r.orders) for r in at.collect()) == [(7, 1, [1]), (8, None, [2]), (9, 3, [])]
+    assert at.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_empty_tables(spark):
     snaps, trades = books(spark, 1)
     none = snaps.limit(0)

@@ -19,6 +19,11 @@ def block(ts: str = "ts_ns", size: int = BLOCK_NS) -> Column:
     return F.expr(f"{ts} div {size}")
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys over all shuffle partitions. Adaptive execution would put partitions together until there is one a core, and a task would sort a core's share of the input at once."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _same(keys: list[str], other: DataFrame, here: DataFrame) -> Column:
     return reduce(lambda a, b: a & b, [here[k].eqNullSafe(other[f"_{k}"]) for k in keys])
 
@@ -108,8 +113,9 @@ def trailing(df: DataFrame, keys: list[str], width_ns: int, columns: dict[str, C
         if names:
             serves = reduce(lambda a, b: a | b, [values[n].isNotNull() for n in names]) & (left >= blk * width_ns)
             entries.append(F.when(serves, entry(1, False, left + width_ns, names)))
-    both = df.withColumn("_e", F.explode(F.array_compact(F.array(*entries))))
-    part = Window.partitionBy(*keys, "_e.blk")
+    both = df.withColumn("_e", F.explode(F.array_compact(F.array(*entries)))).withColumn("_part", F.col("_e.blk"))
+    both = _spread(both, *keys, "_part")
+    part = Window.partitionBy(*keys, "_part")
     first, last = part.orderBy("_e.at").rangeBetween(Window.unboundedPreceding, 0), part.orderBy(F.desc("_e.at")).rangeBetween(Window.unboundedPreceding, -1)
     sides = (("a", first, own), ("b", last, ~own))
     run = {f"_{s}_{n}": F.sum(F.when(mine, F.col(f"_e.{n}"))).over(w) for s, w, mine in sides for n in columns}
@@ -125,7 +131,7 @@ def trailing(df: DataFrame, keys: list[str], width_ns: int, columns: dict[str, C
             parts.append((F.when(spans[n].isNotNull(), 1).otherwise(0), spans[n], F.when(spans[n].isNotNull(), spans[n] * 0)))
         count, mean, m2 = reduce(_merged, parts)
         made |= {f"{n}_n": count.cast("long"), f"{n}_mean": mean, f"{n}_var": m2 / count}
-    return out.withColumns(made).drop("_e", *run)
+    return out.withColumns(made).drop("_e", "_part", *run)
 
 
 def as_of(probes: DataFrame, states: DataFrame, keys: list[str], value: str, name: str, at: str = "ts_ns", tie: str = "seq") -> DataFrame:
@@ -139,3 +145,13 @@ def as_of(probes: DataFrame, states: DataFrame, keys: list[str], value: str, nam
     both = left.unionByName(right, allowMissingColumns=True)
     out = last_known(both, keys, ["_at", "_kind", "_tie"], {"_value": name}, ts="_at")
     return out.where("_kind = 1").select(*cols, name)
+
+
+def looked_up(df: DataFrame, other: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Adds to each row the columns of other where all keys are equal, nulls too; null where there is none, and of repeated ones one counts.
+
+    One union and one pass, in windows of one value of the keys.
+    """
+    both = other.select(*keys, *columns, F.lit(0).alias("_kind")).unionByName(df.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy("_kind").rowsBetween(Window.unboundedPreceding, 0)
+    return _spread(both, *keys).withColumns({c: F.first(c, ignorenulls=True).over(w) for c in columns}).where("_kind = 1").select(*df.columns, *columns)

@@ -135,12 +135,12 @@ def ledger_full(spark, sf_dir):
 
 
 def surges(spark, sf_dir) -> DataFrame:
-    """At each snapshot, over the last four hours' trades: n, deviation of log price changes in bp, imbalance."""
+    """At each snapshot, with its best levels, over the last four hours' trades: n, deviation of log price changes in bp, imbalance."""
     t = mk.trades(spark, sf_dir).withColumn("d", F.struct("price", "ts_ns"))
     t = last_known(t, ["sym"], ["ts_ns", "seq"], {"d": "p"}, before=True)
     t = t.select("seq", "sym", "ts_ns", F.lit(1).alias("kind"), F.log(F.col("price") / F.col("p.price")).alias("r"), F.coalesce("p.ts_ns", "ts_ns").alias("left"),
                  (F.col("side") * F.col("size")).alias("s"), F.col("size").alias("v"), F.lit(1).alias("one"))
-    both = mk.snapshots(spark, sf_dir).select("seq", "sym", "ts_ns", F.lit(0).alias("kind"), "bids", "asks").unionByName(t, allowMissingColumns=True)
+    both = mk.snapshots(spark, sf_dir).select("seq", "sym", "ts_ns", F.lit(0).alias("kind"), F.slice("bids", 1, 1).alias("bids"), F.slice("asks", 1, 1).alias("asks")).unionByName(t, allowMissingColumns=True)
     w = trailing(both, ["sym"], 4 * HOUR, {"n": F.col("one"), "net": F.col("s"), "vol": F.col("v")}, since={"r": F.coalesce("left", "ts_ns")}, moments={"r": F.col("r")})
     surge = F.when(F.col("n") >= 3, F.round(F.sqrt(F.coalesce("r_var", F.lit(0.0))) * 1e4, 4))
     return w.where("kind = 0").withColumns({"surge_bp": surge, "ofi": F.round(F.try_divide(F.abs("net"), "vol"), 9)})
