@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions.quotes import size_at
+from tidebook.sources.market import HOUR_NS
 
-from .timeline import last_known
+from .timeline import last_known, looked_up
 
 ORDER = "struct<side:int,px:double,size:double,idx:int>"
 
@@ -29,11 +30,16 @@ def resting(snaps: DataFrame, orders, queued: bool = True) -> DataFrame:
 
 
 def in_interval(trades: DataFrame, quoted: DataFrame) -> DataFrame:
-    """Trades with the snapshot they follow: its seq as interval, and its orders. Earlier trades are dropped."""
-    state = quoted.select("sym", "ts_ns", F.lit(0).alias("kind"), "seq", F.struct(F.col("seq").alias("interval"), "orders").alias("state"))
+    """Trades with the snapshot they follow: its seq as interval, and its orders. Earlier trades are dropped.
+
+    Only the snapshots' numbers are carried in time order; orders, which are most of a row, come by the number.
+    """
+    state = quoted.select("sym", "ts_ns", F.lit(0).alias("kind"), "seq", F.struct("ts_ns", "seq").alias("state"))
     both = state.unionByName(trades.withColumn("kind", F.lit(1)), allowMissingColumns=True)
-    out = last_known(both, ["sym"], ["ts_ns", "kind", "seq"], {"state": "now"})
-    return out.where("kind = 1 and now is not null").select(*trades.columns, "now.interval", "now.orders")
+    out = last_known(both, ["sym"], ["ts_ns", "kind", "seq"], {"state": "now"}, size=HOUR_NS).where("kind = 1 and now is not null")
+    out = out.select(*trades.columns, F.col("now.ts_ns").alias("_since"), F.col("now.seq").alias("interval"))
+    orders = quoted.select("sym", F.col("ts_ns").alias("_since"), F.col("seq").alias("interval"), "orders")
+    return looked_up(out, orders, ["sym", "_since", "interval"], ["orders"]).drop("_since")
 
 
 def fills(trades: DataFrame, quoted: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidebook.functions import quotes as q
 from tidebook.operators import fills as sim
 from tidebook.operators.ranking import quantiles
-from tidebook.operators.timeline import running_sum
+from tidebook.operators.timeline import looked_up, running_sum
 from tidebook.sources import market as mk
 from tidebook.sources.storage import stored
 
@@ -43,11 +43,18 @@ SIGMA = """sig AS (SELECT seq, CASE WHEN n > 1 THEN round(sqrt(greatest(0, (s2 -
 ALL_FILLS = (OFI, SIGMA, QUOTES, LOOKUP, FILLS)
 
 
+def signals(spark, sf_dir) -> DataFrame:
+    """Snapshots with flow and whether times are wild. Books stay out of the windows of a day: what those find comes by snapshot."""
+    s = order_flow(spark, sf_dir).select("seq", "sym", "ts_ns", "mid", "ofi")
+    s = returns_in_window(s, DAY)
+    wild = F.coalesce(F.when(F.col("r_n") > 0, F.round(F.sqrt("r_var"), 7)) >= WILD, F.lit(False))
+    return looked_up(mk.snapshots(spark, sf_dir), s.select("seq", "sym", "ts_ns", "ofi", wild.alias("wild")), ["sym", "ts_ns", "seq"], ["ofi", "wild"])
+
+
 def all_quoters(spark, sf_dir) -> DataFrame:
     """Fills of all quoters; idx is the quoter. Orders at prices that the book doesn't show are not placed."""
-    s = returns_in_window(order_flow(spark, sf_dir), DAY)
-    mid, micro, size = q.mid(), q.microprice(), F.lit(SIZE)
-    wild = F.coalesce(F.when(F.col("r_n") > 0, F.round(F.sqrt("r_var"), 7)) >= WILD, F.lit(False))
+    s = signals(spark, sf_dir)
+    mid, micro, size, wild = q.mid(), q.microprice(), F.lit(SIZE), F.col("wild")
     orders = []
     for side in (1, -1):
         touch, deep = mk.best("bids" if side == 1 else "asks"), mk.best("bids" if side == 1 else "asks", level=1)

@@ -232,7 +232,7 @@ OFI = "ofi AS (SELECT seq, sym, ts_ns, mid, coalesce(" + " + ".join(
 def order_flow(spark, sf_dir) -> DataFrame:
     """Order-flow imbalance over ten levels against the snapshot before; 0 at first, levels that either book lacks don't count."""
     s = mk.snapshots(spark, sf_dir).withColumn("book", F.struct("bids", "asks"))
-    s = last_known(s, ["sym"], ["ts_ns", "seq"], {"book": "was"}, before=True)
+    s = last_known(s, ["sym"], ["ts_ns", "seq"], {"book": "was"}, before=True, size=HOUR)
 
     def side(now: str, was: str, sign: int):
         def step(a, b):
